@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, pieces
+from . import gam, jaccard, pieces
 from .common import table
 
 #: Where the public vocabularies lie; read by the driver only.
@@ -24,6 +24,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_verify(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at 100 * intersection >= 85 * union over 4-word shingles."""
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +36,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op8_quality_gam": op8_quality_gam,
 }
 ORACLES: dict[str, str] = {}
