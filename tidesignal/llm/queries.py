@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, jaccard, pieces
+from . import chunks, gam, jaccard, mixing, pieces
 from .common import table
 
 #: Where the public vocabularies lie; read by the driver only.
@@ -29,6 +29,16 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text without duplicate passages, and what was cut, of every document."""
+    return chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, epoch, block, tokens, place of every visit of the mixture."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +47,46 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op10_temperature_mix": op10_temperature_mix,
     "op8_quality_gam": op8_quality_gam,
 }
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP10_SQL = rf"""
+WITH RECURSIVE slim AS (SELECT doc_id, source, len({_WORDS}) AS tokens FROM documents),
+shares AS (SELECT source, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS total FROM slim GROUP BY source),
+grid AS (SELECT range AS k FROM range(0, 1025)),
+trial AS (
+  SELECT k, ln(sum(w)) - sum(w * ln(w)) / sum(w) AS entropy, max(w / total) / sum(w) AS per_token, max(total / w) * sum(w) AS full_budget
+  FROM (SELECT k, total, pow(CAST(total AS DOUBLE), k / 1024.0::DOUBLE) AS w FROM shares, grid WHERE total > 0) GROUP BY k),
+ends AS (SELECT max(entropy) FILTER (k = 1024) AS own, max(entropy) FILTER (k = 0) AS flat FROM trial),
+exponent AS (
+  SELECT CASE WHEN bool_and(per_token * full_budget <= 4.0 + 1e-9) FILTER (k = wanted) THEN max(wanted)
+              ELSE coalesce(min(k) FILTER (per_token * full_budget <= 4.0 + 1e-9), 1024) END AS k
+  FROM trial, (SELECT max(k) AS wanted FROM trial, ends WHERE entropy >= own + 0.25 * (flat - own) - 1e-9)),
+weights AS (SELECT source, total, CASE WHEN total > 0 THEN pow(CAST(total AS DOUBLE), k / 1024.0::DOUBLE) ELSE 0 END AS w FROM shares, exponent),
+plan AS (
+  SELECT source, total, CAST(round(w / (SELECT sum(w) FROM weights) * (SELECT full_budget FROM trial JOIN exponent USING (k))) AS BIGINT) AS quota,
+         least(1048576, CAST(floor(total / 200000.0::DOUBLE + 1) AS INTEGER)) AS blocks
+  FROM weights),
+dealt AS (
+  SELECT s.*, p.total, p.quota, CASE WHEN p.total > 0 THEN CAST(ceil(p.quota / CAST(p.total AS DOUBLE)) AS INTEGER) ELSE 1 END AS epochs,
+         CAST(CAST('0x' || substr(md5(concat_ws('/', '0', CAST(doc_id AS VARCHAR))), 1, 7) AS INTEGER) % p.blocks AS INTEGER) AS block
+  FROM slim s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+visits AS (
+  SELECT source, block, t, total, quota, unnest(range(0, greatest(epochs, 1))) AS epoch
+  FROM (SELECT source, block, sum(tokens) AS t, max(total) AS total, max(quota) AS quota, max(epochs) AS epochs FROM dealt GROUP BY source, block)),
+starts AS (
+  SELECT source, block, epoch, epoch * total + sum(t) OVER (PARTITION BY source, epoch ORDER BY md5(concat_ws('/', '0', CAST(epoch AS VARCHAR), CAST(block AS VARCHAR))), block) - t AS start
+  FROM visits),
+placed AS (
+  SELECT d.doc_id, d.source, CAST(s.epoch AS INTEGER) AS epoch, d.block, CAST(d.tokens AS BIGINT) AS tokens, d.quota, d.total,
+         s.start + coalesce(sum(d.tokens) OVER (PARTITION BY d.source, s.epoch, d.block ORDER BY md5(concat_ws('/', '0', CAST(s.epoch AS VARCHAR), CAST(d.doc_id AS VARCHAR))), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM dealt d JOIN starts s ON s.source IS NOT DISTINCT FROM d.source AND s.block = d.block WHERE s.start < d.quota OR d.total = 0)
+SELECT doc_id, source, epoch, block, tokens, CASE WHEN quota > 0 THEN round(CAST(before AS DOUBLE) / quota, 9) ELSE 0 END AS place
+FROM placed WHERE before < quota OR total = 0
+"""
+
+ORACLES: dict[str, str] = {"op10_temperature_mix": OP10_SQL}
