@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, gam, jaccard, mixing, pieces
+from . import chunks, gam, jaccard, mixing, pieces, rules
 from .common import table
 
 #: Where the public vocabularies lie; read by the driver only.
@@ -39,6 +39,10 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_substring_dedup": op6_substring_dedup,
     "op10_temperature_mix": op10_temperature_mix,
+    "op7_host_rules": op7_host_rules,
     "op8_quality_gam": op8_quality_gam,
 }
 
@@ -89,4 +94,29 @@ SELECT doc_id, source, epoch, block, tokens, CASE WHEN quota > 0 THEN round(CAST
 FROM placed WHERE before < quota OR total = 0
 """
 
-ORACLES: dict[str, str] = {"op10_temperature_mix": OP10_SQL}
+OP7_SQL = rf"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END AS g FROM split),
+positions AS (SELECT doc_id, source, unnest(g) AS h, unnest(range(1, len(g) + 1)) AS p FROM grams),
+twice AS (SELECT doc_id, source, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, source, h) AS n FROM positions) WHERE n > 1),
+covered AS (
+  SELECT doc_id, source, CAST(sum(least(3, gap)) AS BIGINT) AS n
+  FROM (SELECT *, p - coalesce(lag(p) OVER (PARTITION BY doc_id, source ORDER BY p), p - 3) AS gap FROM twice) GROUP BY doc_id, source),
+base AS (
+  SELECT g.doc_id, g.source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM grams g LEFT JOIN covered c ON g.doc_id = c.doc_id AND g.source IS NOT DISTINCT FROM c.source),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS docs, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS failed FROM judged GROUP BY source),
+moments AS (SELECT sum(failed) / sum(docs) AS mean, avg(failed / docs) AS m, var_pop(failed / docs) AS v, avg(1.0::DOUBLE / docs) AS inv FROM hosts),
+prior AS (SELECT mean, CASE WHEN v - m * (1 - m) * inv <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, m * (1 - m) / (v - m * (1 - m) * inv) - 1)) END AS weight FROM moments),
+rated AS (SELECT source, (failed + mean * weight) / (docs + weight) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept
+FROM judged j JOIN rated r ON j.source IS NOT DISTINCT FROM r.source
+"""
+
+ORACLES: dict[str, str] = {"op7_host_rules": OP7_SQL, "op10_temperature_mix": OP10_SQL}
