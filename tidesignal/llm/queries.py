@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, gam, jaccard, mixing, pieces, rules
+from . import chunks, gam, jaccard, media, mixing, pieces, rules
 from .common import table
 
 #: Where the public vocabularies lie; read by the driver only.
@@ -34,6 +34,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store(table(spark, sf_dir, "documents")))
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, epoch, block, tokens, place of every visit of the mixture."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_avi_mjpeg": op9_avi_mjpeg,
     "op10_temperature_mix": op10_temperature_mix,
     "op7_host_rules": op7_host_rules,
     "op8_quality_gam": op8_quality_gam,
