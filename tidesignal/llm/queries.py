@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, gam, jaccard, media, mixing, pieces, rules
-from .common import table
+from . import chunks, gam, jaccard, langid, media, mixing, pieces, rules
+from .common import crc_mod, table
 
 #: Where the public vocabularies lie; read by the driver only.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -24,6 +24,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_verify(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    return langid.predict(docs, langid.fit(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 100 * intersection >= 85 * union over 4-word shingles."""
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
@@ -54,6 +60,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_byte_cnn": op4_byte_cnn,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_avi_mjpeg": op9_avi_mjpeg,
