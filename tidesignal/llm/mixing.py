@@ -136,11 +136,11 @@ def mix(docs: DataFrame, entropy_gain: float = 0.25, max_epochs: float = 4.0, bu
     totals = deal(slim).groupBy(F.col(source).alias("_s"), "_block").agg(F.sum("_tokens").alias("t"), F.first("quota").alias("quota"), F.first("epochs").alias("epochs"), F.first("_total").alias("_total"))
     visits = totals.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("epochs") - 1, F.lit(0)))))
     order = Window.partitionBy("_s", "epoch").orderBy(_digest(seed, F.col("epoch"), F.col("_block")), "_block")
-    starts = visits.withColumn("start", F.col("epoch") * F.col("_total") + F.sum("t").over(order) - F.col("t")).where((F.col("start") < F.col("quota")) | (F.col("_total") == 0))
+    starts = visits.withColumn("start", F.col("epoch") * F.col("_total") + F.sum("t").over(order) - F.col("t")).where((F.col("start") <= F.col("quota")) | (F.col("_total") == 0))
     begin = starts.select("_s", F.col("_block").alias("_b"), "epoch", "start")
     rows = dealt.join(begin, dealt[source].eqNullSafe(begin["_s"]) & (dealt["_block"] == begin["_b"])).drop("_s", "_b")
     inside = Window.partitionBy(source, "epoch", "_block").orderBy(_digest(seed, F.col("epoch"), F.col(key)), key)
     before = F.coalesce(F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = rows.withColumn("_before", F.col("start") + before).where((F.col("_before") < F.col("quota")) | (F.col("_total") == 0))
+    used = rows.withColumn("_before", F.col("start") + before).where((F.col("_before") < F.col("quota")) | ((F.col("_before") == F.col("quota")) & (F.col("_tokens") == 0)) | (F.col("_total") == 0))
     place = F.when(F.col("quota") > 0, F.col("_before") / F.col("quota")).otherwise(F.lit(0.0))
     return used.select(F.col(key), *(F.col(c) for c in kept if c != source), F.col(source).alias("source"), F.col("epoch").cast("int").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("tokens"), F.round(place, 9).alias("place"))

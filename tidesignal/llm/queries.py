@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, gam, jaccard, langid, media, mixing, pieces, rules
+from . import chunks, gam, html, jaccard, langid, media, mixing, pieces, rules, urlfilter
 from .common import crc_mod, table
 
 #: Where the public vocabularies lie; read by the driver only.
@@ -24,6 +24,32 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_verify(table(spark, sf_dir, "documents"), piece_model())
 
 
+#: A small dated list for the registered query: list, pattern, action, effective date.
+URL_LIST = (
+    ("spam", "spam-farm.example.org", "block", "2024-01-15"),
+    ("spam", "cheap-pills.example.com", "block", "2024-02-01"),
+    ("spam", "cheap-pills.example.com", "clear", "2024-06-10"),
+    ("spam", "cheap-pills.example.com", "block", "2024-09-05"),
+    ("partners", "www.cheap-pills.example.com", "allow", "2024-10-20"),
+    ("partners", "www.cheap-pills.example.com", "clear", "2024-11-20"),
+    ("locale", "spam-farm.example.org/en", "allow", "2024-07-01"),
+    ("locale", "blog.tionsh.example.net/es", "block", "2024-03-01"),
+    ("abuse", "tionble.example.org", "block", "2024-05-01"),
+    ("abuse", "tionble.example.org", "clear", "2024-05-20"),
+)
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` as a capture, fetched on a date dealt by its id, against ``URL_LIST``."""
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 365) as int))").alias("fetch_date"))
+    entries = spark.createDataFrame(list(URL_LIST), "list string, pattern string, action string, effective string")
+    return urlfilter.judge(captures, entries).withColumn("fetch_date", F.col("fetch_date").cast("string"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
@@ -60,6 +86,8 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_url_lists": op2_url_lists,
+    "op3_main_text": op3_main_text,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_substring_dedup": op6_substring_dedup,
@@ -101,9 +129,9 @@ starts AS (
 placed AS (
   SELECT d.doc_id, d.source, CAST(s.epoch AS INTEGER) AS epoch, d.block, CAST(d.tokens AS BIGINT) AS tokens, d.quota, d.total,
          s.start + coalesce(sum(d.tokens) OVER (PARTITION BY d.source, s.epoch, d.block ORDER BY md5(concat_ws('/', '0', CAST(s.epoch AS VARCHAR), CAST(d.doc_id AS VARCHAR))), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM dealt d JOIN starts s ON s.source IS NOT DISTINCT FROM d.source AND s.block = d.block WHERE s.start < d.quota OR d.total = 0)
+  FROM dealt d JOIN starts s ON s.source IS NOT DISTINCT FROM d.source AND s.block = d.block WHERE s.start <= d.quota OR d.total = 0)
 SELECT doc_id, source, epoch, block, tokens, CASE WHEN quota > 0 THEN round(CAST(before AS DOUBLE) / quota, 9) ELSE 0 END AS place
-FROM placed WHERE before < quota OR total = 0
+FROM placed WHERE before < quota OR (before = quota AND tokens = 0) OR total = 0
 """
 
 OP7_SQL = rf"""
@@ -131,4 +159,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j JOIN rated r ON j.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES: dict[str, str] = {"op7_host_rules": OP7_SQL, "op10_temperature_mix": OP10_SQL}
+_VALUES = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in URL_LIST)
+
+OP2_SQL = rf"""
+WITH entries(list, pattern, action, valid_from) AS (VALUES {_VALUES}),
+intervals AS (SELECT *, lead(valid_from) OVER (PARTITION BY list, pattern ORDER BY valid_from) AS valid_to FROM entries),
+seen AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetch_date,
+         rtrim(regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') AS host,
+         regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment
+  FROM pages),
+hits AS (
+  SELECT s.host, s.segment, s.fetch_date, min(pattern) FILTER (action = 'allow') AS allow, min(pattern) FILTER (action = 'block') AS block
+  FROM (SELECT DISTINCT host, segment, fetch_date FROM seen) s JOIN intervals i
+    ON s.fetch_date >= i.valid_from AND (i.valid_to IS NULL OR s.fetch_date < i.valid_to)
+   AND (s.host = i.pattern OR ends_with(s.host, '.' || i.pattern) OR s.host || '/' || s.segment = i.pattern)
+  GROUP BY 1, 2, 3),
+judged AS (
+  SELECT page_id, url, host, fetch_date, coalesce(allow, block) AS rule,
+         CASE WHEN host = '' THEN 'invalid' WHEN allow IS NOT NULL THEN 'allowed' WHEN block IS NOT NULL THEN 'blocked' ELSE 'clean' END AS verdict
+  FROM seen LEFT JOIN hits USING (host, segment, fetch_date))
+SELECT page_id, url, host, CAST(fetch_date AS VARCHAR) AS fetch_date, verdict, rule, verdict NOT IN ('invalid', 'blocked') AS kept FROM judged
+"""
+
+ORACLES: dict[str, str] = {"op2_url_lists": OP2_SQL, "op7_host_rules": OP7_SQL, "op10_temperature_mix": OP10_SQL}
