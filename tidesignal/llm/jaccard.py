@@ -5,8 +5,8 @@ in adjacent bands. A tile holds the documents of two adjacent bands that share o
 one global order, two linked sets must share a member among the first ``n - ceil(n*num/den) + 1`` of each. The order puts shingles
 with low counts first (a count sketch of fixed size over all documents), so frequent lines and passages stay out of the prefixes.
 
-Within a tile every document is first compared with one leader only. Components of these links are contracted, and then just the
-pairs that still lie in different components are compared, so a tile of mutual copies costs one comparison a member. Every pair
+Within a tile every document is first compared with two leaders only. Components of these links are contracted, and then just the
+pairs that still lie in different components are compared, so a tile of mutual copies costs two comparisons a member. Every pair
 passes the size test, then a hashed bitmap signature: the count of differing bits bounds the overlap from above. Survivors are
 settled by exact intersection of the sorted shingle arrays. No link between different sets is lost: a pair is skipped only where
 a bound excludes it or where both ends are already in one component.
@@ -152,11 +152,10 @@ def _sizes_match(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _links(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are linked: signature bound, then exact intersection."""
-    end = lambda df, x, cols: df.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    left = pairs.join(end(signatures, "a", ("n", "signature")), "a").join(end(signatures, "b", ("n", "signature")), "b").where(_overlap_possible(num, den)).select("a", "b")
-    both = left.join(end(texts, "a", ("d1", "text")), "a").join(end(texts, "b", ("d1", "text")), "b")
+def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by exact intersection."""
+    end = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +215,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     members = about.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "d1", "d2", "prefix", "signature").join(classes, ["id", "d1", "d2"], "left_semi").drop("d2")
 
     # shingles of prefixes that at least two different sets have
-    rows = members.select("id", F.explode("prefix").alias("h"))
+    rows = members.select("id", F.posexplode("prefix").alias("at", "h"))
     shared = rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     cells = materialize(rows.join(shared, "h").distinct().join(members.select("id", "n").distinct(), "id"), "jaccard-cells")
     ids = cells.select("id").distinct()
@@ -225,25 +224,34 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     few = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(_in_filter(signatures.select("id"), "doc_id"))
     texts = materialize(_texts_of(few, signatures, n), "jaccard-texts")
 
+    # a tile holds two adjacent bands; the smaller of two linked sets shares a member of its shorter, indexed prefix
     base = math.log(den / num)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(base) + F.lit(1e-9)).cast("int")
-    tiles = cells.select("h", "id", "n", F.explode(F.array(band, band + 1)).alias("tile"))
-
-    # each member of a tile against its leader
-    leaders = tiles.groupBy("h", "tile").agg(F.min(F.struct("id", "n")).alias("lead"))
-    stars = tiles.join(leaders, ["h", "tile"]).where((F.col("id") != F.col("lead.id")) & _sizes_match(F.col("n"), F.col("lead.n"), num, den))
-    tried = materialize(stars.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-stars")
-    first = materialize(_links(tried, signatures, texts, n, num, den), "jaccard-links")
+    indexed = F.col("at") < F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den) - F.lit(1e-9)) + 1
+    tiles = cells.select("h", "id", "n", band.alias("band"), indexed.alias("indexed"), F.explode(F.array(band, band + 1)).alias("tile"))
+
+    # each member of a tile against its two leaders
+    leaders = tiles.groupBy("h", "tile").agg(F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high"))
+    stars = tiles.join(leaders, ["h", "tile"]).select("id", "n", F.explode(F.array("low", "high")).alias("lead"))
+    stars = stars.where((F.col("id") != F.col("lead.id")) & _sizes_match(F.col("n"), F.col("lead.n"), num, den))
+    tried = stars.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+    end = lambda x: signatures.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}"))
+    near = tried.join(end("a"), "a").join(end("b"), "b").where(_overlap_possible(num, den)).select("a", "b")
+    first = materialize(_links(near, texts, n, num, den), "jaccard-links")
     component = connected_components(first)
 
     # pairs of a tile that are still in different components: all but the largest component's members against the others
-    placed = tiles.join(component, "id", "left").select("h", "tile", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = tiles.join(component, "id", "left").select("h", "tile", "id", "n", "band", "indexed", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("h", "tile", "component").count().groupBy("h", "tile").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("h", "tile", F.col("top.component").alias("top"))
-    open_tiles = materialize(placed.join(parts, ["h", "tile"]), "jaccard-open")
-    rest = open_tiles.where("component != top").select("h", "tile", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    met = rest.join(open_tiles, ["h", "tile"]).where((F.col("component") != F.col("cx")) & _sizes_match(F.col("n"), F.col("nx"), num, den))
-    pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_links(pairs, signatures, texts, n, num, den), "jaccard-more")
+    open_tiles = materialize(placed.join(parts, ["h", "tile"]).join(signatures.select("id", "signature"), "id"), "jaccard-open")
+    rest = open_tiles.where("component != top").select("h", "tile", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "band", "indexed", "component", "signature")))
+    others = open_tiles.select("h", "tile", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "band", "indexed", "component", "signature")))
+    smaller_indexed = (F.col("indexed_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("indexed_b") & (F.col("n_b") <= F.col("n_a")))
+    once = F.greatest("band_a", "band_b") == F.col("tile")
+    apart = (F.col("component_a") != F.col("component_b")) & once & smaller_indexed & _sizes_match(F.col("n_a"), F.col("n_b"), num, den)
+    met = rest.join(others, ["h", "tile"]).where(apart & _overlap_possible(num, den))
+    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    more = materialize(_links(pairs, texts, n, num, den), "jaccard-more")
     final = connected_components(component.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)) if not more.isEmpty() else component
 
     of_class = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
