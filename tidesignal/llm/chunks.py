@@ -73,7 +73,7 @@ def digests_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """``key`` and the distinct chunk ``digests`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             found = []
             for t in column(b, "_t"):
                 raw = (t or "").encode("utf-8", "surrogatepass")
@@ -85,6 +85,13 @@ def digests_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_t")).mapInArrow(run, f"{key} long, digests array<long>")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that only a few texts are held as Python objects."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _cut(raw: bytes, known: set[int]) -> tuple[bytes, list[tuple[int, int]], int, int]:
     """The text without runs of duplicates; the spans cut; chunks; duplicate chunks."""
     ends = chunk_ends(raw)
@@ -131,7 +138,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             new, sizes, copies, gone, where = [], [], [], [], []
             for t, known, id_ in zip(column(b, text), column(b, "_known"), column(b, key)):
                 raw = (t or "").encode("utf-8", "surrogatepass")
@@ -152,7 +159,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
                 names += ["n_chunks", "n_dup_chunks", "dup_bytes", "dup_spans"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = docs.join(later, docs[key] == later["_doc"], "left").select(*(docs[c] for c in docs.columns), "_known")
+    # texts are streamed past their digests, never sorted; a partition's digests are fewer bytes than its texts
+    joined = docs.join(later.hint("shuffle_hash"), docs[key] == later["_doc"], "left").select(*(docs[c] for c in docs.columns), "_known")
     return joined.mapInArrow(run, schema)
 
 
