@@ -1,3 +1,3 @@
 """Registered queries and their SQL twins."""
 
-from . import core  # noqa: F401
+from . import core, tables  # noqa: F401
