@@ -3,7 +3,7 @@
 Size-banded tiles. A document's band is the logarithm of its set size to the base den/num, so linked documents lie in the same or
 in adjacent bands. A tile holds the documents of two adjacent bands that share one shingle of their prefixes: with all shingles in
 one global order, two linked sets must share a member among the first ``n - ceil(n*num/den) + 1`` of each. The order puts shingles
-with low counts first (a count sketch of fixed size over all documents), so frequent lines and passages stay out of the prefixes.
+with low counts first (counters over all documents, of which the fullest are kept), so frequent lines and passages stay out of the prefixes.
 
 Within a tile every document is first compared with two leaders only. Components of these links are contracted, and then just the
 pairs that still lie in different components are compared, so a tile of mutual copies costs two comparisons a member. Every pair
@@ -20,6 +20,7 @@ share a class; rows with a null doc_id are returned with a null component_id and
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,8 @@ from pyspark.sql import functions as F
 from .common import column, materialize
 from .components import connected_components
 
-#: Counters of the sketch that orders shingles, as a power of two; 1 MB, whatever the input.
-SKETCH_BITS = 18
-SKETCH_BLOCKS = 64
+#: One-byte counters a task keeps to find frequent shingles, as a power of two, and how many of the fullest are broadcast.
+SKETCH_BITS, FREQUENT = 26, 1 << 18
 #: Bits of the filter that keeps texts outside all tiles from being shuffled; 1 MB, whatever the input.
 FILTER_BITS = 23
 SIGNATURE_BITS = (128, 8192)
@@ -82,29 +82,41 @@ def _bucket(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def shingle_counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Counts of all documents' shingles in ``2**SKETCH_BITS`` counters; only these reach the driver."""
-    size = 1 << SKETCH_BITS
+def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``FREQUENT`` fullest of ``2**SKETCH_BITS`` counters over all documents, and their counts.
+
+    Each task counts its own documents and hands on counters of two or more; only the bounded list reaches the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint8)
         for b in batches:
             for t in column(b, "_t"):
-                np.add.at(total, _bucket(shingle_set(t, n)), 1)
-        parts = total.reshape(SKETCH_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+                at = _bucket(shingle_set(t, n))
+                old = total[at]
+                total[at] = old + (old < 255)
+        for a in range(0, len(total), 1 << 22):
+            k = np.flatnonzero(total[a : a + (1 << 22)] > 1)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array((k + a).astype(np.int32)), pa.array(total[a : a + (1 << 22)][k].astype(np.int32))], ["bucket", "n"])
+
+    found = docs.select(F.col(text).alias("_t")).mapInArrow(count, "bucket int, n int")
+    top = found.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "bucket").limit(FREQUENT).toPandas()
+    return top["bucket"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+_levels: dict = {}
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
 
-    parts = docs.select(F.col(text).alias("_t")).mapInArrow(count, "block int, counts binary").withColumn("_part", F.spark_partition_id() % 32)
-    once = parts.groupBy("block", "_part").applyInPandas(add, "block int, counts binary")
-    got = once.groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    out = np.zeros((SKETCH_BLOCKS, size // SKETCH_BLOCKS), np.int64)
-    for r in got:
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+def _level_table(held) -> np.ndarray:
+    """Frequency level of each counter, built once in each Python process; 0 for all counters outside the list."""
+    if held.value[2] not in _levels:
+        buckets, counts, key = held.value
+        table = np.zeros(1 << SKETCH_BITS, np.uint8)
+        table[buckets] = np.log2(counts + 1).astype(np.uint8)
+        _levels.clear()
+        _levels[key] = table
+    return _levels[held.value[2]]
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
@@ -115,11 +127,12 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(on, bitorder="little").view(np.int64)
 
 
-def describe(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, a 128-bit digest of the set, its signature and its prefix, for every row."""
-    level = np.log2(counts + 1).astype(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast((*frequent, uuid.uuid4().hex))  # at most FREQUENT pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = _level_table(held)
         for b in batches:
             size, d1, d2, signature, prefix = [], [], [], [], []
             for t in column(b, "_t"):
@@ -210,7 +223,7 @@ def _in_filter(ids: DataFrame, name: str) -> Column:
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    about = materialize(describe(docs, shingle_counts(docs, "text", n), n, num, den), "jaccard-sets")
+    about = materialize(describe(docs, frequent_shingles(docs, "text", n), n, num, den), "jaccard-sets")
     classes = about.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     members = about.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "d1", "d2", "prefix", "signature").join(classes, ["id", "d1", "d2"], "left_semi").drop("d2")
 
@@ -243,15 +256,16 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     # pairs of a tile that are still in different components: all but the largest component's members against the others
     placed = tiles.join(component, "id", "left").select("h", "tile", "id", "n", "band", "indexed", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("h", "tile", "component").count().groupBy("h", "tile").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("h", "tile", F.col("top.component").alias("top"))
-    open_tiles = materialize(placed.join(parts, ["h", "tile"]).join(signatures.select("id", "signature"), "id"), "jaccard-open")
-    rest = open_tiles.where("component != top").select("h", "tile", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "band", "indexed", "component", "signature")))
-    others = open_tiles.select("h", "tile", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "band", "indexed", "component", "signature")))
+    open_tiles = materialize(placed.join(parts, ["h", "tile"]), "jaccard-open")
+    rest = open_tiles.where("component != top").select("h", "tile", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "band", "indexed", "component")))
+    others = open_tiles.select("h", "tile", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "band", "indexed", "component")))
     smaller_indexed = (F.col("indexed_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("indexed_b") & (F.col("n_b") <= F.col("n_a")))
     once = F.greatest("band_a", "band_b") == F.col("tile")
     apart = (F.col("component_a") != F.col("component_b")) & once & smaller_indexed & _sizes_match(F.col("n_a"), F.col("n_b"), num, den)
-    met = rest.join(others, ["h", "tile"]).where(apart & _overlap_possible(num, den))
+    met = rest.join(others, ["h", "tile"]).where(apart)
     pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    more = materialize(_links(pairs, texts, n, num, den), "jaccard-more")
+    close = pairs.join(end("a"), "a").join(end("b"), "b").where(_overlap_possible(num, den)).select("a", "b")
+    more = materialize(_links(close, texts, n, num, den), "jaccard-more")
     final = connected_components(component.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)) if not more.isEmpty() else component
 
     of_class = classes.join(final, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
