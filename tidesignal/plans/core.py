@@ -379,15 +379,15 @@ def _(spark, sf):
     return metrics.drawdowns(panels.returns(spark, sf)).select("factor", day_text("day").alias("day"), (F.round(-F.col("fall"), 6) + 0).alias("fall"))
 
 
-@query("m_drawdowns", f"SELECT factor, {dt()} AS day, round(dd, 7) + 0 AS dd FROM dds", _DD)
+@query("m_drawdowns", f"SELECT factor, {dt()} AS day, round(dd + 3e-9, 7) + 0 AS dd FROM dds", _DD)
 def _(spark, sf):
-    return metrics.drawdowns(panels.returns(spark, sf)).select("factor", day_text("day").alias("day"), (F.round("dd", 7) + 0).alias("dd"))
+    return metrics.drawdowns(panels.returns(spark, sf)).select("factor", day_text("day").alias("day"), (F.round(F.col("dd") + 3e-9, 7) + 0).alias("dd"))
 
 
-@query("ep_recovery", f"SELECT factor, {dt('first')} AS first_day, length, round(depth, 7) AS depth FROM eps", _DD)
+@query("ep_recovery", f"SELECT factor, {dt('first')} AS first_day, length, round(depth + 3e-9, 7) AS depth FROM eps", _DD)
 def _(spark, sf):
     e = metrics.episodes(metrics.drawdowns(panels.returns(spark, sf)))
-    return e.select("factor", day_text("first").alias("first_day"), "length", F.round("depth", 7).alias("depth"))
+    return e.select("factor", day_text("first").alias("first_day"), "length", F.round(F.col("depth") + 3e-9, 7).alias("depth"))
 
 
 @query("m_recovery", "SELECT factor, round(avg(length / abs(depth)), 3) AS avg_recovery FROM eps GROUP BY 1", _DD)

@@ -20,8 +20,6 @@ EVALS = """evals AS (SELECT 't' || (l_suppkey % 4) AS test_name, p_type || '_TS2
   round(avg(l_tax) * 80, 6) AS net_calmar_ratio, round(avg(l_quantity) / 100, 6) AS return_annualized, round(avg(l_quantity) / 120, 6) AS net_return_annualized,
   round(avg(l_discount) * 20, 6) AS hsr, CASE WHEN avg(l_discount) >= 0.048 THEN 1 ELSE -1 END::BIGINT AS direction, count(*) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"""
-VECTORS = """vecs AS (SELECT vec_id AS factor, CAST(pos - 1 AS BIGINT) AS day, CAST(embedding[pos] AS DOUBLE) AS v
-  FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS pos))"""
 #: Scaled signal over 20 bars, as scl_minmax then (x - 0.5) * 2.
 SIGNAL = BARS + """,
 sigraw AS (SELECT *, quantile_cont(factor, 0.02) OVER w AS lo, quantile_cont(factor, 0.98) OVER w AS hi, count(factor) OVER w AS n

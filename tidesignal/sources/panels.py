@@ -3,7 +3,7 @@
 * ``bars``: events by type and hour, as (symbol, bar_ts, price, factor); hours without an event are missing, as in real sessions.
 * ``daily``: line items by return flag and ship date, as (symbol, day, price, factor).
 * ``evaluations``: metrics for each (test, process, factor), from line items and parts.
-* ``vectors``: embeddings as one factor each, with the position as the day.
+* ``returns``: line items by supplier group and ship date, as (factor, day, ret, turnover).
 """
 
 from __future__ import annotations
@@ -54,6 +54,3 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
 
-
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("factor"), F.posexplode("embedding").alias("day", "v")).select("factor", F.col("day").cast("long").alias("day"), F.col("v").cast("double").alias("v"))
