@@ -88,7 +88,7 @@ def _(spark, sf):
     return panels.returns(spark, sf).groupBy("factor", F.year("day").alias("year")).agg(_r(F.sum("ret")).alias("total"), _r(metrics.sharpe("ret"), 5).alias("sharpe"), F.count("*").alias("days"))
 
 
-@query("agg_week_groups", "SELECT factor, strftime(date_trunc('week', day), '%Y-%m-%d') AS week, round(sum(ret), 6) AS total FROM rets GROUP BY 1, 2", RETURNS)
+@query("agg_week_groups", "SELECT factor, strftime(date_trunc('week', day), '%Y-%m-%d') AS week, round(sum(ret), 6) + 0 AS total FROM rets GROUP BY 1, 2", RETURNS)
 def _(spark, sf):
     return panels.returns(spark, sf).groupBy("factor", day_text(F.date_trunc("week", "day")).alias("week")).agg(_r(F.sum("ret")).alias("total"))
 
@@ -176,7 +176,7 @@ def _(spark, sf):
     return r.groupBy("year", "kind").agg(_r(F.avg("ret")).alias("mean"), F.count("*").alias("n"), _r(F.stddev_samp("ret")).alias("std"))
 
 
-@query("agg_weekday_pos", "SELECT (isodow(bar_ts) - 1)::BIGINT AS weekday, sign(pos)::INTEGER AS side, round(avg(gp), 6) AS mean, round(median(gp), 6) AS median, round(stddev_samp(gp), 6) AS std, count(*) AS n FROM gain WHERE pos IS NOT NULL GROUP BY 1, 2", _POS)
+@query("agg_weekday_pos", "SELECT (isodow(bar_ts) - 1)::BIGINT AS weekday, sign(pos)::INTEGER AS side, round(avg(gp), 6) + 0 AS mean, round(median(gp), 6) + 0 AS median, round(stddev_samp(gp), 6) AS std, count(*) AS n FROM gain WHERE pos IS NOT NULL GROUP BY 1, 2", _POS)
 def _(spark, sf):
     g = gained(spark, sf).where("pos is not null")
     return g.groupBy(F.weekday("bar_ts").cast("long").alias("weekday"), F.signum("pos").cast("int").alias("side")).agg(_r(F.avg("gp")).alias("mean"), _r(F.median("gp")).alias("median"), _r(F.stddev_samp("gp")).alias("std"), F.count("*").alias("n"))

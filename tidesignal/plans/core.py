@@ -44,7 +44,7 @@ f AS (SELECT *, quantile_cont(u, 0.02) OVER w AS ul, quantile_cont(u, 0.98) OVER
 
 
 @query("scl_minmax_sep", f"""SELECT symbol, {ts()} AS ts, round(CASE WHEN x > 0 AND un >= 10 AND uh <> ul THEN least(greatest(0.5 + 0.5 * (x - ul) / (uh - ul), 0), 1)
-  WHEN x < 0 AND dn >= 10 AND dl <> dh THEN least(greatest(0.5 * (x - dh) / (dl - dh), 0), 1) END, 6) AS scaled FROM f""", _SIGNED)
+  WHEN x < 0 AND dn >= 10 AND dl <> dh THEN least(greatest(0.5 * (x - dh) / (dl - dh), 0), 1) END, 6) + 0 AS scaled FROM f""", _SIGNED)
 def _(spark, sf):
     x = panels.bars(spark, sf).withColumn("x", F.col("factor") - 49.5)
     return _show(scaling.minmax_by_sign(x, "x", 40), "scaled")
@@ -267,14 +267,14 @@ def _(spark, sf):
     return _show(pnl.forward_return(b, 3, per_bar=False), "rtn")
 
 
-@query("pnl_gp_self", f"SELECT symbol, {ts()} AS ts, round(gp, 6) AS gp FROM allgp", _POS)
+@query("pnl_gp_self", f"SELECT symbol, {ts()} AS ts, round(gp, 6) + 0 AS gp FROM allgp", _POS)
 def _(spark, sf):
     g = gained(spark, sf)
     mean = g.groupBy("bar_ts").agg(F.avg("gp").alias("gp")).withColumn("symbol", F.lit("return"))
     return _show(g.select("symbol", "bar_ts", "gp").unionByName(mean.select("symbol", "bar_ts", "gp")), "gp")
 
 
-@query("pnl_gp_cross", f"""SELECT a.symbol || ' To ' || b.symbol AS symbol, {ts('a.bar_ts')} AS ts, round(a.pos * b.rtn, 6) AS gp FROM gain a JOIN gain b USING (bar_ts)
+@query("pnl_gp_cross", f"""SELECT a.symbol || ' To ' || b.symbol AS symbol, {ts('a.bar_ts')} AS ts, round(a.pos * b.rtn, 6) + 0 AS gp FROM gain a JOIN gain b USING (bar_ts)
   WHERE (a.symbol, b.symbol) IN (('click', 'view'), ('view', 'click'), ('error', 'purchase'))""", _POS)
 def _(spark, sf):
     g = gained(spark, sf)
