@@ -256,15 +256,15 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     # pairs of a tile that are still in different components: all but the largest component's members against the others
     placed = tiles.join(component, "id", "left").select("h", "tile", "id", "n", "band", "indexed", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("h", "tile", "component").count().groupBy("h", "tile").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("h", "tile", F.col("top.component").alias("top"))
-    open_tiles = materialize(placed.join(parts, ["h", "tile"]), "jaccard-open")
-    rest = open_tiles.where("component != top").select("h", "tile", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "band", "indexed", "component")))
-    others = open_tiles.select("h", "tile", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "band", "indexed", "component")))
+    open_tiles = materialize(placed.join(parts, ["h", "tile"]).join(signatures.select("id", "signature"), "id"), "jaccard-open")
+    fields = ("id", "n", "band", "indexed", "component", "signature")
+    rest = open_tiles.where("component != top").select("h", "tile", "top", *(F.col(c).alias(f"{c}_a") for c in fields))
+    others = open_tiles.select("h", "tile", *(F.col(c).alias(f"{c}_b") for c in fields))
     smaller_indexed = (F.col("indexed_a") & (F.col("n_a") <= F.col("n_b"))) | (F.col("indexed_b") & (F.col("n_b") <= F.col("n_a")))
-    once = F.greatest("band_a", "band_b") == F.col("tile")
-    apart = (F.col("component_a") != F.col("component_b")) & once & smaller_indexed & _sizes_match(F.col("n_a"), F.col("n_b"), num, den)
+    once = (F.greatest("band_a", "band_b") == F.col("tile")) & ((F.col("component_b") == F.col("top")) | (F.col("id_a") < F.col("id_b")))
+    apart = (F.col("component_a") != F.col("component_b")) & once & smaller_indexed & _sizes_match(F.col("n_a"), F.col("n_b"), num, den) & _overlap_possible(num, den)
     met = rest.join(others, ["h", "tile"]).where(apart)
-    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    close = pairs.join(end("a"), "a").join(end("b"), "b").where(_overlap_possible(num, den)).select("a", "b")
+    close = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     more = materialize(_links(close, texts, n, num, den), "jaccard-more")
     final = connected_components(component.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more)) if not more.isEmpty() else component
 
