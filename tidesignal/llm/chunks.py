@@ -140,7 +140,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             new, sizes, copies, gone, where = [], [], [], [], []
-            for t, known, id_ in zip(column(b, text), column(b, "_known"), column(b, key)):
+            for t, known, id_ in zip(column(b, text), b.column(len(fields)).to_pylist(), column(b, key)):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 if id_ is None:
                     left, spans, n, k = raw, [], 0, 0
@@ -160,7 +160,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
             yield pa.RecordBatch.from_arrays(cols, names)
 
     # texts are streamed past their digests, never sorted; a partition's digests are fewer bytes than its texts
-    joined = docs.join(later.hint("shuffle_hash"), docs[key] == later["_doc"], "left").select(*(docs[c] for c in docs.columns), "_known")
+    joined = docs.join(later.hint("shuffle_hash"), docs[key] == later["_doc"], "left").select(*(docs[c] for c in docs.columns), later["_known"])
     return joined.mapInArrow(run, schema)
 
 

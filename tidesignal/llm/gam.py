@@ -161,12 +161,16 @@ def train(x: np.ndarray, y: np.ndarray) -> Gam:
     return Gam(edges, tables, pairs, pair_edges, pair_tables, base)
 
 
+def _matrix(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
+
+
 def _with_features(df: DataFrame, key: str, text: str, extra: list[str]) -> DataFrame:
     kept = [df.schema[c] for c in (key, *extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in column(b, "_t")], np.float64).reshape(-1, len(FEATURES))
+            x = _matrix(column(b, "_t"))
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(kept))] + [lists], [*(f.name for f in kept), "x"])
 
@@ -188,17 +192,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_mod
     return train(x[by], order[by])
 
 
-def score(docs: DataFrame, model: Gam, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``key``, the columns in ``keep``, and ``score`` in 0 to 1. Narrow: no shuffle."""
-    kept = [docs.schema[c] for c in [key, *(keep or [])]]
+def score(docs: DataFrame, model: Gam, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``score`` in 0 to 1. Narrow: no shuffle."""
+    kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in column(b, "_t")], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(kept))] + [pa.array(model.score(x))], [*(f.name for f in kept), "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(column(b, "_t"))))], [key, "score"])
 
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
-    return docs.select(*(F.col(f.name) for f in kept), F.col(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).alias("_t")).mapInArrow(run, T.StructType([kind, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, model: Gam, held_out_mod: int = 5, threshold: float = THRESHOLD) -> DataFrame:
@@ -207,7 +209,11 @@ def classify(docs: DataFrame, model: Gam, held_out_mod: int = 5, threshold: floa
     return got.select("doc_id", (crc_mod("doc_id", held_out_mod) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def reject(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, all columns unchanged."""
-    got = score(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return got.where(F.col("score") >= threshold).select(*docs.columns)
+def reject(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model accepts, all columns unchanged, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(_matrix(column(b, text))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -115,9 +115,12 @@ def quotas(shares: DataFrame, k: int, budget: float) -> DataFrame:
     return shares.withColumn("weight", w / F.lit(z)).withColumn("quota", F.greatest(F.round(F.col("weight") * F.lit(budget)).cast("long"), F.lit(0)))
 
 
-def mix(docs: DataFrame, entropy_gain: float = 0.25, max_epochs: float = 4.0, budget: float | None = None, source: str = "source", text: str = "text", key: str = "doc_id", seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """One row for each visit: ``key``, the columns in ``keep``, ``source``, ``epoch``, ``block``, ``tokens`` and ``place``, the order in the mixture."""
-    kept = [c for c in (keep or []) if c not in (key,)]
+def mix(docs: DataFrame, entropy_gain: float = 0.25, max_epochs: float = 4.0, budget: float | None = None, source: str = "source", text: str = "text", key: str = "doc_id", seed: int = 0, with_row: bool = False) -> DataFrame:
+    """One row for each visit: ``key``, ``source``, ``epoch``, ``block``, ``tokens`` and ``place``, the order in the mixture.
+
+    ``with_row``: also ``row``, a struct of all columns of the document, whatever their names.
+    """
+    row = [F.struct(*docs.columns).alias("row")] if with_row else []
     slim = materialize(docs.select(key, source, n_tokens(F.col(text)).alias("_tokens")), "mix-tokens")
     shares = token_shares(slim, F.col("_tokens"), source)
     k, total = choose_exponent(shares, entropy_gain, max_epochs, budget)
@@ -131,7 +134,7 @@ def mix(docs: DataFrame, entropy_gain: float = 0.25, max_epochs: float = 4.0, bu
     def deal(rows: DataFrame) -> DataFrame:
         return rows.join(plan, rows[source].eqNullSafe(plan["_source"])).drop("_source").withColumn("_block", (_number(_digest(seed, F.col(key))) % F.col("blocks")).cast("int"))
 
-    dealt = deal(docs.select(key, source, *(c for c in kept if c != source), n_tokens(F.col(text)).alias("_tokens")) if kept else slim)
+    dealt = deal(docs.select(key, source, *row, n_tokens(F.col(text)).alias("_tokens")) if row else slim)
     # where each block of each epoch starts
     totals = deal(slim).groupBy(F.col(source).alias("_s"), "_block").agg(F.sum("_tokens").alias("t"), F.first("quota").alias("quota"), F.first("epochs").alias("epochs"), F.first("_total").alias("_total"))
     visits = totals.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("epochs") - 1, F.lit(0)))))
@@ -143,4 +146,4 @@ def mix(docs: DataFrame, entropy_gain: float = 0.25, max_epochs: float = 4.0, bu
     before = F.coalesce(F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = rows.withColumn("_before", F.col("start") + before).where((F.col("_before") < F.col("quota")) | ((F.col("_before") == F.col("quota")) & (F.col("_tokens") == 0)) | (F.col("_total") == 0))
     place = F.when(F.col("quota") > 0, F.col("_before") / F.col("quota")).otherwise(F.lit(0.0))
-    return used.select(F.col(key), *(F.col(c) for c in kept if c != source), F.col(source).alias("source"), F.col("epoch").cast("int").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("tokens"), F.round(place, 9).alias("place"))
+    return used.select(F.col(key), *["row"][: len(row)], F.col(source).alias("source"), F.col("epoch").cast("int").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("tokens"), F.round(place, 9).alias("place"))
