@@ -33,7 +33,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights: each document once at least, those of raised sources again in part."""
-    return mixing.mix(docs, entropy_gain=0.25, max_epochs=4.0, keep=docs.columns).select(*docs.columns)
+    return mixing.mix(docs, entropy_gain=0.25, max_epochs=4.0, with_row=True).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
