@@ -37,7 +37,8 @@ from .components import connected_components
 SKETCH_BITS, FREQUENT = 26, 1 << 18
 #: Bits of the filter that keeps texts outside all tiles from being shuffled; 1 MB, whatever the input.
 FILTER_BITS = 23
-SIGNATURE_BITS = (128, 8192)
+#: Bits of a signature for each member of the set at least, and the bounds of its width.
+SIGNATURE_LOAD, SIGNATURE_BITS = 4, (256, 16384)
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -120,21 +121,25 @@ def _level_table(held) -> np.ndarray:
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
-    bits = min(max(1 << (2 * len(s) - 1).bit_length(), SIGNATURE_BITS[0]), SIGNATURE_BITS[1])
+    bits = min(max(1 << (SIGNATURE_LOAD * len(s) - 1).bit_length(), SIGNATURE_BITS[0]), SIGNATURE_BITS[1])
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     on = np.zeros(bits, np.uint8)
     on[at] = 1
     return np.packbits(on, bitorder="little").view(np.int64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
 def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, a 128-bit digest of the set, its signature and its prefix, for every row."""
+    """key, n_shingles, a 128-bit digest of the set and its prefix, for every row."""
     held = docs.sparkSession.sparkContext.broadcast((*frequent, uuid.uuid4().hex))  # at most FREQUENT pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = _level_table(held)
         for b in batches:
-            size, d1, d2, signature, prefix = [], [], [], [], []
+            size, d1, d2, prefix = [], [], [], []
             for t in column(b, "_t"):
                 s = shingle_set(t, n)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -144,11 +149,9 @@ def describe(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, n
                 k = prefix_size(len(s), num, den) if len(s) else 0
                 order = np.lexsort((s, level[_bucket(s)]))[:k]
                 prefix.append(s[order].view(np.int64))
-                signature.append(_signature(s) if len(s) else np.zeros(0, np.int64))
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *xs]))) for xs in (signature, prefix)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *lists], [key, "n_shingles", "d1", "d2", "signature", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(prefix)], [key, "n_shingles", "d1", "d2", "prefix"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_t")).mapInArrow(run, f"{key} long, n_shingles long, d1 long, d2 long, signature array<long>, prefix array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_t")).mapInArrow(run, f"{key} long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
 def _overlap_possible(num: int, den: int) -> Column:
@@ -225,17 +228,17 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     about = materialize(describe(docs, frequent_shingles(docs, "text", n), n, num, den), "jaccard-sets")
     classes = about.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    members = about.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "d1", "d2", "prefix", "signature").join(classes, ["id", "d1", "d2"], "left_semi").drop("d2")
+    members = about.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "d1", "d2", "prefix").join(classes, ["id", "d1", "d2"], "left_semi").drop("d2")
 
     # shingles of prefixes that at least two different sets have
     rows = members.select("id", F.posexplode("prefix").alias("at", "h"))
     shared = rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     cells = materialize(rows.join(shared, "h").distinct().join(members.select("id", "n").distinct(), "id"), "jaccard-cells")
     ids = cells.select("id").distinct()
-    chosen = members.join(ids, "id", "left_semi")
-    signatures = materialize(chosen.select("id", "n", "d1", "signature").dropDuplicates(["id"]), "jaccard-signatures")
-    few = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(_in_filter(signatures.select("id"), "doc_id"))
-    texts = materialize(_texts_of(few, signatures, n), "jaccard-texts")
+    heads = materialize(members.select("id", "n", "d1").join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-heads")
+    few = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(_in_filter(heads.select("id"), "doc_id"))
+    texts = materialize(_texts_of(few, heads, n), "jaccard-texts")
+    signatures = texts.select("id", "n", "signature")
 
     # a tile holds two adjacent bands; the smaller of two linked sets shares a member of its shorter, indexed prefix
     base = math.log(den / num)
@@ -273,16 +276,20 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     return about.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left").select(F.col("doc_id").alias(key), "n_shingles", alone.alias("component_id"))
 
 
-def _texts_of(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
-    """One text for each id; where a doc_id has several texts, the one with the digest that stands for it."""
+def _texts_of(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """``id, n, text, signature`` of each id; where a doc_id has several texts, the one with the digest that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            right = [int.from_bytes(xxhash.xxh3_128_digest(shingle_set(t, n).tobytes())[:8], "big", signed=True) == d for t, d in zip(column(b, "text"), column(b, "d1"))]
-            yield b.filter(pa.array(right, pa.bool_()))
+            right, maps = [], []
+            for t, d in zip(column(b, "text"), column(b, "d1")):
+                s = shingle_set(t, n)
+                right.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) == d)
+                maps.append(_signature(s) if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), _lists(maps)], ["id", "n", "text", "signature"]).filter(pa.array(right, pa.bool_()))
 
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(signatures.select("id", "d1"), "id").select("id", "d1", "text")
-    return found.mapInArrow(run, "id long, d1 long, text string").dropDuplicates(["id"])
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(heads, "id").select("id", "n", "text", "d1")
+    return found.mapInArrow(run, "id long, n long, text string, signature array<long>").dropDuplicates(["id"])
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
