@@ -277,19 +277,24 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
 
 
 def _texts_of(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
-    """``id, n, text, signature`` of each id; where a doc_id has several texts, the one with the digest that stands for it."""
+    """``id, n, text, signature`` of each id; where a doc_id has several texts, the one with the digest that stands for it.
+
+    The sorted join brings rows of one id together, so repeated ones are dropped on the way, without another shuffle of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             right, maps = [], []
-            for t, d in zip(column(b, "text"), column(b, "d1")):
+            for id_, t, d in zip(column(b, "id"), column(b, "text"), column(b, "d1")):
                 s = shingle_set(t, n)
-                right.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) == d)
+                right.append(id_ != last and int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) == d)
+                last = id_ if right[-1] else last
                 maps.append(_signature(s) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), _lists(maps)], ["id", "n", "text", "signature"]).filter(pa.array(right, pa.bool_()))
 
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(heads, "id").select("id", "n", "text", "d1")
-    return found.mapInArrow(run, "id long, n long, text string, signature array<long>").dropDuplicates(["id"])
+    found = docs.select(F.col("doc_id").alias("id"), "text").hint("merge").join(heads, "id").select("id", "n", "text", "d1")
+    return found.mapInArrow(run, "id long, n long, text string, signature array<long>")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
