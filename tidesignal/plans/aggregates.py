@@ -264,10 +264,10 @@ def _(spark, sf):
     return panels.returns(spark, sf).select("factor", day_text("day").alias("day"), _r(F.exp(F.sum(F.log1p("ret")).over(w)) + 3e-9, 7).alias("curve"))
 
 
-@query("agg_cmp_table", "SELECT factor, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side, printf('%.2f', round(avg(net_sharpe_ratio), 2) + 0) AS sharpe, printf('%.2f', round(avg(hsr), 2)) AS hsr FROM evals GROUP BY 1, 2", EVALS)
+@query("agg_cmp_table", "SELECT factor, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side, printf('%.2f', CAST(round(CAST(round(avg(net_sharpe_ratio), 6) AS DECIMAL(18, 6)), 2) AS DOUBLE) + 0) AS sharpe, printf('%.2f', CAST(round(CAST(round(avg(hsr), 6) AS DECIMAL(18, 6)), 2) AS DOUBLE)) AS hsr FROM evals GROUP BY 1, 2", EVALS)
 def _(spark, sf):
     side = F.when(F.col("direction") > 0, "long").otherwise("short")
-    return _e(spark, sf).groupBy("factor", side.alias("side")).agg(F.format_string("%.2f", F.round(F.avg("net_sharpe_ratio"), 2) + 0).alias("sharpe"), F.format_string("%.2f", F.round(F.avg("hsr"), 2)).alias("hsr"))
+    return _e(spark, sf).groupBy("factor", side.alias("side")).agg(F.format_string("%.2f", F.round(_r(F.avg("net_sharpe_ratio")), 2) + 0).alias("sharpe"), F.format_string("%.2f", F.round(_r(F.avg("hsr")), 2)).alias("hsr"))
 
 
 @query("agg_cum_excess", f"SELECT a.factor, {dt('a.day')} AS day, round(sum(a.ret - b.ret) OVER (PARTITION BY a.factor ORDER BY a.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) + 0 AS excess FROM rets a JOIN (SELECT * FROM rets WHERE factor = 's0') b ON a.day = b.day WHERE a.factor <> 's0'", RETURNS)
