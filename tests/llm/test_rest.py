@@ -33,6 +33,37 @@ def test_main_text_edges(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+TEXT = "News\n\nThe bridge opens on Monday after ten years of work."
+PLAIN = "<h1>News</h1><p>The bridge opens on Monday after ten years of work.</p>"
+ARTICLE = f"<article>{PLAIN}</article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T x</title></head><body>{PLAIN}</body></html>",
+    f"<html><head><title>T x</title>{PLAIN}",
+    f"<table><tr><td>{PLAIN}</td></tr></table>",
+    f'<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul><div class="c7">{PLAIN}</div><div class="footer">Imprint</div>',
+    f'{PLAIN}<section id="comments"><article>Nice, and more words than the text itself has, many many many many more of them than that.</article></section>',
+])
+def test_main_text_in_plain_containers(page):
+    assert html.WEIGHTS["w:page"] > 0 and html.WEIGHTS["l:page"] > 0
+    assert html.main_text(page) == TEXT and html.main_text("a < b") == "a < b"
+
+
+@pytest.mark.parametrize("page", [
+    f'<nav><a href="/">Home</a>{ARTICLE}<footer>Imprint</footer>',
+    f"<aside>Most read{ARTICLE}",
+    f'<div class="ad">Buy now{ARTICLE}',
+    f'<div id="w"><div class="ad">Buy now{ARTICLE}</div><div class="footer">Imprint</div>',
+    f"<button>Go{ARTICLE}",
+    f'<div class="no-sidebar">{ARTICLE}</div>',
+    f'<div class="has-sidebar"><main>{PLAIN}</main><aside>Most read here</aside></div>',
+    f"{ARTICLE}<aside><article>Teaser of another story</article></aside>",
+])
+def test_main_text_of_an_article_within_another_kind(page):
+    assert html.main_text(page) == TEXT
+
+
 def base(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

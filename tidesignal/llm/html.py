@@ -5,11 +5,14 @@ kind of container, inside a link or not), tags have zero or a negative score. Th
 whose content is marked. A linear scan finds the contiguous run of tokens with the largest sum; inside it, words of containers
 with negative weight (notices, forms, sidebars, reader comments) and of scripts and styles are left out, and block tags end blocks.
 
-Container kinds come from tag names and from words in ``class``, ``id`` and ``role``. Every page is handled on its own, in one narrow
-pass; time is linear in its length.
+Container kinds come from tag names and from words in ``class``, ``id`` and ``role``. Words in no such container weigh above zero,
+so an article in plain body, paragraphs, cells or other classes is found. ``main`` outranks every kind it opens in; ``article`` those
+whose end tag is missing, and, if it holds more than the rest of the page, closed ones too (comments only if they open before any
+content). Every page is handled on its own, in one narrow pass; it is read up to three times, each time linear in its length.
 
 Edge cases: null and empty pages, and pages without words, give an empty text; broken, unclosed or cut-off markup is read as far
-as it goes; extra columns are ignored; repeated rows are returned as often as they come.
+as it goes; ``head`` ends where a tag opens that can't stand in it; extra columns are ignored; repeated rows are returned as often
+as they come.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ _HINT = [(kind, re.compile(rf"(?:^|[\s_-])(?:{p})(?:$|[\s_-])", re.I)) for kind,
 _TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)")
 _ATTR = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+#: Tags before which ``head`` stays open.
+IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
 #: A tag's score is never above this.
 TAG_CAP = -0.01
 
@@ -65,42 +70,85 @@ def kind_of(tag: str, attrs: str) -> str | None:
     return TAG_KIND.get(tag)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """(key of the weight, text): ``w:container`` or ``l:container`` (in a link) with the text of a run, ``t:name`` with the tag.
+class Reading:
+    """The tokens of a page: (key of the weight, text): ``w:container`` or ``l:container`` (in a link) with the text of a run,
+    ``t:name`` with the tag.
 
-    A run between two tags is one token of as many words. A header inside an article is part of it.
+    A run between two tags is one token of as many words. A header inside an article is part of it. ``missing`` has the places of
+    containers that may have been left open, as an earlier reading found them; with ``loose``, closed containers are outranked too.
     """
-    stack: list[tuple[str, str]] = []  # open containers and links: tag, kind
-    where, link = "page", 0
-    for m in _TOKEN.finditer(page):
-        text = m.group(5)
-        if text is not None:
-            yield ("l:" if link else "w:") + where, text
-            continue
-        name = m.group(3)
-        if name is None:
-            continue
-        name = name.lower()
-        if m.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name not in VOID:
-            kind = kind_of(name, m.group(4))
-            if name == "a":
-                stack = [s for s in stack if s[0] != "a"]
-                stack.append((name, kind or ""))
-            elif kind or name in TAG_KIND or name == "div" or name == "section" or name in SKIPPED:
-                stack.append((name, "skip" if name in SKIPPED and name not in ("head",) else "header" if name == "head" else kind or ""))
-        link = any(t == "a" for t, _ in stack)
-        kinds = [k for _, k in stack if k]
-        bad = [k for k in kinds if k != "content"]
-        inside = "content" in kinds
-        if bad and bad[-1] == "header" and inside and kinds.index("content") < len(kinds) - 1 - kinds[::-1].index("header") and name != "head":
-            bad = [k for k in bad if k != "header"]  # an article's own header
-        where = bad[-1] if bad else "content" if inside else "page"
-        yield "t:" + name, m.group(2)
+
+    def __init__(self, page: str, missing: frozenset[int] = frozenset(), loose: bool = False):
+        self.found: list[tuple[str, str]] = []
+        self.open: set[int] = set()  # places of containers without an end tag of their own
+        self.nested = False  # an article opens in a container of another kind, which it doesn't outrank
+        stack: list[tuple[str, str, int, frozenset[int]]] = []  # open containers and links: tag, kind, place, places that it outranks
+        late: set[int] = set()  # places of comments after content
+        where, link, content, over = "page", False, False, frozenset()
+        for m in _TOKEN.finditer(page):
+            text = m.group(5)
+            if text is not None:
+                self.found.append((("l:" if link else "w:") + where, text))
+                content = content or where == "content"
+                continue
+            name = m.group(3)
+            if name is None:
+                continue
+            name = name.lower()
+            if m.group(2):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        self.open.update(s[2] for s in stack[k + 1 :])
+                        del stack[k:]
+                        break
+            else:
+                if stack and name not in IN_HEAD and any(s[0] == "head" for s in stack):
+                    stack = [s for s in stack if s[0] != "head"]
+                if name not in VOID:
+                    kind = kind_of(name, m.group(4))
+                    at = m.start()
+                    if name == "a":
+                        stack = [s for s in stack if s[0] != "a"]
+                        stack.append((name, kind or "", at, frozenset()))
+                    elif kind or name in TAG_KIND or name == "div" or name == "section" or name in SKIPPED:
+                        if kind == "comment" and content:
+                            late.add(at)
+                        beaten = self._outranked(name, stack, missing, loose, late) if kind == "content" and name in ("article", "main") else frozenset()
+                        stack.append((name, "skip" if name in SKIPPED and name not in ("head",) else "header" if name == "head" else kind or "", at, beaten))
+            over = frozenset().union(*(s[3] for s in stack)) if any(s[3] for s in stack) else frozenset()
+            link = any(s[0] == "a" for s in stack)
+            kinds = [s[1] for s in stack if s[1] and s[2] not in over]
+            bad = [k for k in kinds if k != "content"]
+            inside = "content" in kinds
+            if bad and bad[-1] == "header" and inside and kinds.index("content") < len(kinds) - 1 - kinds[::-1].index("header") and name != "head":
+                bad = [k for k in bad if k != "header"]  # an article's own header
+            where = bad[-1] if bad else "content" if inside else "page"
+            self.found.append(("t:" + name, m.group(2)))
+        self.open.update(s[2] for s in stack)
+
+    def _outranked(self, name: str, stack: list, missing: frozenset[int], loose: bool, late: set[int]) -> frozenset[int]:
+        """Places of the open containers of other kinds that an opening article or main outranks.
+
+        A missing end tag may be that of any container of the same name inside the one that is left without.
+        """
+        out: set[int] = set()
+        lacking: set[str] = set()
+        for tag, kind, at, _ in stack:
+            if at in missing:
+                lacking.add(tag)
+            if not kind or kind == "content":
+                continue
+            if name == "main" or (at not in late and (tag in lacking or (loose and kind != "comment"))):
+                out.add(at)
+            else:
+                self.nested = True
+        return frozenset(out)
+
+
+def tokens(page: str) -> list[tuple[str, str]]:
+    """(key of the weight, text) of every token, as an article reads that outranks what was left open before it."""
+    got = Reading(page)
+    return Reading(page, frozenset(got.open)).found if got.nested and got.open else got.found
 
 
 # labelled pages: what stands between [[ and ]] is content
@@ -110,6 +158,10 @@ LABELLED = (
     '<html><body><div id="header">Daily paper <a href="/login">Log in</a></div><div class="menu"><a href="/p">Politics</a><a href="/s">Sports</a></div><div class="ad">Buy two shirts and pay for one only today.</div>[[<div class="content"><h1>Council votes for the bridge</h1><p>The council voted on Monday after a long debate.</p><blockquote>We waited ten years.</blockquote><p>Work starts in spring and ends next year.</p></div>]]<div class="related"><a href="/2">More on bridges</a><a href="/3">Old bridges</a></div><div class="footer">Terms Privacy Contact</div></body></html>',
     '<html><body><nav><ul><li><a href="/x">One</a></li><li><a href="/y">Two</a></li></ul></nav><div class="ad">Special offer, click now.</div>[[<article><h1>Plain title.</h1><p><b>Plain title.<br><p>First paragraph of this page has words.</p><p>Short.</p></article>]]<footer>&copy; example &middot; some words here.</footer>',
     '<html><body><p>Site of the town library, open daily.</p><div class="breadcrumb"><a href="/">Home</a> / <a href="/n">News</a></div>[[<div class="post"><h1>New books</h1><p>Forty new books came in this week, among them two atlases.</p><p>Ask at the desk for them.</p><table><tr><td>Atlas</td><td>Room 2</td></tr></table></div>]]<div class="comments">First! I love this library.</div><div class="newsletter">Sign up for our letter. <form><input></form></div></body></html>',
+    '<html><body><ul><li><a href="/">Home</a></li><li><a href="/m">Map</a></li></ul>[[<h1>The mill on the hill</h1><p>The mill was built by two brothers and ran for ninety years.</p><p>It is open again since May, as <a href="/p">the parish wrote</a>.</p>]]<div class="footer">Imprint and terms</div></body></html>',
+    '<html><body><table><tr><td><a href="/">Index</a><br><a href="/old">Archive</a></td><td>[[<h2>Notes on tides</h2>Tides follow the moon.<br>They come twice a day on most coasts.<p>See <a href="/t">the table of high water</a> for your harbour.</p>]]</td></tr></table><center>Last change in June</center></body></html>',
+    '<html><body><div id="top"><a href="/">Start</a> | <a href="/all">All pages</a></div>[[<div class="text"><div>The garden is small but holds forty kinds of roses.</div><div>Most of them flower twice, in June and in <a href="/s">early September</a>.</div><ul><li>Bring water.</li><li>Leave dogs at the gate.</li></ul></div>]]<div id="copyright">Garden club</div></body></html>',
+    '[[<p>A plain page without any frame has only its words.<p>They are the whole text, with <b>bold</b> and <i>slanted</i> ones, and <a href="/l">links to other pages</a>.]]',
 )
 
 
@@ -148,7 +200,22 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     """The blocks of the best region, joined by two line feeds."""
     if not page:
         return ""
-    found = list(tokens(page))
+    got = Reading(page)
+    if not got.nested:
+        return best_region(got.found, weights)
+    missing = frozenset(got.open)
+    if missing:
+        got = Reading(page, missing)
+    text = best_region(got.found, weights)
+    if got.nested:
+        other = best_region(Reading(page, missing, loose=True).found, weights)
+        if len(other.split()) > 2 * len(text.split()):  # the article holds more than the rest of the page
+            return other
+    return text
+
+
+def best_region(found: list[tuple[str, str]], weights: dict[str, float]) -> str:
+    """The text of the run of tokens with the largest sum."""
     best = now = 0.0
     start, span = 0, (0, 0)
     for k, (key, text) in enumerate(found):
