@@ -53,6 +53,17 @@ def mismatches(old: DataFrame, new: DataFrame, on: list[str], value: str) -> Dat
     return old.select(*on, F.col(value).alias("old")).join(new.select(*on, F.col(value).alias("new")), on).where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def append(old: DataFrame, new: DataFrame, on: list[str], value: str) -> DataFrame:
+    """``old`` with the rows of ``new``; raises where both have a value of a row and the values differ. Rows without a value are dropped."""
+    o = old.where(F.col(value).isNotNull())
+    n = new.where(F.col(value).isNotNull())
+    off = mismatches(o, n, on, value)
+    first = off.orderBy(*on).first()
+    if first is not None:
+        raise ValueError(f"{off.count()} rows are inconsistent, the first {first}")
+    return upsert(o, n, on)
+
+
 def same_columns(frames: list[DataFrame], key: str = "symbol") -> DataFrame:
     """Symbols that all frames have."""
     out = frames[0].select(key).distinct()

@@ -22,6 +22,20 @@ def pair_correlations(df: DataFrame, key: str = "factor", on: str = "day", value
     return x.join(y, on).where("a < b").groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("corr"))
 
 
+def sparse_correlations(df: DataFrame, names: DataFrame, days: int, key: str = "factor", on: str = "day", value: str = "v") -> DataFrame:
+    """``a, b, corr`` of all pairs a < b of ``names`` over ``days`` days, where a missing day counts as 0.
+
+    Only common days are joined; sums of single series give the rest. Series without spread have no correlation.
+    """
+    d = df.select(F.col(key).alias("k"), on, F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
+    own = names.select(F.col(key).alias("k")).join(d.groupBy("k").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")), "k", "left").na.fill(0.0, ["s", "q"])
+    x, y = (own.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"), (F.col("q") - F.col("s") * F.col("s") / days).alias(f"v{c}")) for c in "ab")
+    both = d.select(F.col("k").alias("a"), on, F.col("v").alias("x")).join(d.select(F.col("k").alias("b"), on, F.col("v").alias("y")), on).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    all_pairs = x.join(y, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+    spread = F.when((F.col("va") > 1e-15) & (F.col("vb") > 1e-15), F.sqrt(F.col("va") * F.col("vb")))
+    return all_pairs.select("a", "b", ((F.coalesce("xy", F.lit(0.0)) - F.col("sa") * F.col("sb") / days) / spread).alias("corr"))
+
+
 def _matrix(pairs: DataFrame, names: list) -> np.ndarray:
     if len(names) > MAX_FACTORS:
         raise ValueError(f"{len(names)} factors; at most {MAX_FACTORS} can be clustered at once")
@@ -85,5 +99,5 @@ def groups(spark: SparkSession, pairs: DataFrame, names: list, limit: float, met
     """``factor, group`` by hierarchical clustering of 1 - |corr|."""
     m = 1 - np.abs(_matrix(pairs, names))
     got = cut(linkage((m + m.T) / 2, method), len(names), limit)
-    kind = "long" if isinstance(names[0], int) else "string"
+    kind = "long" if names and isinstance(names[0], int) else "string"
     return spark.createDataFrame(list(zip(names, got)), f"factor {kind}, group int")

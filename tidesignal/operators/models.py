@@ -30,6 +30,75 @@ def linear(kind: str = "linear", alpha: float = 0.0, n: int = 1, spread: float =
     return LinearRegression(labelCol="y", solver="normal")
 
 
+def ridge_alpha(df: DataFrame, names: list[str], alphas: list[float], keys: list[str], folds: int = 5) -> tuple[float, dict[float, float]]:
+    """The alpha with the best mean R2 over contiguous folds in order of ``keys``, the first of equals, and all means.
+
+    Folds come from row numbers within the first key and the sizes of the keys before it; each fold is one row of moments, so the
+    data are read once for all alphas.
+    """
+    first, rest = keys[0], keys[1:]
+    sizes = [(r[0], r[1]) for r in df.groupBy(first).count().orderBy(first).collect()]
+    n = sum(s for _, s in sizes)
+    if n < folds:
+        raise ValueError(f"{n} rows are too few for {folds} folds")
+    starts, at = [], 0
+    for k, s in sizes:
+        starts.append((k, at))
+        at += s
+    offset = df.sparkSession.createDataFrame(starts, f"{first} {df.schema[first].dataType.simpleString()}, _at long")
+    row = F.col("_at") + F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
+    long = n // folds + 1
+    cut_at = (n % folds) * long  # the first folds have one row more
+    fold = F.when(row < cut_at, F.floor(row / long)).otherwise(n % folds + F.floor((row - cut_at) / max(n // folds, 1)))
+    cols = [*names, "y"]
+    sums = [F.sum(F.col(a)).alias(f"s_{i}") for i, a in enumerate(cols)]
+    crosses = [F.sum(F.col(a) * F.col(b)).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    got = df.join(F.broadcast(offset), first).withColumn("_fold", fold).groupBy("_fold").agg(F.count("*").alias("n"), *sums, *crosses).collect()
+    p = len(names)
+
+    def moments(r) -> tuple[float, np.ndarray, np.ndarray]:
+        c = np.array([[r[f"c_{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)], float)
+        return float(r["n"]), np.array([r[f"s_{i}"] for i in range(p + 1)], float), c
+
+    parts = [moments(r) for r in got]
+    total = [sum(x[k] for x in parts) for k in range(3)]
+    means = {}
+    for alpha in alphas:
+        scores = []
+        for m, s, c in parts:
+            tn, ts, tc = total[0] - m, total[1] - s, total[2] - c
+            centred = tc - np.outer(ts, ts) / tn
+            beta = np.linalg.lstsq(centred[:p, :p] + alpha * np.eye(p), centred[:p, p], rcond=None)[0]
+            b = np.append(-beta, 1.0)  # y less prediction without the constant
+            const = (ts[p] - ts[:p] @ beta) / tn
+            left = b @ c @ b - 2 * const * (b @ s) + m * const * const
+            spread = c[p, p] - s[p] * s[p] / m
+            scores.append(1 - left / spread if spread > 0 else 0.0)
+        means[alpha] = float(np.mean(scores))
+    return max(alphas, key=lambda a: means[a]), means
+
+
+def rounds_by_folds(df: DataFrame, keys: list[str], rounds: int = 10, depth: int = 3, patience: int = 3, folds: int = 5, seed: int = 7) -> tuple[int, list[float]]:
+    """Rounds of ``boosted`` with the least mean squared error over the folds, up to where ``patience`` rounds bring no better one."""
+    cut_up = df.withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds))).persist()
+    errors = []
+    try:
+        for k in range(folds):
+            held = cut_up.where(F.col("_fold") == k)
+            if not held.isEmpty():
+                errors.append(boosted(rounds, depth, seed).fit(cut_up.where(F.col("_fold") != k)).evaluateEachIteration(held, "squared"))
+    finally:
+        cut_up.unpersist()
+    mean = [float(x) for x in np.mean(errors, axis=0)]
+    best = 0
+    for k, e in enumerate(mean):
+        if e < mean[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1, mean
+
+
 def boosted(rounds: int = 10, depth: int = 3, seed: int = 7):
     return GBTRegressor(labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed)
 

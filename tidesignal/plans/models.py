@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..operators import align, cluster, models, pnl, select
+from ..operators import align, cluster, metrics, models, pnl, rules, select
 from ..sources import files, panels
 from ..streaming import rule as stream
-from .core import _POS, positions, signal
+from .core import _POS, FEE, positions, signal
 from .kit import BARS, EVALS, RETURNS, SIGNAL, day_text, dt, query, stamp, ts
 
 _PAIRS = RETURNS + ", pc AS (SELECT a.factor AS a, b.factor AS b, corr(a.ret, b.ret) AS c FROM rets a JOIN rets b ON a.day = b.day AND a.factor < b.factor GROUP BY 1, 2)"
@@ -53,14 +53,37 @@ def _(spark, sf):
     return cluster.groups(spark, _pairs(spark, sf), names, 0.97)
 
 
+_CHOSEN = ["test_name", "process_name", "factor"]
+
+
+def _clustered(spark, sf, chosen, limit: float):
+    """``chosen`` with the group of each (process, factor), by correlation of their own daily gains over all days, missing ones as 0."""
+    own = panels.factor_days(spark, sf).join(chosen, _CHOSEN, "left_semi").withColumn("key", F.to_json(F.array(*_CHOSEN)))
+    keyed = chosen.withColumn("key", F.to_json(F.array(*_CHOSEN)))
+    names = [r[0] for r in keyed.select("key").distinct().orderBy("key").limit(cluster.MAX_FACTORS + 1).collect()]
+    first, last = own.agg(F.min("day"), F.max("day")).first()
+    days = (last - first).days + 1 if first else 1
+    g = cluster.groups(spark, cluster.sparse_correlations(own, keyed.select("key"), days, key="key", value="gain"), names, limit)
+    return keyed.join(F.broadcast(g.withColumnRenamed("factor", "key")), "key").drop("key")  # at most MAX_FACTORS
+
+
+def _recent(spark, sf, chosen, first: str, least: float):
+    """Rows of ``chosen`` whose evaluation from ``first`` on passes too; a factor without one does not."""
+    return chosen.join(panels.evaluations(spark, sf, first).where(F.col("net_sharpe_ratio") > least), _CHOSEN, "left_semi")
+
+
 @query("cl_period")
 def _(spark, sf):
-    good = select.best_test(panels.evaluations(spark, sf), "net_sharpe_ratio").where("net_sharpe_ratio > 0.9 and direction > 0")
-    r = panels.returns(spark, sf)
-    names = [x[0] for x in r.select("factor").distinct().orderBy("factor").collect()]
-    g = cluster.groups(spark, _pairs(spark, sf), names, 0.95)
-    slot = F.concat(F.lit("s"), F.pmod(F.crc32("factor"), F.lit(12)))
-    return good.withColumn("series", slot).join(F.broadcast(g.withColumnRenamed("factor", "series")), "series").select("process_name", "factor", "series", "group")
+    good = select.best_test(panels.evaluations(spark, sf), "net_sharpe_ratio").where("net_sharpe_ratio > 0.9 and direction > 0").select(*_CHOSEN, "direction")
+    good = _recent(spark, sf, _recent(spark, sf, good, "1997-01-01", 0.0), "2000-01-01", 0.0)
+    return _clustered(spark, sf, good, 0.95)
+
+
+@query("sel_pipeline_cluster")
+def _(spark, sf):
+    e = panels.evaluations(spark, sf).where("net_sharpe_ratio > 0.8")
+    both = _recent(spark, sf, e, "1997-01-01", 0.2)  # all tests that pass in each period, then the best of them
+    return _clustered(spark, sf, select.best_test(both, "net_sharpe_ratio").select(*_CHOSEN), 0.95)
 
 
 @query("ev_corr_dedup")
@@ -126,6 +149,14 @@ def _(spark, sf):
     return _coefficients(spark, models.linear("ridge", 100.0, n, spread).fit(m))
 
 
+@query("md_ridge_cv")
+def _(spark, sf):
+    m = _fit(spark, sf)
+    alpha, _ = models.ridge_alpha(m, ["g1", "g2"], [1.0, 10.0, 100.0, 1000.0], ["symbol", "bar_ts"])
+    n, spread = m.agg(F.count("*"), F.stddev_pop("y")).first()
+    return _coefficients(spark, models.linear("ridge", alpha, n, spread).fit(m)).withColumn("alpha", F.lit(alpha))
+
+
 @query("md_lasso")
 def _(spark, sf):
     return _coefficients(spark, models.linear("lasso", 1e-4).fit(_fit(spark, sf)))
@@ -138,7 +169,9 @@ def _(spark, sf):
 
 @query("md_gbm")
 def _(spark, sf):
-    model = models.boosted().fit(_fit(spark, sf))
+    m = _fit(spark, sf)
+    best, _ = models.rounds_by_folds(m, ["symbol", "bar_ts"])
+    model = models.boosted(best).fit(m)  # the first rounds of a longer fit are the same
     return model.transform(_matrix(spark, sf)).select("symbol", stamp("bar_ts").alias("ts"), F.round("prediction", 6).alias("prediction"))
 
 
@@ -161,6 +194,33 @@ def _(spark, sf):
     return a.unionByName(b).where("bar_ts >= timestamp_ntz'2024-01-20'").groupBy("symbol", stamp("bar_ts").alias("ts")).agg(F.round(F.avg("pos"), 6).alias("pos"))
 
 
+def method_positions(spark, sf, fit_end: str, end: str, methods=((0.4, 0.1), (0.6, 0.2), (0.8, 0.0), (0.9, 0.5)), least: float = 0.0):
+    """Mean position over ``[fit_end, end)`` of the methods (open, close) whose net daily Sharpe ratio before ``fit_end`` is above ``least``.
+
+    A bar that a chosen method has no position for has none; without a chosen method there are no rows.
+    """
+    s = signal(spark, sf)
+    each = [rules.reopening(s, open_at=a, close_at=b).withColumn("method", F.lit(f"{a}/{b}")) for a, b in methods]
+    pos = each[0]
+    for p in each[1:]:
+        pos = pos.unionByName(p)
+    keys = ["method", "symbol"]
+    known = pos.where(F.col("bar_ts") < F.lit(fit_end).cast("timestamp_ntz"))
+    g = pnl.daily_gains(pnl.gains(pnl.forward_return(known, keys=keys)), keys=keys)
+    daily = pnl.net(g, pnl.turnover(known, keys=keys), FEE, ["method"])
+    chosen = daily.groupBy("method").agg(metrics.sharpe("net").alias("sharpe")).where(F.col("sharpe") > least)
+    later = pos.where((F.col("bar_ts") >= F.lit(fit_end).cast("timestamp_ntz")) & (F.col("bar_ts") < F.lit(end).cast("timestamp_ntz")))
+    mean = F.when(F.count("pos") == F.count("*"), F.avg("pos"))
+    return later.join(F.broadcast(chosen.select("method")), "method").groupBy("symbol", "bar_ts").agg(mean.alias("pos"))  # a list of methods
+
+
+@query("mg_trade_method_fit")
+def _(spark, sf):
+    old = method_positions(spark, sf, "2024-01-15", "2024-01-20")
+    got = align.append(old, method_positions(spark, sf, "2024-01-20", "2024-01-27"), ["symbol", "bar_ts"], "pos")
+    return got.select("symbol", stamp("bar_ts").alias("ts"), F.round("pos", 6).alias("pos"))
+
+
 # --- sources and sinks
 
 @query("src_parquet", f"SELECT symbol, {ts()} AS ts, factor AS value FROM bars WHERE factor IS NOT NULL", BARS)

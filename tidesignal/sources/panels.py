@@ -40,11 +40,26 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d = F.col("l_quantity"), F.col("l_discount")
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.concat(F.lit("t"), F.col("l_suppkey") % 4).alias("test_name"), F.concat(F.col("p_type"), F.lit("_TS20ma")).alias("process_name"), F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-w"), F.col("p_size") % 3, F.lit("d-i"), F.col("p_size") % 2).alias("factor"), "l_quantity", "l_discount", "l_tax")
+        .select(F.concat(F.lit("t"), F.col("l_suppkey") % 4).alias("test_name"), F.concat(F.col("p_type"), F.lit("_TS20ma")).alias("process_name"), F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-w"), F.col("p_size") % 3, F.lit("d-i"), F.col("p_size") % 2).alias("factor"), F.to_date("l_shipdate").alias("day"), "l_quantity", "l_discount", "l_tax")
+    )
+
+
+def factor_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily gains of each evaluated factor: (test_name, process_name, factor, day, gain), as ``returns`` has them of supplier groups."""
+    return _evaluated(spark, sf_dir).groupBy("test_name", "process_name", "factor", "day").agg(F.round((F.avg("l_quantity") - 25.5) / 1000, 6).alias("gain"))
+
+
+def evaluations(spark: SparkSession, sf_dir: str, first: str | None = None) -> DataFrame:
+    """Metrics of each (test, process, factor); with ``first``, over days from that one on."""
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    rows = _evaluated(spark, sf_dir)
+    if first is not None:
+        rows = rows.where(F.col("day") >= F.lit(first).cast("date"))
+    return (
+        rows
         .groupBy("test_name", "process_name", "factor")
         .agg(
             F.round((F.avg(q) - 24) / 2, 6).alias("sharpe_ratio"), F.round((F.avg(q) - 24.5) / 2, 6).alias("net_sharpe_ratio"),
