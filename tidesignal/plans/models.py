@@ -308,10 +308,8 @@ def _(spark, sf):
 @query("st_online_rule", f"SELECT symbol, {ts()} AS ts, pos FROM pos", _POS)
 def _(spark, sf):
     at = _folder(spark)
-    s = signal(spark, sf).select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "s").withColumn("week", F.weekofyear("bar_ts"))
-    for k, week in enumerate(sorted(r[0] for r in s.select("week").distinct().collect())):  # some weeks, one file each, in order
-        s.where(F.col("week") == week).drop("week").coalesce(1).write.parquet(f"{at}/in/batch={k:04d}")
-    got = stream.replay(spark, f"{at}/in", "symbol string, bar_ts timestamp, s double", 0.6, 0.2, f"{at}/state", f"online_{uuid.uuid4().hex[:8]}")
+    stream.write_weeks(signal(spark, sf).select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "s"), f"{at}/in")
+    got = stream.replay(spark, f"{at}/in", "symbol string, bar_ts timestamp, s double", 0.6, 0.2, f"{at}/state", f"{at}/out")
     return got.select("symbol", stamp("bar_ts").alias("ts"), "pos")
 
 

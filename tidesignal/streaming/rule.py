@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "symbol string, bar_ts timestamp, pos double"
@@ -37,9 +38,16 @@ def follow(bars: DataFrame, open_at: float, close_at: float, delay: str = "1 hou
     return clean.groupBy("symbol").applyInPandasWithState(step, OUT, "side int, seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark, path: str, schema: str, open_at: float, close_at: float, checkpoint: str, name: str) -> DataFrame:
-    """Runs the stream over the files in ``path`` to its end and returns its rows."""
+def replay(spark, path: str, schema: str, open_at: float, close_at: float, checkpoint: str, out: str) -> DataFrame:
+    """Runs the stream over the files in ``path`` to its end, writing to ``out`` in a shared folder, and returns its rows."""
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = follow(source, open_at, close_at).writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query = follow(source, open_at, close_at).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(OUT).parquet(out)
+
+
+def write_weeks(bars: DataFrame, path: str) -> None:
+    """One file a calendar week, in order of time; a week of one year is never one of another."""
+    marked = bars.withColumn("week", F.date_trunc("week", "bar_ts"))
+    for k, week in enumerate(sorted(r[0] for r in marked.select("week").distinct().collect())):
+        marked.where(F.col("week") == week).drop("week").coalesce(1).write.parquet(f"{path}/batch={k:04d}")
