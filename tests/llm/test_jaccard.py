@@ -68,3 +68,26 @@ def test_two_texts_of_one_key(make_docs):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     got = jaccard.similarity_classes(make_docs([(5, a, "s"), (5, b, "s"), (2, a, "s")]), 4, 85, 100).collect()
     assert (2, 27, 2) in set(map(tuple, got)) and len(got) == 3
+
+
+def test_links_of_both_texts_of_one_key(make_docs):
+    """Each of the two texts of key 1 has a near copy elsewhere; both links count."""
+    a, b = [f"a{k}" for k in range(100)], [f"b{k}" for k in range(100)]
+    near = lambda w: " ".join([*w[:50], "changed", *w[51:]])
+    rows = [(1, " ".join(a), "s"), (1, " ".join(b), "s"), (7, near(a), "s"), (8, near(b), "s"), (9, "nothing like it at all", "s")]
+    got = jaccard.similarity_classes(make_docs(rows), 4, 85, 100).collect()
+    assert sorted((r[0], r[2]) for r in got) == [(1, 1), (1, 1), (7, 1), (8, 1), (9, 9)]
+    rows = [(5, " ".join(a), "s"), (5, " ".join(b), "s"), (2, near(a), "s"), (3, near(b), "s")]
+    assert sorted((r[0], r[2]) for r in jaccard.similarity_classes(make_docs(rows), 4, 85, 100).collect()) == [(2, 2), (3, 3), (5, 2), (5, 3)]
+    assert sorted(r[0] for r in jaccard.keep_one(make_docs(rows), 4, 85, 100).select("doc_id").collect()) == [2, 3]
+
+
+def test_sizes_of_signatures_meet(make_docs, monkeypatch):
+    """Linked sets on both sides of a width of signatures, whose maps are folded, and unlinked ones beside them."""
+    r = random.Random(4)
+    texts = []
+    for size in (1_000, 8_000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(size + 3)]
+        texts += [" ".join(base), " ".join([*base, "one", "more", "end"]), " ".join(base[: int(size * 0.88)]), " ".join(base[: int(size * 0.8)])]
+    got = jaccard.similarity_classes(make_docs(texts), 4, 85, 100).collect()
+    assert sorted(map(tuple, got)) == brute(list(enumerate(texts)), 4, 85, 100)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, each removed once its last reader has written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a Parquet table, read back: its lineage ends here, and lost executors lose nothing of it."""
+        self.paths[name] = f"{self.at}/{name}-{len(self.paths)}"
+        df.write.parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[name])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()  # shuffle files of finished jobs go when the driver collects their plans
+
+
 def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % n
 

@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Edges stay distributed; each round is two aggregations and joins on vertices, written to the shared folder, and the number of
-rounds grows with the logarithm of the longest path. Hot vertices are pre-aggregated, and their joins may be split by AQE.
-Self loops, repeated edges and an empty table are allowed; isolated vertices do not occur in the result.
+Edges stay distributed; each round is two aggregations and joins on vertices, written to the shared folder in place of the round
+before, and the number of rounds grows with the logarithm of the longest path. Hot vertices are pre-aggregated, and their joins may be
+split by AQE. Self loops, repeated edges and an empty table are allowed; isolated vertices do not occur in the result.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, component`` (the smallest id reachable) of every vertex of ``edges`` (a, b long)."""
-    now = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    tables = Scratch(edges.sparkSession, "components")
+    now = tables.write("edges-0", edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+    for k in range(rounds):
+        now = tables.write(f"edges-{k + 1}", _small_star(_large_star(now)))
+        tables.drop(f"edges-{k}")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if tuple(seen) == mark:
             break
