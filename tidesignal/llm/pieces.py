@@ -1,26 +1,31 @@
 """SentencePiece encoding and decoding by a streaming lattice search.
 
 The search walks the text once. For each boundary it keeps one back pointer (the piece that ends there and where that piece
-starts) and only while a piece can still reach over it: the window is the longest piece. Whenever all surviving back pointer
-paths meet in one boundary, everything before it is final; its ids are committed and forgotten.
+starts), in a window of the length of the longest piece: as far as a new arc can reach. Once more boundaries than that wait, and then at
+every boundary until it succeeds, the surviving paths are followed back to where they meet; the ids before are final, are given out
+and forgotten. The window grows only while paths don't meet.
 
 * unigram model: the arc into a boundary is the one with the highest sum of scores (Viterbi).
 * BPE model: an arc is allowed only if the piece may follow the piece that ends at its start, that is, if merging their joint
   string gives just these two pieces. By the prefix property of BPE exactly one arc into each boundary is allowed, and the
   surviving path is the merge result, so ids equal those of the original library.
 
-Boundaries that no piece of the vocabulary can reach over are commit points known in advance; the text is cut there, and the
-segments' ids are kept in a bounded memo. Long segments stream through the same search.
+Boundaries that no piece of the vocabulary can reach over are commit points known in advance; the text is cut there, every segment
+goes through the search, and ids of short segments are kept in a bounded memo as a cache for it. A model with a normaliser has its
+text normalised by the original library first.
 
 Edge cases: null text gives null ids and 0 tokens; empty text gives no ids; characters outside the vocabulary become byte pieces
-(or the unknown id without byte fallback); U+2581 in a text is read as a space, as the original library does.
+(or the unknown id without byte fallback); U+2581 in a text is read as a space, as the original library does; very long texts are
+searched whole, in the same window; repeated rows are returned as often as they come; extra columns are ignored; an empty table gives
+an empty result. Ties between unigram paths go to the piece that starts first.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,9 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Segments kept in a worker's memo, and the longest one that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 1_200_000, 48
-#: Boundaries between two attempts to commit.
-COMMIT_EVERY = 512
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 48
 
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _models: dict[bytes, "PieceModel"] = {}
 
 
@@ -49,12 +53,16 @@ class PieceModel:
 
         proto = pb.ModelProto()
         proto.ParseFromString(blob)
-        if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only models with the identity normalizer are supported")
+        spec = proto.normalizer_spec
+        self.normalizer = None
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces:
+            import sentencepiece
+
+            self.normalizer = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.kind = proto.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        self.prefix = " " if proto.normalizer_spec.add_dummy_prefix else ""
+        self.prefix = " " if spec.add_dummy_prefix else ""
         self.size = len(proto.pieces)
         self.text = [p.piece for p in proto.pieces]
         self.score = [p.score for p in proto.pieces]
@@ -72,16 +80,18 @@ class PieceModel:
             node[""] = i
         self.follows: dict[int, bool] = {}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.parts: dict[str, list[int]] = {}
         self.segments = self._commit_points()
         self.memo = _Memo(self)
 
     def _commit_points(self) -> re.Pattern:
-        """A pattern that cuts texts only at boundaries that no piece of this vocabulary reaches over."""
+        """A pattern that cuts texts only at boundaries that no piece of this vocabulary reaches over.
+
+        Cuts before a run of spaces, at line feeds, and, if no piece has an ASCII letter before a point or comma, there too.
+        """
         if any(b == SPACE != a for a, b in self.pairs) or any("\n" in p for p in self.ids):
             return re.compile(r"(?s).+")
-        stop = any(a.isalpha() and b in ".," for a, b in self.pairs)
-        return re.compile(r" *+[^ \n]++|\n| +" if stop else r" *+[^\W\d_]++(?=[.,])| *+[^ \n]++|\n| +")
+        stop = any(a in _LETTERS and b in ".," for a, b in self.pairs)
+        return re.compile(r" *+[^ \n]++|\n| +" if stop else r" *+[A-Za-z]++(?=[.,])| *+[^ \n]++|\n| +")
 
     def merge(self, s: str) -> list[int]:
         """Plain BPE of a short string: merge the best-scored adjacent pair, leftmost first."""
@@ -110,111 +120,87 @@ class PieceModel:
 
     def search(self, s: str) -> list[int]:
         """Piece ids of a segment, spaces as U+2581; -1 - code point for a character outside the vocabulary."""
-        if self.kind == UNIGRAM:
-            return self.stream(s)
-        if len(s) <= MEMO_CHARS and s[1:].isascii():
-            return self.short(s)
-        cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in self.pairs]  # no piece reaches over these
-        if not cuts:
-            return self.stream(s) if len(s) > COMMIT_EVERY else self.short(s)
-        cuts.append(len(s))
-        out, a = [], 0
-        for b in cuts:
-            part = s[a:b]
-            a = b
-            if len(part) == 1:
-                out.append(self.ids.get(part, -1 - ord(part)))
-            elif len(part) > MEMO_CHARS:
-                out += self.stream(part) if len(part) > COMMIT_EVERY else self.short(part)
-            else:
-                got = self.parts.get(part)
-                if got is None:
-                    if len(self.parts) >= MEMO_ENTRIES:
-                        self.parts.clear()
-                    got = self.parts[part] = self.short(part)
-                out += got
-        return out
-
-    def short(self, s: str) -> list[int]:
-        """``stream`` for a short BPE segment: nothing to commit before its end."""
-        n = len(s)
-        piece_into, start = [None] * (n + 1), [0] * (n + 1)
-        piece_into[0] = -1
-        trie, follows, size = self.trie, self.follows, self.size
+        parts = list(self.stream(s))
+        return parts[0] if len(parts) == 1 else [i for part in parts for i in part]
+
+    def stream(self, s: str, watch: Callable[[int, int, int], None] | None = None) -> Iterator[list[int]]:
+        """The lattice search: gives out ids as they become final.
+
+        As soon as more boundaries than the longest piece has characters wait, the paths into the boundaries that can still be reached
+        or left are followed back to where they meet; what lies before is given out and dropped. ``watch`` gets the place, the last
+        committed boundary and the number of boundaries held.
+        """
+        n, window, unigram = len(s), self.window, self.kind == UNIGRAM
+        trie, follows, size, score, may_follow = self.trie, self.follows, self.size, self.score, self.may_follow
+        done = 0  # the last committed boundary; place 0 of the lists
+        held = min(n, 2 * window) + 1
+        piece, start = [None] * held, [0] * held  # by boundary: the piece that ends there, and where it starts
+        total = [0.0] * held if unigram else None
+        piece[0] = -1
         for j in range(n):
-            last = piece_into[j]
+            at = j - done
+            last = piece[at]
             if last is None:
                 continue
-            node, i, key = trie.get(s[j]), j + 1, last * size
+            if at > window:
+                meet = self._meeting(piece, start, at) 
+                if meet:
+                    yield self._path(piece, start, meet)
+                    del piece[:meet], start[:meet]
+                    start = [max(x - meet, 0) for x in start]
+                    if unigram:
+                        del total[:meet]
+                        total += [0.0] * meet
+                    piece += [None] * meet
+                    start += [0] * meet
+                    done += meet
+                    at -= meet
+            if at + window >= len(piece):  # paths that haven't met for long
+                piece += [None] * len(piece)
+                start += [0] * len(start)
+                if unigram:
+                    total += [0.0] * len(total)
+            node, i, key = trie.get(s[j]), at + 1, last * size
             if node is None or "" not in node:
-                piece_into[i], start[i] = -1 - ord(s[j]), j
+                if unigram:
+                    sum_ = total[at] + self.floor
+                    if piece[i] is None or sum_ > total[i]:
+                        piece[i], start[i], total[i] = -1 - ord(s[j]), at, sum_
+                else:
+                    piece[i], start[i] = -1 - ord(s[j]), at
+            end = n - done
             while node is not None:
-                if piece_into[i] is None and (piece := node.get("")) is not None:
-                    if last < 0 or (ok := follows.get(key + piece)) or ok is None and self.may_follow(last, piece):
-                        piece_into[i], start[i] = piece, j
-                if i == n:
+                if unigram:
+                    if (found := node.get("")) is not None:
+                        sum_ = total[at] + score[found]
+                        if piece[i] is None or sum_ > total[i]:
+                            piece[i], start[i], total[i] = found, at, sum_
+                elif piece[i] is None and (found := node.get("")) is not None:
+                    if last < 0 or (ok := follows.get(key + found)) or (ok is None and may_follow(last, found)):
+                        piece[i], start[i] = found, at
+                if i == end:
                     break
-                node = node.get(s[i])
+                node = node.get(s[i + done])
                 i += 1
-        ids = []
-        while n:
-            ids.append(piece_into[n])
-            n = start[n]
-        return ids[::-1]
+            if watch:
+                watch(j, done, sum(x is not None for x in piece))
+        yield self._path(piece, start, n - done)
 
-    def stream(self, s: str) -> list[int]:
-        """The lattice search over a segment of any length; memory is bounded by the window between two commits."""
-        out: list[int] = []
-        n, unigram = len(s), self.kind == UNIGRAM
-        into: dict[int, tuple[int, int, float]] = {0: (0, -1, 0.0)}  # boundary: start, piece, score
-        done, due = 0, COMMIT_EVERY
-        trie, may_follow, score = self.trie, self.may_follow, self.score
-        for j in range(n):
-            here = into.get(j)
-            if here is None:
-                continue
-            last, so_far = here[1], here[2]
-            node, i = trie, j
-            while i < n and (node := node.get(s[i])) is not None:
-                i += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                if unigram:
-                    total = so_far + score[piece]
-                    if i not in into or total > into[i][2]:
-                        into[i] = (j, piece, total)
-                elif i not in into and may_follow(last, piece):
-                    into[i] = (j, piece, 0.0)
-            if s[j] not in self.ids:
-                total = so_far + self.floor
-                if j + 1 not in into or unigram and total > into[j + 1][2]:
-                    into[j + 1] = (j, -1 - ord(s[j]), total)
-            if j >= due:
-                meet = self._meeting(into, j)
-                if meet > done:
-                    out += self._path(into, done, meet)
-                    kept = into[meet]
-                    into = {k: v for k, v in into.items() if k > meet} | {meet: kept}
-                    done = meet
-                due = j + COMMIT_EVERY
-        return out + self._path(into, done, n)
-
-    def _meeting(self, into: dict, j: int) -> int:
-        """The last boundary that all paths into the boundaries after j (and j itself) go through."""
-        ends = {k for k in range(j, j + self.window + 1) if k in into}
+    def _meeting(self, piece: list, start: list, at: int) -> int:
+        """The last boundary that all paths into the boundaries from ``at`` on go through."""
+        ends = {k for k in range(at, min(at + self.window + 1, len(piece))) if piece[k] is not None}
         while len(ends) > 1:
             top = max(ends)
             ends.discard(top)
-            ends.add(into[top][0])
+            ends.add(start[top])
         return ends.pop()
 
     @staticmethod
-    def _path(into: dict, start: int, end: int) -> list[int]:
+    def _path(piece: list, start: list, end: int) -> list[int]:
         ids = []
-        while end > start:
-            end, piece, _ = into[end]
-            ids.append(piece)
+        while end > 0:
+            ids.append(piece[end])
+            end = start[end]
         return ids[::-1]
 
     def segment_ids(self, segment: str) -> bytes:
@@ -233,9 +219,16 @@ class PieceModel:
 
     def encode(self, text: str) -> bytes:
         """Little-endian int32 ids."""
+        text = self.normal(text)
         if not text:
             return b""
-        return b"".join(map(self.memo.__getitem__, self.segments.findall(self.prefix + text.replace(SPACE, " "))))
+        return b"".join(map(self.memo.__getitem__, self.segments.findall(self.prefix + text)))
+
+    def normal(self, text: str) -> str:
+        """The text that is encoded, and that its ids decode to; without the space put in front."""
+        if self.normalizer is None:
+            return text.replace(SPACE, " ")
+        return self.normalizer.normalize(text).replace(SPACE, " ").removeprefix(self.prefix)
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -258,7 +251,7 @@ class _Memo(dict):
 
 def load(blob: bytes) -> PieceModel:
     """The model of these bytes, built once in each Python process."""
-    key = blob[:64] + len(blob).to_bytes(8, "big") + blob[-64:]
+    key = hashlib.sha256(blob).digest()
     if key not in _models:
         _models.clear()
         _models[key] = PieceModel(blob)
@@ -311,7 +304,7 @@ def encode_and_verify(df: DataFrame, model: bytes, key: str = "doc_id", text: st
             texts = column(b, "_t")
             got = [None if t is None else m.encode(t) for t in texts]
             n = pa.array([len(e) // 4 if e else 0 for e in got], pa.int32())
-            same = [None if t is None else m.decode(np.frombuffer(e, np.int32).tolist()) == t.replace(SPACE, " ") for t, e in zip(texts, got)]
+            same = [None if t is None else m.decode(np.frombuffer(e, np.int32).tolist()) == m.normal(t) for t, e in zip(texts, got)]
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(got), n, pa.array(same, pa.bool_())], [key, "ids", "n_tokens", "round_trip"])
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
