@@ -59,6 +59,14 @@ class Scratch:
         jvm.System.gc()  # shuffle files of finished jobs go when the driver collects their plans
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % n
 

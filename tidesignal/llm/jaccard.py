@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, free_name
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -297,7 +297,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFra
     Rows without words and rows with a null doc_id are in no class and stay too.
     """
     stand = _classes(docs, n, num, den, "doc_id", "text").where(F.col("first") & F.col("doc_id").isNotNull() & ((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))))
-    marks = [f"_{c}_{len(docs.columns)}" for c in ("id", "d1", "d2")]
+    marks = [free_name(docs, f"_{c}") for c in ("id", "d1", "d2")]
     keys = stand.select(F.col("doc_id").alias(marks[0]), F.col("d1").alias(marks[1]), F.col("d2").alias(marks[2])).distinct()
     at = docs.columns.index("text")
     fields = docs.schema.fields
