@@ -46,3 +46,22 @@ def test_language_edges(spark, make_docs):
     net = langid.fit(docs, F.lit(True))
     assert [r["lang_pred"] for r in langid.predict(docs, net).orderBy("doc_id").collect()] == ["und", "und", "und", "x", "und"]
     assert langid.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) is None
+
+
+def test_language_with_letterlike_numbers_ties_and_hot_keys(spark, make_docs):
+    docs = make_docs(["² ½ ①", "² a"]).union(make_docs([(7, "mots de la", "s")] * 500)).withColumn("score", F.lit("own"))
+    net = langid.fit(docs, F.lit(True))
+    got = langid.predict(docs, net).collect()
+    assert [r["lang_pred"] for r in got[:2]] == ["und", "x"] and len(got) == 502
+    assert langid.predict(docs.limit(0), net).count() == 0 and langid.fit(docs.limit(0), F.lit(True)) is None
+
+
+def test_training_keeps_every_language_and_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda x, y, langs: seen.update(x=x, y=y, langs=langs))
+    rows = [(k, "word " * (10 + 400 * (k == 3)), "abcdefghij"[k % 10]) for k in range(200)] + [(5, "again " * 5, "z")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs, F.lit(True), n_docs=100)
+    assert len(set(seen["y"].tolist())) == 10 and len(seen["langs"]) == 10
+    langid.fit(docs, F.col("doc_id") == 3)
+    assert len(seen["x"]) == 9  # 2,050 bytes in windows of 256, all of them

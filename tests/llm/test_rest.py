@@ -64,6 +64,56 @@ def test_main_text_of_an_article_within_another_kind(page):
     assert html.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    f'<div class="content-with-sidebar">{ARTICLE}</div>', f'<div class="has-search">{ARTICLE}</div>', f'<div id="page-header-less">{ARTICLE}</div>',
+    f'<div class="layout-sidebar">{PLAIN}</div>', f"<div class='article-comments-wrapper'>{PLAIN}</div>",
+])
+def test_main_text_within_wrappers_named_after_other_parts(page):
+    assert html.main_text(page) == TEXT
+
+
+def test_main_text_of_broken_tags():
+    menu = '<nav><a href="/">Home</a> and a long menu of words that goes on and on for a good while longer than that</nav>'
+    assert html.main_text(f"<article>one two three</article>{menu}<article>four five six</article>") == "one two three\n\nfour five six"
+    assert html.main_text('<p class="x>Hello world text</p><p class="y">More text here</p>') == "Hello world text\n\nMore text here"
+    assert html.main_text("<p>for all a<b holds the rest.</p>") == "for all a<b holds the rest." and html.main_text("a<b holds the rest") == "a<b holds the rest"
+    assert html.main_text('<p title="a > b">Text here</p><p title=don\'t>and there</p>') == "Text here\n\nand there"
+    assert html.main_text('<div class="sidebar"><p>Only a menu</p></div>') == ""
+
+
+def made_page(r, layout):
+    """A page in a markup that no labelled page has, and its article."""
+    say = lambda n: " ".join("".join(r.choice("abdegilmnorstu") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    links = lambda n, tag: "".join(f'<{tag}><a href="/{k}">{say(r.randrange(1, 4))}</a></{tag}>' for k in range(n))
+    title, parts = say(5), [say(r.randrange(12, 60)) for _ in range(r.randrange(2, 8))]
+    good = "\n\n".join([title, *parts])
+    if layout == 0:
+        page = f"<body><table><tr><td>{links(8, 'div')}</td><td><h2>{title}</h2>{''.join(f'<p>{x}' for x in parts)}</td></tr></table><center>{links(3, 'span')}</center>"
+    elif layout == 1:
+        page = f"<div id=wrap><ul>{links(9, 'li')}</ul><div class=a1><h1>{title}</h1>{''.join(f'<div>{x}</div>' for x in parts)}</div><ul>{links(6, 'li')}</ul></div>"
+    elif layout == 2:
+        page = f"<div>{links(7, 'span')}</div><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in parts)}<div id=disqus_thread class=comments><p>{say(30)}</p></div><div class='site-footer'>{say(8)}</div>"
+    else:
+        page = f"<div class=wrapper><div class='top-nav'>{links(5, 'b')}</div><section><h1>{title}</h1>{''.join(f'<section><p>{x}</p></section>' for x in parts)}</section><div class='sponsored'>{say(15)}</div></div>"
+    return page, good
+
+
+def f1(got, good):
+    a, b = Counter(got.split()), Counter(good.split())
+    same = sum((a & b).values())
+    return 2 * same / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_main_text_of_held_out_layouts_needs_the_scan(monkeypatch):
+    r = random.Random(8)
+    pages = [made_page(r, k % 4) for k in range(80)]
+    scores = [f1(html.main_text(p), good) for p, good in pages]
+    assert sum(scores) / len(scores) >= 0.97 and min(scores) >= 0.8, (sum(scores) / len(scores), min(scores))
+    flat = {k: v if v > 0 else -1e-12 for k, v in html.WEIGHTS.items()}  # any run of words of a good kind, nothing weighed
+    without = [f1(html.main_text(p, flat), good) for p, good in pages]
+    assert sum(scores) > sum(without) + 2, (sum(scores), sum(without))
+
+
 def base(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -144,3 +194,33 @@ def test_mixture_meets_weights_and_limits(make_docs):
     assert tokens["low"] / own["low"] > tokens["big"] / own["big"] >= 1.0
     assert max(tokens[s] / own[s] for s in own if own[s]) <= 3.0 + 0.25
     assert mixing.mix(make_docs([])).count() == 0
+
+
+def test_a_budget_beyond_the_limit_is_cut(make_docs):
+    docs = make_docs([(k, "a b c d e", "s" if k % 3 else "t") for k in range(30)])
+    got = mixing.mix(docs, max_epochs=2.0, budget=1e6).collect()
+    assert sum(x["tokens"] for x in got) <= 2 * 150 + 10 and max(x["epoch"] for x in got) <= 1
+    assert sum(x["tokens"] for x in mixing.mix(docs, max_epochs=2.0, budget=100).collect()) <= 100 + 10
+
+
+def test_place_of_rows_that_repeat_a_key(make_docs):
+    """Texts of one key are ordered by tokens, then by hash: the same mixture whatever the order of the rows."""
+    rows = [(k % 4, " ".join("w" * (1 + k % 5)) + " " + "xyz"[k % 3], "s") for k in range(40)]
+    runs = []
+    for order in (rows, rows[::-1]):
+        got = mixing.mix(make_docs(order).repartition(3), with_row=True).collect()
+        runs.append(sorted((x["doc_id"], x["epoch"], x["place"], x["row"]["text"]) for x in got))
+    assert runs[0] == runs[1]
+
+
+def test_exponent_equals_a_search_over_the_whole_grid(make_docs, spark):
+    r = random.Random(9)
+    for limit in (1.5, 4.0):
+        sizes = [r.randrange(1, 10**6) for _ in range(20)]
+        shares = spark.createDataFrame([(str(k), 1, n) for k, n in enumerate(sizes)], "source string, docs long, tokens long")
+        all_ = mixing._trials(shares, list(range(mixing.GRID + 1)))
+        target = all_[mixing.GRID][0] + 0.25 * (all_[0][0] - all_[mixing.GRID][0])
+        k = max(x for x in all_ if all_[x][0] >= target - 1e-9)
+        if all_[k][1] * all_[k][2] > limit + 1e-9:
+            k = min(x for x in all_ if all_[x][1] * all_[x][2] <= limit + 1e-9)
+        assert mixing.choose_exponent(shares, 0.25, limit)[0] == k

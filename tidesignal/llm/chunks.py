@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, column, free_name
+from .common import Scratch, column, free_name, slices
 
 #: Smallest and largest chunk, the mask of the bits that end one (mean about MIN_CHUNK + MASK + 1), and the shortest run cut.
 MIN_CHUNK, MAX_CHUNK, MASK, MIN_RUN = 16, 256, 31, 64
@@ -74,7 +74,7 @@ def digests_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """``key`` and the distinct chunk ``digests`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             found = []
             for t in column(b, "_t"):
                 raw = (t or "").encode("utf-8", "surrogatepass")
@@ -86,13 +86,6 @@ def digests_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_t")).mapInArrow(run, f"{key} long, digests array<binary>")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that only a few texts are held as Python objects."""
-    for b in batches:
-        for a in range(0, b.num_rows, rows):
-            yield b.slice(a, rows)
-
-
 def _cut(raw: bytes, known: set[bytes]) -> tuple[bytes, list[tuple[int, int]], int, int]:
     """The text without runs of duplicates; the spans cut; chunks; chunks in the spans."""
     ends = chunk_ends(raw)
@@ -144,7 +137,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     at, id_at = docs.columns.index(text), docs.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             new, sizes, copies, gone, where = [], [], [], [], []
             for t, known, id_ in zip(b.column(at).to_pylist(), b.column(len(fields)).to_pylist(), b.column(id_at).to_pylist()):
                 raw = (t or "").encode("utf-8", "surrogatepass")

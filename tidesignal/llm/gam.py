@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, crc_mod
+from .common import column, crc_mod, slices
 
 #: At most so many labelled rows train the model.
 TRAIN_ROWS = 20_000
@@ -169,7 +169,7 @@ def _with_features(df: DataFrame, key: str, text: str, extra: list[str]) -> Data
     kept = [df.schema[c] for c in (key, *extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = _matrix(column(b, "_t"))
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(kept))] + [lists], [*(f.name for f in kept), "x"])
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_mod
         .groupBy("doc_id").agg(F.min(label).cast("double").alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` pairs of numbers
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # at most ``rows`` pairs of numbers; one text each
     got = _with_features(texts, "doc_id", "text", ["_y"]).select("x", "_y").toPandas()
     order = got["_y"].to_numpy(np.float64)
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Gam, key: str = "doc_id", text: str = "text")
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(column(b, "_t"))))], [key, "score"])
 
     return docs.select(F.col(key), F.col(text).alias("_t")).mapInArrow(run, T.StructType([kind, T.StructField("score", T.DoubleType())]))
@@ -213,7 +213,7 @@ def reject(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text: str
     """The rows of ``docs`` that the model accepts, all columns unchanged, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(model.score(_matrix(column(b, text))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,15 +4,18 @@ A page is cut into tags and words by one pattern. Each token has a weight: words
 kind of container, inside a link or not), tags have zero or a negative score. The weights are log odds counted on labelled pages,
 whose content is marked. A linear scan finds the contiguous run of tokens with the largest sum; inside it, words of containers
 with negative weight (notices, forms, sidebars, reader comments) and of scripts and styles are left out, and block tags end blocks.
+What stands between two pieces of marked content costs nothing, so a menu or an advert in an article's midst doesn't split it.
 
 Container kinds come from tag names and from words in ``class``, ``id`` and ``role``. Words in no such container weigh above zero,
 so an article in plain body, paragraphs, cells or other classes is found. ``main`` outranks every kind it opens in; ``article`` those
 whose end tag is missing, and, if it holds more than the rest of the page, closed ones too (comments only if they open before any
-content). Every page is handled on its own, in one narrow pass; it is read up to three times, each time linear in its length.
+content). A page that has no text so far is read again with whole words of ``class``, ``id`` and ``role`` only. Every page is handled on
+its own, in one narrow pass; it is read up to six times, each time linear in its length.
 
 Edge cases: null and empty pages, and pages without words, give an empty text; broken, unclosed or cut-off markup is read as far
-as it goes; ``head`` ends where a tag opens that can't stand in it; extra columns are ignored; repeated rows are returned as often
-as they come.
+as it goes; a quote that is never closed ends with its tag, and "<" before what can't be a tag is text; ``head`` ends where a tag opens
+that can't stand in it. Of two regions with equal sums the first is taken. Very long pages are read whole; extra columns are ignored;
+repeated rows are returned as often as they come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, slices
 
 # fixed values: names of the HTML standard, and customary words of class names
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select textarea button canvas audio video".split())
@@ -47,7 +50,8 @@ HINTS = (
     ("content", r"articles?|content|entry|post|story|main"),
 )
 _HINT = [(kind, re.compile(rf"(?:^|[\s_-])(?:{p})(?:$|[\s_-])", re.I)) for kind, p in HINTS]
-_TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)")
+_WHOLE = [(kind, re.compile(rf"(?:^|\s)(?:{p})(?:$|\s)", re.I)) for kind, p in HINTS]
+_TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"(?:[^\"<]|<(?![a-z/!]))*\"|'(?:[^'<]|<(?![a-z/!]))*'|[^'\"<>])*+|[^<>]*+)(?:>|\Z)|([^<]+|<)")
 _ATTR = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 #: Tags before which ``head`` stays open.
@@ -56,15 +60,15 @@ IN_HEAD = frozenset("html head title meta link base style script noscript templa
 TAG_CAP = -0.01
 
 
-def kind_of(tag: str, attrs: str) -> str | None:
-    """The container kind that a tag opens, if any."""
+def kind_of(tag: str, attrs: str, strict: bool = False) -> str | None:
+    """The container kind that a tag opens, if any; ``strict``: only whole words of an attribute count, not parts of compounds."""
     if attrs:
         if _HIDDEN.search(attrs):
             return "notice"
         if tag not in ("body", "html"):
             said = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs))
             if said:
-                for kind, pattern in _HINT:
+                for kind, pattern in _WHOLE if strict else _HINT:
                     if pattern.search(said):
                         return kind
     return TAG_KIND.get(tag)
@@ -78,7 +82,7 @@ class Reading:
     containers that may have been left open, as an earlier reading found them; with ``loose``, closed containers are outranked too.
     """
 
-    def __init__(self, page: str, missing: frozenset[int] = frozenset(), loose: bool = False):
+    def __init__(self, page: str, missing: frozenset[int] = frozenset(), loose: bool = False, strict: bool = False):
         self.found: list[tuple[str, str]] = []
         self.open: set[int] = set()  # places of containers without an end tag of their own
         self.nested = False  # an article opens in a container of another kind, which it doesn't outrank
@@ -87,6 +91,8 @@ class Reading:
         where, link, content, over = "page", False, False, frozenset()
         for m in _TOKEN.finditer(page):
             text = m.group(5)
+            if text is None and m.group(3) and m.end() == len(page) and page[-1] != ">" and " " in m.group(4) and "=" not in m.group(4):
+                text = m.group(0)  # "a <b holds" at the end of a page is no tag
             if text is not None:
                 self.found.append((("l:" if link else "w:") + where, text))
                 content = content or where == "content"
@@ -105,7 +111,7 @@ class Reading:
                 if stack and name not in IN_HEAD and any(s[0] == "head" for s in stack):
                     stack = [s for s in stack if s[0] != "head"]
                 if name not in VOID:
-                    kind = kind_of(name, m.group(4))
+                    kind = kind_of(name, m.group(4), strict)
                     at = m.start()
                     if name == "a":
                         stack = [s for s in stack if s[0] != "a"]
@@ -200,15 +206,19 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     """The blocks of the best region, joined by two line feeds."""
     if not page:
         return ""
-    got = Reading(page)
+    return _read(page, weights, False) or _read(page, weights, True)  # a compound class, as of a layout, may stand around all there is
+
+
+def _read(page: str, weights: dict[str, float], strict: bool) -> str:
+    got = Reading(page, strict=strict)
     if not got.nested:
         return best_region(got.found, weights)
     missing = frozenset(got.open)
     if missing:
-        got = Reading(page, missing)
+        got = Reading(page, missing, strict=strict)
     text = best_region(got.found, weights)
     if got.nested:
-        other = best_region(Reading(page, missing, loose=True).found, weights)
+        other = best_region(Reading(page, missing, True, strict).found, weights)
         if len(other.split()) > 2 * len(text.split()):  # the article holds more than the rest of the page
             return other
     return text
@@ -218,11 +228,13 @@ def best_region(found: list[tuple[str, str]], weights: dict[str, float]) -> str:
     """The text of the run of tokens with the largest sum."""
     best = now = 0.0
     start, span = 0, (0, 0)
+    inside = [k for k, (key, text) in enumerate(found) if key[2:] == "content" and key[0] != "t" and not text.isspace()]
+    first, last = (inside[0], inside[-1]) if inside else (0, -1)
     for k, (key, text) in enumerate(found):
-        if key[0] == "t":
-            now += weights.get(key, TAG_CAP)
-        else:
-            now += weights.get(key, 0.0) * len(text.split())
+        weight = weights.get(key, TAG_CAP if key[0] == "t" else 0.0)
+        if weight < 0 and first < k < last:
+            continue  # between two pieces of marked content
+        now += weight if key[0] == "t" else weight * len(text.split())
         if now <= 0:
             now, start = 0.0, k + 1
         elif now > best:
@@ -245,7 +257,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     kept = [pages.schema[key], pages.schema[url]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(h) for h in column(b, "_h")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
 

@@ -4,11 +4,13 @@ A window of 256 bytes is embedded, passed through filters of widths 2, 3 and 4,
 softmax layer. The network is trained in numpy on the windows of at most ``TRAIN_DOCS`` documents. A whole text is covered by
 windows side by side, each window's probabilities count by its bytes, and the language with the highest mean wins.
 
-Training windows are cut on the executors; only they (at most ``TRAIN_DOCS * TRAIN_WINDOWS`` of 256 bytes) reach the driver.
-Prediction is one narrow pass in batches of windows.
+Training windows are cut on the executors, from whole texts; only they reach the driver: the texts of at most ``TRAIN_DOCS`` documents,
+chosen by a hash of their keys. Prediction is one narrow pass in batches of windows.
 
 Edge cases: a text that is null or has no letters is ``und`` with score 0; with no training rows every text is ``und``; a window at
-the end of a text is padded with zeros.
+the end of a text is padded with zeros. Very long texts are covered whole. Of languages with equal probabilities the first by name
+wins. Repeated rows are predicted alike; in training a repeated key counts once, with its smallest language and text. Extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, slices
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 6
 #: Bounds of the training sample, and its passes.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 3000, 3, 4, 64, 0.01
+TRAIN_DOCS, EPOCHS, BATCH, RATE = 1500, 2, 64, 0.01
 CHUNK = 256
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class ByteCnn:
     """Weights, and the forward and backward pass."""
 
@@ -116,21 +122,20 @@ def windows(raw: bytes) -> np.ndarray:
 
 def fit(docs: DataFrame, allowed: Column, lang: str = "lang", text: str = "text", key: str = "doc_id", n_docs: int = TRAIN_DOCS) -> ByteCnn | None:
     """A network learnt from rows where ``allowed`` holds and the language is known; None if there are none."""
-    some = docs.where(allowed & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("_l"))
-    chosen = some.orderBy(F.xxhash64("_k"), "_k", "_l").limit(n_docs)
+    known = docs.where(allowed & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).cast("string").alias("_l"), F.col(text).cast("binary").alias("_t"))
+    chosen = known.select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(n_docs)
+    texts = known.join(F.broadcast(chosen), "_k").groupBy("_k").agg(F.min(F.struct("_l", "_t")).alias("r")).select("r.*")  # at most n_docs keys, one row each
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             langs, cuts = [], []
             for t, lang_ in zip(column(b, "_t"), column(b, "_l")):
                 x = windows(t or b"")
-                for k in sorted(set(np.linspace(0, len(x) - 1, TRAIN_WINDOWS).round().astype(int).tolist())) if len(x) else []:
-                    langs.append(lang_)
-                    cuts.append(x[k].tobytes())
+                langs += [lang_] * len(x)
+                cuts += [w.tobytes() for w in x]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cuts, pa.binary())], ["lang", "w"])
 
-    texts = docs.where(allowed).select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t")).join(F.broadcast(chosen), "_k")  # at most n_docs short rows
-    got = texts.select("_l", "_t").mapInArrow(cut, "lang string, w binary").toPandas().sort_values(["lang", "w"]).head(4 * n_docs * TRAIN_WINDOWS)
+    got = texts.select("_l", "_t").mapInArrow(cut, "lang string, w binary").toPandas().sort_values(["lang", "w"])
     if got.empty:
         return None
     langs = sorted(set(got["lang"]))
@@ -147,7 +152,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, key: str = "doc_id", text: str
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 texts = column(part, "_t")
-                cut = [windows(t.encode("utf-8", "surrogatepass")) if net and t and _LETTER.search(t) else np.zeros((0, WINDOW), np.uint8) for t in texts]
+                cut = [windows(t.encode("utf-8", "surrogatepass")) if net and t and has_letter(t) else np.zeros((0, WINDOW), np.uint8) for t in texts]
                 langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 sizes = np.array([len(c) for c in cut])
                 if net and sizes.any():

@@ -11,8 +11,10 @@ rows is spread over its blocks. The number of blocks of a source grows with its
 exponent reach the driver.
 
 Edge cases: a null source is a source of its own; null and empty texts have no tokens, and they are visited like any other row
-(their source gets one epoch where it has no tokens at all); repeated rows are distinct members of the mixture only by content of
-the row order, ties of the order are broken by doc_id; an empty table gives an empty mixture.
+(their source gets one epoch where it has no tokens at all). Repeated rows are visited as often as they come; rows of one doc_id are
+ordered by their tokens, then by a hash of their text. Very long texts are counted whole, and a document is never split: a source ends
+with the document that reaches its quota. Other columns are left out, or stand in the struct ``row``; an empty table gives an empty
+mixture. From 2e11 tokens a source on, blocks grow with the source (8e12 tokens: 8 million a block).
 """
 
 from __future__ import annotations
@@ -48,64 +50,47 @@ def token_shares(docs: DataFrame, tokens: Column, source: str) -> DataFrame:
     return docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens"))
 
 
-def _entropies(shares: DataFrame, exponents: list[int]) -> dict[int, tuple[float, float, float]]:
-    """Entropy, natural total and least total that keeps all within one epoch each, for each exponent k/GRID."""
+def _trials(shares: DataFrame, exponents: list[int]) -> dict[int, tuple[float, float, float]]:
+    """Entropy, epochs for each token of budget in the most repeated source, and least budget that visits every source in full, for each
+    exponent k/GRID: one job for all of them."""
     w = F.pow(F.col("tokens").cast("double"), F.col("k") / F.lit(float(GRID)))
     rows = (
         shares.where("tokens > 0").select("tokens", F.explode(F.array(*(F.lit(k) for k in exponents))).alias("k")).withColumn("w", w)
-        .groupBy("k").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max(F.col("w") / F.col("tokens")).alias("most"), F.sum("tokens").alias("t"))
+        .groupBy("k").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.max(F.col("w") / F.col("tokens")).alias("most"), F.max(F.col("tokens") / F.col("w")).alias("full"))
         .collect()
     )
-    return {r["k"]: (_entropy(r["z"], r["wl"]), r["most"] / r["z"], r["t"]) for r in rows}
-
-
-def _entropy(z: float, wl: float) -> float:
-    return math.log(z) - wl / z
+    return {r["k"]: (math.log(r["z"]) - r["wl"] / r["z"], r["most"] / r["z"], r["full"] * r["z"]) for r in rows}
 
 
 def choose_exponent(shares: DataFrame, entropy_gain: float, max_epochs: float, budget: float | None = None) -> tuple[int, float]:
     """Exponent k of k/GRID and the token budget.
 
     The target entropy lies ``entropy_gain`` of the way from the natural entropy to that of equal weights. Without a ``budget``
-    the smallest is taken that visits every source at least once in full.
+    the smallest is taken that visits every source at least once in full. A ``budget`` of more than ``max_epochs`` times all tokens
+    can't be had within the limit at any exponent; it is cut to that. The bracket of the bisection is cut into GRID ** 0.5 parts a step.
     """
     shares = shares.cache()
-    ends = _entropies(shares, [0, GRID])
-    if not ends:
-        shares.unpersist()
-        return GRID, 0.0
-    target = ends[GRID][0] + entropy_gain * (ends[0][0] - ends[GRID][0])
-
-    def meets(k: int) -> tuple[bool, bool]:
-        entropy, per_token, total = _entropies(shares, [k])[k]
-        return entropy >= target - 1e-9, per_token * (budget or _full_budget(shares, k)) <= max_epochs + 1e-9
-
-    low, high = 0, GRID  # entropy falls with k
-    while low < high:
-        mid = (low + high + 1) // 2
-        if meets(mid)[0]:
-            low = mid
-        else:
-            high = mid - 1
-    k = low
-    if not meets(k)[1]:
-        high = GRID  # repetition falls with k
-        while low < high:
-            mid = (low + high) // 2
-            if meets(mid)[1]:
-                high = mid
-            else:
-                low = mid + 1
-        k = low
-    got = k, float(budget or _full_budget(shares, k))
+    step = math.isqrt(GRID)
+    seen = _trials(shares, list(range(0, GRID + 1, step)))
+    if seen:
+        if budget:
+            budget = min(float(budget), max_epochs * shares.agg(F.sum("tokens")).first()[0])
+        target = seen[GRID][0] + entropy_gain * (seen[0][0] - seen[GRID][0])
+        even = lambda k: seen[k][0] >= target - 1e-9  # noqa: E731  falls with k
+        within = lambda k: seen[k][1] * (budget or seen[k][2]) <= max_epochs + 1e-9  # noqa: E731  rises with k
+        k = max(x for x in seen if even(x))
+        if k < GRID:
+            seen |= _trials(shares, list(range(k + 1, k + step)))
+            k = max(x for x in seen if even(x))
+        if not within(k):
+            far = min((x for x in seen if within(x)), default=GRID)
+            near = max((x for x in seen if x < far), default=0)
+            if far - near > 1:
+                seen |= _trials(shares, list(range(near + 1, far)))
+            k = min((x for x in seen if within(x)), default=GRID)
+        budget = float(budget or seen[k][2])
     shares.unpersist()
-    return got
-
-
-def _full_budget(shares: DataFrame, k: int) -> float:
-    w = F.pow(F.col("tokens").cast("double"), F.lit(k / GRID))
-    r = shares.where("tokens > 0").agg(F.max(F.col("tokens") / w).alias("m"), F.sum(w).alias("z")).first()
-    return r["m"] * r["z"]
+    return (k, budget) if seen else (GRID, 0.0)
 
 
 def quotas(shares: DataFrame, k: int, budget: float) -> DataFrame:
@@ -142,7 +127,8 @@ def mix(docs: DataFrame, entropy_gain: float = 0.25, max_epochs: float = 4.0, bu
     starts = visits.withColumn("start", F.col("epoch") * F.col("_total") + F.sum("t").over(order) - F.col("t")).where((F.col("start") <= F.col("quota")) | (F.col("_total") == 0))
     begin = starts.select("_s", F.col("_block").alias("_b"), "epoch", "start")
     rows = dealt.join(begin, dealt[source].eqNullSafe(begin["_s"]) & (dealt["_block"] == begin["_b"])).drop("_s", "_b")
-    inside = Window.partitionBy(source, "epoch", "_block").orderBy(_digest(seed, F.col("epoch"), F.col(key)), key)
+    ties = [F.xxhash64(F.col("row")[text])] if row else []  # of rows that repeat a key
+    inside = Window.partitionBy(source, "epoch", "_block").orderBy(_digest(seed, F.col("epoch"), F.col(key)), key, "_tokens", *ties)
     before = F.coalesce(F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = rows.withColumn("_before", F.col("start") + before).where((F.col("_before") < F.col("quota")) | ((F.col("_before") == F.col("quota")) & (F.col("_tokens") == 0)) | (F.col("_total") == 0))
     place = F.when(F.col("quota") > 0, F.col("_before") / F.col("quota")).otherwise(F.lit(0.0))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, slices
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -272,7 +272,7 @@ def encode_texts(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
+        for b in slices(batches):
             got = [None if t is None else m.encode(t) for t in column(b, "_t")]
             n = pa.array([len(e) // 4 if e else 0 for e in got], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(got), n], [key, "ids", "n_tokens"])
@@ -287,7 +287,7 @@ def decode_ids(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
+        for b in slices(batches):
             got = pa.array([None if i is None else m.decode(i) for i in column(b, "_i")], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), got], [key, "text"])
 
@@ -300,7 +300,7 @@ def encode_and_verify(df: DataFrame, model: bytes, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
-        for b in batches:
+        for b in slices(batches):
             texts = column(b, "_t")
             got = [None if t is None else m.encode(t) for t in texts]
             n = pa.array([len(e) // 4 if e else 0 for e in got], pa.int32())
