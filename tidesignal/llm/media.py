@@ -5,13 +5,18 @@ DC quantiser of 8 its quantised coefficient is the sample less 128, so baseline
 category s a code of 9 - s bits, so each block takes 9 bits and a one-bit end mark, and whole streams are coded by array
 operations. The last frame is filled up with zeros; an INFO comment holds the payload's length.
 
-Reading follows the file, not the writer: RIFF chunks, the idx1 index, then each frame's own quantiser and Huffman tables. Streams
-with other tables, or with AC coefficients, are decoded bit by bit.
+Reading follows the file, not the writer: RIFF chunks, the idx1 index, then each frame's own quantiser and Huffman tables, or the usual
+ones where a frame has none. Other baseline frames, grey or colour with any sampling, with or without restart marks, are decoded bit by
+bit; their luminance counts. Not read: progressive frames, and frames in several scans (both are "broken").
 
 Shots: a cut lies where the histograms of neighbouring frames differ by more than the mean plus ``SIGMAS`` deviations of the
 last ``TRAIL`` differences, and by ``LEAST`` at all. Clips are rows with start and end times.
 
-Edge cases: a null payload counts as empty; an empty one is 64 zero bytes and one frame; equal payloads give equal files.
+Edge cases: a null payload counts as empty; an empty one is 64 zero bytes and one frame; equal payloads give equal files. A null file
+gives null features and no clips, a broken one (or one that is no AVI) the feature "broken" and no clips; an index that points outside
+the file is passed over, and the chunks are read in order; a frame of no bytes repeats the one before it. Very long texts become as many
+frames as they need; a task holds the files of at most 500 rows. Repeated rows are returned as often as they come; extra columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, slices
 
 GRID, FPS, UNIT = 32, 25, 64
 BINS, TRAIL, SIGMAS, LEAST = 16, 8, 2.0, 0.05
@@ -125,7 +130,8 @@ def parse(media: bytes) -> tuple[list[bytes], float, str]:
                 comment = bytes(data[a:b]).split(b"\x00")[0].decode("latin-1")
     if movi is None:
         raise ValueError("no frames")
-    if index is None:
+    whole = index is not None and all(struct.unpack_from("<I", data, k + 8)[0] + struct.unpack_from("<I", data, k + 12)[0] + 8 <= len(media) for k in range(index[0], index[1] - 15, 16))
+    if not whole:
         return [bytes(data[a:b]) for name, a, b in _chunks(data, movi[0] + 4, movi[1]) if name.endswith((b"dc", b"db"))], 1e6 / micros, comment
     frames = []
     for k in range(index[0], index[1] - 15, 16):
@@ -138,101 +144,158 @@ def parse(media: bytes) -> tuple[list[bytes], float, str]:
     return frames, 1e6 / micros, comment
 
 
+# fixed values of the JPEG format: the usual Huffman tables, for files that hold none. Codes by length, and the symbols that don't
+# follow in rising order; all other (run, size) symbols come after these, rising
+USUAL = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1], range(12)),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1], range(12)),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1")),
+}
+
+
+def _table(lengths, symbols) -> dict[tuple[int, int], int]:
+    """Symbol of each (code length, code)."""
+    out, code, left = {}, 0, iter(symbols)
+    for n, many in enumerate(lengths, 1):
+        for _ in range(many):
+            out[n, code] = next(left)
+            code += 1
+        code <<= 1
+    return out
+
+
+def _usual(which: int) -> dict[tuple[int, int], int]:
+    lengths, first = USUAL[which]
+    rest = [r << 4 | s for r in range(16) for s in range(1, 11) if r << 4 | s not in first] if which & 0x10 else []
+    return _table(lengths, [*first, *rest])
+
+
 class _Frame:
-    """Tables and scan of one baseline grey JPEG."""
+    """Tables and scan of one baseline JPEG, grey or with chroma; only the first component (the luminance) is given out."""
 
     def __init__(self, jpeg: bytes):
-        self.huffman: dict[int, list[tuple[int, int, int]]] = {}
-        self.table: np.ndarray | None = None
-        at, quantisers, chosen = 2, {}, 0
-        while at + 4 <= len(jpeg):
+        self.huffman: dict[int, dict[tuple[int, int], int]] = {}
+        self.values: np.ndarray | None = None
+        self.restart = 0
+        at, quantisers = jpeg.index(b"\xff\xd8") + 2, {}
+        parts: list[tuple[int, int, int, int]] = []  # component, its blocks across and down in a unit, its quantiser
+        while True:
+            while jpeg[at + 1] == 0xFF:  # fill bytes
+                at += 1
             marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
             body = jpeg[at + 4 : at + 2 + size]
             at += 2 + size
             if marker == 0xDB:
-                quantisers[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int64)
-            elif marker == 0xC0:
-                self.height, self.width, parts = struct.unpack_from(">HHB", body, 1)
-                if parts != 1:
-                    raise ValueError("only grey frames are read")
-                chosen = body[8]
+                while body:
+                    wide = 1 + (body[0] >> 4)
+                    quantisers[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.int64)
+                    body = body[1 + 64 * wide :]
             elif marker == 0xC4:
                 while body:
-                    lengths, code, values, k = body[1:17], 0, [], 17
-                    for n, many in enumerate(lengths, 1):
-                        for _ in range(many):
-                            values.append((n, code, body[k]))
-                            code, k = code + 1, k + 1
-                        code <<= 1
-                    self.huffman[body[0]] = values
-                    body = body[17 + sum(lengths) :]
+                    many = sum(body[1:17])
+                    self.huffman[body[0]] = _table(body[1:17], body[17 : 17 + many])
+                    body = body[17 + many :]
+            elif marker == 0xDD:
+                self.restart = struct.unpack_from(">H", body)[0]
+            elif marker == 0xC0 or marker == 0xC1:
+                self.height, self.width, n = struct.unpack_from(">HHB", body, 1)
+                parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
             elif marker == 0xDA:
-                self.tables = body[2] >> 4, 0x10 | body[2] & 15
+                tables = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
                 break
-            elif 0xC1 <= marker <= 0xCF and marker != 0xC4:
+            elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
                 raise ValueError("only baseline frames are read")
-        self.quantiser = quantisers[chosen]
+        if len(tables) != len(parts) or not self.height or not self.width:
+            raise ValueError("only frames in one scan are read")
+        if len(parts) == 1:
+            parts = [(parts[0][0], 1, 1, parts[0][3])]
+        self.parts = [(h, v, tables[c] >> 4, 0x10 | tables[c] & 15) for c, h, v, _ in parts]
+        for _, _, dc, ac in self.parts:
+            for which in (dc, ac):
+                if which not in self.huffman:
+                    self.huffman[which] = _usual(which)
+        self.quantiser = quantisers[parts[0][3]]
         self.head = jpeg[:at]
         self.scan = self.scan_of(jpeg)
         self.blocks = -(-self.height // 8), -(-self.width // 8)
 
     def scan_of(self, jpeg: bytes) -> bytes:
         end = jpeg.rfind(b"\xff\xd9")
-        return jpeg[len(self.head) : end if end > 0 else len(jpeg)].replace(b"\xff\x00", b"\xff")
+        return jpeg[len(self.head) : end if end > 0 else len(jpeg)]
 
     def flat(self, scans: list[bytes]) -> np.ndarray | None:
         """DC differences of frames with these tables by array operations, if every block takes one width and has an end mark only."""
-        dc, ac = self.huffman[self.tables[0]], self.huffman[self.tables[1]]
-        widths = {n + s for n, _, s in dc}
+        dc, ac = self.huffman[self.parts[0][2]], self.huffman[self.parts[0][3]]
+        widths = {n + s for (n, _), s in dc.items()}
         count = self.blocks[0] * self.blocks[1]
-        if len(ac) != 1 or ac[0][2] or len(widths) != 1 or widths.pop() + ac[0][0] != 10 or count % 4:
+        if len(self.parts) > 1 or self.restart or list(ac.values()) != [0] or len(widths) != 1 or widths.pop() + next(iter(ac))[0] != 10 or count % 4:
             return None
         size = count * 10 // 8
-        raw = np.frombuffer(b"".join(x[:size] for x in scans), np.uint8).reshape(-1, 5)
+        scans = [x.replace(b"\xff\x00", b"\xff")[:size] for x in scans]
+        if any(len(x) < size for x in scans):
+            raise ValueError("a frame ends early")
+        raw = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, 3:] = raw
         v = wide.view(">u8").ravel().astype(np.uint64)
         codes = np.stack([v >> np.uint64(s) & np.uint64(1023) for s in (30, 20, 10, 0)], 1).ravel().astype(np.int64) >> 1
-        if self.table is None:
-            self.table = np.zeros(512, np.int64)
-            for n, code, s in dc:
+        if self.values is None:
+            self.values = np.zeros(512, np.int64)
+            for (_, code), s in dc.items():
                 for k in range(1 << s):
-                    self.table[code << s | k] = (k if k >> (s - 1) else k - (1 << s) + 1) if s else 0
-        return self.table[codes].reshape(len(scans), count)
+                    self.values[code << s | k] = (k if k >> (s - 1) else k - (1 << s) + 1) if s else 0
+        return self.values[codes].reshape(len(scans), count)
 
     def coefficients(self) -> np.ndarray:
-        """All coefficients, decoded bit by bit."""
-        bits = np.unpackbits(np.frombuffer(self.scan, np.uint8)).tolist()
-        trees = [{(n, c): s for n, c, s in self.huffman[t]} for t in self.tables]
-        at = 0
+        """All coefficients of the first component, decoded bit by bit: blocks x 64."""
+        across, down = max(p[0] for p in self.parts), max(p[1] for p in self.parts)
+        wide, high = -(-self.width // (8 * across)), -(-self.height // (8 * down))
+        h, v = self.parts[0][:2]
+        out = np.zeros((high * v, wide * h, 64), np.int64)
+        pieces = re.split(rb"\xff+[\xd0-\xd7]", self.scan) if self.restart else [self.scan]
+        units = [(y, x) for y in range(high) for x in range(wide)]
+        step = self.restart or len(units)
+        for n, piece in enumerate(pieces):
+            self._decode(piece.replace(b"\xff\x00", b"\xff"), units[n * step : (n + 1) * step], out)
+        return out[: self.blocks[0], : self.blocks[1]].reshape(-1, 64)
+
+    def _decode(self, raw: bytes, units: list[tuple[int, int]], out: np.ndarray) -> None:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).tolist()
+        at, last = 0, [0] * len(self.parts)
 
         def symbol(tree: dict) -> int:
             nonlocal at
             n = code = 0
             while (n, code) not in tree:
+                if n > 16:
+                    raise ValueError("no such code")
                 code, n, at = code << 1 | bits[at], n + 1, at + 1
             return tree[n, code]
 
         def value(s: int) -> int:
             nonlocal at
-            v = int("".join(map(str, bits[at : at + s])), 2) if s else 0
+            if not s:
+                return 0
+            v = int("".join(map(str, bits[at : at + s])), 2)
             at += s
-            return v if not s or v >> (s - 1) else v - (1 << s) + 1
-
-        out, dc = np.zeros((self.blocks[0] * self.blocks[1], 64), np.int64), 0
-        for block in out:
-            dc += value(symbol(trees[0]))
-            block[0] = dc
-            k = 1
-            while k < 64:
-                rs = symbol(trees[1])
-                if rs == 0:
-                    break
-                k += rs >> 4
-                if rs != 0xF0:
-                    block[ZIGZAG[k]] = value(rs & 15)
-                k += 1
-        return out
+            return v if v >> (s - 1) else v - (1 << s) + 1
+
+        for y, x in units:
+            for k, (h, v, dc, ac) in enumerate(self.parts):
+                for n in range(h * v):
+                    block = out[y * v + n // h, x * h + n % h] if k == 0 else np.zeros(64, np.int64)
+                    last[k] += value(symbol(self.huffman[dc]))
+                    block[0] = last[k]
+                    c = 1
+                    while c < 64:
+                        rs = symbol(self.huffman[ac])
+                        if rs == 0:
+                            break
+                        c += rs >> 4
+                        if rs != 0xF0:
+                            block[ZIGZAG[c]] = value(rs & 15)
+                        c += 1
 
     def samples(self, dc: np.ndarray | None = None) -> np.ndarray:
         """Mean level of each 8x8 block, row by row, as 8-bit samples."""
@@ -240,7 +303,7 @@ class _Frame:
         return np.clip(dc * self.quantiser[0] // 8 + 128, 0, 255).astype(np.uint8)
 
     def pixels(self) -> np.ndarray:
-        """The whole picture."""
+        """The whole picture; of a colour frame its luminance."""
         c = self.coefficients()
         q = np.zeros(64, np.int64)
         q[ZIGZAG] = self.quantiser
@@ -255,32 +318,40 @@ class _Frame:
 _heads: list[_Frame] = []
 
 
-def _samples(frames: list[bytes]) -> np.ndarray:
-    """Samples of all frames of a file (frames x samples)."""
-    head = _heads[0] if _heads and frames[0].startswith(_heads[0].head) else _Frame(frames[0])
+def _samples(frames: list[bytes]) -> list[np.ndarray] | np.ndarray:
+    """Samples of all frames of a file. A frame of no bytes repeats the one before it."""
+    full = [f for f in frames if f]
+    if not full:
+        raise ValueError("no frames")
+    head = _heads[0] if _heads and full[0].startswith(_heads[0].head) else _Frame(full[0])
     _heads[:] = [head]  # files of one writer have one header
-    if all(f.startswith(head.head) for f in frames):
+    if len(full) == len(frames) and all(f.startswith(head.head) for f in frames):
         steps = head.flat([head.scan_of(f) for f in frames])
         if steps is not None:
             return head.samples(steps.cumsum(1))
-    return np.stack([_Frame(f).samples() for f in frames])
-
-
-def read_payload(media: bytes) -> tuple[bytes, np.ndarray, float]:
-    """The stored payload, the frames' samples (frames x samples), frames a second."""
-    frames, fps, comment = parse(media)
-    samples = _samples(frames)
+    out: list[np.ndarray] = []
+    for f in frames:
+        if f or out:
+            out.append(_Frame(f).samples() if f else out[-1])
+    return out
+
+
+def read_payload(media: bytes) -> tuple[bytes, list[np.ndarray] | np.ndarray, float]:
+    """The stored payload, the frames' samples, frames a second. ValueError for what is no such file, or is broken."""
+    try:
+        frames, fps, comment = parse(media)
+        samples = _samples(frames)
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError("broken file") from e
     size = re.match(r"payload=(\d+)", comment)
-    raw = samples.tobytes()
+    raw = b"".join(x.tobytes() for x in samples)
     return raw[: int(size[1])] if size else raw, samples, fps
 
 
-def shots(samples: np.ndarray) -> list[int]:
+def shots(samples: list[np.ndarray] | np.ndarray) -> list[int]:
     """First frames of the shots."""
-    n, size = samples.shape
-    at = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
-    hist = np.bincount(at.ravel(), minlength=n * BINS).reshape(n, BINS)
-    step = np.abs(np.diff(hist, axis=0)).sum(1) / (2.0 * size)
+    hist = np.stack([np.bincount(x >> 4, minlength=BINS) / len(x) for x in samples])
+    step = np.abs(np.diff(hist, axis=0)).sum(1) / 2.0
     starts = [0]
     for k, d in enumerate(step.tolist()):
         past = step[max(0, k - TRAIL) : k]
@@ -293,6 +364,10 @@ def shots(samples: np.ndarray) -> list[int]:
 def clips(media: bytes) -> list[tuple[int, float, float, int]]:
     """clip, start and end in seconds, frames."""
     _, samples, fps = read_payload(media)
+    return _clips(samples, fps)
+
+
+def _clips(samples: list[np.ndarray] | np.ndarray, fps: float) -> list[tuple[int, float, float, int]]:
     starts = shots(samples)
     ends = [*starts[1:], len(samples)]
     return [(k, a / fps, b / fps, b - a) for k, (a, b) in enumerate(zip(starts, ends))]
@@ -313,42 +388,42 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), F.col(text).cast("binary").alias("_r")).mapInArrow(run, schema)
 
 
-def clip_rows(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each shot of each file: ``key, clip, start_s, end_s, frames``."""
-    kind = stored.schema[key]
+CLIP = "clip int, start_s double, end_s double, frames int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, rows = [], []
-            for k, m in enumerate(column(b, "media")):
-                got = clips(m) if m is not None else []
-                at += [k] * len(got)
-                rows += got
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], [key, "clip", "start_s", "end_s", "frames"])
 
-    schema = T.StructType([kind, *T._parse_datatype_string("clip int, start_s double, end_s double, frames int").fields])
-    return stored.select(key, "media").mapInArrow(run, schema)
+def clip_rows(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each shot of each file: ``key, clip, start_s, end_s, frames``; none for null and broken files."""
+    return digest(stored, key).select(key, F.inline("clips"))
 
 
 def digest(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What is read back from ``media``: payload size and hash, tail checksum, file size and hash, and the shots."""
+    """What is read back from ``media``: payload size and hash, tail checksum, file size and hash, and the shots.
+
+    A null file gives nulls; of a broken one only size and hash are given, and ``feature`` is "broken".
+    """
     kind = stored.schema[key]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def of(m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * 7
+        about = len(m), hashlib.sha256(m).hexdigest()
+        try:
+            payload, samples, fps = read_payload(m)
+        except ValueError:
+            return None, None, None, *about, "broken", None
+        cut = _clips(samples, fps)
+        feature = f"frames={len(samples)};clips=" + ",".join(f"{a:.2f}-{e:.2f}" for _, a, e, _ in cut)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *about, feature, [dict(zip(("clip", "start_s", "end_s", "frames"), c)) for c in cut]
+
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    clip = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32())]))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for m in column(b, "media"):
-                payload, samples, fps = read_payload(m)
-                starts = shots(samples)
-                ends = [*starts[1:], len(samples)]
-                feature = f"frames={len(samples)};clips=" + ",".join(f"{a / fps:.2f}-{e / fps:.2f}" for a, e in zip(starts, ends))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for b in slices(batches):
+            cols = list(zip(*map(of, column(b, "media")))) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], [key, "n_bytes", *names])
 
-    schema = T.StructType([kind, *T._parse_datatype_string("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
-    return stored.select(key, "n_bytes", "media").mapInArrow(run, schema)
+    added = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<{CLIP.replace(' ', ': ').replace(',:', ',')}>>"
+    schema = T.StructType([kind, *T._parse_datatype_string(added).fields])
+    return stored.select(key, F.col("n_bytes") if "n_bytes" in stored.columns else F.lit(None).cast("long").alias("n_bytes"), "media").mapInArrow(run, schema)
