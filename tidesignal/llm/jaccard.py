@@ -5,9 +5,9 @@ in adjacent bands. A tile holds the documents of two adjacent bands that share o
 one global order, two linked sets must share a member among the first ``n - ceil(n*num/den) + 1`` of each, and at the first one they
 share enough must be left behind it in both. The order puts frequent shingles last, so common lines and passages stay out of prefixes.
 
-Within a tile every document is first compared with two leaders only. Components of these links are contracted, and then just the
-pairs that still lie in different components are compared, so a tile of mutual copies costs two comparisons a member. Every pair
-passes the size and position tests, then a hashed bitmap signature (a bit is the parity of the members that hash to it): the count
+Within a tile every document is first compared with ``LEADERS`` leaders only, those with the fewest shingles of their own. Components of
+these links are contracted, and then just the pairs that still lie in different components are compared, so a tile of copies of one
+text costs a few comparisons a member. Every pair passes the size and position tests, then a hashed bitmap signature (a bit is the parity of the members that hash to it): the count
 of differing bits bounds the overlap from above. Survivors are settled by exact intersection of the sorted shingle arrays. No link
 between different sets is lost: a pair is skipped only where a bound excludes it or where both ends are already in one component.
 
@@ -37,6 +37,8 @@ from .common import Scratch, free_name
 from .components import connected_components
 from .shingles import shingle_sets
 
+#: Sets of a tile that all its sets are compared with first.
+LEADERS = 4
 #: Shingles in the list of frequent ones (1 MB), and how many are counted together to find them.
 FREQUENT, COUNTED = 1 << 17, 1 << 20
 #: Bits for each id of the filter that keeps texts outside all pairs from being shuffled, and its largest size (16 MB). Beyond that
@@ -254,10 +256,13 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -
     maps = tables.write("maps", heads.select("v", "n", "signature").join(cells.select("v").distinct(), "v", "left_semi"))
     tables.drop("heads")
 
-    # each member of a tile (two adjacent bands) against two leaders of its upper band
+    # each member of a tile (two adjacent bands) against a few leaders of its upper band: in each of LEADERS parts of it the set with
+    # the fewest shingles rarer than the shared one, that is, with the least of its own
     tiles = cells.select("h", "v", "n", "at", "band", F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
-    upper = tiles.where("band = tile").groupBy("h", "tile").agg(F.min(F.struct("v", "n", "at")).alias("low"), F.max(F.struct("v", "n", "at")).alias("high"), F.count("*").alias("k"))
-    stars = tiles.join(upper, ["h", "tile"]).select("v", "n", "at", F.explode(F.array("low", "high")).alias("lead"))
+    part = F.pmod(F.xxhash64("v"), F.lit(LEADERS))
+    lead = [F.min(F.when(part == k, F.struct("at", "v", "n"))) for k in range(LEADERS)]
+    upper = tiles.where("band = tile").groupBy("h", "tile").agg(F.array_compact(F.array(*lead)).alias("leaders"), F.count("*").alias("k"))
+    stars = tiles.join(upper, ["h", "tile"]).select("v", "n", "at", F.explode("leaders").alias("lead"))
     stars = stars.where((F.col("v") != F.col("lead.v")) & _bounds(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), num, den))
     tried = stars.select(F.least("v", "lead.v").alias("a"), F.greatest("v", "lead.v").alias("b")).distinct()
     end = lambda x: maps.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}"))
@@ -265,9 +270,9 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -
     links = tables.write("links", _links(docs, near, reps, n, num, den))
     component = connected_components(links)
 
-    # pairs of a tile that are still in different components: all but the largest component's members against the others;
-    # up to two sets of the upper band are leaders both, and have been compared with all
-    placed = tiles.join(upper.where("k > 2").select("h", "tile"), ["h", "tile"]).join(component.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    # pairs of a tile that are still in different components: all but the largest component's members against the others; where all
+    # sets of the upper band are leaders, every pair has been compared
+    placed = tiles.join(upper.where(F.col("k") > F.size("leaders")).select("h", "tile"), ["h", "tile"]).join(component.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     parts = placed.groupBy("h", "tile", "component").count().groupBy("h", "tile").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("h", "tile", F.col("top.component").alias("top"))
     still = tables.write("open", placed.join(parts, ["h", "tile"]).join(maps.select("v", "signature"), "v"))
     tables.drop("cells")
