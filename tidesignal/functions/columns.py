@@ -61,13 +61,11 @@ def kurt_unbiased(x: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation from moments; NULL on constants and for pairs with a missing side."""
+    """Pearson correlation by centred moments; NULL on constants and for pairs with a missing side."""
     both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    n = F.count(a).cast("double")
-    cov = F.sum(a * b) - ratio(F.sum(a) * F.sum(b), n)
-    va, vb = F.sum(a * a) - ratio(F.sum(a) * F.sum(a), n), F.sum(b * b) - ratio(F.sum(b) * F.sum(b), n)
-    return F.when((va > 1e-9) & (vb > 1e-9), ratio(cov, F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))))
+    a, b = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    varies = lambda c: F.stddev_pop(c) > 1e-12 * F.max(F.abs(c))  # noqa: E731  more than rounding makes of a constant
+    return F.when(varies(a) & varies(b), ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def trading_minutes(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def to_columns(panel: DataFrame, symbols: DataFrame, order: str = "bar_ts", key: str = "symbol") -> DataFrame:
     """Every (time, wanted symbol), missing where the panel has none."""
-    grid = panel.select(order).distinct().crossJoin(F.broadcast(symbols.select(key).distinct()))  # a list of symbols
+    grid = panel.select(order).distinct().crossJoin(symbols.select(key).distinct())
     return grid.join(panel, [order, key], "left")
 
 
@@ -24,7 +24,7 @@ def duplicated(df: DataFrame, on: list[str]) -> DataFrame:
 
 def expand(single: DataFrame, symbols: DataFrame, key: str = "symbol") -> DataFrame:
     """One series for every symbol."""
-    return single.crossJoin(F.broadcast(symbols.select(key).distinct()))  # a list of symbols
+    return single.crossJoin(symbols.select(key).distinct())
 
 
 def trim(panel: DataFrame, by: DataFrame, value: str, order: str = "bar_ts") -> DataFrame:

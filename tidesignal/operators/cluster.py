@@ -1,25 +1,23 @@
 """Correlation of factors from moments, greedy dedup, hierarchical clustering.
 
-Moments of all pairs are a distributed self join on the day; only the matrix of a bounded number of factors
-(``MAX_FACTORS``, checked) reaches the driver, where the order-dependent steps run in numpy.
+Products of all pairs are a distributed self join on the day, over a calendar on which missing days count as 0. For linkage the matrix
+of a bounded number of factors (``MAX_FACTORS``, checked) reaches the driver as columns, for the greedy pass only pairs beyond the limit.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation
+MAX_FACTORS = 2000
 
-MAX_FACTORS = 5000
 
-
-def pair_correlations(df: DataFrame, key: str = "factor", on: str = "day", value: str = "v") -> DataFrame:
-    """``a, b, corr`` for a < b over the common days."""
-    x = df.select(F.col(key).alias("a"), on, F.col(value).alias("x"))
-    y = df.select(F.col(key).alias("b"), on, F.col(value).alias("y"))
-    return x.join(y, on).where("a < b").groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("corr"))
+def calendar_days(df: DataFrame, on: str = "day") -> int:
+    """Days from the first to the last one, both included."""
+    first, last = df.agg(F.min(on), F.max(on)).first()
+    return (last - first).days + 1 if first else 1
 
 
 def sparse_correlations(df: DataFrame, names: DataFrame, days: int, key: str = "factor", on: str = "day", value: str = "v") -> DataFrame:
@@ -29,32 +27,40 @@ def sparse_correlations(df: DataFrame, names: DataFrame, days: int, key: str = "
     """
     d = df.select(F.col(key).alias("k"), on, F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
     own = names.select(F.col(key).alias("k")).join(d.groupBy("k").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")), "k", "left").na.fill(0.0, ["s", "q"])
-    x, y = (own.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"), (F.col("q") - F.col("s") * F.col("s") / days).alias(f"v{c}")) for c in "ab")
+    x, y = (own.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"), F.col("q").alias(f"q{c}"), (F.col("q") - F.col("s") * F.col("s") / days).alias(f"v{c}")) for c in "ab")
     both = d.select(F.col("k").alias("a"), on, F.col("v").alias("x")).join(d.select(F.col("k").alias("b"), on, F.col("v").alias("y")), on).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
     all_pairs = x.join(y, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
-    spread = F.when((F.col("va") > 1e-15) & (F.col("vb") > 1e-15), F.sqrt(F.col("va") * F.col("vb")))
+    spread = F.when((F.col("va") > 1e-12 * F.col("qa")) & (F.col("vb") > 1e-12 * F.col("qb")), F.sqrt(F.col("va") * F.col("vb")))
     return all_pairs.select("a", "b", ((F.coalesce("xy", F.lit(0.0)) - F.col("sa") * F.col("sb") / days) / spread).alias("corr"))
 
 
-def _matrix(pairs: DataFrame, names: list) -> np.ndarray:
+def _checked(names: list) -> list:
     if len(names) > MAX_FACTORS:
         raise ValueError(f"{len(names)} factors; at most {MAX_FACTORS} can be clustered at once")
-    at = {n: k for k, n in enumerate(names)}
+    return names
+
+
+def _matrix(pairs: DataFrame, names: list) -> np.ndarray:
+    at = pd.Series(np.arange(len(names)), pd.Index(_checked(names)))
+    got = pairs.where("corr is not null").select("a", "b", "corr").toPandas()
     m = np.eye(len(names))
-    for r in pairs.select("a", "b", "corr").collect():
-        if r["corr"] is not None:
-            m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["corr"]
+    i, j = at[got["a"]].to_numpy(), at[got["b"]].to_numpy()
+    m[i, j] = m[j, i] = got["corr"].to_numpy()
     return m
 
 
 def greedy_dedup(pairs: DataFrame, ranked: list, limit: float) -> list:
-    """Names in order of rank, each kept unless a kept one correlates with it beyond ``limit``."""
-    m = np.abs(_matrix(pairs, ranked))
-    kept: list[int] = []
-    for k in range(len(ranked)):
-        if not kept or m[k, kept].max() <= limit:
-            kept.append(k)
-    return [ranked[k] for k in kept]
+    """Names in order of rank, each kept unless a kept one correlates with it beyond ``limit``. Only pairs beyond it are gathered."""
+    place = {n: k for k, n in enumerate(_checked(ranked))}
+    against: dict = {}
+    for a, b in pairs.where(F.abs("corr") > limit).select("a", "b").toPandas().itertuples(index=False):
+        first, second = sorted((a, b), key=place.__getitem__)
+        against.setdefault(second, []).append(first)
+    kept: dict = {}
+    for n in ranked:
+        if not any(x in kept for x in against.get(n, ())):
+            kept[n] = None
+    return list(kept)
 
 
 def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:

@@ -13,10 +13,10 @@ YEAR = 245
 def drawdowns(df: DataFrame, ret: str = "ret", keys: list[str] = ["factor"], order: str = "day") -> DataFrame:
     """Adds ``cum`` (running sum), ``fall`` (below its peak so far), ``wealth`` (compounded) and ``dd`` (relative to its peak).
 
-    Compounding is a running sum of logarithms, so returns must stay above -1.
+    Compounding is a running product, so a return of -1 or below takes wealth to zero or past it, and later returns go on from there.
     """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    got = df.withColumn("cum", F.sum(ret).over(w)).withColumn("wealth", F.exp(F.sum(F.log1p(ret)).over(w)))
+    got = df.withColumn("cum", F.sum(ret).over(w)).withColumn("wealth", F.product(1 + F.col(ret)).over(w))
     return got.withColumn("fall", F.max("cum").over(w) - F.col("cum")).withColumn("dd", ratio(F.col("wealth"), F.max("wealth").over(w)) - 1)
 
 

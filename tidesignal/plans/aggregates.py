@@ -30,42 +30,42 @@ gc AS (SELECT *, CASE WHEN date_diff('day', CAST(bar_ts AS DATE), CAST(nx AS DAT
   WHEN isodow(bar_ts) = 5 AND isodow(nx) = 1 THEN 'weekend' ELSE 'holiday' END AS kind FROM gi WHERE nx IS NOT NULL)"""
 
 
-@query("agg_interval", "SELECT symbol, kind, CASE WHEN pos > 0 THEN 'long' ELSE 'short' END AS side, round(avg(gp), 6) AS mean_gp, round(sum(gp), 6) AS sum_gp, count(*) AS n FROM gc WHERE pos <> 0 GROUP BY 1, 2, 3", _NEXT)
+@query("agg_interval", "SELECT symbol, kind, CASE WHEN pos > 0 THEN 'long' ELSE 'short' END AS side, round(avg(gp), 11) AS mean_gp, round(sum(gp), 6) AS sum_gp, count(*) AS n FROM gc WHERE pos <> 0 GROUP BY 1, 2, 3", _NEXT)
 def _(spark, sf):
     w = Window.partitionBy("symbol").orderBy("bar_ts")
     g = gained(spark, sf).withColumn("nx", F.lead("bar_ts").over(w)).where("nx is not null and pos <> 0")
     gap = F.datediff("nx", "bar_ts")
     kind = F.when(gap == 0, "intraday").when(gap == 1, "overnight").when((F.weekday("bar_ts") == 4) & (F.weekday("nx") == 0), "weekend").otherwise("holiday")
-    return g.groupBy("symbol", kind.alias("kind"), F.when(F.col("pos") > 0, "long").otherwise("short").alias("side")).agg(_r(F.avg("gp")).alias("mean_gp"), _r(F.sum("gp")).alias("sum_gp"), F.count("*").alias("n"))
+    return g.groupBy("symbol", kind.alias("kind"), F.when(F.col("pos") > 0, "long").otherwise("short").alias("side")).agg(_r(F.avg("gp"), 11).alias("mean_gp"), _r(F.sum("gp")).alias("sum_gp"), F.count("*").alias("n"))
 
 
-@query("agg_dist", "SELECT symbol, count(price) AS n, round(avg(price), 6) AS mean, round(median(price), 6) AS median, round(stddev_samp(price), 6) AS std, round(skewness(price), 5) AS skew, round(kurtosis(price), 5) AS kurt, min(price) AS least, max(price) AS most FROM bars GROUP BY 1", BARS)
+@query("agg_dist", "SELECT symbol, count(price) AS n, round(avg(price), 11) AS mean, round(median(price), 11) AS median, round(stddev_samp(price), 6) AS std, round(skewness(price), 5) AS skew, round(kurtosis(price), 5) AS kurt, min(price) AS least, max(price) AS most FROM bars GROUP BY 1", BARS)
 def _(spark, sf):
     p = F.col("price")
-    return _b(spark, sf).groupBy("symbol").agg(F.count(p).alias("n"), _r(F.avg(p)).alias("mean"), _r(F.median(p)).alias("median"), _r(F.stddev_samp(p)).alias("std"), _r(skew_unbiased(p), 5).alias("skew"), _r(kurt_unbiased(p), 5).alias("kurt"), F.min(p).alias("least"), F.max(p).alias("most"))
+    return _b(spark, sf).groupBy("symbol").agg(F.count(p).alias("n"), _r(F.avg(p), 11).alias("mean"), _r(F.median(p), 11).alias("median"), _r(F.stddev_samp(p)).alias("std"), _r(skew_unbiased(p), 5).alias("skew"), _r(kurt_unbiased(p), 5).alias("kurt"), F.min(p).alias("least"), F.max(p).alias("most"))
 
 
 _DEC = BARS + """, rk AS (SELECT symbol, factor, lead(price) OVER (PARTITION BY symbol ORDER BY bar_ts) / price - 1 AS rtn, row_number() OVER (PARTITION BY symbol ORDER BY factor, bar_ts) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM bars)"""
 
 
-@query("agg_decile", "SELECT symbol, greatest(((r - 1) * 10 + n - 2) // (n - 1) - 1, 0)::BIGINT AS decile, count(*) AS n, round(avg(rtn), 6) AS mean_rtn FROM rk GROUP BY 1, 2", _DEC)
+@query("agg_decile", "SELECT symbol, greatest(((r - 1) * 10 + n - 2) // (n - 1) - 1, 0)::BIGINT AS decile, count(*) AS n, round(avg(rtn), 11) AS mean_rtn FROM rk GROUP BY 1, 2", _DEC)
 def _(spark, sf):
     w = Window.partitionBy("symbol")
     b = _b(spark, sf).withColumn("rtn", ratio(F.lead("price").over(w.orderBy("bar_ts")), F.col("price")) - 1).withColumn("r", F.row_number().over(w.orderBy("factor", "bar_ts"))).withColumn("n", F.count("*").over(w))
     decile = F.greatest(F.expr("((r - 1) * 10 + n - 2) div (n - 1) - 1"), F.lit(0)).cast("long")
-    return b.groupBy("symbol", decile.alias("decile")).agg(F.count("*").alias("n"), _r(F.avg("rtn")).alias("mean_rtn"))
+    return b.groupBy("symbol", decile.alias("decile")).agg(F.count("*").alias("n"), _r(F.avg("rtn"), 11).alias("mean_rtn"))
 
 
-@query("agg_intraday", "SELECT symbol, strftime(bar_ts, '%H:%M') AS hm, round(avg(price), 6) AS price, round(avg(factor), 6) AS factor FROM bars GROUP BY 1, 2", BARS)
+@query("agg_intraday", "SELECT symbol, strftime(bar_ts, '%H:%M') AS hm, round(avg(price), 11) AS price, round(avg(factor), 11) AS factor FROM bars GROUP BY 1, 2", BARS)
 def _(spark, sf):
-    return _b(spark, sf).groupBy("symbol", F.date_format("bar_ts", "HH:mm").alias("hm")).agg(_r(F.avg("price")).alias("price"), _r(F.avg("factor")).alias("factor"))
+    return _b(spark, sf).groupBy("symbol", F.date_format("bar_ts", "HH:mm").alias("hm")).agg(_r(F.avg("price"), 11).alias("price"), _r(F.avg("factor"), 11).alias("factor"))
 
 
-@query("agg_week_minute", "SELECT (isodow(ts) - 1)::BIGINT AS weekday, strftime(time_bucket(INTERVAL 5 MINUTES, ts), '%H:%M') AS hm, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+@query("agg_week_minute", "SELECT (isodow(ts) - 1)::BIGINT AS weekday, strftime(time_bucket(INTERVAL 5 MINUTES, ts), '%H:%M') AS hm, round(sum(value), 4) AS total, round(avg(value), 11) AS mean FROM events GROUP BY 1, 2")
 def _(spark, sf):
     e = panels.table(spark, sf, "events").select("value", F.weekday("ts").cast("long").alias("weekday"), (F.hour("ts") * 60 + F.floor(F.minute("ts") / 5) * 5).alias("m"))
     hm = F.concat(F.lpad(F.floor(F.col("m") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("m") % 60).cast("string"), 2, "0"))
-    return e.groupBy("weekday", hm.alias("hm")).agg(_r(F.sum("value"), 4).alias("total"), _r(F.avg("value")).alias("mean"))
+    return e.groupBy("weekday", hm.alias("hm")).agg(_r(F.sum("value"), 4).alias("total"), _r(F.avg("value"), 11).alias("mean"))
 
 
 @query("agg_minute_inst", f"SELECT symbol, strftime(open_time, '%H:%M') AS hm, count(*) AS n, round(sum({_NETSQL}), 6) AS total FROM trades GROUP BY GROUPING SETS ((symbol, hm), (hm))", _TRADES)
@@ -102,16 +102,16 @@ def _(spark, sf):
 _TESTS = ["t0", "t1", "t2", "t3"]
 
 
-@query("agg_pivot_stats", "SELECT process_name, " + ", ".join(f"round(avg(net_sharpe_ratio) FILTER (test_name = '{t}'), 6) AS {t}_mean, round(quantile_cont(net_sharpe_ratio, 0.9) FILTER (test_name = '{t}'), 6) AS {t}_high, count(*) FILTER (test_name = '{t}') AS {t}_n" for t in _TESTS) + " FROM evals GROUP BY 1", EVALS)
+@query("agg_pivot_stats", "SELECT process_name, " + ", ".join(f"round(avg(net_sharpe_ratio) FILTER (test_name = '{t}'), 11) AS {t}_mean, round(quantile_cont(net_sharpe_ratio, 0.9) FILTER (test_name = '{t}'), 11) AS {t}_high, count(*) FILTER (test_name = '{t}') AS {t}_n" for t in _TESTS) + " FROM evals GROUP BY 1", EVALS)
 def _(spark, sf):
     s = F.col("net_sharpe_ratio")
-    return _e(spark, sf).groupBy("process_name").pivot("test_name", _TESTS).agg(_r(F.avg(s)).alias("mean"), _r(F.percentile(s, F.lit(0.9))).alias("high"), F.count(F.lit(1)).alias("n")).na.fill(0, [f"{t}_n" for t in _TESTS])
+    return _e(spark, sf).groupBy("process_name").pivot("test_name", _TESTS).agg(_r(F.avg(s), 11).alias("mean"), _r(F.percentile(s, F.lit(0.9)), 11).alias("high"), F.count(F.lit(1)).alias("n")).na.fill(0, [f"{t}_n" for t in _TESTS])
 
 
-@query("agg_group_stats", "SELECT process_name, round(avg(sharpe_ratio), 6) AS mean, round(median(sharpe_ratio), 6) AS median, round(stddev_samp(sharpe_ratio), 6) AS std, round(quantile_cont(sharpe_ratio, 0.1), 6) AS p10, round(quantile_cont(sharpe_ratio, 0.9), 6) AS p90, max(sharpe_ratio) AS most, min(sharpe_ratio) AS least, count(*) AS n, count(*) FILTER (sharpe_ratio > 1) AS valid FROM evals GROUP BY 1", EVALS)
+@query("agg_group_stats", "SELECT process_name, round(avg(sharpe_ratio), 11) AS mean, round(median(sharpe_ratio), 11) AS median, round(stddev_samp(sharpe_ratio), 6) AS std, round(quantile_cont(sharpe_ratio, 0.1), 11) AS p10, round(quantile_cont(sharpe_ratio, 0.9), 11) AS p90, max(sharpe_ratio) AS most, min(sharpe_ratio) AS least, count(*) AS n, count(*) FILTER (sharpe_ratio > 1) AS valid FROM evals GROUP BY 1", EVALS)
 def _(spark, sf):
     s = F.col("sharpe_ratio")
-    return _e(spark, sf).groupBy("process_name").agg(_r(F.avg(s)).alias("mean"), _r(F.median(s)).alias("median"), _r(F.stddev_samp(s)).alias("std"), _r(F.percentile(s, F.lit(0.1))).alias("p10"), _r(F.percentile(s, F.lit(0.9))).alias("p90"), F.max(s).alias("most"), F.min(s).alias("least"), F.count("*").alias("n"), F.count_if(s > 1).alias("valid"))
+    return _e(spark, sf).groupBy("process_name").agg(_r(F.avg(s), 11).alias("mean"), _r(F.median(s), 11).alias("median"), _r(F.stddev_samp(s)).alias("std"), _r(F.percentile(s, F.lit(0.1)), 11).alias("p10"), _r(F.percentile(s, F.lit(0.9)), 11).alias("p90"), F.max(s).alias("most"), F.min(s).alias("least"), F.count("*").alias("n"), F.count_if(s > 1).alias("valid"))
 
 
 @query("agg_describe", "SELECT process_name, count(hsr) AS n, round(avg(hsr), 9) AS mean, round(stddev_samp(hsr), 9) AS std, min(hsr) AS least, round(quantile_cont(hsr, 0.25), 9) AS q1, round(quantile_cont(hsr, 0.5), 9) AS q2, round(quantile_cont(hsr, 0.75), 9) AS q3, max(hsr) AS most FROM evals GROUP BY 1", EVALS)
@@ -169,17 +169,17 @@ def _(spark, sf):
     return _labelled(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("agg_year_filter", "SELECT year(day)::INTEGER AS year, k AS kind, round(avg(ret), 6) AS mean, count(*) AS n, round(stddev_samp(ret), 6) AS std FROM rets, (VALUES ('neg'), ('pos'), ('all')) t(k) WHERE k = 'all' OR (k = 'neg' AND ret < 0) OR (k = 'pos' AND ret > 0) GROUP BY 1, 2", RETURNS)
+@query("agg_year_filter", "SELECT year(day)::INTEGER AS year, k AS kind, round(avg(ret), 11) AS mean, count(*) AS n, round(stddev_samp(ret), 6) AS std FROM rets, (VALUES ('neg'), ('pos'), ('all')) t(k) WHERE k = 'all' OR (k = 'neg' AND ret < 0) OR (k = 'pos' AND ret > 0) GROUP BY 1, 2", RETURNS)
 def _(spark, sf):
     kind = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("ret") < 0, "neg"), F.when(F.col("ret") > 0, "pos"))))
     r = panels.returns(spark, sf).select(F.year("day").alias("year"), "ret", kind.alias("kind"))
-    return r.groupBy("year", "kind").agg(_r(F.avg("ret")).alias("mean"), F.count("*").alias("n"), _r(F.stddev_samp("ret")).alias("std"))
+    return r.groupBy("year", "kind").agg(_r(F.avg("ret"), 11).alias("mean"), F.count("*").alias("n"), _r(F.stddev_samp("ret")).alias("std"))
 
 
-@query("agg_weekday_pos", "SELECT (isodow(bar_ts) - 1)::BIGINT AS weekday, sign(pos)::INTEGER AS side, round(avg(gp), 6) + 0 AS mean, round(median(gp), 6) + 0 AS median, round(stddev_samp(gp), 6) AS std, count(*) AS n FROM gain WHERE pos IS NOT NULL GROUP BY 1, 2", _POS)
+@query("agg_weekday_pos", "SELECT (isodow(bar_ts) - 1)::BIGINT AS weekday, sign(pos)::INTEGER AS side, round(avg(gp), 11) + 0 AS mean, round(median(gp), 11) + 0 AS median, round(stddev_samp(gp), 6) AS std, count(*) AS n FROM gain WHERE pos IS NOT NULL GROUP BY 1, 2", _POS)
 def _(spark, sf):
     g = gained(spark, sf).where("pos is not null")
-    return g.groupBy(F.weekday("bar_ts").cast("long").alias("weekday"), F.signum("pos").cast("int").alias("side")).agg(_r(F.avg("gp")).alias("mean"), _r(F.median("gp")).alias("median"), _r(F.stddev_samp("gp")).alias("std"), F.count("*").alias("n"))
+    return g.groupBy(F.weekday("bar_ts").cast("long").alias("weekday"), F.signum("pos").cast("int").alias("side")).agg(_r(F.avg("gp"), 11).alias("mean"), _r(F.median("gp"), 11).alias("median"), _r(F.stddev_samp("gp")).alias("std"), F.count("*").alias("n"))
 
 
 @query("agg_corr_cond", "SELECT symbol, round(corr(s, rtn), 5) AS overall, round(corr(s, rtn) FILTER (s > 0), 5) AS long_only, round(corr(s, rtn) FILTER (s < 0), 5) AS short_only FROM gain GROUP BY 1", _POS)
@@ -200,12 +200,12 @@ def _(spark, sf):
     return _e(spark, sf).groupBy("test_name").agg(F.countDistinct("factor").alias("factors"), F.countDistinct("process_name").alias("processes"))
 
 
-@query("agg_diff_stats", "SELECT a.symbol, count(*) AS n, round(avg(abs(a.factor - b.factor)), 6) AS mean_diff, max(abs(a.factor - b.factor)) AS max_diff, round(stddev_samp(abs(a.factor - b.factor)), 6) AS std_diff, round(avg(abs(a.factor - b.factor) / greatest(abs(a.factor), 1e-10)), 5) AS rel_diff, round(corr(a.factor, b.factor), 6) AS corr FROM bars a JOIN (SELECT symbol, bar_ts, round(factor + price / 100, 6) AS factor FROM bars) b USING (symbol, bar_ts) GROUP BY 1", BARS)
+@query("agg_diff_stats", "SELECT a.symbol, count(*) AS n, round(avg(abs(a.factor - b.factor)), 11) AS mean_diff, max(abs(a.factor - b.factor)) AS max_diff, round(stddev_samp(abs(a.factor - b.factor)), 6) AS std_diff, round(avg(abs(a.factor - b.factor) / greatest(abs(a.factor), 1e-10)), 5) AS rel_diff, round(corr(a.factor, b.factor), 6) AS corr FROM bars a JOIN (SELECT symbol, bar_ts, round(factor + price / 100, 6) AS factor FROM bars) b USING (symbol, bar_ts) GROUP BY 1", BARS)
 def _(spark, sf):
     b = _b(spark, sf)
     other = b.select("symbol", "bar_ts", F.round(F.col("factor") + F.col("price") / 100, 6).alias("f2"))
     d = F.abs(F.col("factor") - F.col("f2"))
-    return b.join(other, ["symbol", "bar_ts"]).groupBy("symbol").agg(F.count("*").alias("n"), _r(F.avg(d)).alias("mean_diff"), F.max(d).alias("max_diff"), _r(F.stddev_samp(d)).alias("std_diff"), _r(F.avg(d / F.greatest(F.abs("factor"), F.lit(1e-10))), 5).alias("rel_diff"), _r(correlation(F.col("factor"), F.col("f2"))).alias("corr"))
+    return b.join(other, ["symbol", "bar_ts"]).groupBy("symbol").agg(F.count("*").alias("n"), _r(F.avg(d), 11).alias("mean_diff"), F.max(d).alias("max_diff"), _r(F.stddev_samp(d)).alias("std_diff"), _r(F.avg(d / F.greatest(F.abs("factor"), F.lit(1e-10))), 5).alias("rel_diff"), _r(correlation(F.col("factor"), F.col("f2"))).alias("corr"))
 
 
 @query("st_rt_compare", f"SELECT {dt('CAST(a.bar_ts AS DATE)')} AS day, count(*) AS n, round(max(abs(a.price - b.price)), 6) AS max_diff FROM bars a JOIN (SELECT symbol, bar_ts, round(price * 1.01, 6) AS price FROM bars) b USING (symbol, bar_ts) WHERE CAST(a.bar_ts AS DATE) = DATE '2024-01-15' GROUP BY 1", BARS)
@@ -232,17 +232,17 @@ def _(spark, sf):
     return _e(spark, sf).withColumn("dp", F.split("factor", "-")[1]).groupBy("dp").pivot("test_name", _TESTS).agg(_r(F.avg("hsr"), 11))
 
 
-@query("agg_mean_p90", "SELECT process_name, round(avg(net_calmar_ratio), 6) AS mean, round(quantile_cont(net_calmar_ratio, 0.9), 6) AS p90 FROM evals GROUP BY 1", EVALS)
+@query("agg_mean_p90", "SELECT process_name, round(avg(net_calmar_ratio), 11) AS mean, round(quantile_cont(net_calmar_ratio, 0.9), 11) AS p90 FROM evals GROUP BY 1", EVALS)
 def _(spark, sf):
-    return _e(spark, sf).groupBy("process_name").agg(_r(F.avg("net_calmar_ratio")).alias("mean"), _r(F.percentile("net_calmar_ratio", F.lit(0.9))).alias("p90"))
+    return _e(spark, sf).groupBy("process_name").agg(_r(F.avg("net_calmar_ratio"), 11).alias("mean"), _r(F.percentile("net_calmar_ratio", F.lit(0.9)), 11).alias("p90"))
 
 
-_TB = EVALS + ", gm AS (SELECT factor, round(avg(net_sharpe_ratio), 6) AS m FROM evals GROUP BY 1)"
+_TB = EVALS + ", gm AS (SELECT factor, round(avg(net_sharpe_ratio), 11) AS m FROM evals GROUP BY 1)"
 
 
 @query("agg_top_bottom", "SELECT * FROM (SELECT factor, m, 'top' AS part FROM gm ORDER BY m DESC, factor LIMIT 5) UNION ALL SELECT * FROM (SELECT factor, m, 'bottom' FROM gm ORDER BY m, factor LIMIT 5)", _TB)
 def _(spark, sf):
-    g = _e(spark, sf).groupBy("factor").agg(_r(F.avg("net_sharpe_ratio")).alias("m"))
+    g = _e(spark, sf).groupBy("factor").agg(_r(F.avg("net_sharpe_ratio"), 11).alias("m"))
     return g.orderBy(F.desc("m"), "factor").limit(5).withColumn("part", F.lit("top")).unionByName(g.orderBy("m", "factor").limit(5).withColumn("part", F.lit("bottom")))
 
 
@@ -258,10 +258,10 @@ def _(spark, sf):
     return panels.returns(spark, sf).groupBy(side.alias("dir"), "factor", F.year("day").alias("year")).agg(_r(metrics.sharpe("ret"), 5).alias("sharpe"))
 
 
-@query("agg_year_curve", f"SELECT factor, {dt()} AS day, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY factor, year(day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) + 3e-9, 7) AS curve FROM rets", RETURNS)
+@query("agg_year_curve", f"SELECT factor, {dt()} AS day, round((product(1 + ret) OVER (PARTITION BY factor, year(day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS curve FROM rets", RETURNS)
 def _(spark, sf):
     w = Window.partitionBy("factor", F.year("day")).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return panels.returns(spark, sf).select("factor", day_text("day").alias("day"), _r(F.exp(F.sum(F.log1p("ret")).over(w)) + 3e-9, 7).alias("curve"))
+    return panels.returns(spark, sf).select("factor", day_text("day").alias("day"), _r(F.product(1 + F.col("ret")).over(w), 8).alias("curve"))
 
 
 @query("agg_cmp_table", "SELECT factor, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side, printf('%.2f', CAST(round(CAST(round(avg(net_sharpe_ratio), 6) AS DECIMAL(18, 6)), 2) AS DOUBLE) + 0) AS sharpe, printf('%.2f', CAST(round(CAST(round(avg(hsr), 6) AS DECIMAL(18, 6)), 2) AS DOUBLE)) AS hsr FROM evals GROUP BY 1, 2", EVALS)

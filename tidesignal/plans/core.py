@@ -88,17 +88,32 @@ def _(spark, sf):
     return _show(scaling.minmax_around(_with_returns(spark, sf), "factor", "ret", 30, 10), "scaled", digits=5)
 
 
-@query("scl_zscore_his")
+_Z = _AROUND + """, zz AS (SELECT *, (factor - c) / nullif(stddev_samp(factor) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 0) AS x FROM ce),
+zq AS (SELECT *, quantile_cont(x, 0.02) OVER w AS xl, quantile_cont(x, 0.98) OVER w AS xh, count(x) OVER w AS n FROM zz WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
+_ZSCORE = "CASE WHEN n >= 10 AND xh <> xl AND x IS NOT NULL THEN least(greatest((x - xl) / (xh - xl), 0), 1) END"
+
+
+@query("scl_zscore_his", f"SELECT symbol, {ts()} AS ts, round({_ZSCORE}, 6) AS scaled FROM zq", _Z)
 def _(spark, sf):
     return _show(scaling.zscore_around(_with_returns(spark, sf), "factor", "ret", 30, 10), "scaled")
 
 
-@query("scl_adj_pct")
+_ADJ = _AROUND + """, pa AS (SELECT *, list_filter(coalesce(list(factor) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING), []), lambda v: v IS NOT NULL) AS before FROM ce),
+pu AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS rn FROM pa),
+pp AS (SELECT a.symbol, a.bar_ts, a.factor, a.c, a.z, a.before, count(*) FILTER (b.factor > b.c) AS un, count(*) FILTER (b.factor > b.c AND b.factor <= a.factor) AS u, count(*) FILTER (b.factor < b.c) AS dn, count(*) FILTER (b.factor < b.c AND b.factor <= a.factor) AS d
+  FROM pu a LEFT JOIN pu b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn - 1 GROUP BY 1, 2, 3, 4, 5, 6)"""
+_ADJ_PCT = "CASE WHEN factor > c AND un > 0 THEN 0.5 + 0.5 * u / un::DOUBLE WHEN factor < c AND dn > 0 THEN 0.5 * d / dn::DOUBLE END"
+_P = "CASE WHEN len(before) > 0 THEN CASE WHEN factor IS NULL THEN 0.0 ELSE len(list_filter(before, lambda v: v <= factor)) / len(before)::DOUBLE END END"
+_PCT_ADJ = "least(greatest(CASE WHEN p > z AND z <> 1 THEN 0.5 + 0.5 * (p - z) / (1 - z) WHEN p < z THEN 0.5 * (p - z) / z END, 0), 1)"
+_CLIPPED = f"CASE WHEN (p > z AND z <> 1) OR p < z THEN {_PCT_ADJ} END"
+
+
+@query("scl_adj_pct", f"SELECT symbol, {ts()} AS ts, round({_ADJ_PCT}, 6) AS scaled FROM pp", _ADJ)
 def _(spark, sf):
     return _show(scaling.percentile_around(_with_returns(spark, sf), "factor", "ret", 30, 10), "scaled")
 
 
-@query("scl_pct_adj")
+@query("scl_pct_adj", f"SELECT symbol, {ts()} AS ts, round({_CLIPPED}, 6) + 0 AS scaled FROM (SELECT *, {_P} AS p FROM pp)", _ADJ)
 def _(spark, sf):
     return _show(scaling.percentile_vs_zero(_with_returns(spark, sf), "factor", "ret", 30, 10), "scaled")
 
@@ -134,6 +149,37 @@ def _walk(state: str, first: str, step: str, seq: str = "sq") -> str:
 SELECT sq.symbol, {ts('sq.bar_ts')} AS ts, st.pos AS pos FROM st JOIN sq ON st.symbol = sq.symbol AND st.rn = sq.rn"""
 
 
+def _machine(name: str, state: dict[str, str], steps: list[str], seq: str = "sq") -> tuple[str, str]:
+    """A recursive walk with a state of several columns: their values before the first bar, then chained steps from st.* and n.*.
+
+    Each step is a list of columns over the one before it; the first may use ``st`` and ``n``. Gives the CTE and its rows.
+    """
+    cols = ", ".join(state)
+    inner = f"SELECT n.symbol, n.rn, {steps[0]} FROM {name} st JOIN {seq} n ON n.symbol = st.symbol AND n.rn = st.rn + 1"
+    for s in steps[1:]:
+        inner = f"SELECT *, {s} FROM ({inner})"
+    new = ", ".join(f"new_{c}" for c in state)
+    return f", {name}(symbol, rn, {cols}) AS (SELECT DISTINCT symbol, 0::BIGINT, {', '.join(state.values())} FROM {seq} UNION ALL SELECT symbol, rn, {new} FROM ({inner}))", f"SELECT symbol, rn, pos FROM {name} WHERE rn > 0"
+
+
+def _mean_of(machines: list[tuple[str, str]], seq: str = "sq") -> str:
+    """Mean position over the walks of several parameter sets."""
+    rows = " UNION ALL ".join(r for _, r in machines)
+    return "".join(m for m, _ in machines) + f" SELECT a.symbol, {ts('q.bar_ts')} AS ts, round(avg(pos), 6) AS pos FROM ({rows}) a JOIN {seq} q ON q.symbol = a.symbol AND q.rn = a.rn GROUP BY 1, 2"
+
+
+def _gaps_sql(k: int, o: float, c: float, mode: str, reopen: bool, gap: float, end: str | None = None, quiet: str | None = None) -> tuple[str, str]:
+    last = f"n.hm = '{end}'" if end else "false"
+    still = f"n.hm >= '{quiet}' AND n.hm < '{end}'" if quiet else "false"
+    return _machine(f"st{k}", {"side": "0", "parked": "0", "wide": "false", "pos": "NULL::DOUBLE"}, [
+        f"n.s AS v, st.pos AS old, CASE WHEN st.wide AND st.parked <> 0 THEN st.parked ELSE st.side END AS side0, CASE WHEN st.wide THEN 0 ELSE st.parked END AS parked0, coalesce(n.ahead > {gap}, false) AS new_wide, coalesce(n.ahead > {gap}, false) OR {last} AS flat, {still} AS still",
+        f"flat AND side0 <> 0 AND {str(mode in ('rest', 'restore')).lower()} AS cut, CASE WHEN flat THEN 0 ELSE side0 END AS base, CASE WHEN flat THEN {str(mode == 'block').lower()} ELSE still END AS shut",
+        f"CASE WHEN base <> 0 AND base * v < {c} THEN 0 ELSE base END AS held, CASE WHEN v > {o} THEN 1 WHEN v < -{o} THEN -1 ELSE 0 END AS wish",
+        f"CASE WHEN cut THEN 0 WHEN v IS NULL THEN base WHEN held = 0 AND NOT shut AND ({str(reopen).lower()} OR base = 0) THEN wish ELSE held END AS new_side, CASE WHEN cut AND {str(mode == 'restore').lower()} THEN side0 ELSE parked0 END AS new_parked",
+        "CASE WHEN cut THEN 0.0::DOUBLE WHEN v IS NOT NULL OR old IS NOT NULL THEN new_side::DOUBLE END AS new_pos",
+    ])
+
+
 def _side(prev: str, o: float, c: float, reopen: bool) -> str:
     wish = f"CASE WHEN n.s > {o} THEN 1 WHEN n.s < -{o} THEN -1 ELSE 0 END"
     off = wish if reopen else "0"
@@ -145,8 +191,8 @@ def _trigger_sql(o: float, c: float, reopen: bool) -> str:
     return _walk("side, pos", f"{start} AS side, CASE WHEN n.s IS NOT NULL THEN CAST({start} AS DOUBLE) END AS pos", f"{new} AS side, CASE WHEN n.s IS NOT NULL OR st.pos IS NOT NULL THEN CAST({new} AS DOUBLE) END AS pos").replace("st AS", "st(symbol, rn, side, pos) AS", 1)
 
 
-def _rule_query(name: str, rule: str, params: list[dict], sql: str | None = None):
-    @query(name, sql, _SEQ if sql else "", recursive=True)
+def _rule_query(name: str, rule: str, params: list[dict], sql: str, head: str = _SEQ):
+    @query(name, sql, head, recursive=True)
     def _(spark, sf):
         return _show(rules.run_rule(signal(spark, sf), rule, params), "pos")
 
@@ -173,7 +219,14 @@ _new1 = f"CASE WHEN {_full} THEN CASE WHEN st.side = 0 THEN CASE WHEN n.s > 0 TH
 _rule_query("tr_v1", "v1", [{"open_at": 0.4, "close_at": 0.1, "bars_needed": 2}], _walk(
     "", "0 AS side, CASE WHEN coalesce(abs(n.s) > 0.4, false) THEN 1 ELSE 0 END AS streak, CAST(0 AS DOUBLE) AS pos",
     f"{_new1} AS side, CASE WHEN {_full} OR NOT ({_hit}) THEN 0 ELSE st.streak + 1 END AS streak, CAST({_new1} AS DOUBLE) AS pos").replace("st AS", "st(symbol, rn, side, streak, pos) AS", 1))
-_rule_query("tr_v2", "v2", [{"open_at": 0.4, "close_at": 0.1, "window": 5, "needed": 3}])
+_drop = lambda a: f"CASE WHEN len({a}) > 5 THEN {a}[2:] ELSE {a} END"
+_rule_query("tr_v2", "v2", [{"open_at": 0.4, "close_at": 0.1, "window": 5, "needed": 3}], _mean_of([_machine("st0", {"side": "0", "flat": "[]::INTEGER[]", "held": "[]::INTEGER[]", "pos": "0.0::DOUBLE"}, [
+    "n.s AS v, st.side AS side0, list_concat(st.flat, [coalesce(n.s > 0.4, false)::INTEGER, coalesce(n.s < -0.4, false)::INTEGER]) AS f0, list_append(st.held, coalesce(st.side * n.s < 0.1, false)::INTEGER) AS h0, st.flat AS f_old, st.held AS h_old",
+    f"{_drop('f0')} AS f1, {_drop('h0')} AS h1",
+    "side0 = 0 AND list_sum(f1) >= 3 AS opens, side0 <> 0 AND list_sum(h1) >= 3 AS closes",
+    "CASE WHEN opens THEN CASE WHEN v > 0.4 THEN 1 ELSE -1 END WHEN closes THEN 0 ELSE side0 END AS new_side, CASE WHEN opens THEN [] WHEN side0 = 0 THEN f1 ELSE f_old END AS new_flat, CASE WHEN closes THEN [] WHEN side0 <> 0 THEN h1 ELSE h_old END AS new_held",
+    "new_side::DOUBLE AS new_pos",
+])]))
 
 
 def _mean_sql() -> str:
@@ -187,9 +240,8 @@ def _mean_sql() -> str:
 
 _rule_query("tr_v3", "v3", GRID, _mean_sql())
 _GAPS = [g | {"gap": 90.0} for g in GRID]
-_rule_query("tr_v3_1", "v3_1", _GAPS)
-_rule_query("tr_v3_2", "v3_2", _GAPS)
-_rule_query("tr_v3_3", "v3_3", _GAPS)
+for _n, _mode, _again in (("v3_1", "rest", False), ("v3_2", "restore", False), ("v3_3", "pass", True)):
+    _rule_query(f"tr_{_n}", _n, _GAPS, _mean_of([_gaps_sql(k, g["open_at"], g["close_at"], _mode, _again, 90.0) for k, g in enumerate(GRID)]))
 _shut = "(n.hm = '14:00' OR coalesce(n.ahead > 90, false))"
 
 
@@ -202,8 +254,19 @@ def _blocked(prev: str, o: float, c: float) -> str:
 _rule_query("tr_v3_4", "v3_4", [{"open_at": 0.6, "close_at": 0.2, "gap": 90.0, "end": "14:00"}], _walk(
     "", f"{_blocked('0', 0.6, 0.2)} AS side, CASE WHEN n.s IS NOT NULL THEN CAST({_blocked('0', 0.6, 0.2)} AS DOUBLE) END AS pos",
     f"{_blocked('st.side', 0.6, 0.2)} AS side, CASE WHEN n.s IS NOT NULL OR st.pos IS NOT NULL THEN CAST({_blocked('st.side', 0.6, 0.2)} AS DOUBLE) END AS pos").replace("st AS", "st(symbol, rn, side, pos) AS", 1))
-_rule_query("tr_v3_5", "v3_5", [g | {"gap": 90.0, "end": "14:00", "quiet": "11:00"} for g in GRID])
-_rule_query("tr_v3_4_t1", "v3_4_t1", GRID)
+_rule_query("tr_v3_5", "v3_5", [g | {"gap": 90.0, "end": "14:00", "quiet": "11:00"} for g in GRID], _mean_of([_gaps_sql(k, g["open_at"], g["close_at"], "block", True, 90.0, "14:00", "11:00") for k, g in enumerate(GRID)]))
+
+
+def _next_day_sql(k: int, o: float, c: float) -> tuple[str, str]:
+    return _machine(f"st{k}", {"side": "0", "due": "false", "day": "NULL::DATE", "pos": "NULL::DOUBLE"}, [
+        "n.s AS v, st.side AS side0, st.due AS due0, st.pos AS old, st.day IS NOT NULL AND CAST(n.bar_ts AS DATE) <> st.day AS dawn, CAST(n.bar_ts AS DATE) AS new_day",
+        f"CASE WHEN dawn AND due0 AND NOT coalesce(v > {o}, false) THEN 0 ELSE side0 END AS side1, CASE WHEN dawn THEN false ELSE due0 END AS due1",
+        f"CASE WHEN side1 = 0 AND v > {o} THEN 1 ELSE side1 END AS new_side, CASE WHEN side1 = 0 AND v > {o} THEN false WHEN side1 <> 0 AND v < {c} THEN true ELSE due1 END AS new_due",
+        "CASE WHEN v IS NOT NULL OR old IS NOT NULL THEN new_side::DOUBLE END AS new_pos",
+    ])
+
+
+_rule_query("tr_v3_4_t1", "v3_4_t1", GRID, _mean_of([_next_day_sql(k, g["open_at"], g["close_at"]) for k, g in enumerate(GRID)]))
 
 
 def _stops_sql(o: float, c: float, loss: float, profit: float, trailing: bool, renew: bool) -> str:
@@ -224,8 +287,59 @@ _STOPS = {"open_at": 0.5, "close_at": -0.3, "loss": 0.05, "profit": 0.2}
 _rule_query("tr_v4", "v4", [_STOPS], _stops_sql(0.5, -0.3, 0.05, 0.2, True, False))
 _rule_query("tr_v5", "v5", [_STOPS], _stops_sql(0.5, -0.3, 0.05, 0.2, True, True))
 _rule_query("tr_v6", "v6", [_STOPS], _stops_sql(0.5, -0.3, 0.05, 0.2, False, True))
-for _n, _p in (("rev", {}), ("rev1", {}), ("rev2", {}), ("rev3", {"gap": 600.0, "cooldown": 120.0, "lookback": 120.0}), ("rev4", {"gap": 600.0, "cooldown": 120.0, "lookback": 120.0}), ("rev5", {"gap": 600.0, "cooldown": 120.0, "lookback": 120.0})):
-    _rule_query(f"tr_{_n}", _n, [{"threshold": 0.6, "watch": 8, "hold": 6} | _p])
+
+
+_WISH = "CASE WHEN v > 0.6 THEN 1 WHEN v < -0.6 THEN -1 ELSE 0 END"
+
+
+def _reversal_sql(restart: bool, extreme: bool) -> str:
+    again, far = str(restart).lower(), str(extreme).lower()
+    return _mean_of([_machine("st0", {"side": "0", "since": "0::BIGINT", "begun": "NULL::BIGINT", "mark": "0.0::DOUBLE", "mark_at": "0::BIGINT", "pos": "NULL::DOUBLE"}, [
+        "n.s AS v, st.side AS side0, st.since AS since0, st.begun AS at0, st.mark AS mark0, st.mark_at AS far0, st.pos AS old",
+        f"{_WISH} AS breach, side0 <> 0 AND rn - since0 >= 6 AND v IS NOT NULL AS done",
+        "CASE WHEN done THEN 0 ELSE side0 END AS side1, CASE WHEN done THEN NULL ELSE at0 END AS at1",
+        f"v IS NOT NULL AND side1 = 0 AND (at1 IS NULL OR ({again} AND breach <> 0)) AS fresh, v IS NOT NULL AND side1 = 0 AND NOT (at1 IS NULL OR ({again} AND breach <> 0)) AS watched, CASE WHEN mark0 > 0 THEN 1 ELSE -1 END AS sg",
+        f"fresh AND breach <> 0 AS starts, watched AND {far} AND v * sg > abs(mark0) AS further",
+        "CASE WHEN starts OR further THEN v ELSE mark0 END AS new_mark, CASE WHEN starts OR further THEN rn ELSE far0 END AS new_mark_at",
+        f"rn - at1 AS past, rn - (CASE WHEN {far} THEN new_mark_at ELSE at1 END) AS base",
+        f"watched AND past <= 8 AND past >= 3 AND (base >= 1 OR NOT {far}) AND sg * v < sg * (new_mark - base * 0.05::DOUBLE * sg) AS opens",
+        "CASE WHEN opens THEN -sg ELSE side1 END AS new_side, CASE WHEN opens THEN rn ELSE since0 END AS new_since, CASE WHEN starts THEN rn WHEN opens OR (watched AND past > 8) THEN NULL ELSE at1 END AS new_begun",
+        "CASE WHEN v IS NOT NULL OR old IS NOT NULL THEN new_side::DOUBLE END AS new_pos",
+    ])])
+
+
+#: Bars with their minute, and whether no bar of the two hours before was a breach.
+_CLEAN = _SEQ + """,
+cq AS (SELECT *, epoch(bar_ts) / 60.0::DOUBLE AS t, sum(CASE WHEN s > 0.6 OR s < -0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY bar_ts RANGE BETWEEN INTERVAL 120 MINUTES PRECEDING AND CURRENT ROW)
+  - CASE WHEN s > 0.6 OR s < -0.6 THEN 1 ELSE 0 END = 0 AS clean FROM sq)"""
+
+
+def _timed_sql(stop: float | None, distance: float | None) -> str:
+    missing = "v IS NULL" if stop is None else "(v IS NULL OR price IS NULL)"
+    lost = "false" if stop is None else f"side0 <> 0 AND rn - since0 + 1 >= 15 AND CASE WHEN side0 > 0 THEN price / entry0 - 1 ELSE 1 - price / entry0 END < {stop}::DOUBLE"
+    opens = "past >= 3 AND sg * v < sg * (trig0 - 0.05::DOUBLE * least(past, 5) * sg)" if distance is None else f"sg * (mark2 - v) >= {distance}::DOUBLE"
+    return _mean_of([_machine("st0", {"side": "0", "since": "0::BIGINT", "entry": "0.0::DOUBLE", "begun": "NULL::BIGINT", "trig": "0.0::DOUBLE", "mark": "NULL::DOUBLE", "last": "NULL::DOUBLE", "cool": "NULL::DOUBLE", "pos": "NULL::DOUBLE"}, [
+        "n.s AS v, n.price, n.t, n.clean, st.side AS side0, st.since AS since0, st.entry AS entry0, st.begun AS at0, st.trig AS trig0, st.mark AS mark0, st.last AS last0, st.cool AS cool0",
+        f"{missing} AS none_, last0 IS NOT NULL AND t - last0 > 600 AS gap, {_WISH} AS breach",
+        "CASE WHEN gap THEN NULL ELSE at0 END AS at1, CASE WHEN gap THEN NULL ELSE mark0 END AS mark1, CASE WHEN gap THEN t + 120 ELSE cool0 END AS cool1",
+        f"coalesce(t < cool1, false) AS cooling, {lost} AS lost",
+        "NOT none_ AND NOT cooling AND NOT lost AS live",
+        "live AND side0 <> 0 AND (rn - since0 + 1 > 6 OR breach <> 0) AS done",
+        "CASE WHEN done THEN 0 ELSE side0 END AS side1, CASE WHEN done THEN NULL ELSE at1 END AS at2, CASE WHEN done THEN NULL ELSE mark1 END AS mark_",
+        "live AND side1 = 0 AND at2 IS NULL AND breach <> 0 AND clean AS starts, live AND side1 = 0 AND at2 IS NOT NULL AS watched, rn - at2 + 1 AS past, CASE WHEN trig0 > 0 THEN 1 ELSE -1 END AS sg",
+        f"watched AND past > 8 AS over, CASE WHEN watched AND past <= 8 AND {str(distance is not None).lower()} AND sg * v > sg * mark_ THEN v ELSE mark_ END AS mark2",
+        f"watched AND NOT over AND {opens} AS opens",
+        "CASE WHEN none_ OR cooling THEN side0 WHEN lost THEN 0 WHEN opens THEN -sg ELSE side1 END AS new_side, CASE WHEN opens THEN rn ELSE since0 END AS new_since, CASE WHEN opens THEN price ELSE entry0 END AS new_entry,"
+        " CASE WHEN none_ THEN at0 WHEN cooling THEN at1 WHEN lost OR opens OR over THEN NULL WHEN starts THEN rn ELSE at2 END AS new_begun, CASE WHEN starts THEN v ELSE trig0 END AS new_trig,"
+        " CASE WHEN none_ THEN mark0 WHEN cooling OR lost THEN mark1 WHEN over THEN NULL WHEN starts THEN v ELSE mark2 END AS new_mark, CASE WHEN none_ THEN last0 ELSE t END AS new_last, CASE WHEN none_ THEN cool0 WHEN cooling THEN cool1 ELSE NULL END AS new_cool",
+        "CASE WHEN none_ AND new_side = 0 THEN NULL ELSE new_side::DOUBLE END AS new_pos",
+    ], "cq")], "cq")
+
+
+_TIMED = {"gap": 600.0, "cooldown": 120.0, "lookback": 120.0}
+for _n, _p, _sql in (("rev", {}, _reversal_sql(False, False)), ("rev1", {}, _reversal_sql(True, False)), ("rev2", {}, _reversal_sql(False, True)),
+                     ("rev3", _TIMED, _timed_sql(None, None)), ("rev4", _TIMED, _timed_sql(-0.001, None)), ("rev5", _TIMED, _timed_sql(None, 0.2))):
+    _rule_query(f"tr_{_n}", _n, [{"threshold": 0.6, "watch": 8, "hold": 6} | _p], _sql, _CLEAN if _p else _SEQ)
 
 
 # --- profit and loss
@@ -340,7 +454,7 @@ def _(spark, sf):
 # --- metrics
 
 _DD = RETURNS + """,
-run AS (SELECT *, sum(ret) OVER w AS cum, exp(sum(ln(1 + ret)) OVER w) AS wealth FROM rets WINDOW w AS (PARTITION BY factor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+run AS (SELECT *, sum(ret) OVER w AS cum, product(1 + ret) OVER w AS wealth FROM rets WINDOW w AS (PARTITION BY factor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 dds AS (SELECT *, max(cum) OVER w - cum AS fall, wealth / max(wealth) OVER w - 1 AS dd FROM run WINDOW w AS (PARTITION BY factor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 eps AS (SELECT factor, g, count(*) AS length, min(dd) AS depth, min(day) AS first FROM (SELECT *, sum(CASE WHEN round(dd, 12) < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY factor ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g,
   sum(CASE WHEN round(dd, 12) < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY factor) AS lastg FROM dds) WHERE round(dd, 12) < 0 AND g < lastg GROUP BY 1, 2),
@@ -379,15 +493,15 @@ def _(spark, sf):
     return metrics.drawdowns(panels.returns(spark, sf)).select("factor", day_text("day").alias("day"), (F.round(-F.col("fall"), 6) + 0).alias("fall"))
 
 
-@query("m_drawdowns", f"SELECT factor, {dt()} AS day, round(dd + 3e-9, 7) + 0 AS dd FROM dds", _DD)
+@query("m_drawdowns", f"SELECT factor, {dt()} AS day, round(dd, 8) + 0 AS dd FROM dds", _DD)
 def _(spark, sf):
-    return metrics.drawdowns(panels.returns(spark, sf)).select("factor", day_text("day").alias("day"), (F.round(F.col("dd") + 3e-9, 7) + 0).alias("dd"))
+    return metrics.drawdowns(panels.returns(spark, sf)).select("factor", day_text("day").alias("day"), (F.round("dd", 8) + 0).alias("dd"))
 
 
-@query("ep_recovery", f"SELECT factor, {dt('first')} AS first_day, length, round(depth + 3e-9, 7) AS depth FROM eps", _DD)
+@query("ep_recovery", f"SELECT factor, {dt('first')} AS first_day, length, round(depth, 8) AS depth FROM eps", _DD)
 def _(spark, sf):
     e = metrics.episodes(metrics.drawdowns(panels.returns(spark, sf)))
-    return e.select("factor", day_text("first").alias("first_day"), "length", F.round(F.col("depth") + 3e-9, 7).alias("depth"))
+    return e.select("factor", day_text("first").alias("first_day"), "length", F.round("depth", 8).alias("depth"))
 
 
 @query("m_recovery", "SELECT factor, round(avg(length / abs(depth)), 3) AS avg_recovery FROM eps GROUP BY 1", _DD)

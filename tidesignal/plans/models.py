@@ -14,17 +14,25 @@ from ..streaming import rule as stream
 from .core import _POS, FEE, positions, signal
 from .kit import BARS, EVALS, RETURNS, SIGNAL, day_text, dt, query, stamp, ts
 
-_PAIRS = RETURNS + ", pc AS (SELECT a.factor AS a, b.factor AS b, corr(a.ret, b.ret) AS c FROM rets a JOIN rets b ON a.day = b.day AND a.factor < b.factor GROUP BY 1, 2)"
+#: Every series on every calendar day from the first to the last, missing days as 0.
+_PAIRS = RETURNS + """, calendar AS (SELECT CAST(unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM rets),
+filled AS (SELECT f.factor, c.day, coalesce(r.ret, 0) AS ret FROM (SELECT DISTINCT factor FROM rets) f CROSS JOIN calendar c LEFT JOIN rets r ON r.factor = f.factor AND r.day = c.day),
+pc AS (SELECT a.factor AS a, b.factor AS b, corr(a.ret, b.ret) AS c FROM filled a JOIN filled b ON a.day = b.day AND a.factor < b.factor GROUP BY 1, 2)"""
 
 
 def _pairs(spark, sf):
-    return cluster.pair_correlations(panels.returns(spark, sf), value="ret")
+    r = panels.returns(spark, sf)
+    return cluster.sparse_correlations(r, r.select("factor").distinct(), cluster.calendar_days(r), value="ret")
 
 
 def _folder(spark) -> str:
     from pyspark import SparkFiles
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or SparkFiles.getRootDirectory()
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or SparkFiles.getRootDirectory()
     return f"{base.rstrip('/')}/tide-{uuid.uuid4().hex}"
 
 
@@ -43,7 +51,7 @@ def _(spark, sf):
 @query("cl_gp_matrix", f"SELECT f.factor, {dt('d.day')} AS day, round(coalesce(ret, 0) * CASE WHEN f.factor IN ('s1', 's2') THEN -1 ELSE 1 END, 6) + 0 AS gp FROM (SELECT DISTINCT factor FROM rets) f CROSS JOIN (SELECT DISTINCT day FROM rets) d LEFT JOIN rets r ON r.factor = f.factor AND r.day = d.day", RETURNS)
 def _(spark, sf):
     r = panels.returns(spark, sf)
-    full = r.select("day").distinct().crossJoin(F.broadcast(r.select("factor").distinct())).join(r, ["factor", "day"], "left")  # a list of factors
+    full = r.select("day").distinct().crossJoin(r.select("factor").distinct()).join(r, ["factor", "day"], "left")
     return full.select("factor", day_text("day").alias("day"), (F.round(F.coalesce("ret", F.lit(0.0)) * F.when(F.col("factor").isin("s1", "s2"), -1).otherwise(1), 6) + 0).alias("gp"))
 
 
@@ -61,9 +69,7 @@ def _clustered(spark, sf, chosen, limit: float):
     own = panels.factor_days(spark, sf).join(chosen, _CHOSEN, "left_semi").withColumn("key", F.to_json(F.array(*_CHOSEN)))
     keyed = chosen.withColumn("key", F.to_json(F.array(*_CHOSEN)))
     names = [r[0] for r in keyed.select("key").distinct().orderBy("key").limit(cluster.MAX_FACTORS + 1).collect()]
-    first, last = own.agg(F.min("day"), F.max("day")).first()
-    days = (last - first).days + 1 if first else 1
-    g = cluster.groups(spark, cluster.sparse_correlations(own, keyed.select("key"), days, key="key", value="gain"), names, limit)
+    g = cluster.groups(spark, cluster.sparse_correlations(own, keyed.select("key"), cluster.calendar_days(own), key="key", value="gain"), names, limit)
     return keyed.join(F.broadcast(g.withColumnRenamed("factor", "key")), "key").drop("key")  # at most MAX_FACTORS
 
 
