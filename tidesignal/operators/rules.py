@@ -1,7 +1,7 @@
 """Trade rules: a signal becomes a position in -1, 0, 1.
 
 The common rule has a window form (``reopening``), one sort a series and no Python. All others keep a state along the series and
-run as one call for each (series, parameter set): parameter sets are exploded before the shuffle, so a grid spreads over tasks.
+run as one call for each (series, batch of parameter sets): a grid spreads over tasks, and a series is copied ``BATCHES`` times at most.
 
 Common contract: missing before the first value stays missing, later a missing bar holds the position; comparisons are strict.
 """
@@ -280,22 +280,29 @@ RULES: dict[str, Callable[..., list[float]]] = {
 }
 
 
+#: Groups that the parameter sets of a grid are dealt into; each gets one copy of a series.
+BATCHES = 32
+
+
 def run_rule(df: DataFrame, rule: str, params: list[dict], keys: list[str] = ["symbol"], order: str = "bar_ts", value: str = "s", price: str = "price", out: str = "pos") -> DataFrame:
     """Mean position over the parameter sets (missing ones skipped) of every bar: ``keys, order, out``.
 
-    Parameter sets are exploded first, so each (series, set) is a task's group of its own.
+    A series is copied once for each batch of parameter sets, and a batch gives one sum and count a bar, whatever its sets.
     """
     made = RULES[rule]
+    batches = min(BATCHES, len(params))
     base = df.select(*keys, F.col(order).alias("bar_ts"), F.col(value).cast("double").alias("s"), F.col(price).cast("double").alias("price"))
-    grid = base.withColumn("_set", F.explode(F.array(*(F.lit(k) for k in range(len(params))))))
-    schema = T.StructType([*(base.schema[k] for k in keys), base.schema["bar_ts"], T.StructField("_p", T.DoubleType())])
+    grid = base.withColumn("_batch", F.explode(F.array(*(F.lit(k) for k in range(batches)))))
+    schema = T.StructType([*(base.schema[k] for k in keys), base.schema["bar_ts"], T.StructField("_sum", T.DoubleType()), T.StructField("_sets", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_ts", ignore_index=True)
-        pdf["_p"] = made(pdf, **params[int(pdf["_set"].iloc[0])])
-        return pdf[[*keys, "bar_ts", "_p"]]
-
-    each = grid.groupBy(*keys, "_set").applyInPandas(run, schema).withColumn("_p", F.nanvl("_p", F.lit(None).cast("double")))
-    if len(params) == 1:
-        return each.select(*keys, F.col("bar_ts").alias(order), F.col("_p").alias(out))
-    return each.groupBy(*keys, F.col("bar_ts").alias(order)).agg(F.avg("_p").alias(out))
+        each = [np.array(made(pdf, **p), float) for p in params[int(pdf["_batch"].iloc[0]) :: batches]]
+        pdf["_sum"] = np.sum([np.nan_to_num(x) for x in each], axis=0)
+        pdf["_sets"] = np.sum([~np.isnan(x) for x in each], axis=0)
+        return pdf[[*keys, "bar_ts", "_sum", "_sets"]]
+
+    got = grid.groupBy(*keys, "_batch").applyInPandas(run, schema)
+    if batches > 1:
+        got = got.groupBy(*keys, "bar_ts").agg(F.sum("_sum").alias("_sum"), F.sum("_sets").alias("_sets"))
+    return got.select(*keys, F.col("bar_ts").alias(order), F.try_divide("_sum", "_sets").alias(out))

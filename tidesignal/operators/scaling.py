@@ -1,15 +1,21 @@
 """Rolling scalers of a signal, per group and ordered by time.
 
-Frames are rows: the trailing ``window`` rows with the current one. Short frames stay in window expressions; frames longer than
-``NATIVE_ROWS`` go to one pandas call per group, since a percentile over a sliding frame costs its length for every row.
+Frames are rows: the trailing ``window`` rows with the current one. Short frames stay in window expressions. A sliding frame costs its
+length for every row there, so beyond ``NATIVE_ROWS`` sums are differences of running sums, and percentiles are kept in ordered frames:
+a series is cut into stretches of ``window`` rows, each sent to a task of its own with the stretch before it, so the work is linear in
+rows and one long series spreads over tasks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import clip, ratio
 
@@ -32,23 +38,90 @@ def minmax(df: DataFrame, value: str, window: int, q: float = 0.02, min_periods:
         enough = F.count(value).over(w) >= min_periods
         return df.withColumn("_lo", level(q)).withColumn("_hi", level(1 - q)).withColumn(out, F.when(enough, _unit(F.col(value), F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+    def run(pdf: pd.DataFrame) -> None:
         r = pdf[value].astype(float).rolling(window, min_periods=min_periods)
         low, high = r.quantile(q), r.quantile(1 - q)
         pdf[out] = ((pdf[value] - low) / (high - low).where(high != low)).clip(0, 1)
-        return pdf
 
-    return _per_group(df, keys, out, run)
+    return _per_group(df, window, keys, order, [out], run)
+
+
+def _per_group(df: DataFrame, window: int, keys: list[str], order: str, outs: list[str], run: Callable[[pd.DataFrame], None]) -> DataFrame:
+    """``outs`` that ``run`` adds to the ordered rows of a stretch; rows of the stretch before it are context only."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    cut = df.withColumn("_n", (at / window).cast("int"))
+    both = cut.withColumn("_part", F.explode(F.array(F.col("_n"), F.col("_n") + 1)))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(o, T.DoubleType()) for o in outs)])
+
+    def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["_n"] == pdf["_part"]
+        if not own.any():  # beyond the end of the series
+            return pd.DataFrame(columns=schema.names)
+        pdf = pdf.sort_values(order, ignore_index=True)
+        run(pdf)
+        return pdf.loc[pdf["_n"] == pdf["_part"], schema.names]
+
+    done = both.groupBy(*keys, "_part").applyInPandas(stretch, schema)
+    return done.withColumns({o: F.nanvl(o, F.lit(None).cast("double")) for o in outs})
+
+
+class _Sorted:
+    """The values of the trailing ``window`` places, in order; missing ones have a place but no value."""
 
+    def __init__(self, window: int):
+        self.window, self.places, self.values = window, [], []
 
-def _per_group(df: DataFrame, keys: list[str], out: str, run) -> DataFrame:
-    done = df.groupBy(*keys).applyInPandas(run, df.withColumn(out, F.lit(None).cast("double")).schema)
-    return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+    def push(self, v: float) -> None:
+        self.places.append(v)
+        if len(self.places) > self.window and (old := self.places[len(self.places) - self.window - 1]) == old:
+            del self.values[bisect_left(self.values, old)]
+        if v == v:
+            insort(self.values, v)
+
+    def share(self, v: float) -> float:
+        return bisect_right(self.values, v) / len(self.values) if self.values else np.nan
+
+    def quantile(self, level: float) -> float:
+        if not self.values or level != level:
+            return np.nan
+        at = (len(self.values) - 1) * level
+        low = int(at)
+        return self.values[low] + (self.values[min(low + 1, len(self.values) - 1)] - self.values[low]) * (at - low)
+
+
+def _moving(df: DataFrame, sums: dict[str, Column], window: int, keys: list[str], order: str) -> DataFrame:
+    """Sums over the frame as differences of running sums; for whole and half numbers, which lose nothing so."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = df.withColumns({f"_r{k}": F.sum(c).over(upto) for k, c in enumerate(sums.values())})
+    return run.withColumns({name: F.col(f"_r{k}") - F.coalesce(F.lag(f"_r{k}", window).over(w), F.lit(0)) for k, name in enumerate(sums)}).drop(*(f"_r{k}" for k in range(len(sums))))
+
+
+def rolling_quantiles(df: DataFrame, value: str, window: int, levels: dict[str, float], keys: list[str], order: str) -> DataFrame:
+    """Columns of the frame's quantiles."""
+    if window <= NATIVE_ROWS:
+        return df.withColumns({name: F.percentile(value, F.lit(p)).over(_frame(keys, order, window)) for name, p in levels.items()})
+
+    def run(pdf: pd.DataFrame) -> None:
+        r = pdf[value].astype(float).rolling(window, min_periods=1)
+        for name, p in levels.items():
+            pdf[name] = r.quantile(p)
+
+    return _per_group(df, window, keys, order, list(levels), run)
 
 
 def minmax_by_sign(df: DataFrame, value: str, window: int, q: float = 0.02, min_periods: int = 10, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled") -> DataFrame:
     """Positive and negative values scaled apart into the upper and the lower half; zero gives NULL."""
+    if window > NATIVE_ROWS:
+
+        def run(pdf: pd.DataFrame) -> None:
+            x = pdf[value].astype(float)
+            up, down = (x.where(m).rolling(window, min_periods=min_periods) for m in (x > 0, x < 0))
+            ul, uh, dl, dh = up.quantile(q), up.quantile(1 - q), down.quantile(q), down.quantile(1 - q)
+            upper, lower = 0.5 + 0.5 * (x - ul) / (uh - ul).where(uh != ul), 0.5 * (x - dh) / (dl - dh).where(dl != dh)
+            pdf[out] = upper.where(x > 0, lower.where(x < 0)).clip(0, 1)
+
+        return _per_group(df, window, keys, order, [out], run)
     w, x = _frame(keys, order, window), F.col(value)
     up, down = F.when(x > 0, x), F.when(x < 0, x)
     level = lambda c, p: F.when(F.count(c).over(w) >= min_periods, F.percentile(c, F.lit(p)).over(w))
@@ -59,13 +132,23 @@ def minmax_by_sign(df: DataFrame, value: str, window: int, q: float = 0.02, min_
 
 def zero_share(df: DataFrame, value: str, window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "zero_share") -> DataFrame:
     """Share of the frame below zero plus half of that at zero; missing rows count in the denominator."""
-    w, x = _frame(keys, order, window), F.col(value)
-    hits = F.sum(F.when(x < 0, 1.0).when(x == 0, 0.5).otherwise(0.0)).over(w)
-    return df.withColumn(out, F.when(F.count(x).over(w) >= 1, hits / F.count(F.lit(1)).over(w)))
+    x = F.col(value)
+    sums = {"_hits": F.when(x < 0, 1.0).when(x == 0, 0.5).otherwise(0.0), "_known": x.isNotNull().cast("long"), "_rows": F.lit(1).cast("long")}
+    return _moving(df, sums, window, keys, order).withColumn(out, F.when(F.col("_known") >= 1, F.col("_hits") / F.col("_rows"))).drop(*sums)
 
 
 def quantile_at(df: DataFrame, value: str, level: str, window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "centre") -> DataFrame:
     """Quantile of the frame at a level that each row brings: interpolation in the frame's sorted array."""
+    if window > NATIVE_ROWS:
+
+        def run(pdf: pd.DataFrame) -> None:
+            frame, res = _Sorted(window), []
+            for v, p in zip(pdf[value].astype(float).tolist(), pdf[level].astype(float).tolist()):
+                frame.push(v)
+                res.append(frame.quantile(p))
+            pdf[out] = res
+
+        return _per_group(df, window, keys, order, [out], run)
     w = _frame(keys, order, window)
     got = df.withColumn("_a", F.array_sort(F.collect_list(value).over(w)))
     at = (F.size("_a") - 1) * F.col(level)
@@ -79,23 +162,28 @@ def minmax_around(df: DataFrame, value: str, ret: str, window: int, rtn_window:
 
     Below the centre the usual form lacks its offset, so it collapses to 0 after the clip; ``strict`` adds the offset.
     """
-    w = _frame(keys, order, window)
     flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
     flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
     x, c = F.col(value), F.col("_c")
-    enough = F.count(value).over(w) >= min_periods
-    flow = flow.withColumn("_lo", F.percentile(value, F.lit(q)).over(w)).withColumn("_hi", F.percentile(value, F.lit(1 - q)).over(w))
+    flow = _moving(flow, {"_known": x.isNotNull().cast("long")}, window, keys, order)
+    enough = F.col("_known") >= min_periods
+    flow = rolling_quantiles(flow, value, window, {"_lo": q, "_hi": 1 - q}, keys, order)
     upper = 0.5 + 0.5 * ratio(x - c, F.col("_hi") - c)
     lower = (0.5 if strict else 0.0) + 0.5 * ratio(x - c, c - F.col("_lo"))
-    return flow.withColumn(out, F.when(enough, clip(F.when(x > c, upper).when(x < c, lower), 0.0, 1.0))).drop("_z", "_c", "_lo", "_hi")
+    return flow.withColumn(out, F.when(enough, clip(F.when(x > c, upper).when(x < c, lower), 0.0, 1.0))).drop("_z", "_c", "_lo", "_hi", "_known")
 
 
 def zscore_around(df: DataFrame, value: str, ret: str, window: int, rtn_window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled", **kw) -> DataFrame:
     """(x - centre) / rolling deviation, then ``minmax``."""
     w = _frame(keys, order, window)
     flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
-    flow = quantile_at(flow, value, "_z", window, keys, order, "_c").withColumn("_s", ratio(F.col(value) - F.col("_c"), F.stddev_samp(value).over(w)))
-    return minmax(flow, "_s", window, keys=keys, order=order, out=out, **kw).drop("_z", "_c", "_s")
+    flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
+    if window <= NATIVE_ROWS:
+        flow = flow.withColumn("_d", F.stddev_samp(value).over(w))
+    else:
+        flow = _per_group(flow, window, keys, order, ["_d"], lambda pdf: pdf.__setitem__("_d", pdf[value].astype(float).rolling(window, min_periods=2).std()))
+    flow = flow.withColumn("_s", ratio(F.col(value) - F.col("_c"), F.col("_d")))
+    return minmax(flow, "_s", window, keys=keys, order=order, out=out, **kw).drop("_z", "_c", "_s", "_d")
 
 
 def rolling_percentile(df: DataFrame, value: str, window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled") -> DataFrame:
@@ -107,27 +195,31 @@ def rolling_percentile(df: DataFrame, value: str, window: int, keys: list[str] =
         share = ratio(F.size(F.filter("_a", lambda v: v <= x)), F.size("_a"))
         return got.withColumn(out, F.when(F.size("_a") > 0, F.coalesce(F.when(x.isNotNull(), share), F.lit(0.0)))).drop("_a")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_right, insort
-
-        pdf = pdf.sort_values(order)
-        v, res, kept = pdf[value].to_numpy(float), [], []
-        for k in range(len(v)):
-            if k >= window and not np.isnan(v[k - window]):
-                del kept[bisect_right(kept, v[k - window]) - 1]
-            res.append(np.nan if not kept else 0.0 if np.isnan(v[k]) else bisect_right(kept, v[k]) / len(kept))
-            if not np.isnan(v[k]):
-                insort(kept, v[k])
+    def run(pdf: pd.DataFrame) -> None:
+        frame, res = _Sorted(window - 1), []
+        for v in pdf[value].astype(float).tolist():
+            res.append(np.nan if not frame.values else 0.0 if v != v else frame.share(v))
+            frame.push(v)
         pdf[out] = res
-        return pdf
 
-    return _per_group(df, keys, out, run)
+    return _per_group(df, window, keys, order, [out], run)
 
 
 def percentile_around(df: DataFrame, value: str, ret: str, window: int, rtn_window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled") -> DataFrame:
     """Above the centre 0.5 + half the share among rows above it; below, half the share among rows below it."""
     flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
     flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
+    if window > NATIVE_ROWS:
+
+        def run(pdf: pd.DataFrame) -> None:
+            up, down, res = _Sorted(window - 1), _Sorted(window - 1), []
+            for v, m in zip(pdf[value].astype(float).tolist(), pdf["_c"].astype(float).tolist()):
+                res.append(0.5 + 0.5 * up.share(v) if v > m else 0.5 * down.share(v) if v < m else np.nan)
+                up.push(v if v > m else np.nan)
+                down.push(v if v < m else np.nan)
+            pdf[out] = res
+
+        return _per_group(flow, window, keys, order, [out], run).drop("_z", "_c")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - window, -1)
     x, c = F.col(value), F.col("_c")
     flow = flow.withColumn("_up", F.collect_list(F.when(x > c, x)).over(w)).withColumn("_down", F.collect_list(F.when(x < c, x)).over(w))
