@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, column, free_name, slices
+from .common import Scratch, column, free_name, slices, text_batches
 
 #: Smallest and largest chunk, the mask of the bits that end one (mean about MIN_CHUNK + MASK + 1), and the shortest run cut.
 MIN_CHUNK, MAX_CHUNK, MASK, MIN_RUN = 16, 256, 31, 64
@@ -127,6 +127,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     """
     added = T._parse_datatype_string(REPORT).fields if report else []
     docs = docs.drop(*(f.name for f in added))
+    text_batches(docs.sparkSession)
     tables = Scratch(docs.sparkSession, "chunks")
     digests = tables.write("digests", digests_of(docs.where(F.col(key).isNotNull()), key, text))
     rows = digests.select(F.col(key).alias("_doc"), F.explode("digests").alias("_d"))

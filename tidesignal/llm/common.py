@@ -68,6 +68,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Batches of 500 rows between Spark and Python, unless the session has a number of its own: 10,000 texts are much memory, on both sides."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "500")
+
+
 def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % n
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, crc_mod, slices
+from .common import column, crc_mod, slices, text_batches
 
 #: At most so many labelled rows train the model.
 TRAIN_ROWS = 20_000
@@ -166,6 +166,7 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
 
 
 def _with_features(df: DataFrame, key: str, text: str, extra: list[str]) -> DataFrame:
+    text_batches(df.sparkSession)
     kept = [df.schema[c] for c in (key, *extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_mod
 
 def score(docs: DataFrame, model: Gam, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` in 0 to 1. Narrow: no shuffle."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,7 @@ def classify(docs: DataFrame, model: Gam, held_out_mod: int = 5, threshold: floa
 
 def reject(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model accepts, all columns unchanged, whatever their names."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, slices
+from .common import column, slices, text_batches
 
 # fixed values: names of the HTML standard, and customary words of class names
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select textarea button canvas audio video".split())
@@ -254,6 +254,7 @@ def best_region(found: list[tuple[str, str]], weights: dict[str, float]) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every page."""
+    text_batches(pages.sparkSession)
     kept = [pages.schema[key], pages.schema[url]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

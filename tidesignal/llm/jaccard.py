@@ -26,14 +26,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, text_batches
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -220,14 +219,17 @@ def _filter(ids: DataFrame) -> np.ndarray:
         for b in batches:
             on[_slot(b.column(0).to_numpy(zero_copy_only=False), size)] = 1
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(on).tobytes()], pa.binary())], ["k", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["bits"])
 
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [0], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                on |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([on.tobytes()], pa.binary())], ["bits"])
 
-    parts = ids.mapInArrow(mark, "k int, bits binary")
-    some = parts.withColumn("k", (F.spark_partition_id() % 16).cast("int")).groupBy("k").applyInPandas(union, "k int, bits binary")
-    got = some.withColumn("k", F.lit(0)).groupBy("k").applyInPandas(union, "k int, bits binary").collect()
+    parts = ids.mapInArrow(mark, "bits binary")
+    got = parts.repartition(16).mapInArrow(union, "bits binary").coalesce(1).mapInArrow(union, "bits binary").collect()
     return np.unpackbits(np.frombuffer(got[0]["bits"], np.uint8)) if got else np.zeros(size, np.uint8)
 
 
@@ -240,6 +242,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
 def _classes(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, component_id`` and ``first`` (the row's set stands for its class) of every row."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    text_batches(docs.sparkSession)
     tables = Scratch(docs.sparkSession, "jaccard")
     sets = tables.write("sets", describe(docs, frequent_shingles(docs, "text", n), n, num, den).withColumn("v", F.monotonically_increasing_id()))
     rows = tables.write("rows", sets.select("doc_id", "n_shingles", "d1", "d2", "v"))

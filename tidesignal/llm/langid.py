@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, slices
+from .common import column, slices, text_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 6
 #: Bounds of the training sample, and its passes.
@@ -145,6 +145,7 @@ def fit(docs: DataFrame, allowed: Column, lang: str = "lang", text: str = "text"
 
 def predict(docs: DataFrame, net: ByteCnn | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` of every row."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, slices
+from .common import column, slices, text_batches
 
 GRID, FPS, UNIT = 32, 25, 64
 BINS, TRAIL, SIGMAS, LEAST = 16, 8, 2.0, 0.05
@@ -375,6 +375,7 @@ def _clips(samples: list[np.ndarray] | np.ndarray, fps: float) -> list[tuple[int
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_bytes`` and ``media``, the AVI file of the padded text. Narrow: no shuffle."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

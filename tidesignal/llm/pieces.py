@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, slices
+from .common import column, slices, text_batches
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -268,6 +268,7 @@ def _ids_array(encoded: list[bytes | None]) -> pa.Array:
 
 def encode_texts(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``ids`` (array<int>, null for null text) and ``n_tokens`` of each row. One narrow pass, no shuffle."""
+    text_batches(df.sparkSession)
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +284,7 @@ def encode_texts(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "
 
 def decode_ids(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key`` and ``text`` decoded from ``ids``; null ids give null text."""
+    text_batches(df.sparkSession)
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +298,7 @@ def decode_ids(df: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids
 
 def encode_and_verify(df: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encoding with a proof: also ``round_trip``, whether the decoded ids give the text back (null for null text)."""
+    text_batches(df.sparkSession)
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
