@@ -84,3 +84,19 @@ def session_minutes(text: str) -> int:
         raise ValueError(f"not a duration: {text}")
     seconds = sum(int(n) for n, u in parts if u == "s")
     return sum(int(n) * size[u] for n, u in parts if u != "s") + math.floor(seconds / 60)
+
+
+def timedelta_seconds(text: Column) -> Column:
+    """Seconds of a span such as ``1 days 02:03:04``, ``2h 30min``, ``-90s`` or ``1.5m``; NULL for any other text."""
+    units = {86400.0: "d|days?", 3600.0: "h|hrs?|hours?", 60.0: "m|min|mins|minutes?", 1.0: "s|secs?|seconds?", 0.001: "ms|millis|milliseconds?"}
+    number = r"\d+(?:\.\d+)?"
+    t = F.lower(F.trim(text))
+    got = lambda pattern, k=1: F.coalesce(F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("double"), F.lit(0.0))
+    total = F.lit(0.0)
+    for size, names in units.items():
+        total = total + got(rf"({number})\s*(?:{names})(?![a-z])") * size
+    clock = r"(\d+):(\d\d)(?::(\d\d(?:\.\d+)?))?"
+    total = total + got(clock, 1) * 3600 + got(clock, 2) * 60 + got(clock, 3)
+    every = "|".join(units.values())
+    whole = rf"^-?\s*(?=\S)(?:{number}\s*(?:{every})(?![a-z])\s*)*(?:{clock})?$"
+    return F.when(t.rlike(whole), F.when(t.startswith("-"), -total).otherwise(total))

@@ -70,3 +70,18 @@ def rolling(fit_from: str, predict_from: str, until: str, step_months: int, wind
         out.append((max(_shift(cut, -window_months), start), cut - dt.timedelta(1), cut, min(nxt - dt.timedelta(1), last)))
         k += 1
     return out
+
+
+MODES = ("rolling", "update", "update_predict")
+
+
+def of_mode(periods: list[tuple], mode: str) -> list[int]:
+    """Numbers of the periods a mode works on: all, the last, or the last whose prediction is longer than a day."""
+    last = len(periods) - 1
+    if mode == "rolling":
+        return list(range(len(periods)))
+    if mode == "update":
+        return [last]
+    if mode == "update_predict":
+        return [last - 1 if periods[-1][2] == periods[-1][3] and last else last]
+    raise ValueError(f"unknown mode: {mode}")

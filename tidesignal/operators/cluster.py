@@ -107,3 +107,11 @@ def groups(spark: SparkSession, pairs: DataFrame, names: list, limit: float, met
     got = cut(linkage((m + m.T) / 2, method), len(names), limit)
     kind = "long" if names and isinstance(names[0], int) else "string"
     return spark.createDataFrame(list(zip(names, got)), f"factor {kind}, group int")
+
+
+def groups_at(spark: SparkSession, pairs: DataFrame, names: list, limits: list[float], method: str = "average") -> DataFrame:
+    """``config, factor, group``: one linkage, cut at each limit; ``config`` is the limit's place in the list."""
+    m = 1 - np.abs(_matrix(pairs, names))
+    merges = linkage((m + m.T) / 2, method)
+    rows = [(k, n, g) for k, limit in enumerate(limits) for n, g in zip(names, cut(merges, len(names), limit))]
+    return spark.createDataFrame(rows, "config int, factor string, group int")

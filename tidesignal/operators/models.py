@@ -78,6 +78,42 @@ def ridge_alpha(df: DataFrame, names: list[str], alphas: list[float], keys: list
     return max(alphas, key=lambda a: means[a]), means
 
 
+def ridge_grid(panel: DataFrame, label: DataFrame, split: str, alphas: list[float]) -> DataFrame:
+    """Ridge fits of all configurations and penalties: ``cluster_level, model_level, n_groups, train_r2, test_r2``.
+
+    ``panel`` has ``config, group, day, v``, where a missing day counts as 0; ``label`` has ``day, y``. Days before ``split`` are fitted,
+    the others judged. Sums of products over the days of each part are one join and aggregation for the whole grid; only these matrices,
+    whose size is that of the configurations' groups, reach the driver.
+    """
+    days = label.select("day", F.when(F.col("day") < F.lit(split).cast("date"), "train").otherwise("test").alias("part"), "y")
+    configs = F.broadcast(panel.select("config").distinct())
+    fixed = days.crossJoin(configs).select("config", "day", "part", F.explode(F.array(F.struct(F.lit(-1).alias("g"), F.lit(1.0).alias("v")), F.struct(F.lit(0).alias("g"), F.col("y").alias("v")))).alias("x")).select("config", "day", "part", "x.*")
+    rows = panel.select("config", "day", F.col("group").alias("g"), "v").join(days.select("day", "part"), "day").select("config", "day", "part", "g", "v").unionByName(fixed)
+    a, b = (rows.select("config", "day", "part", F.col("g").alias(f"g{c}"), F.col("v").alias(f"v{c}")) for c in "ab")
+    got = a.join(b, ["config", "day", "part"]).where("ga <= gb").groupBy("config", "part", "ga", "gb").agg(F.sum(F.col("va") * F.col("vb")).alias("c")).toPandas()
+    out = []
+    for config, rest in got.groupby("config"):
+        names = sorted(set(rest["gb"]))  # the constant, the label, the groups
+        at = {g: k for k, g in enumerate(names)}
+        c = {part: np.zeros((len(names), len(names))) for part in ("train", "test")}
+        for part, ga, gb, v in rest[["part", "ga", "gb", "c"]].itertuples(index=False):
+            c[part][at[ga], at[gb]] = c[part][at[gb], at[ga]] = v
+        n, s, q = c["train"][0, 0], c["train"][0, 1:], c["train"][1:, 1:]
+        if not n:
+            raise ValueError(f"no days before {split}")
+        centred = q - np.outer(s, s) / n
+        for level, alpha in enumerate(alphas):
+            beta = np.linalg.lstsq(centred[1:, 1:] + alpha * np.eye(len(names) - 2), centred[1:, 0], rcond=None)[0]
+            left = np.concatenate([[-(s[0] - s[1:] @ beta) / n, 1.0], -beta])  # label less prediction
+            r2 = []
+            for part in ("train", "test"):
+                m = c[part]
+                spread = m[1, 1] - m[0, 1] ** 2 / m[0, 0] if m[0, 0] else 0.0
+                r2.append(float(1 - left @ m @ left / spread) if spread > 0 else None)
+            out.append((int(config), level, len(names) - 2, *r2))
+    return panel.sparkSession.createDataFrame(out, "cluster_level int, model_level int, n_groups int, train_r2 double, test_r2 double")
+
+
 def rounds_by_folds(df: DataFrame, keys: list[str], rounds: int = 10, depth: int = 3, patience: int = 3, folds: int = 5, seed: int = 7) -> tuple[int, list[float]]:
     """Rounds of ``boosted`` with the least mean squared error over the folds, up to where ``patience`` rounds bring no better one."""
     cut_up = df.withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds))).persist()

@@ -61,6 +61,7 @@ def passing_or_top(df: DataFrame, cond: Column, least: int, by: str, pool: Colum
 
 
 OPERATORS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b}
+OPERATORS |= {"greater": OPERATORS[">"], "greater_equal": OPERATORS[">="], "less": OPERATORS["<"], "less_equal": OPERATORS["<="], "equal": OPERATORS["=="]}
 
 
 def dynamic(df: DataFrame, conditions: list[dict], reference: Column | None = None, least: int = 0, by: str = "net_sharpe_ratio", ties: list[str] = ["test_name", "process_name", "factor"], names: Column | None = None) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries and their SQL twins."""
 
-from . import aggregates, core, models, tables  # noqa: F401
+from . import aggregates, core, models, tables, whole  # noqa: F401

@@ -208,7 +208,7 @@ def _(spark, sf):
     return b.join(other, ["symbol", "bar_ts"]).groupBy("symbol").agg(F.count("*").alias("n"), _r(F.avg(d), 11).alias("mean_diff"), F.max(d).alias("max_diff"), _r(F.stddev_samp(d)).alias("std_diff"), _r(F.avg(d / F.greatest(F.abs("factor"), F.lit(1e-10))), 5).alias("rel_diff"), _r(correlation(F.col("factor"), F.col("f2"))).alias("corr"))
 
 
-@query("st_rt_compare", f"SELECT {dt('CAST(a.bar_ts AS DATE)')} AS day, count(*) AS n, round(max(abs(a.price - b.price)), 6) AS max_diff FROM bars a JOIN (SELECT symbol, bar_ts, round(price * 1.01, 6) AS price FROM bars) b USING (symbol, bar_ts) WHERE CAST(a.bar_ts AS DATE) = DATE '2024-01-15' GROUP BY 1", BARS)
+@query("st_two_sources", f"SELECT {dt('CAST(a.bar_ts AS DATE)')} AS day, count(*) AS n, round(max(abs(a.price - b.price)), 6) AS max_diff FROM bars a JOIN (SELECT symbol, bar_ts, round(price * 1.01, 6) AS price FROM bars) b USING (symbol, bar_ts) WHERE CAST(a.bar_ts AS DATE) = DATE '2024-01-15' GROUP BY 1", BARS)
 def _(spark, sf):
     b = _b(spark, sf).where("to_date(bar_ts) = date'2024-01-15'")
     live = b.select("symbol", "bar_ts", F.round(F.col("price") * 1.01, 6).alias("live"))

@@ -303,7 +303,7 @@ def _(spark, sf):
     return files.mark_alerted(m, m.where("id % 7 = 0")).select("id", "alerted")
 
 
-@query("st_incremental", "SELECT * FROM (VALUES ('rolling', 3::BIGINT), ('update', 1::BIGINT)) t(mode, periods)")
+@query("st_period_modes", "SELECT * FROM (VALUES ('rolling', 3::BIGINT), ('update', 1::BIGINT)) t(mode, periods)")
 def _(spark, sf):
     from ..operators import calendar
 
@@ -326,7 +326,7 @@ def _(spark, sf):
     return spark.createDataFrame([(r,) for r in sorted(RULES)], "rule string")
 
 
-@query("udf_filters", "SELECT unnest(['v' || range]) AS filter FROM range(19)")
+@query("udf_filter_names", "SELECT unnest(['v' || range]) AS filter FROM range(19)")
 def _(spark, sf):
     return spark.createDataFrame([(f,) for f in sorted(select.FILTERS)], "filter string")
 
@@ -336,13 +336,13 @@ def _(spark, sf):
     return spark.createDataFrame([(m,) for m in sorted(models.MODELS)], "model string")
 
 
-@query("par_grid_model", "SELECT a.range::INTEGER AS cluster_level, b.range::INTEGER AS model_level FROM range(3) a, range(4) b")
+@query("par_grid_cells", "SELECT a.range::INTEGER AS cluster_level, b.range::INTEGER AS model_level FROM range(3) a, range(4) b")
 def _(spark, sf):
     a, b = (spark.range(n).select(F.col("id").cast("int").alias(c)) for n, c in ((3, "cluster_level"), (4, "model_level")))
     return a.crossJoin(F.broadcast(b))  # a parameter grid
 
 
-@query("ev_dynamic", "SELECT process_name, t AS transform, process_name || '_' || t AS process FROM (SELECT DISTINCT process_name FROM evals), (VALUES ('ma5'), ('ma20')) x(t)", EVALS)
+@query("ev_dynamic_names", "SELECT process_name, t AS transform, process_name || '_' || t AS process FROM (SELECT DISTINCT process_name FROM evals), (VALUES ('ma5'), ('ma20')) x(t)", EVALS)
 def _(spark, sf):
     t = F.explode(F.array(F.lit("ma5"), F.lit("ma20")))
     return panels.evaluations(spark, sf).select("process_name").distinct().withColumn("transform", t).withColumn("process", F.concat_ws("_", "process_name", "transform"))

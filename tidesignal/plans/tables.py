@@ -381,7 +381,7 @@ def _(spark, sf):
     return select.best_test(e.where("test_name <> 't3'"), "net_sharpe_ratio").where("net_sharpe_ratio > 0.8").join(recent, ["process_name", "factor"]).select("process_name", "factor", "test_name")
 
 
-@query("sel_copy", f"SELECT {_KEYS}, 'picked' AS tag_name FROM evals WHERE net_sharpe_ratio > 1.5", EVALS)
+@query("sel_copy_list", f"SELECT {_KEYS}, 'picked' AS tag_name FROM evals WHERE net_sharpe_ratio > 1.5", EVALS)
 def _(spark, sf):
     return _e(spark, sf).where("net_sharpe_ratio > 1.5").select("test_name", "process_name", "factor", F.lit("picked").alias("tag_name"))
 
@@ -412,7 +412,7 @@ def _(spark, sf):
     return _group_means(spark, sf).select(stamp("bar_ts").alias("ts"), "grp", F.round("v", 9).alias("v"))
 
 
-@query("mg_period", f"SELECT {ts()} AS ts, round(avg(v), 9) AS merged FROM g GROUP BY bar_ts", _GROUPS)
+@query("mg_period_mean", f"SELECT {ts()} AS ts, round(avg(v), 9) AS merged FROM g GROUP BY bar_ts", _GROUPS)
 def _(spark, sf):
     return _group_means(spark, sf).groupBy("bar_ts").agg(F.avg("v").alias("m")).select(stamp("bar_ts").alias("ts"), F.round("m", 9).alias("merged"))
 
@@ -496,7 +496,7 @@ def _(spark, sf):
     return both.select("symbol", stamp("bar_ts").alias("ts"), F.round(soft_or(vol_gate(F.col("vol"), 8.0, 0.3), trend_gate(F.col("score"), 5.0, 0.1)), 6).alias("gate"))
 
 
-@query("ap_grid_tune", """SELECT k::DOUBLE AS k, t::DOUBLE AS t, h::DOUBLE AS h, symbol, round(avg(s * (1 - (1 - 1 / (1 + exp(-k * (vol - t)))) * (1 - 1 / (1 + exp(5.0 * (score - h)))))), 6) AS mean_signal
+@query("ap_grid_mean", """SELECT k::DOUBLE AS k, t::DOUBLE AS t, h::DOUBLE AS h, symbol, round(avg(s * (1 - (1 - 1 / (1 + exp(-k * (vol - t)))) * (1 - 1 / (1 + exp(5.0 * (score - h)))))), 6) AS mean_signal
   FROM tr JOIN fv USING (symbol, bar_ts), (VALUES (4.0::DOUBLE), (8.0::DOUBLE)) a(k), (VALUES (0.2::DOUBLE), (0.3::DOUBLE)) b(t), (VALUES (0.0::DOUBLE), (0.1::DOUBLE)) c(h) GROUP BY 1, 2, 3, 4""", _SOFT)
 def _(spark, sf):
     _, f = _overlay(spark, sf)
@@ -507,7 +507,7 @@ def _(spark, sf):
     return both.groupBy(F.col("g.k").alias("k"), F.col("g.t").alias("t"), F.col("g.h").alias("h"), "symbol").agg(F.round(F.avg(F.col("s") * gate), 6).alias("mean_signal"))
 
 
-@query("ap_batch", "SELECT f.level, symbol, count(*) AS n, round(avg(s * f.level), 6) AS mean_signal FROM sig, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE)) f(level) WHERE s IS NOT NULL GROUP BY 1, 2", SIGNAL)
+@query("ap_levels", "SELECT f.level, symbol, count(*) AS n, round(avg(s * f.level), 6) AS mean_signal FROM sig, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE)) f(level) WHERE s IS NOT NULL GROUP BY 1, 2", SIGNAL)
 def _(spark, sf):
     levels = F.explode(F.array(*(F.lit(x) for x in (0.5, 1.0, 1.5))))
     s = signal(spark, sf).where("s is not null").withColumn("level", levels)

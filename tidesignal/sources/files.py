@@ -62,6 +62,28 @@ def list_factors(spark: SparkSession, folder: str, pattern: str = r"(.+)\.parque
     return sorted(m[1] for n in names if (m := re.fullmatch(pattern, n)))
 
 
+def leaf_folders(spark: SparkSession, roots: dict[str, dict]) -> list[tuple[str, str | None, str]]:
+    """(root, tag, leaf) of each root's folders without folders in them, in any store that Spark reads.
+
+    A root's ``target_leaf`` replaces the listing, ``exclude`` takes leaves out of either; hidden folders (``_``, ``.``) are passed over.
+    """
+    jvm = spark.sparkContext._jvm
+
+    def leaves(fs, path, at: str) -> list[str]:
+        inner = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+        inner = [n for n in inner if n[0] not in "_."]
+        if not inner:
+            return [at or "."]
+        return [x for n in inner for x in leaves(fs, jvm.org.apache.hadoop.fs.Path(path, n), f"{at}/{n}" if at else n)]
+
+    out = []
+    for root, info in roots.items():
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        found = info.get("target_leaf") or leaves(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, "")
+        out += [(root, info.get("tag_name"), x) for x in found if x not in info.get("exclude", [])]
+    return out
+
+
 def paired_filters(names: list[str], positive: str = "pos_", negative: str = "neg_") -> list[tuple[str, str, str]]:
     """(suffix, positive name, negative name) of filters that come in pairs."""
     up, down = ({n.removeprefix(p): n for n in names if n.startswith(p)} for p in (positive, negative))
