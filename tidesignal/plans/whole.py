@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, soft_or, timedelta_seconds
+from ..functions.columns import soft_or, timedelta_seconds
 from ..operators import apply, calendar, cluster, metrics, models, pnl, rules, scaling, select
 from ..sources import files, panels
 from .core import _POS, FEE, W, positions, signal
-from .kit import BARS, EVALS, RETURNS, SIGNAL, dt, query, stamp, ts
+from .kit import BARS, EVALS, RETURNS, SIGNAL, query, stamp, ts
 from .models import _CHOSEN, _clustered, _folder, _pairs
 from .tables import _GROUPS, _SOFT, _group_means, _overlay, _trend
 
@@ -196,7 +196,7 @@ def _(spark, sf):
 
 # --- merge, test, evaluate
 
-_MERGED = _POS.replace(BARS, f"bars AS (WITH {_GROUPS} SELECT 'merged' AS symbol, bar_ts, p.price, m.factor FROM (SELECT bar_ts, round(avg(v), 9) AS factor FROM g GROUP BY 1) m JOIN (SELECT bar_ts, round(avg(price), 9) AS price FROM bars GROUP BY 1) p USING (bar_ts))", 1).replace("CASE WHEN n >= 10", "coalesce(CASE WHEN n >= 10", 1).replace(" END AS s FROM sigraw", " END, 0) AS s FROM sigraw", 1)
+_MERGED = _POS.replace("CASE WHEN n >= 10", "coalesce(CASE WHEN n >= 10", 1).replace(" END AS s FROM sigraw", " END, 0) AS s FROM sigraw", 1).replace(BARS, f"bars AS (WITH {_GROUPS} SELECT 'merged' AS symbol, bar_ts, p.price, m.factor FROM (SELECT bar_ts, round(avg(v), 9) AS factor FROM g GROUP BY 1) m JOIN (SELECT bar_ts, round(avg(price), 9) AS price FROM bars GROUP BY 1) p USING (bar_ts))", 1)
 
 
 @query("mg_period", "SELECT 'merged' AS name, count(*) AS days, round(sum(ret), 6) + 0 AS total, round(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(245), 5) AS sharpe, round(avg(hsr), 6) AS hsr FROM net", _MERGED)
