@@ -9,7 +9,8 @@ Window counts are taken inside the row, by sorting the hashes of the windows wit
 hosts are partially aggregated before their shuffle; the features, a few numbers a row, are written once and read twice.
 
 Edge cases: null texts count as empty: 0 words, so they fail; a null host is a host of its own; repeated rows count as often as
-they come; with a single host, or hosts that all have one rate, the prior is as strong as ``MAX_PRIOR`` documents.
+they come; with a single host, or hosts that all have one rate, the prior is as strong as ``MAX_PRIOR`` documents. Very long texts
+are read whole, inside their row; a host at exactly ``HOST_LIMIT`` is not rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations

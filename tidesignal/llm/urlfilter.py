@@ -11,7 +11,8 @@ and the two meet on (pattern, month), with the exact dates as a filter. Verdicts
 
 Edge cases: a null or unreadable url is ``invalid`` and not kept; a null fetch date or one before all entries finds no entry and is
 ``clean``; of several entries of one list, pattern and date the greatest action (clear, block, allow) holds; entries with nulls are
-ignored; repeated captures are returned as often as they come; with an empty list all captures are clean.
+ignored; repeated captures are returned as often as they come; with an empty list all captures are clean; an empty table of captures
+gives an empty result. Very long urls are read whole; only the host and the first segment of the path take part.
 """
 
 from __future__ import annotations
