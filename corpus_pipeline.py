@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and reads it back
 as the next stage's documents. All but the last return the columns of ``documents``.
+
+Edge cases: a null or empty text is scored like any other, stays in the near-duplicate stage, is not cut, and ends as null ids or no ids;
+a row with a null doc_id is in no class and is not cut; repeated rows of a kept doc_id stay, and are visited and encoded as often as
+they come; of equal classes and passages the smallest doc_id keeps its text; a null source is a source of its own; very long texts go
+through whole; columns beyond those of ``documents`` are carried along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
