@@ -88,15 +88,18 @@ def session_minutes(text: str) -> int:
 
 def timedelta_seconds(text: Column) -> Column:
     """Seconds of a span such as ``1 days 02:03:04``, ``2h 30min``, ``-90s`` or ``1.5m``; NULL for any other text."""
-    units = {86400.0: "d|days?", 3600.0: "h|hrs?|hours?", 60.0: "m|min|mins|minutes?", 1.0: "s|secs?|seconds?", 0.001: "ms|millis|milliseconds?"}
-    number = r"\d+(?:\.\d+)?"
-    t = F.lower(F.trim(text))
-    got = lambda pattern, k=1: F.coalesce(F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("double"), F.lit(0.0))
-    total = F.lit(0.0)
-    for size, names in units.items():
-        total = total + got(rf"({number})\s*(?:{names})(?![a-z])") * size
-    clock = r"(\d+):(\d\d)(?::(\d\d(?:\.\d+)?))?"
-    total = total + got(clock, 1) * 3600 + got(clock, 2) * 60 + got(clock, 3)
-    every = "|".join(units.values())
-    whole = rf"^-?\s*(?=\S)(?:{number}\s*(?:{every})(?![a-z])\s*)*(?:{clock})?$"
-    return F.when(t.rlike(whole), F.when(t.startswith("-"), -total).otherwise(total))
+    number, clock = r"\d+(?:\.\d+)?", r"(\d+):(\d\d)(?::(\d\d(?:\.\d+)?))?"
+    units = "d|days?|h|hrs?|hours?|m|mins?|minutes?|s|secs?|seconds?|ms|millis|milliseconds?"
+    whole = rf"^-?\s*(?=\S)(?:{number}\s*(?:{units})(?![a-z])\s*)*(?:{clock})?$"
+    pair = F.lit(rf"({number})\s*([a-z]+)")
+
+    def size(u: Column) -> Column:
+        return F.when(u.startswith("d"), 86400.0).when(u.startswith("h"), 3600.0).when(u.startswith("s"), 1.0).when(u.startswith("ms") | u.startswith("milli"), 0.001).otherwise(60.0)
+
+    def seconds(t: Column) -> Column:
+        spans = F.zip_with(F.regexp_extract_all(t, pair, F.lit(1)), F.regexp_extract_all(t, pair, F.lit(2)), lambda n, u: n.cast("double") * size(u))
+        hms = F.zip_with(F.array(*(F.regexp_extract(t, clock, k) for k in (1, 2, 3))), F.array(F.lit(3600.0), F.lit(60.0), F.lit(1.0)), lambda n, u: F.when(n != "", n.cast("double") * u).otherwise(0.0))
+        total = F.aggregate(F.concat(spans, hms), F.lit(0.0), lambda a, x: a + x)
+        return F.when(t.rlike(whole), F.when(t.startswith("-"), -total).otherwise(total))
+
+    return F.transform(F.array(F.lower(F.trim(text))), seconds)[0]  # the text is worked out once
