@@ -24,7 +24,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_and_verify(table(spark, sf_dir, "documents"), piece_model())
 
 
-#: A small dated list for the registered query: list, pattern, action, effective date.
+#: Dated entries that stand on the registered query's list whatever the pages are: list, pattern, action, effective date.
 URL_LIST = (
     ("spam", "spam-farm.example.org", "block", "2024-01-15"),
     ("spam", "cheap-pills.example.com", "block", "2024-02-01"),
@@ -39,11 +39,30 @@ URL_LIST = (
 )
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """``list, pattern, action, effective``: ``URL_LIST`` and entries dealt by hash to the pages' own hosts, their parent domains and
+    first path segments. The list grows with the number of distinct hosts; each of three lists has up to three entries for a name."""
+    sites = pages.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.segment_of(F.col("url")).alias("segment")).where("host <> ''").distinct()
+    path = F.when(F.col("segment") != "", F.concat_ws("/", "host", "segment"))
+    names = sites.select(F.explode(F.array("host", F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1), path)).alias("pattern")).where("pattern <> ''").distinct()
+    dealt = names.withColumn("h", F.conv(F.substring(F.md5("pattern"), 1, 7), 16, 10).cast("long")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    x, first = F.expr("shiftright(h, 8 * k) & 255"), F.expr("date_add(date'2024-01-01', cast(x * 7 % 300 as int))")
+    on = dealt.withColumn("x", x).where("x % 4 = 0").select("pattern", "x", F.concat(F.lit("list"), "k").alias("list"), first.alias("first"))
+    entry = lambda action, days: F.struct(action.alias("action"), F.date_add("first", days).alias("effective"))
+    steps = F.array(
+        entry(F.when(F.floor(F.col("x") / 4) % 3 == 0, "allow").otherwise("block"), F.lit(0)),
+        F.when(F.floor(F.col("x") / 16) % 2 == 0, entry(F.lit("clear"), (20 + F.col("x") % 50).cast("int"))),
+        F.when(F.floor(F.col("x") / 32) % 2 == 0, entry(F.lit("block"), F.lit(120))),
+    )
+    made = on.withColumn("e", F.explode(steps)).where("e is not null").select("list", "pattern", "e.action", F.col("e.effective").cast("string").alias("effective"))
+    return made.unionByName(pages.sparkSession.createDataFrame(list(URL_LIST), "list string, pattern string, action string, effective string"))
+
+
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of ``pages`` as a capture, fetched on a date dealt by its id, against ``URL_LIST``."""
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 365) as int))").alias("fetch_date"))
-    entries = spark.createDataFrame(list(URL_LIST), "list string, pattern string, action string, effective string")
-    return urlfilter.judge(captures, entries).withColumn("fetch_date", F.col("fetch_date").cast("string"))
+    """Every row of ``pages`` as a capture, fetched on a date dealt by its id, against ``url_list`` of the same pages."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 365) as int))").alias("fetch_date"))
+    return urlfilter.judge(captures, url_list(pages)).withColumn("fetch_date", F.col("fetch_date").cast("string"))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,13 +181,23 @@ FROM judged j JOIN rated r ON j.source IS NOT DISTINCT FROM r.source
 _VALUES = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in URL_LIST)
 
 OP2_SQL = rf"""
-WITH entries(list, pattern, action, valid_from) AS (VALUES {_VALUES}),
-intervals AS (SELECT *, lead(valid_from) OVER (PARTITION BY list, pattern ORDER BY valid_from) AS valid_to FROM entries),
-seen AS (
+WITH seen AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetch_date,
          rtrim(regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') AS host,
          regexp_extract(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment
   FROM pages),
+names AS (
+  SELECT host AS pattern FROM seen WHERE host <> '' UNION SELECT host || '/' || segment FROM seen WHERE host <> '' AND segment <> ''
+  UNION SELECT regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) FROM seen WHERE regexp_matches(host, '^[^.]+\.(.+\..+)$')),
+dealt AS (
+  SELECT pattern, 'list' || k AS list, x, DATE '2024-01-01' + CAST(x * 7 % 300 AS INTEGER) AS first
+  FROM (SELECT pattern, k, (CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) >> (8 * k)) & 255 AS x FROM names, (VALUES (0), (1), (2)) t(k)) WHERE x % 4 = 0),
+entries(list, pattern, action, valid_from) AS (
+  VALUES {_VALUES}
+  UNION ALL SELECT list, pattern, CASE WHEN x // 4 % 3 = 0 THEN 'allow' ELSE 'block' END, first FROM dealt
+  UNION ALL SELECT list, pattern, 'clear', first + CAST(20 + x % 50 AS INTEGER) FROM dealt WHERE x // 16 % 2 = 0
+  UNION ALL SELECT list, pattern, 'block', first + 120 FROM dealt WHERE x // 32 % 2 = 0),
+intervals AS (SELECT *, lead(valid_from) OVER (PARTITION BY list, pattern ORDER BY valid_from) AS valid_to FROM entries),
 hits AS (
   SELECT s.host, s.segment, s.fetch_date, min(pattern) FILTER (action = 'allow') AS allow, min(pattern) FILTER (action = 'block') AS block
   FROM (SELECT DISTINCT host, segment, fetch_date FROM seen) s JOIN intervals i
