@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -149,37 +151,95 @@ def rank_labels(df: DataFrame, value: str, order: str, buckets: int, out: str =
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.least(F.ceil(pct * buckets - 1e-9), F.lit(buckets)).cast("int") - 1))
 
 
+def ranked_pairs(df: DataFrame, names: list[str], group: str, label: str = "label", key: str = "symbol", places: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """``features, y``: differences of two rows of one group with different labels, each in both directions; ``y`` is 1 if the better is first.
+
+    Rows stand in order of (label, key) within their group, and each meets the rows some ``places`` before it, so a group of n rows gives
+    at most 2 n pairs a place, never all pairs. Rows without a label or with a missing feature take no part.
+    """
+    known = df.where(" and ".join(f"{c} is not null" for c in [label, *names]))
+    w = Window.partitionBy(group).orderBy(label, key)
+    before = [F.lag(F.struct(label, *names), k).over(w).alias(f"_b{k}") for k in places]
+    met = known.select(label, *names, *before).withColumn("_b", F.explode(F.array(*(f"_b{k}" for k in places)))).where(F.col(f"_b.{label}") < F.col(label))
+    both = met.withColumn("_way", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    diff = both.select(*(((F.col(c) - F.col(f"_b.{c}")) * F.col("_way")).alias(c) for c in names), (F.col("_way") > 0).cast("double").alias("y"))
+    return VectorAssembler(inputCols=names, outputCol="features").transform(diff)
+
+
+def ranker(penalty: float = 1e-4):
+    """Pairwise linear ranker, to be fitted on ``ranked_pairs``: a row's score is the coefficients' product with its features."""
+    return LogisticRegression(labelCol="y", regParam=penalty, fitIntercept=False, standardization=False, tol=1e-10, maxIter=200)
+
+
+def importances(model, names: list[str]) -> list[tuple[str, int, float]]:
+    """(name, splits, gain) of a boosted model's features: how often trees split on it, and its share of the gain."""
+    splits = [0] * len(names)
+    for k in re.findall(r"If \(feature (\d+) ", model.toDebugString):
+        splits[int(k)] += 1
+    return [(n, splits[k], float(model.featureImportances[k])) for k, n in enumerate(names)]
+
+
 # fixed values: coefficients of the response surface for the critical values of the unit-root test with a constant
 ADF_CRITICAL = {0.01: (-3.43035, -6.5393, -16.786), 0.05: (-2.86154, -2.8903, -4.234), 0.10: (-2.56677, -1.5384, -2.809)}
+# fixed values: the normal quantile of the test's p-value as a polynomial of the statistic, up to the bound and above it
+ADF_P_BOUND, ADF_P_LOW, ADF_P_HIGH = -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_P_MIN, ADF_P_MAX = -18.83, 2.74
 
 
-def adf_statistic(y: np.ndarray, lags: int | None = None) -> tuple[float, int]:
-    """t value of the level in the regression of differences on level, lagged differences and a constant; rows used."""
-    y = np.asarray(y, float)
-    lags = int(12 * (len(y) / 100) ** 0.25) if lags is None else lags
-    lags = min(lags, max(0, len(y) // 2 - 3))
+def _adf_fit(y: np.ndarray, lags: int, skip: int) -> tuple[float, float, int]:
+    """t value of the level, squared error and rows of the regression of differences from the ``skip``-th on."""
     d = np.diff(y)
-    rows = len(d) - lags
-    if rows < lags + 4 or np.ptp(y) == 0:
-        return float("nan"), rows
-    x = np.column_stack([y[lags:-1], *(d[lags - k : len(d) - k] for k in range(1, lags + 1)), np.ones(rows)])
-    target = d[lags:]
+    rows = len(d) - skip
+    x = np.column_stack([y[skip:-1], *(d[skip - k : len(d) - k] for k in range(1, lags + 1)), np.ones(rows)])
+    target = d[skip:]
     beta, *_ = np.linalg.lstsq(x, target, rcond=None)
-    resid = target - x @ beta
-    cov = np.linalg.pinv(x.T @ x) * (resid @ resid) / max(rows - x.shape[1], 1)
-    return (float(beta[0] / math.sqrt(cov[0, 0])) if cov[0, 0] > 0 else float("nan")), rows
+    left = float(np.square(target - x @ beta).sum())
+    var = np.linalg.pinv(x.T @ x)[0, 0] * left / max(rows - x.shape[1], 1)
+    return (float(beta[0] / math.sqrt(var)) if var > 0 else float("nan")), left, rows
+
+
+def adf_statistic(y: np.ndarray) -> tuple[float, int, int]:
+    """t value of the level in the regression of differences on level, lagged differences and a constant; lags; rows used.
+
+    Lags are those with the least information criterion over the same rows, the fewest of equals, up to 12 (n / 100)^(1/4). Constant
+    and very short series have no statistic.
+    """
+    y = np.asarray(y, float)
+    most = min(math.ceil(12 * (len(y) / 100) ** 0.25), len(y) // 2 - 2)
+    if most < 0 or np.ptp(y) == 0:
+        return float("nan"), 0, max(len(y) - 1, 0)
+    scores = []
+    for lags in range(most + 1):
+        _, left, rows = _adf_fit(y, lags, most)
+        scores.append(rows * math.log(left / rows) + 2 * (lags + 2) if left > 0 else -math.inf)
+    lags = int(np.argmin(scores))
+    t, _, rows = _adf_fit(y, lags, lags)
+    return t, lags, rows
+
+
+def adf_p_value(t: float) -> float:
+    """Probability of a statistic as low as ``t`` under a unit root."""
+    if t != t or t > ADF_P_MAX:
+        return 1.0
+    if t < ADF_P_MIN:
+        return 0.0
+    x = sum(c * t**k for k, c in enumerate(ADF_P_LOW if t <= ADF_P_BOUND else ADF_P_HIGH))
+    return math.erfc(-x / math.sqrt(2)) / 2
 
 
 def stationary(df: DataFrame, value: str, key: str, order: str, level: float = 0.05) -> DataFrame:
-    """``key, statistic, critical, stationary``: the unit root is rejected at ``level``; a series that fails the test is not stationary."""
+    """``key, statistic, p_value, lags, critical, stationary``: the unit root is rejected at ``level``; a series that fails the test is not stationary.
+
+    One series is one task, so long series should come as daily means.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, n = adf_statistic(pdf.sort_values(order)[value].dropna().to_numpy())
+        t, lags, n = adf_statistic(pdf.sort_values(order)[value].dropna().to_numpy())
         a, b, c = ADF_CRITICAL[level]
-        crit = a + b / max(n, 1) + c / max(n, 1) ** 2
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [s], "critical": [crit], "stationary": [bool(s < crit)]})
+        p = adf_p_value(t)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [t], "p_value": [p], "lags": [lags], "critical": [a + b / max(n, 1) + c / max(n, 1) ** 2], "stationary": [bool(p < level)]})
 
-    return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} string, statistic double, critical double, stationary boolean")
+    return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} string, statistic double, p_value double, lags int, critical double, stationary boolean")
 
 
 def change_points(y: np.ndarray, penalty: float, least: int = 2) -> list[int]:

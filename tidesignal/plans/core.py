@@ -191,7 +191,14 @@ def _trigger_sql(o: float, c: float, reopen: bool) -> str:
     return _walk("side, pos", f"{start} AS side, CASE WHEN n.s IS NOT NULL THEN CAST({start} AS DOUBLE) END AS pos", f"{new} AS side, CASE WHEN n.s IS NOT NULL OR st.pos IS NOT NULL THEN CAST({new} AS DOUBLE) END AS pos").replace("st AS", "st(symbol, rn, side, pos) AS", 1)
 
 
+#: Parameter sets of the registered queries by rule, for calls by name.
+RULE_PARAMS: dict[str, list[dict]] = {}
+
+
 def _rule_query(name: str, rule: str, params: list[dict], sql: str, head: str = _SEQ):
+    if name == f"tr_{rule}":
+        RULE_PARAMS[rule] = params
+
     @query(name, sql, head, recursive=True)
     def _(spark, sf):
         return _show(rules.run_rule(signal(spark, sf), rule, params), "pos")

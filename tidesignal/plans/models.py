@@ -102,8 +102,9 @@ def _(spark, sf):
 
 @query("ev_adf")
 def _(spark, sf):
-    got = models.stationary(panels.bars(spark, sf), "price", "symbol", "bar_ts")
-    return got.select("symbol", F.round("statistic", 4).alias("statistic"), F.round("critical", 4).alias("critical"), "stationary")
+    days = panels.bars(spark, sf).groupBy("symbol", F.to_date("bar_ts").alias("day")).agg(F.avg("price").alias("price"))
+    got = models.stationary(days, "price", "symbol", "day")
+    return got.select("symbol", F.round("statistic", 4).alias("statistic"), F.round("p_value", 4).alias("p_value"), "lags", F.round("critical", 4).alias("critical"), "stationary")
 
 
 @query("ep_regime")
@@ -181,6 +182,23 @@ def _(spark, sf):
     return model.transform(_matrix(spark, sf)).select("symbol", stamp("bar_ts").alias("ts"), F.round("prediction", 6).alias("prediction"))
 
 
+@query("md_gbm_importance")
+def _(spark, sf):
+    m = _fit(spark, sf)
+    best, _ = models.rounds_by_folds(m, ["symbol", "bar_ts"])
+    got = models.importances(models.boosted(best).fit(m), ["g1", "g2"])
+    return spark.createDataFrame([(n, k, round(g, 6)) for n, k, g in got], "feature string, splits int, gain double")
+
+
+@query("md_ranker")
+def _(spark, sf):
+    """Scores of all bars by a ranker that learns the order of next returns among the series of each bar of the fit window."""
+    labelled = models.rank_labels(_fit(spark, sf).drop("features"), "y", "bar_ts", 4)
+    fitted = models.ranker().fit(models.ranked_pairs(labelled, ["g1", "g2"], "bar_ts")).coefficients
+    score = F.col("g1") * float(fitted[0]) + F.col("g2") * float(fitted[1])
+    return _matrix(spark, sf).select("symbol", stamp("bar_ts").alias("ts"), F.round(score, 5).alias("score"))
+
+
 @query("md_ranker_labels", f"SELECT symbol, {ts()} AS ts, least(ceil((rank() OVER (PARTITION BY bar_ts ORDER BY factor) + (count(*) OVER (PARTITION BY bar_ts, factor) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY bar_ts) * 4 - 1e-9), 4)::INTEGER - 1 AS label FROM bars", BARS)
 def _(spark, sf):
     return models.rank_labels(panels.bars(spark, sf), "factor", "bar_ts", 4).select("symbol", stamp("bar_ts").alias("ts"), "label")
@@ -331,6 +349,16 @@ def _(spark, sf):
     return spark.createDataFrame([(f,) for f in sorted(select.FILTERS)], "filter string")
 
 
+@query("udf_models_fit", _OLS.format(v="var_pop", a="0.0").replace("SELECT round(b1", "SELECT 'linear' AS model, round(b1") + " UNION ALL SELECT 'ridge', b1, b2, intercept FROM (WITH " + _MAT + _OLS.format(v="var_pop", a="10.0") + ")", _MAT)
+def _(spark, sf):
+    """Models called by their names with their parameters."""
+    m = _fit(spark, sf)
+    n, spread = m.agg(F.count("*"), F.stddev_pop("y")).first()
+    params = {"linear": {}, "ridge": {"alpha": 10.0, "n": n, "spread": spread}}
+    rows = [_coefficients(spark, models.MODELS[k](**p).fit(m)).withColumn("model", F.lit(k)) for k, p in params.items()]
+    return rows[0].unionByName(rows[1])
+
+
 @query("udf_models", "SELECT unnest(['gbm', 'lasso', 'linear', 'ridge']) AS model")
 def _(spark, sf):
     return spark.createDataFrame([(m,) for m in sorted(models.MODELS)], "model string")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import soft_or, timedelta_seconds
 from ..operators import apply, calendar, cluster, metrics, models, pnl, rules, scaling, select
-from ..sources import files, panels
-from .core import _POS, FEE, W, positions, signal
+from ..registry import oracle_sql
+from ..sources import files, jdbc, panels
+from .core import _POS, FEE, RULE_PARAMS, W, positions, signal
 from .kit import BARS, EVALS, RETURNS, SIGNAL, query, stamp, ts
 from .models import _CHOSEN, _clustered, _folder, _pairs
 from .tables import _GROUPS, _SOFT, _group_means, _overlay, _trend
@@ -56,6 +59,19 @@ def _(spark, sf):
     return out
 
 
+_CALLED = ("binary", "rev", "v0", "v1", "v3", "v5")
+
+
+@query("udf_rules_run", " UNION ALL ".join(f"SELECT '{r}' AS rule, symbol, count(*) AS bars, count(pos) AS known, round(sum(pos), 3) + 0 AS total FROM ({oracle_sql()[f'tr_{r}']}) GROUP BY symbol" for r in _CALLED))
+def _(spark, sf):
+    """Rules called by their names with the parameter sets of their own queries."""
+    out = None
+    for r in _CALLED:
+        one = rules.run_rule(signal(spark, sf), r, RULE_PARAMS[r]).withColumn("rule", F.lit(r)).select("rule", "symbol", F.round("pos", 6).alias("pos"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("rule", "symbol").agg(F.count("*").alias("bars"), F.count("pos").alias("known"), (F.round(F.sum("pos"), 3) + 0).alias("total"))
+
+
 _PER = "net_return_annualized / nullif(hsr, 0) / 245"
 _FILTERS = {
     "v0": "sharpe_ratio > 2", "v1": "sharpe_ratio > 2 AND return_annualized / nullif(hsr, 0) > 0.145", "v2": "sharpe_ratio > 1.75", "v3": "net_sharpe_ratio > 1.75",
@@ -194,6 +210,19 @@ def _(spark, sf):
     return models.ridge_grid(panel, label, "1997-01-01", list(ALPHAS))
 
 
+@query("agg_cluster_count_period")
+def _(spark, sf):
+    """Factors and cluster groups of each period: ``period, factors, groups``."""
+    out = []
+    for name, first, last in _SELECTED:
+        r = panels.returns(spark, sf).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+        names = [x[0] for x in r.select("factor").distinct().orderBy("factor").limit(cluster.MAX_FACTORS + 1).collect()]
+        pairs = cluster.sparse_correlations(r, r.select("factor").distinct(), cluster.calendar_days(r), value="ret")
+        g = cluster.groups(spark, pairs, names, 0.9)
+        out.append(g.agg(F.lit(name).alias("period"), F.count("*").alias("factors"), F.max("group").alias("groups")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --- merge, test, evaluate
 
 _MERGED = _POS.replace("CASE WHEN n >= 10", "coalesce(CASE WHEN n >= 10", 1).replace(" END AS s FROM sigraw", " END, 0) AS s FROM sigraw", 1).replace(BARS, f"bars AS (WITH {_GROUPS} SELECT 'merged' AS symbol, bar_ts, p.price, m.factor FROM (SELECT bar_ts, round(avg(v), 9) AS factor FROM g GROUP BY 1) m JOIN (SELECT bar_ts, round(avg(price), 9) AS price FROM bars GROUP BY 1) p USING (bar_ts))", 1)
@@ -253,3 +282,41 @@ def _(spark, sf):
     at = _folder(spark)
     files.write_panel(panels.bars(spark, sf), at, ["symbol"])
     return spark.createDataFrame([(n,) for n in files.list_factors(spark, at, r"symbol=(.*i.*)")], "name string")
+
+
+_CONFIG = """[fit]
+window = 20
+open_at = [0.6, 0.8]
+
+[fit.filter]
+name = "v17"
+"""
+
+
+@query("src_config", "SELECT * FROM (VALUES ('fit.window', '20'), ('fit.open_at', '[0.6, 0.8]'), ('fit.filter.name', '\"v17\"')) t(name, value)")
+def _(spark, sf):
+    """A TOML configuration out of any store that Spark reads, as rows of dotted names and JSON values."""
+    at = _folder(spark) + "/run.toml"
+    files.write_text(spark, at, _CONFIG)
+    return spark.createDataFrame(sorted(files.flatten(files.load_config(spark, at)).items()), "name string, value string")
+
+
+@query("snk_jdbc", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE 'first' END AS status FROM orders
+  WHERE (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 7 <> 0""")
+def _(spark, sf):
+    """A status table in a database: written, upserted, marked, and read back by filters that the database applies.
+
+    ``spark.tidesignal.jdbc.url`` names the database; where it is unset, a local session takes one in its own memory.
+    """
+    url = spark.conf.get("spark.tidesignal.jdbc.url", "")
+    if not url and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.tidesignal.jdbc.url must name a database that driver and executors reach")
+    url = url or "jdbc:derby:memory:tidesignal;create=true"
+    o = panels.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    rows = lambda where, status: o.where(where).select("id", F.lit(status).alias("status"), F.lit(0).alias("alerted"))
+    name, typed = f"status_{uuid.uuid4().hex[:12]}", {"createTableColumnTypes": "status varchar(16)"}
+    jdbc.create(rows("id % 2 = 0", "first"), url, name, typed)
+    jdbc.upsert(rows("id % 2 = 0", "first"), url, name, ["id"], typed)
+    jdbc.upsert(rows("id % 3 = 0", "again"), url, name, ["id"], typed)
+    jdbc.mark(o.where("id % 7 = 0"), url, name, "alerted")
+    return jdbc.read(spark, url, name).where("alerted = 0 and status in ('first', 'again')").select("id", "status")

@@ -40,18 +40,44 @@ def read_selection(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "root_dir string, process_name string, factor string").distinct()
 
 
-def read_config(path: str) -> dict:
-    """TOML, YAML or JSON on the driver."""
-    kind = PurePath(path).suffix
+def parse_config(text: str, kind: str) -> dict:
+    """TOML, YAML or JSON, told by the file's suffix."""
     if kind == ".toml":
-        with open(path, "rb") as f:
-            return tomllib.load(f)
-    with open(path) as f:
-        if kind in (".yml", ".yaml"):
-            import yaml
-
-            return yaml.safe_load(f)
-        return json.load(f)
+        return tomllib.loads(text)
+    if kind in (".yml", ".yaml"):
+        import yaml
+
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
+def read_config(path: str) -> dict:
+    """A configuration on the driver's disk."""
+    with open(path, encoding="utf-8") as f:
+        return parse_config(f.read(), PurePath(path).suffix)
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    """A configuration in any store that Spark reads."""
+    return parse_config(spark.read.text(path, wholetext=True).first()[0], PurePath(path).suffix)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in any store that Spark writes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def flatten(config: dict, name: str = "") -> dict[str, str]:
+    """Dotted names of a nested configuration's values, as JSON."""
+    out: dict[str, str] = {}
+    for k, v in config.items():
+        out |= flatten(v, f"{name}{k}.") if isinstance(v, dict) else {f"{name}{k}": json.dumps(v)}
+    return out
 
 
 def list_factors(spark: SparkSession, folder: str, pattern: str = r"(.+)\.parquet") -> list[str]:
