@@ -199,3 +199,24 @@ def test_tables_in_a_database(spark):
     assert [r[0] for r in open_.collect()] == [2] and "PushedFilters: [*IsNotNull(alerted), *EqualTo(alerted,0)" in open_._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="(?i)missing"):
         jdbc.mark(df([(1, "", 0)]), url, "missing", "alerted")
+
+
+@pytest.mark.parametrize("seed, n, share", [(1, 12, 0.1), (2, 40, 0.04), (3, 40, 0.3), (4, 1, 0.0)])
+def test_rounds_of_joins_equal_plain_passes(spark, seed, n, share):
+    rng = np.random.default_rng(seed)
+    names = [f"f{k:02d}" for k in range(n)]
+    corr = {p: float(rng.choice([-0.9, 0.9]) if rng.random() < share else 0.1) for p in itertools.combinations(names, 2)}
+    pairs = spark.createDataFrame([(*p, c) for p, c in corr.items()], "a string, b string, corr double")
+    rank = rng.permutation(n).tolist()
+    ranked = spark.createDataFrame(list(zip(names, rank)), "factor string, rank int")
+    kept = []
+    for k in np.argsort(rank):
+        if all(abs(corr[tuple(sorted((names[k], x)))]) <= 0.5 for x in kept):
+            kept.append(names[k])
+    assert [r.factor for r in cluster.greedy_dedup(pairs, ranked, 0.5).orderBy("rank").collect()] == kept
+    far = np.ones((n, n))
+    for (a, b), c in corr.items():
+        far[names.index(a), names.index(b)] = far[names.index(b), names.index(a)] = 1 - abs(c)
+    want = cluster.cut(cluster.linkage(far, "single"), n, 0.5)
+    got = {r.factor: r.group for r in cluster.single_linkage(pairs, ranked.select("factor"), 0.5).collect()}
+    assert got == {f: names[want.index(g)] for f, g in zip(names, want)}

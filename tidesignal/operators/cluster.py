@@ -1,11 +1,14 @@
 """Correlation of factors from moments, greedy dedup, hierarchical clustering.
 
-Products of all pairs are a distributed self join on the day, over a calendar on which missing days count as 0. For linkage the matrix
-of a bounded number of factors (``MAX_FACTORS``, checked) reaches the driver as columns, for the greedy pass only pairs beyond the limit.
+Products of all pairs are a distributed self join on the day, over a calendar on which missing days count as 0. Single linkage and the
+greedy pass run as rounds of joins over the pairs on one side of the limit, for any number of factors. For the other linkages, which
+need the whole matrix, that of a bounded number of factors (``MAX_FACTORS``, checked) reaches the driver as columns.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,18 +52,58 @@ def _matrix(pairs: DataFrame, names: list) -> np.ndarray:
     return m
 
 
-def greedy_dedup(pairs: DataFrame, ranked: list, limit: float) -> list:
-    """Names in order of rank, each kept unless a kept one correlates with it beyond ``limit``. Only pairs beyond it are gathered."""
-    place = {n: k for k, n in enumerate(_checked(ranked))}
-    against: dict = {}
-    for a, b in pairs.where(F.abs("corr") > limit).select("a", "b").toPandas().itertuples(index=False):
-        first, second = sorted((a, b), key=place.__getitem__)
-        against.setdefault(second, []).append(first)
-    kept: dict = {}
-    for n in ranked:
-        if not any(x in kept for x in against.get(n, ())):
-            kept[n] = None
-    return list(kept)
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Lineage cut in the checkpoint folder that the session names; a local session without one takes a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def greedy_dedup(pairs: DataFrame, ranked: DataFrame, limit: float) -> DataFrame:
+    """Rows of ``ranked`` (``factor, rank``; ranks are unique) that are kept: in order of rank, unless a kept one correlates beyond ``limit``.
+
+    Done in rounds over the pairs beyond the limit: a factor all of whose better-ranked rivals are out is kept, and its rivals go out. Each
+    round decides at least the best undecided factor; the rounds are as many as the longest chain of such decisions, not as the factors.
+    """
+    far = pairs.where(F.abs("corr") > limit).select("a", "b")
+    ranked = _checkpoint(ranked.select("factor", "rank"))
+    ra, rb = (ranked.select(F.col("factor").alias(c), F.col("rank").alias(f"r{c}")) for c in "ab")
+    both = far.join(ra, "a").join(rb, "b")
+    first = F.col("ra") < F.col("rb")
+    edges = _checkpoint(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
+    open_, kept = ranked, ranked.limit(0)
+    while True:
+        live = edges.join(open_.select(F.col("factor").alias("better")), "better", "left_semi").join(open_.select(F.col("factor").alias("worse")), "worse", "left_semi")
+        chosen = open_.join(live.select(F.col("worse").alias("factor")), "factor", "left_anti")
+        beaten = edges.join(chosen.select(F.col("factor").alias("better")), "better", "left_semi").select(F.col("worse").alias("factor"))
+        step = _checkpoint(open_.join(chosen.select("factor", F.lit(True).alias("_in")), "factor", "left").join(beaten.distinct().withColumn("_out", F.lit(True)), "factor", "left"))
+        kept = kept.unionByName(step.where("_in").select("factor", "rank"))
+        open_ = step.where("_in is null and _out is null").select("factor", "rank")
+        if open_.isEmpty():
+            return kept
+
+
+def single_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFrame:
+    """``factor, group``: single linkage of 1 - |corr| cut at ``limit``, for any number of factors; a group is named by its first factor.
+
+    Groups are the components of the pairs within the limit: each factor takes the least label among its neighbours, then the label of
+    its label, until none changes; the second step lets labels leap along chains.
+    """
+    near = pairs.where(1 - F.abs("corr") <= limit).select("a", "b")
+    edges = _checkpoint(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = names.select("factor", F.col("factor").alias("group"))
+    while True:
+        least = edges.join(labels.select(F.col("factor").alias("b"), "group"), "b").groupBy(F.col("a").alias("factor")).agg(F.min("group").alias("_g"))
+        taken = labels.join(least, "factor", "left").select("factor", "group", F.least("group", F.coalesce("_g", "group")).alias("_new"))
+        above = taken.select(F.col("factor").alias("_new"), F.col("_new").alias("_top"))
+        step = _checkpoint(taken.join(above, "_new").select("factor", F.col("group").alias("_old"), F.least("_new", "_top").alias("group")))
+        labels = step.select("factor", "group")
+        if step.where(F.col("_old") != F.col("group")).isEmpty():
+            return labels
 
 
 def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:

@@ -94,10 +94,16 @@ def _(spark, sf):
 
 @query("ev_corr_dedup")
 def _(spark, sf):
-    r = panels.returns(spark, sf)
-    ranked = [x[0] for x in r.groupBy("factor").agg(F.sum("ret").alias("s")).orderBy(F.desc("s"), "factor").limit(cluster.MAX_FACTORS + 1).collect()]
+    totals = panels.returns(spark, sf).groupBy("factor").agg(F.sum("ret").alias("s"))
+    ranked = totals.select("factor", F.row_number().over(Window.orderBy(F.desc("s"), "factor")).alias("rank"))  # one row a factor
     kept = cluster.greedy_dedup(_pairs(spark, sf), ranked, 0.02)
-    return spark.createDataFrame([(k, x) for k, x in enumerate(kept)], "place int, factor string")
+    return kept.select((F.row_number().over(Window.orderBy("rank")) - 1).alias("place"), "factor")
+
+
+@query("cl_linkage_single", """, near AS (SELECT a, b FROM pc WHERE 1 - abs(c) <= 0.97 UNION ALL SELECT b, a FROM pc WHERE 1 - abs(c) <= 0.97),
+reach AS (SELECT DISTINCT factor, factor AS other FROM rets UNION SELECT factor, b FROM reach JOIN near ON other = a) SELECT factor, min(other) AS "group" FROM reach GROUP BY 1""", _PAIRS, recursive=True)
+def _(spark, sf):
+    return cluster.single_linkage(_pairs(spark, sf), panels.returns(spark, sf).select("factor").distinct(), 0.97)
 
 
 @query("ev_adf")
