@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, gam, html, jaccard, langid, media, mixing, pieces, rules, urlfilter
+from . import chunks, gam, html, jaccard, langid, lexical, media, mixing, negatives, pieces, rules, toxicity, urlfilter
 from .common import crc_mod, table
 
 #: Where the public vocabularies lie; read by the driver only.
@@ -103,6 +103,23 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh row has its label moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_lists": op2_url_lists,
@@ -114,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_temperature_mix": op10_temperature_mix,
     "op7_host_rules": op7_host_rules,
     "op8_quality_gam": op8_quality_gam,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_toxicity": op12_toxicity,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -211,4 +231,38 @@ judged AS (
 SELECT page_id, url, host, CAST(fetch_date AS VARCHAR) AS fetch_date, verdict, rule, verdict NOT IN ('invalid', 'blocked') AS kept FROM judged
 """
 
-ORACLES: dict[str, str] = {"op2_url_lists": OP2_SQL, "op7_host_rules": OP7_SQL, "op10_temperature_mix": OP10_SQL}
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+OP13_SQL = r"""
+WITH terms AS (
+  SELECT n AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS n FROM documents)),
+postings AS (SELECT d, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+docs AS (SELECT d, doc_id, count(*) AS n FROM terms GROUP BY 1, 2),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, total GROUP BY term),
+sizes AS (SELECT d, doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM docs, total),
+wanted AS (SELECT DISTINCT i, item_id, term FROM (
+  SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS i FROM benchmark))),
+scores AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (d) GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, d) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_url_lists": OP2_SQL, "op7_host_rules": OP7_SQL, "op10_temperature_mix": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_lexical_search": OP13_SQL}
