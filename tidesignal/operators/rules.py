@@ -1,7 +1,8 @@
 """Trade rules: a signal becomes a position in -1, 0, 1.
 
-The common rule has a window form (``reopening``), one sort a series and no Python. All others keep a state along the series and
-run as one call for each (series, batch of parameter sets): a grid spreads over tasks, and a series is copied ``BATCHES`` times at most.
+The common rule has a window form (``reopening``), one sort a series and no Python. Rules with finitely many states run over stretches of a
+series in parallel (``machines``). The others keep prices, extremes or counts along the series and run as one call for each (series, batch
+of parameter sets): a grid spreads over tasks, and a series is copied ``BATCHES`` times at most.
 
 Common contract: missing before the first value stays missing, later a missing bar holds the position; comparisons are strict.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import machines
+
 NAN = float("nan")
 
 
@@ -38,73 +41,6 @@ def _wish(x: float, open_at: float) -> int:
     return 1 if x > open_at else -1 if x < -open_at else 0
 
 
-def trigger(bars: pd.DataFrame, open_at: float, close_at: float, reopen: bool = False, gap: float | None = None, at_gap: str = "none", end: str | None = None, quiet: str | None = None, longs: bool = True, shorts: bool = True) -> list[float]:
-    """Open beyond +-open_at, close when the signal falls back through close_at on its side.
-
-    ``gap`` (minutes to the next bar) and ``end`` (HH:MM) may flatten: ``rest`` gives 0 and ends the bar, ``restore`` does so and takes
-    the same side again after the gap, ``pass`` flattens and goes on, ``block`` flattens and forbids opening. From ``quiet`` to ``end``
-    nothing is opened.
-    """
-    x, when = bars["s"].to_numpy(float), bars["bar_ts"].to_numpy("datetime64[s]")
-    ahead = np.append(np.diff(when).astype("timedelta64[s]").astype(float) / 60, 0.0)
-    wide = ahead > gap if gap is not None else np.zeros(len(x), bool)
-    clock = pd.DatetimeIndex(when).strftime("%H:%M") if end or quiet else None
-    side, seen, parked, out = 0, False, 0, []
-    for k, v in enumerate(x.tolist()):
-        if at_gap == "restore" and k and wide[k - 1] and parked:
-            side, parked = parked, 0
-        last = clock is not None and end is not None and clock[k] == end
-        shut = False
-        if wide[k] or last:
-            if side and (longs if side > 0 else shorts):
-                if at_gap in ("rest", "restore"):
-                    parked = side if at_gap == "restore" else 0
-                    side = 0
-                    out.append(0.0)
-                    continue
-                side = 0
-            shut = at_gap == "block"
-        elif quiet is not None and end is not None and quiet <= clock[k] < end:
-            shut = True
-        if math.isnan(v):
-            out.append(float(side) if seen else NAN)
-            continue
-        seen = True
-        held = side
-        if side and side * v < close_at:
-            side = 0
-        if not side and not shut and (reopen or not held):
-            side = _wish(v, open_at)
-        out.append(float(side))
-    return out
-
-
-def one_sided(bars: pd.DataFrame, direction: int, open_at: float, close_at: float) -> list[float]:
-    """Always in the market: ``direction`` from its opening to its closing signal, the other side else."""
-    side, seen, out = -direction, False, []
-    for v in bars["s"].tolist():
-        if not math.isnan(v):
-            seen = True
-            if side == direction:
-                side = -direction if direction * v < close_at else side
-            elif direction * v > open_at:
-                side = direction
-        out.append(float(side) if seen else NAN)
-    return out
-
-
-def confirmed(bars: pd.DataFrame, open_at: float, close_at: float, bars_needed: int = 3) -> list[float]:
-    """As many bars in a row are needed to open or to close; both sides share one count."""
-    side, streak, out = 0, 0, []
-    for v in bars["s"].tolist():
-        hit = _wish(v, open_at) if not side else side * v < close_at
-        streak = streak + 1 if hit else 0
-        if streak >= bars_needed:
-            side, streak = (_wish(v, open_at) if not side else 0), 0
-        out.append(float(side))
-    return out
-
-
 def voted(bars: pd.DataFrame, open_at: float, close_at: float, window: int = 5, needed: int = 3) -> list[float]:
     """So many hits of a buffer of flags; while flat, a bar adds a flag for each side and drops one at most."""
     side, flat, held, out = 0, [], [], []
@@ -123,28 +59,6 @@ def voted(bars: pd.DataFrame, open_at: float, close_at: float, window: int = 5,
     return out
 
 
-def next_day(bars: pd.DataFrame, open_at: float, close_at: float) -> list[float]:
-    """Long only; a closing signal acts at the next day's first bar, unless that bar opens anew."""
-    side, seen, due, day, out = 0, False, False, None, []
-    for v, today in zip(bars["s"].tolist(), bars["bar_ts"].dt.date):
-        if today != day:
-            if day is not None or due:
-                if due and not v > open_at:
-                    side = 0
-                due = False
-            day = today
-        if math.isnan(v):
-            out.append(float(side) if seen else NAN)
-            continue
-        seen = True
-        if side and v < close_at:
-            due = True
-        if not side and v > open_at:
-            side, due = 1, False
-        out.append(float(side))
-    return out
-
-
 def stopped(bars: pd.DataFrame, open_at: float, close_at: float, loss: float, profit: float, trailing: bool = True, renew: bool = False) -> list[float]:
     """Price stops before the signal: a loss from entry, then a fall from the best price (or a fixed gain); ``renew`` restarts both on a new signal."""
     side, seen, entry, best, out = 0, False, 0.0, 0.0, []
@@ -254,20 +168,9 @@ def reversal_timed(bars: pd.DataFrame, threshold: float = 0.8, watch: int = 15,
     return out
 
 
-#: Rules by name; each takes the bars of one series (s, price, bar_ts) and its parameters.
+#: Rules with a state that is not finite, by name; each takes the bars of one series (s, price, bar_ts) and its parameters.
 RULES: dict[str, Callable[..., list[float]]] = {
-    "v0": trigger,
-    "v0_1": lambda b, **k: trigger(b, reopen=True, **k),
-    "binary": one_sided,
-    "v1": confirmed,
     "v2": voted,
-    "v3": trigger,
-    "v3_1": lambda b, **k: trigger(b, at_gap="rest", **k),
-    "v3_2": lambda b, **k: trigger(b, at_gap="restore", **k),
-    "v3_3": lambda b, **k: trigger(b, at_gap="pass", reopen=True, **k),
-    "v3_4": lambda b, **k: trigger(b, at_gap="block", reopen=True, **k),
-    "v3_5": lambda b, **k: trigger(b, at_gap="block", reopen=True, **k),
-    "v3_4_t1": next_day,
     "v4": lambda b, **k: stopped(b, **k),
     "v5": lambda b, **k: stopped(b, renew=True, **k),
     "v6": lambda b, **k: stopped(b, renew=True, trailing=False, **k),
@@ -289,9 +192,11 @@ def run_rule(df: DataFrame, rule: str, params: list[dict], keys: list[str] = ["s
 
     A series is copied once for each batch of parameter sets, and a batch gives one sum and count a bar, whatever its sets.
     """
+    base = df.select(*keys, F.col(order).alias("bar_ts"), F.col(value).cast("double").alias("s"), F.col(price).cast("double").alias("price"))
+    if rule in machines.MACHINES:
+        return _mean(machines.run(base.drop("price"), rule, params, keys), keys, order, out)
     made = RULES[rule]
     batches = min(BATCHES, len(params))
-    base = df.select(*keys, F.col(order).alias("bar_ts"), F.col(value).cast("double").alias("s"), F.col(price).cast("double").alias("price"))
     grid = base.withColumn("_batch", F.explode(F.array(*(F.lit(k) for k in range(batches)))))
     schema = T.StructType([*(base.schema[k] for k in keys), base.schema["bar_ts"], T.StructField("_sum", T.DoubleType()), T.StructField("_sets", T.LongType())])
 
@@ -305,4 +210,8 @@ def run_rule(df: DataFrame, rule: str, params: list[dict], keys: list[str] = ["s
     got = grid.groupBy(*keys, "_batch").applyInPandas(run, schema)
     if batches > 1:
         got = got.groupBy(*keys, "bar_ts").agg(F.sum("_sum").alias("_sum"), F.sum("_sets").alias("_sets"))
+    return _mean(got, keys, order, out)
+
+
+def _mean(got: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     return got.select(*keys, F.col("bar_ts").alias(order), F.try_divide("_sum", "_sets").alias(out))

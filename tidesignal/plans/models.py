@@ -345,9 +345,10 @@ def _(spark, sf):
 
 @query("udf_rules", "SELECT unnest(['binary', 'rev', 'rev1', 'rev2', 'rev3', 'rev4', 'rev5', 'v0', 'v0_1', 'v1', 'v2', 'v3', 'v3_1', 'v3_2', 'v3_3', 'v3_4', 'v3_4_t1', 'v3_5', 'v4', 'v5', 'v6']) AS rule")
 def _(spark, sf):
+    from ..operators.machines import MACHINES
     from ..operators.rules import RULES
 
-    return spark.createDataFrame([(r,) for r in sorted(RULES)], "rule string")
+    return spark.createDataFrame([(r,) for r in sorted(RULES | MACHINES)], "rule string")
 
 
 @query("udf_filter_names", "SELECT unnest(['v' || range]) AS filter FROM range(19)")
