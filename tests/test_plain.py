@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
+import plain_linkage
 from tidesignal import plans, registry  # noqa: F401
 from tidesignal.operators import cluster, models, scaling
 from tidesignal.plans import whole
@@ -217,6 +218,6 @@ def test_rounds_of_joins_equal_plain_passes(spark, seed, n, share):
     far = np.ones((n, n))
     for (a, b), c in corr.items():
         far[names.index(a), names.index(b)] = far[names.index(b), names.index(a)] = 1 - abs(c)
-    want = cluster.cut(cluster.linkage(far, "single"), n, 0.5)
+    want = plain_linkage.cut(plain_linkage.linkage(far, "single"), n, 0.5)
     got = {r.factor: r.group for r in cluster.single_linkage(pairs, ranked.select("factor"), 0.5).collect()}
     assert got == {f: names[want.index(g)] for f, g in zip(names, want)}

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import plain_linkage
 from tidesignal import plans, registry  # noqa: F401
 from tidesignal.functions.columns import timedelta_seconds
 from tidesignal.operators import calendar, cluster, select
@@ -17,13 +18,13 @@ def test_grid_of_clusters_and_penalties(spark, small):
     r = panels.returns(spark, small).toPandas()
     wide = r.pivot(index="day", columns="factor", values="ret")
     full = wide.reindex(pd.date_range(wide.index.min(), wide.index.max()).date).fillna(0.0)
-    merges = cluster.linkage(1 - np.abs(np.corrcoef(full.to_numpy().T)), "average")
+    merges = plain_linkage.linkage(1 - np.abs(np.corrcoef(full.to_numpy().T)), "average")
     y = wide.mean(axis=1).shift(-1)
     train = np.array([d < pd.Timestamp("1997-01-01").date() for d in wide.index])
     got = registry.queries()["par_grid_model"](spark, small).toPandas().set_index(["cluster_level", "model_level"]).sort_index()
     assert len(got) == len(whole.LIMITS) * len(whole.ALPHAS) and got["n_groups"].nunique() > 1
     for c, limit in enumerate(whole.LIMITS):
-        group = cluster.cut(merges, wide.shape[1], limit)
+        group = plain_linkage.cut(merges, wide.shape[1], limit)
         x = wide.T.groupby(np.array(group)).mean().T.fillna(0.0).to_numpy()
         use = y.notna().to_numpy()
         for m, alpha in enumerate(whole.ALPHAS):

@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import plain_linkage
 from tidesignal import plans, registry  # noqa: F401
-from tidesignal.operators import align, cluster, models, pnl, rules
+from tidesignal.operators import align, models, pnl, rules
 from tidesignal.plans import models as jobs
 from tidesignal.plans.core import FEE, signal
 from tidesignal.sources import panels
@@ -22,7 +23,7 @@ def groups_of(days, chosen, limit):
     wide = d.pivot(index="day", columns="key", values="gain")
     wide = wide.reindex(pd.date_range(wide.index.min(), wide.index.max()).date).fillna(0.0)
     wide = wide[sorted(wide.columns)]
-    got = cluster.cut(cluster.linkage(1 - np.abs(np.corrcoef(wide.to_numpy().T)), "average"), wide.shape[1], limit)
+    got = plain_linkage.cut(plain_linkage.linkage(1 - np.abs(np.corrcoef(wide.to_numpy().T)), "average"), wide.shape[1], limit)
     return {frozenset(k for k, g in zip(wide.columns, got) if g == n) for n in set(got)}
 
 

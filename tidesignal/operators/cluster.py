@@ -1,66 +1,121 @@
-"""Correlation of factors from moments, greedy dedup, hierarchical clustering.
-
-Products of all pairs are a distributed self join on the day, over a calendar on which missing days count as 0. Single linkage and the
-greedy pass run as rounds of joins over the pairs on one side of the limit, for any number of factors. For the other linkages, which
-need the whole matrix, that of a bounded number of factors (``MAX_FACTORS``, checked) reaches the driver as columns.
+"""Correlation of factors by blocks, greedy dedup, hierarchical clustering, for any number of factors.
+
+Daily values become dense blocks of factors by days, over a calendar on which missing days count as 0, each factor centred by its
+mean. Two blocks meet in one task as a matrix product, so neither a join on the day nor a row for a pair that nobody asked for
+is made: a limit, or a part that both factors must belong to, is applied inside the product. Single linkage and the greedy pass run as
+rounds of joins over the pairs within the limit. Average linkage merges reciprocal nearest neighbours: all pairs of clusters that are each
+other's nearest at once, round by round. Since a merged cluster is never nearer to a third one than the nearer of its halves was,
+that gives the merges of the sequential algorithm up to the limit, and only pairs inside a component of near pairs can ever matter.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_FACTORS = 2000
+#: Factors in a block at most, days in a piece of it, and bytes of a block over all days.
+BLOCK, DAYS, BLOCK_BYTES = 512, 1024, 32 << 20
 
 
-def calendar_days(df: DataFrame, on: str = "day") -> int:
-    """Days from the first to the last one, both included."""
+def calendar(df: DataFrame, on: str = "day") -> tuple:
+    """First day and number of days up to the last one, both included."""
     first, last = df.agg(F.min(on), F.max(on)).first()
-    return (last - first).days + 1 if first else 1
-
+    return (first, (last - first).days + 1) if first else (None, 1)
 
-def sparse_correlations(df: DataFrame, names: DataFrame, days: int, key: str = "factor", on: str = "day", value: str = "v") -> DataFrame:
-    """``a, b, corr`` of all pairs a < b of ``names`` over ``days`` days, where a missing day counts as 0.
 
-    Only common days are joined; sums of single series give the rest. Series without spread have no correlation.
-    """
-    d = df.select(F.col(key).alias("k"), on, F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
-    own = names.select(F.col(key).alias("k")).join(d.groupBy("k").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")), "k", "left").na.fill(0.0, ["s", "q"])
-    x, y = (own.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"), F.col("q").alias(f"q{c}"), (F.col("q") - F.col("s") * F.col("s") / days).alias(f"v{c}")) for c in "ab")
-    both = d.select(F.col("k").alias("a"), on, F.col("v").alias("x")).join(d.select(F.col("k").alias("b"), on, F.col("v").alias("y")), on).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    all_pairs = x.join(y, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
-    spread = F.when((F.col("va") > 1e-12 * F.col("qa")) & (F.col("vb") > 1e-12 * F.col("qb")), F.sqrt(F.col("va") * F.col("vb")))
-    return all_pairs.select("a", "b", ((F.coalesce("xy", F.lit(0.0)) - F.col("sa") * F.col("sb") / days) / spread).alias("corr"))
+def _numbered(names: DataFrame, key: str) -> DataFrame:
+    """``k, part, at``: the names in order from 0. One row a factor."""
+    part = F.col("part") if "part" in names.columns else F.lit(None).cast("long")
+    return names.select(F.col(key).alias("k"), part.alias("part")).withColumn("at", F.row_number().over(Window.orderBy("k")) - 1)
 
 
-def _checked(names: list) -> list:
-    if len(names) > MAX_FACTORS:
-        raise ValueError(f"{len(names)} factors; at most {MAX_FACTORS} can be clustered at once")
-    return names
+def correlations(df: DataFrame, names: DataFrame, days: tuple, key: str = "factor", on: str = "day", value: str = "v", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``a, b, corr`` of the pairs a < b of ``names`` over the calendar ``days``, where a missing day counts as 0.
 
-
-def _matrix(pairs: DataFrame, names: list) -> np.ndarray:
-    at = pd.Series(np.arange(len(names)), pd.Index(_checked(names)))
-    got = pairs.where("corr is not null").select("a", "b", "corr").toPandas()
-    m = np.eye(len(names))
-    i, j = at[got["a"]].to_numpy(), at[got["b"]].to_numpy()
-    m[i, j] = m[j, i] = got["corr"].to_numpy()
-    return m
+    ``keep``: which correlations to return, as a mask of an array (no correlation counts as 0 there). A column ``part`` of ``names``:
+    only pairs of one part, none for null. Series without spread have no correlation. Rows of one day add up.
+    """
+    first, length = days
+    size = max(16, min(BLOCK, BLOCK_BYTES // (8 * length)))
+    pieces = -(-length // DAYS)
+    parts = "part" in names.columns
+    cells = df.where(F.col(on).isNotNull()).select(F.col(key).alias("k"), F.datediff(F.col(on), F.lit(first)).alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    cells = cells.where(F.col("t").between(0, length - 1))
+    known = _numbered(names, key).join(cells.groupBy("k").agg((F.sum("v") / length).alias("m")), "k", "left").na.fill(0.0, ["m"])
+    block, row, piece = (F.col("at") / size).cast("int").alias("block"), (F.col("at") % size).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")
+    frame = known.select(block, piece, row, F.lit(-1).alias("col"), F.col("m").alias("v"), "k", "part")  # one row a factor and piece
+    null = lambda c: F.lit(None).cast(known.schema[c].dataType).alias(c)
+    filled = cells.join(known.select("k", "at"), "k").select(block, (F.col("t") / DAYS).cast("int").alias("piece"), row, (F.col("t") % DAYS).cast("int").alias("col"), "v", null("k"), null("part"))
+    kinds = [known.schema["k"].dataType, known.schema["part"].dataType]
+    dense = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("x", T.BinaryType()), T.StructField("m", T.ArrayType(T.DoubleType())), T.StructField("ks", T.ArrayType(kinds[0])), T.StructField("parts", T.ArrayType(kinds[1]))])
+
+    def fill(t: pa.Table) -> pa.Table:
+        r, c, v = (t[n].to_numpy() for n in ("row", "col", "v"))
+        piece, edge = t["piece"][0].as_py(), c < 0
+        n = int(edge.sum())
+        m = np.zeros(n)
+        m[r[edge]] = v[edge]
+        x = np.repeat(-m[:, None], min(DAYS, length - piece * DAYS), axis=1)
+        np.add.at(x, (r[~edge], c[~edge]), v[~edge])
+        by = t.filter(pa.array(edge)).sort_by("row")
+        lists = [pa.array([by[n].to_pylist() if piece == 0 else None], f.type) for n, f in (("v", t.schema.field("v")), ("k", t.schema.field("k")), ("part", t.schema.field("part"))) for f in [pa.field("l", pa.list_(f.type))]]
+        return pa.table([t["block"].slice(0, 1), t["piece"].slice(0, 1), pa.array([x.tobytes()], pa.binary()), *lists], names=dense.names)
+
+    blocks = frame.unionByName(filled).groupBy("block", "piece").applyInArrow(fill, dense)
+    count = F.broadcast(known.agg(F.floor((F.count("*") - 1) / size).cast("int").alias("last")))  # one row
+    left = blocks.crossJoin(count).select(F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), "piece", "x", "m", "ks", "parts")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "piece", "x", "m", "ks", "parts")
+    right = right.toDF(*(f"{c}_" for c in right.columns))  # columns of its own, for the cogroup of one table with itself
+    schema = T.StructType([T.StructField("a", kinds[0]), T.StructField("b", kinds[0]), T.StructField("corr", T.DoubleType())])
+
+    def product(one: pa.Table, two: pa.Table) -> pa.Table:
+        sides = []
+        for t in (one, two.rename_columns(one.column_names)):
+            t = t.sort_by("piece")
+            m = np.array(t["m"][0].as_py())
+            sides.append(([np.frombuffer(b.as_buffer(), np.float64).reshape(len(m), -1) for b in t["x"]], m, t["ks"][0].values, t["parts"][0].as_py()))
+        (x, mx, kx, px), (y, my, ky, py) = sides
+        c = sum(u @ w.T for u, w in zip(x, y))
+        vx, vy = (sum((u * u).sum(1) for u in z) for z in (x, y))
+        fine = [v > 1e-12 * (v + length * m * m) for v, m in ((vx, mx), (vy, my))]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.where(fine[0][:, None] & fine[1][None, :], c / np.sqrt(vx[:, None] * vy[None, :]), np.nan)
+        wanted = np.ones(c.shape, bool) if keep is None else keep(np.nan_to_num(c))
+        if one["i"][0] == one["j"][0]:
+            wanted = np.triu(wanted, 1)
+        if parts:
+            number = {p: n for n, p in enumerate({*px, *py} - {None})}
+            u, w = (np.array([number.get(p, lone) for p in q]) for q, lone in ((px, -1), (py, -2)))
+            wanted &= u[:, None] == w[None, :]
+        i, j = np.nonzero(wanted)
+        return pa.table([kx.take(pa.array(i)), ky.take(pa.array(j)), pa.array(c[i, j], from_pandas=True)], names=schema.names)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInArrow(product, schema)
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one takes a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Lineage cut in the checkpoint folder that the session names; a local session without one takes a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """Lineage cut by a table in the shared folder; computed once, where ``checkpoint()`` computes its input twice."""
+    path = f"{_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def greedy_dedup(pairs: DataFrame, ranked: DataFrame, limit: float) -> DataFrame:
@@ -93,7 +148,7 @@ def single_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFram
     Groups are the components of the pairs within the limit: each factor takes the least label among its neighbours, then the label of
     its label, until none changes; the second step lets labels leap along chains.
     """
-    near = pairs.where(1 - F.abs("corr") <= limit).select("a", "b")
+    near = pairs.where(1 - F.abs(F.coalesce("corr", F.lit(0.0))) <= limit).select("a", "b")
     edges = _checkpoint(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = names.select("factor", F.col("factor").alias("group"))
     while True:
@@ -106,55 +161,38 @@ def single_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFram
             return labels
 
 
-def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
-    """Merges (a, b, distance, size); a merge gets the next free number, like the leaves before it."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    ids, size, out = list(range(n)), [1] * n, []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        k = int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf)))
-        i, j = sorted(divmod(k, n))
-        out.append((*sorted((ids[i], ids[j])), float(d[i, j]), size[i] + size[j]))
-        if method == "average":
-            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        else:
-            row = (np.minimum if method == "single" else np.maximum)(d[i], d[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        alive[j] = False
-        ids[i], size[i] = n + step, size[i] + size[j]
-    return out
-
-
-def cut(merges: list[tuple[int, int, float, int]], n: int, limit: float) -> list[int]:
-    """1-based groups of the leaves after all merges up to ``limit``, numbered by their first leaf."""
-    parent = list(range(n + len(merges)))
-    for step, (a, b, d, _) in enumerate(merges):
-        if d <= limit:
-            parent[a] = parent[b] = n + step
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    seen: dict[int, int] = {}
-    return [seen.setdefault(root(k), len(seen) + 1) for k in range(n)]
-
-
-def groups(spark: SparkSession, pairs: DataFrame, names: list, limit: float, method: str = "average") -> DataFrame:
-    """``factor, group`` by hierarchical clustering of 1 - |corr|."""
-    m = 1 - np.abs(_matrix(pairs, names))
-    got = cut(linkage((m + m.T) / 2, method), len(names), limit)
-    kind = "long" if names and isinstance(names[0], int) else "string"
-    return spark.createDataFrame(list(zip(names, got)), f"factor {kind}, group int")
-
-
-def groups_at(spark: SparkSession, pairs: DataFrame, names: list, limits: list[float], method: str = "average") -> DataFrame:
-    """``config, factor, group``: one linkage, cut at each limit; ``config`` is the limit's place in the list."""
-    m = 1 - np.abs(_matrix(pairs, names))
-    merges = linkage((m + m.T) / 2, method)
-    rows = [(k, n, g) for k, limit in enumerate(limits) for n, g in zip(names, cut(merges, len(names), limit))]
-    return spark.createDataFrame(rows, "config int, factor string, group int")
+def average_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFrame:
+    """``factor, group``: average linkage of 1 - |corr| cut at ``limit``; groups are numbered from 1 by their first factor.
+
+    ``pairs`` has every pair inside a component of near pairs; pairs without a correlation are at distance 1. A round finds each
+    cluster's nearest other one (of equally near ones the first), merges all that chose each other within the limit, adds up the distances
+    between merged clusters and drops clusters with nothing left within the limit, which no merge can bring back. Rounds are as many as
+    the longest chain of dependent merges.
+    """
+    labels = names.select("factor", F.col("factor").alias("label"))
+    links = _checkpoint(pairs.select("a", "b", (1 - F.abs(F.coalesce("corr", F.lit(0.0)))).alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+    while not links.isEmpty():
+        apart = links.withColumn("d", F.col("s") / (F.col("na") * F.col("nb")))
+        ends = F.explode(F.array(*(F.struct(F.col(x).alias("c"), F.col(f"n{x}").alias("n"), F.struct("d", F.col(y).alias("to")).alias("near")) for x, y in ("ab", "ba")))).alias("e")
+        near = apart.select(ends).groupBy("e.c").agg(F.min("e.near").alias("near"), F.first("e.n").alias("n")).select("c", "n", "near.d", "near.to").where(F.col("d") <= limit)
+        back = near.select(F.col("c").alias("to"), F.col("to").alias("choice"), F.col("n").alias("other"))
+        mutual = F.col("choice") == F.col("c")
+        state = _checkpoint(near.join(back, "to", "left").select("c", F.when(mutual, F.least("c", "to")).otherwise(F.col("c")).alias("new"), (F.col("n") + F.when(mutual, F.col("other")).otherwise(0)).alias("size")))
+        labels = labels.join(state.select(F.col("c").alias("label"), "new"), "label", "left").select("factor", F.coalesce("new", "label").alias("label"))
+        one, two = (state.select(F.col("c").alias(x), F.col("new").alias(f"to_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+        turned = F.col("to_a") > F.col("to_b")
+        pick = lambda p, x, y: F.when(turned, F.col(f"{p}_{y}")).otherwise(F.col(f"{p}_{x}"))
+        moved = links.join(one, "a").join(two, "b").where("to_a <> to_b").select(pick("to", "a", "b").alias("a"), pick("to", "b", "a").alias("b"), "s", pick("size", "a", "b").alias("na"), pick("size", "b", "a").alias("nb"))
+        links = _checkpoint(moved.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+    number = labels.select("label").distinct().select("label", F.row_number().over(Window.orderBy("label")).alias("group"))  # one row a group
+    return labels.join(number, "label").select("factor", "group")
+
+
+def groups(df: DataFrame, names: DataFrame, limit: float, key: str = "factor", value: str = "v") -> DataFrame:
+    """``factor, group`` by average linkage of 1 - |corr| of the daily values, cut at ``limit``."""
+    days = calendar(df)
+    near = correlations(df, names, days, key, value=value, keep=lambda c: 1 - np.abs(c) <= limit)
+    own = names.select(F.col(key).alias("factor"))
+    parts = single_linkage(near, own, limit)
+    inside = correlations(df, parts.select(F.col("factor").alias(key), F.col("group").alias("part")), days, key, value=value)
+    return average_linkage(inside, own, limit)

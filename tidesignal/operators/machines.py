@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Days in a stretch: it has at most so many days' bars, 92,160 of one minute.
 SPAN_DAYS = 64
 #: Parameter sets that go over a stretch together; more are dealt to further tasks.
-SETS = 64
+SETS = 256
 #: Sets that a task takes through a stretch at once: what is at hand stays small.
 ABREAST = 8
 

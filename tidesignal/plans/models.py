@@ -22,7 +22,7 @@ pc AS (SELECT a.factor AS a, b.factor AS b, corr(a.ret, b.ret) AS c FROM filled
 
 def _pairs(spark, sf):
     r = panels.returns(spark, sf)
-    return cluster.sparse_correlations(r, r.select("factor").distinct(), cluster.calendar_days(r), value="ret")
+    return cluster.correlations(r, r.select("factor").distinct(), cluster.calendar(r), value="ret")
 
 
 def _folder(spark) -> str:
@@ -57,8 +57,8 @@ def _(spark, sf):
 
 @query("cl_linkage")
 def _(spark, sf):
-    names = [r[0] for r in panels.returns(spark, sf).select("factor").distinct().orderBy("factor").limit(cluster.MAX_FACTORS + 1).collect()]
-    return cluster.groups(spark, _pairs(spark, sf), names, 0.97)
+    r = panels.returns(spark, sf)
+    return cluster.groups(r, r.select("factor").distinct(), 0.97, value="ret")
 
 
 _CHOSEN = ["test_name", "process_name", "factor"]
@@ -68,9 +68,8 @@ def _clustered(spark, sf, chosen, limit: float):
     """``chosen`` with the group of each (process, factor), by correlation of their own daily gains over all days, missing ones as 0."""
     own = panels.factor_days(spark, sf).join(chosen, _CHOSEN, "left_semi").withColumn("key", F.to_json(F.array(*_CHOSEN)))
     keyed = chosen.withColumn("key", F.to_json(F.array(*_CHOSEN)))
-    names = [r[0] for r in keyed.select("key").distinct().orderBy("key").limit(cluster.MAX_FACTORS + 1).collect()]
-    g = cluster.groups(spark, cluster.sparse_correlations(own, keyed.select("key"), cluster.calendar_days(own), key="key", value="gain"), names, limit)
-    return keyed.join(F.broadcast(g.withColumnRenamed("factor", "key")), "key").drop("key")  # at most MAX_FACTORS
+    g = cluster.groups(own, keyed.select("key").distinct(), limit, key="key", value="gain")
+    return keyed.join(g.withColumnRenamed("factor", "key"), "key").drop("key")
 
 
 def _recent(spark, sf, chosen, first: str, least: float):
@@ -96,14 +95,19 @@ def _(spark, sf):
 def _(spark, sf):
     totals = panels.returns(spark, sf).groupBy("factor").agg(F.sum("ret").alias("s"))
     ranked = totals.select("factor", F.row_number().over(Window.orderBy(F.desc("s"), "factor")).alias("rank"))  # one row a factor
-    kept = cluster.greedy_dedup(_pairs(spark, sf), ranked, 0.02)
+    r = panels.returns(spark, sf)
+    far = cluster.correlations(r, r.select("factor").distinct(), cluster.calendar(r), value="ret", keep=lambda c: abs(c) > 0.02)
+    kept = cluster.greedy_dedup(far, ranked, 0.02)
     return kept.select((F.row_number().over(Window.orderBy("rank")) - 1).alias("place"), "factor")
 
 
 @query("cl_linkage_single", """, near AS (SELECT a, b FROM pc WHERE 1 - abs(c) <= 0.97 UNION ALL SELECT b, a FROM pc WHERE 1 - abs(c) <= 0.97),
 reach AS (SELECT DISTINCT factor, factor AS other FROM rets UNION SELECT factor, b FROM reach JOIN near ON other = a) SELECT factor, min(other) AS "group" FROM reach GROUP BY 1""", _PAIRS, recursive=True)
 def _(spark, sf):
-    return cluster.single_linkage(_pairs(spark, sf), panels.returns(spark, sf).select("factor").distinct(), 0.97)
+    r = panels.returns(spark, sf)
+    names = r.select("factor").distinct()
+    near = cluster.correlations(r, names, cluster.calendar(r), value="ret", keep=lambda c: 1 - abs(c) <= 0.97)
+    return cluster.single_linkage(near, names, 0.97)
 
 
 @query("ev_adf")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Window
@@ -13,7 +14,7 @@ from ..registry import oracle_sql
 from ..sources import files, jdbc, panels
 from .core import _POS, FEE, RULE_PARAMS, W, positions, signal
 from .kit import BARS, EVALS, RETURNS, SIGNAL, query, stamp, ts
-from .models import _CHOSEN, _clustered, _folder, _pairs
+from .models import _CHOSEN, _clustered, _folder
 from .tables import _GROUPS, _SOFT, _group_means, _overlay, _trend
 
 KEYS = ", ".join(_CHOSEN)
@@ -196,9 +197,10 @@ LIMITS, ALPHAS = (0.9, 0.97, 0.99), (0.0, 0.001, 0.01, 0.1)
 def grid_panel(spark, sf, limits=LIMITS):
     """``config, group, day, v``: mean return of each cluster of factors at each linkage limit, and ``day, y``: the mean return of the next day."""
     r = panels.returns(spark, sf)
-    names = [x[0] for x in r.select("factor").distinct().orderBy("factor").limit(cluster.MAX_FACTORS + 1).collect()]
-    g = cluster.groups_at(spark, _pairs(spark, sf), names, list(limits))
-    panel = r.join(F.broadcast(g), "factor").groupBy("config", "group", "day").agg(F.avg("ret").alias("v"))  # at most MAX_FACTORS a limit
+    names = r.select("factor").distinct()
+    at = [cluster.groups(r, names, limit, value="ret").withColumn("config", F.lit(k)) for k, limit in enumerate(limits)]
+    g = functools.reduce(lambda x, y: x.unionByName(y), at)
+    panel = r.join(g, "factor").groupBy("config", "group", "day").agg(F.avg("ret").alias("v"))
     byday = r.groupBy("day").agg(F.avg("ret").alias("m"))
     return panel, byday.select("day", F.lead("m").over(Window.orderBy("day")).alias("y")).where("y is not null")  # one row a day
 
@@ -216,9 +218,7 @@ def _(spark, sf):
     out = []
     for name, first, last in _SELECTED:
         r = panels.returns(spark, sf).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-        names = [x[0] for x in r.select("factor").distinct().orderBy("factor").limit(cluster.MAX_FACTORS + 1).collect()]
-        pairs = cluster.sparse_correlations(r, r.select("factor").distinct(), cluster.calendar_days(r), value="ret")
-        g = cluster.groups(spark, pairs, names, 0.9)
+        g = cluster.groups(r, r.select("factor").distinct(), 0.9, value="ret")
         out.append(g.agg(F.lit(name).alias("period"), F.count("*").alias("factors"), F.max("group").alias("groups")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
