@@ -1,14 +1,13 @@
 """Rolling scalers of a signal, per group and ordered by time.
 
 Frames are rows: the trailing ``window`` rows with the current one. Short frames stay in window expressions. A sliding frame costs its
-length for every row there, so beyond ``NATIVE_ROWS`` sums are differences of running sums, and percentiles are kept in ordered frames:
-a series is cut into stretches of ``window`` rows, each sent to a task of its own with the stretch before it, so the work is linear in
-rows and one long series spreads over tasks.
+length for every row there, so beyond ``NATIVE_ROWS`` a series is cut into stretches of ``window`` rows, each sent to a task of its own with the stretch before it. There sums are
+differences of running sums and percentiles come from a wavelet matrix (``functions.frames``), so the work is linear in rows and
+logarithmic in the window. Stretches are counted from the numbers of rows in spans of time, so no task has a whole series.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -18,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clip, ratio
+from ..functions.frames import Frames, trailing
 
 NATIVE_ROWS = 500
+#: Rows of a series are counted in spans of so many days, or units of a number that orders them.
+SPAN_DAYS, SPAN_ROWS = 32, 65_536
 
 
 def _frame(keys: list[str], order: str, window: int):
@@ -39,17 +41,43 @@ def minmax(df: DataFrame, value: str, window: int, q: float = 0.02, min_periods:
         return df.withColumn("_lo", level(q)).withColumn("_hi", level(1 - q)).withColumn(out, F.when(enough, _unit(F.col(value), F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
 
     def run(pdf: pd.DataFrame) -> None:
-        r = pdf[value].astype(float).rolling(window, min_periods=min_periods)
-        low, high = r.quantile(q), r.quantile(1 - q)
-        pdf[out] = ((pdf[value] - low) / (high - low).where(high != low)).clip(0, 1)
+        x = pdf[value].to_numpy(float)
+        frames, at = Frames(x), trailing(len(x), window)
+        low, high = (np.where(frames.count(*at) >= min_periods, frames.quantile(*at, p), np.nan) for p in (q, 1 - q))
+        pdf[out] = _clipped(_over(x - low, high - low))
 
     return _per_group(df, window, keys, order, [out], run)
 
 
+def _over(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Quotient; NaN for a zero divisor."""
+    return np.divide(x, y, out=np.full(len(x), np.nan), where=y != 0)
+
+
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, 0, 1)
+
+
+def _numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``_at``: the number of each row in its series, from 0.
+
+    Rows are counted in spans of time (of the order's unit, if it is a number) and numbered inside their span; the numbers of rows in
+    the spans before are a running sum over one row a span.
+    """
+    o = F.col(order)
+    timed = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    spanned = df.withColumn("_span", F.floor((F.unix_date(o.cast("date")) if timed else o) / (SPAN_DAYS if timed else SPAN_ROWS)))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate([*keys, "_span"])), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate([*keys, "_span"])]
+    inside = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order))
+    return spanned.join(sizes, same).withColumn("_at", F.col("_before") + inside - 1).select(*df.columns, "_at")
+
+
 def _per_group(df: DataFrame, window: int, keys: list[str], order: str, outs: list[str], run: Callable[[pd.DataFrame], None]) -> DataFrame:
     """``outs`` that ``run`` adds to the ordered rows of a stretch; rows of the stretch before it are context only."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    cut = df.withColumn("_n", (at / window).cast("int"))
+    cut = _numbered(df, keys, order).select(*df.columns, F.floor(F.col("_at") / window).cast("int").alias("_n"))
     both = cut.withColumn("_part", F.explode(F.array(F.col("_n"), F.col("_n") + 1)))
     schema = T.StructType([*df.schema.fields, *(T.StructField(o, T.DoubleType()) for o in outs)])
 
@@ -65,30 +93,6 @@ def _per_group(df: DataFrame, window: int, keys: list[str], order: str, outs: li
     return done.withColumns({o: F.nanvl(o, F.lit(None).cast("double")) for o in outs})
 
 
-class _Sorted:
-    """The values of the trailing ``window`` places, in order; missing ones have a place but no value."""
-
-    def __init__(self, window: int):
-        self.window, self.places, self.values = window, [], []
-
-    def push(self, v: float) -> None:
-        self.places.append(v)
-        if len(self.places) > self.window and (old := self.places[len(self.places) - self.window - 1]) == old:
-            del self.values[bisect_left(self.values, old)]
-        if v == v:
-            insort(self.values, v)
-
-    def share(self, v: float) -> float:
-        return bisect_right(self.values, v) / len(self.values) if self.values else np.nan
-
-    def quantile(self, level: float) -> float:
-        if not self.values or level != level:
-            return np.nan
-        at = (len(self.values) - 1) * level
-        low = int(at)
-        return self.values[low] + (self.values[min(low + 1, len(self.values) - 1)] - self.values[low]) * (at - low)
-
-
 def _moving(df: DataFrame, sums: dict[str, Column], window: int, keys: list[str], order: str) -> DataFrame:
     """Sums over the frame as differences of running sums; for whole and half numbers, which lose nothing so."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -103,9 +107,10 @@ def rolling_quantiles(df: DataFrame, value: str, window: int, levels: dict[str,
         return df.withColumns({name: F.percentile(value, F.lit(p)).over(_frame(keys, order, window)) for name, p in levels.items()})
 
     def run(pdf: pd.DataFrame) -> None:
-        r = pdf[value].astype(float).rolling(window, min_periods=1)
+        x = pdf[value].to_numpy(float)
+        frames, at = Frames(x), trailing(len(x), window)
         for name, p in levels.items():
-            pdf[name] = r.quantile(p)
+            pdf[name] = frames.quantile(*at, p)
 
     return _per_group(df, window, keys, order, list(levels), run)
 
@@ -115,11 +120,15 @@ def minmax_by_sign(df: DataFrame, value: str, window: int, q: float = 0.02, min_
     if window > NATIVE_ROWS:
 
         def run(pdf: pd.DataFrame) -> None:
-            x = pdf[value].astype(float)
-            up, down = (x.where(m).rolling(window, min_periods=min_periods) for m in (x > 0, x < 0))
-            ul, uh, dl, dh = up.quantile(q), up.quantile(1 - q), down.quantile(q), down.quantile(1 - q)
-            upper, lower = 0.5 + 0.5 * (x - ul) / (uh - ul).where(uh != ul), 0.5 * (x - dh) / (dl - dh).where(dl != dh)
-            pdf[out] = upper.where(x > 0, lower.where(x < 0)).clip(0, 1)
+            x = pdf[value].to_numpy(float)
+            at = trailing(len(x), window)
+            ends = []
+            for side in (x > 0, x < 0):
+                f = Frames(np.where(side, x, np.nan))
+                ends += [np.where(f.count(*at) >= min_periods, f.quantile(*at, p), np.nan) for p in (q, 1 - q)]
+            ul, uh, dl, dh = ends
+            upper, lower = 0.5 + 0.5 * _over(x - ul, uh - ul), 0.5 * _over(x - dh, dl - dh)
+            pdf[out] = _clipped(np.where(x > 0, upper, np.where(x < 0, lower, np.nan)))
 
         return _per_group(df, window, keys, order, [out], run)
     w, x = _frame(keys, order, window), F.col(value)
@@ -142,11 +151,8 @@ def quantile_at(df: DataFrame, value: str, level: str, window: int, keys: list[s
     if window > NATIVE_ROWS:
 
         def run(pdf: pd.DataFrame) -> None:
-            frame, res = _Sorted(window), []
-            for v, p in zip(pdf[value].astype(float).tolist(), pdf[level].astype(float).tolist()):
-                frame.push(v)
-                res.append(frame.quantile(p))
-            pdf[out] = res
+            x = pdf[value].to_numpy(float)
+            pdf[out] = Frames(x).quantile(*trailing(len(x), window), pdf[level].to_numpy(float))
 
         return _per_group(df, window, keys, order, [out], run)
     w = _frame(keys, order, window)
@@ -157,11 +163,34 @@ def quantile_at(df: DataFrame, value: str, level: str, window: int, keys: list[s
     return got.withColumn(out, F.when((F.size("_a") > 0) & F.col(level).isNotNull(), a + (b - a) * (at - low))).drop("_a")
 
 
+def _centre(pdf: pd.DataFrame, frames: Frames, ret: str, window: int, rtn_window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lagged zero share of the returns, and the quantile of the trailing frame at it."""
+    r = pdf[ret].to_numpy(float)
+    a, z = trailing(len(r), window - rtn_window)
+    total = lambda x: (c := np.concatenate(([0.0], np.cumsum(x))))[z] - c[a]
+    with np.errstate(invalid="ignore"):
+        flat = np.where(total(~np.isnan(r)) >= 1, total((r < 0) + 0.5 * (r == 0)) / np.maximum(z - a, 1), np.nan)
+    lagged = np.concatenate((np.full(min(rtn_window, len(r)), np.nan), flat[: max(len(r) - rtn_window, 0)]))
+    return lagged, frames.quantile(*trailing(len(r), window), lagged)
+
+
 def minmax_around(df: DataFrame, value: str, ret: str, window: int, rtn_window: int, q: float = 0.02, min_periods: int = 1, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled", strict: bool = False) -> DataFrame:
     """Scaled around the value at the lagged zero share of returns.
 
     Below the centre the usual form lacks its offset, so it collapses to 0 after the clip; ``strict`` adds the offset.
     """
+    offset = 0.5 if strict else 0.0
+    if window > NATIVE_ROWS:
+
+        def run(pdf: pd.DataFrame) -> None:
+            x = pdf[value].to_numpy(float)
+            frames, at = Frames(x), trailing(len(x), window)
+            _, c = _centre(pdf, frames, ret, window, rtn_window)
+            low, high = frames.quantile(*at, q), frames.quantile(*at, 1 - q)
+            upper, lower = 0.5 + 0.5 * _over(x - c, high - c), offset + 0.5 * _over(x - c, c - low)
+            pdf[out] = np.where(frames.count(*at) >= min_periods, _clipped(np.where(x > c, upper, np.where(x < c, lower, np.nan))), np.nan)
+
+        return _per_group(df, window, keys, order, [out], run)
     flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
     flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
     x, c = F.col(value), F.col("_c")
@@ -169,19 +198,23 @@ def minmax_around(df: DataFrame, value: str, ret: str, window: int, rtn_window:
     enough = F.col("_known") >= min_periods
     flow = rolling_quantiles(flow, value, window, {"_lo": q, "_hi": 1 - q}, keys, order)
     upper = 0.5 + 0.5 * ratio(x - c, F.col("_hi") - c)
-    lower = (0.5 if strict else 0.0) + 0.5 * ratio(x - c, c - F.col("_lo"))
+    lower = offset + 0.5 * ratio(x - c, c - F.col("_lo"))
     return flow.withColumn(out, F.when(enough, clip(F.when(x > c, upper).when(x < c, lower), 0.0, 1.0))).drop("_z", "_c", "_lo", "_hi", "_known")
 
 
 def zscore_around(df: DataFrame, value: str, ret: str, window: int, rtn_window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled", **kw) -> DataFrame:
     """(x - centre) / rolling deviation, then ``minmax``."""
+    if window > NATIVE_ROWS:
+
+        def run(pdf: pd.DataFrame) -> None:
+            x = pdf[value].to_numpy(float)
+            _, c = _centre(pdf, Frames(x), ret, window, rtn_window)
+            pdf["_s"] = _over(x - c, pd.Series(x).rolling(window, min_periods=2).std().to_numpy())
+
+        return minmax(_per_group(df, window, keys, order, ["_s"], run), "_s", window, keys=keys, order=order, out=out, **kw).drop("_s")
     w = _frame(keys, order, window)
     flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
-    flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
-    if window <= NATIVE_ROWS:
-        flow = flow.withColumn("_d", F.stddev_samp(value).over(w))
-    else:
-        flow = _per_group(flow, window, keys, order, ["_d"], lambda pdf: pdf.__setitem__("_d", pdf[value].astype(float).rolling(window, min_periods=2).std()))
+    flow = quantile_at(flow, value, "_z", window, keys, order, "_c").withColumn("_d", F.stddev_samp(value).over(w))
     flow = flow.withColumn("_s", ratio(F.col(value) - F.col("_c"), F.col("_d")))
     return minmax(flow, "_s", window, keys=keys, order=order, out=out, **kw).drop("_z", "_c", "_s", "_d")
 
@@ -196,30 +229,30 @@ def rolling_percentile(df: DataFrame, value: str, window: int, keys: list[str] =
         return got.withColumn(out, F.when(F.size("_a") > 0, F.coalesce(F.when(x.isNotNull(), share), F.lit(0.0)))).drop("_a")
 
     def run(pdf: pd.DataFrame) -> None:
-        frame, res = _Sorted(window - 1), []
-        for v in pdf[value].astype(float).tolist():
-            res.append(np.nan if not frame.values else 0.0 if v != v else frame.share(v))
-            frame.push(v)
-        pdf[out] = res
+        x = pdf[value].to_numpy(float)
+        share = Frames(x).share(*trailing(len(x), window - 1, 1), x)
+        pdf[out] = np.where(np.isnan(x) & ~np.isnan(share), 0.0, share)
 
     return _per_group(df, window, keys, order, [out], run)
 
 
 def percentile_around(df: DataFrame, value: str, ret: str, window: int, rtn_window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled") -> DataFrame:
     """Above the centre 0.5 + half the share among rows above it; below, half the share among rows below it."""
-    flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
-    flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
     if window > NATIVE_ROWS:
 
+        def centre(pdf: pd.DataFrame) -> None:
+            pdf["_c"] = _centre(pdf, Frames(pdf[value].to_numpy(float)), ret, window, rtn_window)[1]
+
         def run(pdf: pd.DataFrame) -> None:
-            up, down, res = _Sorted(window - 1), _Sorted(window - 1), []
-            for v, m in zip(pdf[value].astype(float).tolist(), pdf["_c"].astype(float).tolist()):
-                res.append(0.5 + 0.5 * up.share(v) if v > m else 0.5 * down.share(v) if v < m else np.nan)
-                up.push(v if v > m else np.nan)
-                down.push(v if v < m else np.nan)
-            pdf[out] = res
-
-        return _per_group(flow, window, keys, order, [out], run).drop("_z", "_c")
+            x, c = pdf[value].to_numpy(float), pdf["_c"].to_numpy(float)
+            at = trailing(len(x), window - 1, 1)
+            up, down = (Frames(np.where(side, x, np.nan)).share(*at, x) for side in (x > c, x < c))
+            pdf[out] = np.where(x > c, 0.5 + 0.5 * up, np.where(x < c, 0.5 * down, np.nan))
+
+        with_centre = _per_group(df, window, keys, order, ["_c"], centre)  # rows of the frame need their own centres, which look back as far
+        return _per_group(with_centre, window, keys, order, [out], run).drop("_c")
+    flow = zero_share(df, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
+    flow = quantile_at(flow, value, "_z", window, keys, order, "_c")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - window, -1)
     x, c = F.col(value), F.col("_c")
     flow = flow.withColumn("_up", F.collect_list(F.when(x > c, x)).over(w)).withColumn("_down", F.collect_list(F.when(x < c, x)).over(w))
@@ -229,10 +262,23 @@ def percentile_around(df: DataFrame, value: str, ret: str, window: int, rtn_wind
 
 def percentile_vs_zero(df: DataFrame, value: str, ret: str, window: int, rtn_window: int, keys: list[str] = ["symbol"], order: str = "bar_ts", out: str = "scaled", strict: bool = False) -> DataFrame:
     """Percentile of the value against the zero share of returns, with the same lower-half form as ``minmax_around``."""
+    offset = 0.5 if strict else 0.0
+    if window > NATIVE_ROWS:
+
+        def run(pdf: pd.DataFrame) -> None:
+            x = pdf[value].to_numpy(float)
+            frames = Frames(x)
+            z, _ = _centre(pdf, frames, ret, window, rtn_window)
+            p = frames.share(*trailing(len(x), window - 1, 1), x)
+            p = np.where(np.isnan(x) & ~np.isnan(p), 0.0, p)
+            upper, lower = 0.5 + 0.5 * _over(p - z, 1 - z), offset + 0.5 * _over(p - z, z)
+            pdf[out] = _clipped(np.where(p > z, upper, np.where(p < z, lower, np.nan)))
+
+        return _per_group(df, window, keys, order, [out], run)
     flow = rolling_percentile(df, value, window, keys, order, "_p")
     flow = zero_share(flow, ret, window - rtn_window, keys, order, "_z").withColumn("_z", F.lag("_z", rtn_window).over(Window.partitionBy(*keys).orderBy(order)))
     p, z = F.col("_p"), F.col("_z")
-    lower = (0.5 if strict else 0.0) + 0.5 * ratio(p - z, z)
+    lower = offset + 0.5 * ratio(p - z, z)
     return flow.withColumn(out, clip(F.when(p > z, 0.5 + 0.5 * ratio(p - z, 1 - z)).when(p < z, lower), 0.0, 1.0)).drop("_p", "_z")
 
 
