@@ -153,7 +153,7 @@ def test_md_lasso(spark, small):
     assert got.intercept == pytest.approx(m[:, 2].mean() - m[:, :2].mean(0) @ beta, abs=2e-5)
 
 
-def test_md_ranker(spark, small):
+def test_md_ranker_linear(spark, small):
     labelled = models.rank_labels(_fit(spark, small).drop("features"), "y", "bar_ts", 4).select("symbol", "bar_ts", "g1", "g2", "label").toPandas()
     d = []
     for _, g in labelled.groupby("bar_ts"):
@@ -165,7 +165,7 @@ def test_md_ranker(spark, small):
         p = 1 / (1 + np.exp(d @ w))
         w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-4 * np.eye(2), -(d.T @ p) / len(d) + 1e-4 * w)
     x = _matrix(spark, small).select("symbol", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "g1", "g2").toPandas().set_index(["symbol", "ts"])
-    got = registry.queries()["md_ranker"](spark, small).toPandas().set_index(["symbol", "ts"])["score"]
+    got = registry.queries()["md_ranker_linear"](spark, small).toPandas().set_index(["symbol", "ts"])["score"]
     assert len(got) == len(x) and (got - (x.g1 * w[0] + x.g2 * w[1])).abs().max() < 5e-5
 
 

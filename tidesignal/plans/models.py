@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..operators import align, cluster, metrics, models, pnl, rules, select
+from ..operators import align, boosting, cluster, metrics, models, pnl, rules, select
 from ..sources import files, panels
 from ..streaming import rule as stream
 from .core import _POS, FEE, positions, signal
@@ -184,25 +184,39 @@ def _(spark, sf):
     return _matrix(spark, sf).select("symbol", stamp("bar_ts").alias("ts"), F.round((F.col("g1") + F.col("g2")) / 2, 9).alias("prediction"))
 
 
+def _later(rows, share: float = 0.2):
+    """``_later``: the last part of the fit window in time, for validation."""
+    first, last = rows.agg(F.min("bar_ts"), F.max("bar_ts")).first()
+    return rows.withColumn("_later", F.col("bar_ts") > F.lit(first + (last - first) * (1 - share)) if first else F.lit(False))
+
+
+def _boosted(spark, sf):
+    return boosting.regression(_later(_fit(spark, sf).drop("features")), ["g1", "g2"], validation="_later")
+
+
 @query("md_gbm")
 def _(spark, sf):
-    m = _fit(spark, sf)
-    best, _ = models.rounds_by_folds(m, ["symbol", "bar_ts"])
-    model = models.boosted(best).fit(m)  # the first rounds of a longer fit are the same
-    return model.transform(_matrix(spark, sf)).select("symbol", stamp("bar_ts").alias("ts"), F.round("prediction", 6).alias("prediction"))
+    """Predictions of boosted trees; the last fifth of the fit window ends the fit when it gets no better."""
+    return _matrix(spark, sf).select("symbol", stamp("bar_ts").alias("ts"), F.round(_boosted(spark, sf).score(), 6).alias("prediction"))
 
 
 @query("md_gbm_importance")
 def _(spark, sf):
-    m = _fit(spark, sf)
-    best, _ = models.rounds_by_folds(m, ["symbol", "bar_ts"])
-    got = models.importances(models.boosted(best).fit(m), ["g1", "g2"])
+    got = _boosted(spark, sf).importances()
     return spark.createDataFrame([(n, k, round(g, 6)) for n, k, g in got], "feature string, splits int, gain double")
 
 
 @query("md_ranker")
 def _(spark, sf):
-    """Scores of all bars by a ranker that learns the order of next returns among the series of each bar of the fit window."""
+    """Scores of all bars by boosted trees that learn the order of next returns among the series of each bar of the fit window."""
+    labelled = _later(models.rank_labels(_fit(spark, sf).drop("features"), "y", "bar_ts", 4))
+    model = boosting.ranking(labelled, ["g1", "g2"], "bar_ts", validation="_later")
+    return _matrix(spark, sf).select("symbol", stamp("bar_ts").alias("ts"), F.round(model.score(), 6).alias("score"))
+
+
+@query("md_ranker_linear")
+def _(spark, sf):
+    """The same by a pairwise linear ranker."""
     labelled = models.rank_labels(_fit(spark, sf).drop("features"), "y", "bar_ts", 4)
     fitted = models.ranker().fit(models.ranked_pairs(labelled, ["g1", "g2"], "bar_ts")).coefficients
     score = F.col("g1") * float(fitted[0]) + F.col("g2") * float(fitted[1])
