@@ -202,6 +202,24 @@ def test_tables_in_a_database(spark):
         jdbc.mark(df([(1, "", 0)]), url, "missing", "alerted")
 
 
+def test_a_replayed_batch_changes_nothing(spark):
+    url, opts = "jdbc:derby:memory:tests;create=true", {"createTableColumnTypes": "v varchar(8)"}
+    df = lambda rows: spark.createDataFrame(rows, "id long, t long, v string")
+    jdbc.create(df([]), url, "latest", opts)
+    jdbc.create_ledger(spark, url, "latest")
+    put = lambda rows, n: jdbc.upsert_batch(df(rows), n, url, "latest", ["id"], "t", "o'neil", opts)
+    assert put([(1, 5, "a"), (1, 7, "b"), (2, 1, "c")], 0)
+    assert put([(1, 6, "late"), (2, 2, "d"), (3, 1, "e")], 1)
+    want = [(1, 7, "b"), (2, 2, "d"), (3, 1, "e")]
+    assert sorted(map(tuple, jdbc.read(spark, url, "latest").collect())) == want
+    jdbc.execute(spark, url, ['DELETE FROM "latest" WHERE "id" = 2'])
+    assert not put([(1, 6, "late"), (2, 2, "d"), (3, 1, "e")], 1)  # run again after its transaction
+    assert sorted(map(tuple, jdbc.read(spark, url, "latest").collect())) == [w for w in want if w[0] != 2]
+    with pytest.raises(Exception, match="(?i)duplicate"):  # rows and number stand or fall together
+        jdbc.execute(spark, url, ['DELETE FROM "latest"', """INSERT INTO "latest_batches" VALUES ('o''neil', 1)"""])
+    assert jdbc.read(spark, url, "latest").count() == 2 and put([], 2)
+
+
 @pytest.mark.parametrize("seed, n, share", [(1, 12, 0.1), (2, 40, 0.04), (3, 40, 0.3), (4, 1, 0.0)])
 def test_rounds_of_joins_equal_plain_passes(spark, seed, n, share):
     rng = np.random.default_rng(seed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import _checkpoint
+
 
 def to_columns(panel: DataFrame, symbols: DataFrame, order: str = "bar_ts", key: str = "symbol") -> DataFrame:
     """Every (time, wanted symbol), missing where the panel has none."""
@@ -17,6 +19,19 @@ def to_index(panel: DataFrame, index: DataFrame, on: list[str], how: str = "left
     return index.select(*on).distinct().join(panel, on, how)
 
 
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """The number of each row, from 1, in a total order of the whole table, without one task for all rows.
+
+    Rows are spread by ranges of the order and written; a row's number is that inside its range after the rows of the ranges before,
+    which are counted as one row a range.
+    """
+    ranged = _checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(out, inside).join(before, "_range").withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def duplicated(df: DataFrame, on: list[str]) -> DataFrame:
     """Keys that occur more than once; empty for a valid primary."""
     return df.groupBy(*on).count().where("count > 1")

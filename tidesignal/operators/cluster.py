@@ -188,8 +188,10 @@ def average_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFra
     return labels.join(number, "label").select("factor", "group")
 
 
-def groups(df: DataFrame, names: DataFrame, limit: float, key: str = "factor", value: str = "v") -> DataFrame:
-    """``factor, group`` by average linkage of 1 - |corr| of the daily values, cut at ``limit``."""
+def groups(df: DataFrame, names: DataFrame | None, limit: float, key: str = "factor", value: str = "v") -> DataFrame:
+    """``factor, group`` by average linkage of 1 - |corr| of the daily values, cut at ``limit``; of all factors, unless ``names`` has them."""
+    df = _checkpoint(df.select(key, "day", value))  # read several times
+    names = df.select(key).distinct() if names is None else _checkpoint(names.select(key))
     days = calendar(df)
     near = correlations(df, names, days, key, value=value, keep=lambda c: 1 - np.abs(c) <= limit)
     own = names.select(F.col(key).alias("factor"))

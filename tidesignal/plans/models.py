@@ -58,7 +58,7 @@ def _(spark, sf):
 @query("cl_linkage")
 def _(spark, sf):
     r = panels.returns(spark, sf)
-    return cluster.groups(r, r.select("factor").distinct(), 0.97, value="ret")
+    return cluster.groups(r, None, 0.97, value="ret")
 
 
 _CHOSEN = ["test_name", "process_name", "factor"]

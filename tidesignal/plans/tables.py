@@ -597,7 +597,8 @@ def _(spark, sf):
 def _(spark, sf):
     key = F.when(F.col("direction") > 0, F.col("net_sharpe_ratio"))
     e = _e(spark, sf).where("test_name = 't1'")
-    return e.withColumn("k", F.row_number().over(Window.orderBy(key.desc_nulls_last(), "test_name", "process_name", "factor")).cast("long")).select("factor", "net_sharpe_ratio", "k")
+    order = [key.desc_nulls_last(), "test_name", "process_name", "factor"]
+    return align.numbered(e, order, "k").select("factor", "net_sharpe_ratio", "k")
 
 
 @query("srt_index", f"SELECT DISTINCT {dt()} AS day FROM daily ORDER BY 1", DAILY)

@@ -197,8 +197,7 @@ LIMITS, ALPHAS = (0.9, 0.97, 0.99), (0.0, 0.001, 0.01, 0.1)
 def grid_panel(spark, sf, limits=LIMITS):
     """``config, group, day, v``: mean return of each cluster of factors at each linkage limit, and ``day, y``: the mean return of the next day."""
     r = panels.returns(spark, sf)
-    names = r.select("factor").distinct()
-    at = [cluster.groups(r, names, limit, value="ret").withColumn("config", F.lit(k)) for k, limit in enumerate(limits)]
+    at = [cluster.groups(r, None, limit, value="ret").withColumn("config", F.lit(k)) for k, limit in enumerate(limits)]
     g = functools.reduce(lambda x, y: x.unionByName(y), at)
     panel = r.join(g, "factor").groupBy("config", "group", "day").agg(F.avg("ret").alias("v"))
     byday = r.groupBy("day").agg(F.avg("ret").alias("m"))
@@ -218,7 +217,7 @@ def _(spark, sf):
     out = []
     for name, first, last in _SELECTED:
         r = panels.returns(spark, sf).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-        g = cluster.groups(r, r.select("factor").distinct(), 0.9, value="ret")
+        g = cluster.groups(r, None, 0.9, value="ret")
         out.append(g.agg(F.lit(name).alias("period"), F.count("*").alias("factors"), F.max("group").alias("groups")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -301,6 +300,13 @@ def _(spark, sf):
     return spark.createDataFrame(sorted(files.flatten(files.load_config(spark, at)).items()), "name string, value string")
 
 
+def _database(spark) -> str:
+    url = spark.conf.get("spark.tidesignal.jdbc.url", "")
+    if not url and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.tidesignal.jdbc.url must name a database that driver and executors reach")
+    return url or "jdbc:derby:memory:tidesignal;create=true"
+
+
 @query("snk_jdbc", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE 'first' END AS status FROM orders
   WHERE (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 7 <> 0""")
 def _(spark, sf):
@@ -308,10 +314,7 @@ def _(spark, sf):
 
     ``spark.tidesignal.jdbc.url`` names the database; where it is unset, a local session takes one in its own memory.
     """
-    url = spark.conf.get("spark.tidesignal.jdbc.url", "")
-    if not url and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.tidesignal.jdbc.url must name a database that driver and executors reach")
-    url = url or "jdbc:derby:memory:tidesignal;create=true"
+    url = _database(spark)
     o = panels.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     rows = lambda where, status: o.where(where).select("id", F.lit(status).alias("status"), F.lit(0).alias("alerted"))
     name, typed = f"status_{uuid.uuid4().hex[:12]}", {"createTableColumnTypes": "status varchar(16)"}
@@ -320,3 +323,18 @@ def _(spark, sf):
     jdbc.upsert(rows("id % 3 = 0", "again"), url, name, ["id"], typed)
     jdbc.mark(o.where("id % 7 = 0"), url, name, "alerted")
     return jdbc.read(spark, url, name).where("alerted = 0 and status in ('first', 'again')").select("id", "status")
+
+
+@query("snk_stream_upsert", """SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def _(spark, sf):
+    """The last event of each user, kept in a database by a stream of four batches; each batch is run twice, the second time without effect."""
+    url, at, name = _database(spark), _folder(spark), f"last_{uuid.uuid4().hex[:12]}"
+    e = panels.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    e.repartitionByRange(4, "event_id").write.parquet(f"{at}/events")
+    typed = {"createTableColumnTypes": "event_type varchar(64)"}
+    jdbc.create(e, url, name, typed)
+    jdbc.create_ledger(spark, url, name)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/events")
+    for run in ("first", "again"):  # a new checkpoint starts the stream anew: the same batches under the same numbers
+        jdbc.upsert_stream(stream, url, name, ["user_id"], "event_id", "last-event", f"{at}/{run}", typed).awaitTermination()
+    return jdbc.read(spark, url, name)
