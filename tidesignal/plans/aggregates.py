@@ -364,10 +364,16 @@ def _(spark, sf):
 
 # --- calendar and strings
 
-@query("cal_parse_time", "SELECT * FROM (VALUES ('240d', 57600::BIGINT), ('1d2h30min', 390::BIGINT), ('90s', 1::BIGINT), ('4h', 240::BIGINT)) t(text, minutes)")
+_SPAN = "concat(CAST(l_linenumber AS INTEGER), 'd', CAST(l_suppkey % 4 AS INTEGER), 'h', CAST(l_partkey % 60 AS INTEGER), 'min')"
+
+
+@query("cal_parse_time", f"SELECT {_SPAN} AS text, max(CAST(l_linenumber * 240 + l_suppkey % 4 * 60 + l_partkey % 60 AS BIGINT)) AS minutes, count(*) AS lines FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    t = spark.createDataFrame([("240d",), ("1d2h30min",), ("90s",), ("4h",)], "text string")
-    return t.select("text", trading_minutes(F.col("text")).cast("long").alias("minutes"))
+    """Spans of time that the line items spell out, in trading minutes."""
+    number = lambda c: F.col(c).cast("int").cast("string")
+    lines = panels.table(spark, sf, "lineitem").withColumns({"h": F.col("l_suppkey") % 4, "m": F.col("l_partkey") % 60})
+    text = F.concat(number("l_linenumber"), F.lit("d"), number("h"), F.lit("h"), number("m"), F.lit("min"))
+    return lines.groupBy(text.alias("text")).agg(F.count("*").alias("lines")).select("text", trading_minutes(F.col("text")).cast("long").alias("minutes"), "lines")
 
 
 _TD = "td AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE isodow(o_orderdate) < 6  AND o_orderpriority = '1-URGENT')"
@@ -402,25 +408,53 @@ def _(spark, sf):
     return panels.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("IC"), F.date_format(F.date_add("o_orderdate", 1), "yyMM")).alias("contract"))
 
 
-@query("cal_daily_range", "SELECT strftime(unnest(generate_series(DATE '2024-02-25', DATE '2024-03-05', INTERVAL 1 DAY)), '%Y-%m-%d') AS day")
+def _order_days(spark, sf):
+    return panels.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"))
+
+
+@query("cal_daily_range", f"""SELECT {dt('c.day')} AS day, count(o.o_orderkey) AS orders
+  FROM (SELECT CAST(unnest(generate_series(DATE '1996-02-25', DATE '1996-03-05', INTERVAL 1 DAY)) AS DATE) AS day) c LEFT JOIN orders o ON CAST(o.o_orderdate AS DATE) = c.day GROUP BY 1""")
 def _(spark, sf):
-    return calendar.days(spark, "2024-02-25", "2024-03-05").select(day_text("day").alias("day"))
+    """Orders of every day of a range, over a leap day; days without any have 0."""
+    n = _order_days(spark, sf).groupBy("day").agg(F.count("*").alias("orders"))
+    return calendar.days(spark, "1996-02-25", "1996-03-05").join(n, "day", "left").select(day_text("day").alias("day"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
-@query("cal_intraday_grid", "SELECT strftime(unnest(generate_series(TIMESTAMP '2024-01-02 09:30:00', TIMESTAMP '2024-01-02 11:25:00', INTERVAL 5 MINUTES)), '%H:%M') AS left_edge")
+@query("cal_intraday_grid", """SELECT strftime(g.t, '%H:%M') AS left_edge, count(e.ts) AS events
+  FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02 09:30:00', TIMESTAMP '2024-01-02 11:25:00', INTERVAL 5 MINUTES)) AS t) g
+  LEFT JOIN events e ON strftime(e.ts, '%H:%M') >= strftime(g.t, '%H:%M') AND strftime(e.ts, '%H:%M') < strftime(g.t + INTERVAL 5 MINUTES, '%H:%M') GROUP BY 1""")
 def _(spark, sf):
-    return calendar.intraday(spark, "09:30", "11:30", 5).select("left_edge")
+    """Events of all days in each interval of a session."""
+    at = F.floor((F.hour("ts") * 60 + F.minute("ts")) / 5) * 5
+    edge = F.format_string("%02d:%02d", F.floor(at / 60), at % 60)
+    n = panels.table(spark, sf, "events").groupBy(edge.alias("left_edge")).agg(F.count("*").alias("events"))
+    return calendar.intraday(spark, "09:30", "11:30", 5).join(n, "left_edge", "left").select("left_edge", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+def _in_periods(spark, sf, periods, name: str):
+    """Orders in the fit and the prediction span of each period."""
+    p = spark.createDataFrame([(k, *each) for k, each in periods], f"{name} int, fit_start date, fit_end date, pred_start date, pred_end date")
+    n = _order_days(spark, sf).groupBy("day").agg(F.count("*").alias("n"))  # one row a day
+    inside = lambda part: F.coalesce(F.sum(F.when(F.col("day").between(F.col(f"{part}_start"), F.col(f"{part}_end")), F.col("n"))), F.lit(0))
+    keys = [name, "fit_start", "fit_end", "pred_start", "pred_end"]
+    both = n.join(F.broadcast(p), F.col("day").between(F.col("fit_start"), F.col("pred_end"))).groupBy(*keys).agg(inside("fit").alias("fit_orders"), inside("pred").alias("pred_orders"))  # a list of periods
+    return both.select(name, *(day_text(c).alias(c) for c in keys[1:]), "fit_orders", "pred_orders")
+
+
+def _in_periods_sql(name: str, values: str) -> str:
+    return f"""SELECT {name}, {', '.join(f"{dt(c)} AS {c}" for c in ('fit_start', 'fit_end', 'pred_start', 'pred_end'))}, count(*) FILTER (CAST(o_orderdate AS DATE) BETWEEN fit_start AND fit_end) AS fit_orders, count(*) FILTER (CAST(o_orderdate AS DATE) BETWEEN pred_start AND pred_end) AS pred_orders
+  FROM (VALUES {values}) t({name}, fit_start, fit_end, pred_start, pred_end) JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN fit_start AND pred_end GROUP BY 1, 2, 3, 4, 5"""
 
 
-@query("cal_rolling", "SELECT * FROM (VALUES (0, '2016-01-01', '2016-12-31', '2017-01-01', '2017-06-30'), (1, '2016-01-01', '2017-06-30', '2017-07-01', '2017-12-31'), (2, '2016-01-01', '2017-12-31', '2018-01-01', '2018-06-30')) t(pid, fit_start, fit_end, pred_start, pred_end)")
+@query("cal_rolling", _in_periods_sql("pid", "(0, DATE '1993-01-01', DATE '1993-12-31', DATE '1994-01-01', DATE '1994-06-30'), (1, DATE '1993-01-01', DATE '1994-06-30', DATE '1994-07-01', DATE '1994-12-31'), (2, DATE '1993-01-01', DATE '1994-12-31', DATE '1995-01-01', DATE '1995-06-30')"))
 def _(spark, sf):
-    return spark.createDataFrame([(k, *(d.isoformat() for d in p)) for k, p in enumerate(calendar.rolling("2016-01-01", "2017-01-01", "2018-06-30", step_months=6, window_months=24))], "pid int, fit_start string, fit_end string, pred_start string, pred_end string")
+    periods = calendar.rolling("1993-01-01", "1994-01-01", "1995-06-30", step_months=6, window_months=24)
+    return _in_periods(spark, sf, list(enumerate(periods)), "pid")
 
 
-@query("cal_lb_lists", "SELECT * FROM (VALUES (6, '2016-07-01', '2016-12-31'), (12, '2016-01-01', '2016-12-31'), (24, '2016-01-01', '2016-12-31')) t(months, fit_start, fit_end)")
+@query("cal_lb_lists", _in_periods_sql("months", "(6, DATE '1993-07-01', DATE '1993-12-31', DATE '1994-01-01', DATE '1994-06-30'), (12, DATE '1993-01-01', DATE '1993-12-31', DATE '1994-01-01', DATE '1994-06-30'), (24, DATE '1993-01-01', DATE '1993-12-31', DATE '1994-01-01', DATE '1994-06-30')"))
 def _(spark, sf):
-    rows = [(m, *(d.isoformat() for d in calendar.rolling("2016-01-01", "2017-01-01", "2017-06-30", 6, m)[0][:2])) for m in (6, 12, 24)]
-    return spark.createDataFrame(rows, "months int, fit_start string, fit_end string")
+    return _in_periods(spark, sf, [(m, calendar.rolling("1993-01-01", "1994-01-01", "1994-06-30", 6, m)[0]) for m in (6, 12, 24)], "months")
 
 
 @query("cal_period_name", "SELECT DISTINCT strftime(day, '%y%m%d') || '_' || strftime(day + 30, '%y%m%d') AS name FROM rets", RETURNS)

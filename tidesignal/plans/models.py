@@ -286,11 +286,15 @@ def _(spark, sf):
     return files.read_table(spark, at, "test_name string, process_name string, factor string, direction long")
 
 
-@query("src_stat", "SELECT * FROM (VALUES ('IC', '2024-01-03', 99.5::DOUBLE, 2.0::DOUBLE), ('IF', '2024-01-02', 100.0::DOUBLE, 0.0::DOUBLE)) t(symbol, day, complete_rate, missing)")
-def _(spark, sf):
-    at = _folder(spark)
-    rows = ["2024-01-02,IC,rate 98.0,missing 4", "2024-01-03,IC,rate 99.5,missing 2", "2024-01-02,IF,rate 100.0,missing 0"]
-    spark.createDataFrame([(r,) for r in rows], "value string").write.text(at)
+@query("src_stat", f"""SELECT symbol, {dt()} AS day, complete_rate, missing FROM (
+  SELECT o_orderstatus AS symbol, CAST(o_orderdate AS DATE) AS day, CAST(round(100 - 100.0 * (count(*) % 7) / (count(*) + 7), 2) AS DOUBLE) AS complete_rate, CAST(count(*) % 7 AS DOUBLE) AS missing
+  FROM orders GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1""")
+def _(spark, sf):
+    """Stat lines of every day of the orders, written as text files and read back: the last line of each symbol."""
+    at, n = _folder(spark), F.count("*")
+    rows = panels.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("symbol"))
+    rate, missing = F.round(100 - 100.0 * (n % 7) / (n + 7), 2), (n % 7).cast("string")
+    rows.agg(rate.cast("string").alias("rate"), missing.alias("missing")).select(F.format_string("%s,%s,rate %s,missing %s", F.col("day").cast("string"), "symbol", "rate", "missing").alias("value")).write.text(at)
     return files.read_stat(spark, at).select("symbol", day_text("day").alias("day"), "complete_rate", "missing")
 
 

@@ -327,11 +327,15 @@ def _(spark, sf):
     return panels.table(spark, sf, "customer").join(panels.table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("jn_cross_grid", "SELECT a.range / 10.0::DOUBLE AS openthres, b.range / 10.0::DOUBLE AS closethres FROM range(3, 10) a, range(-4, 5) b WHERE b.range <= a.range")
+@query("jn_cross_grid", """SELECT a.range / 10.0::DOUBLE AS openthres, b.range / 10.0::DOUBLE AS closethres, count(*) FILTER (s > a.range / 10.0::DOUBLE) AS opened, count(*) FILTER (s < b.range / 10.0::DOUBLE) AS closed
+  FROM sig, range(3, 10) a, range(-4, 5) b WHERE b.range <= a.range GROUP BY 1, 2""", SIGNAL)
 def _(spark, sf):
+    """Bars beyond the opening and below the closing level, for every pair of a grid of levels."""
     a = spark.range(3, 10).select((F.col("id") / 10.0).alias("openthres"), F.col("id").alias("a"))
     b = spark.range(-4, 5).select((F.col("id") / 10.0).alias("closethres"), F.col("id").alias("b"))
-    return a.crossJoin(F.broadcast(b)).where("b <= a").select("openthres", "closethres")  # a parameter grid
+    grid = a.crossJoin(F.broadcast(b)).where("b <= a").select("openthres", "closethres")  # a parameter grid
+    counted = signal(spark, sf).crossJoin(F.broadcast(grid)).groupBy("openthres", "closethres")  # a grid of 63 cells
+    return counted.agg(F.count_if(F.col("s") > F.col("openthres")).alias("opened"), F.count_if(F.col("s") < F.col("closethres")).alias("closed"))
 
 
 # --- selection and merging
