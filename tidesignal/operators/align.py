@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import _checkpoint
+from .cluster import written
 
 
 def to_columns(panel: DataFrame, symbols: DataFrame, order: str = "bar_ts", key: str = "symbol") -> DataFrame:
@@ -25,7 +25,7 @@ def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
     Rows are spread by ranges of the order and written; a row's number is that inside its range after the rows of the ranges before,
     which are counted as one row a range.
     """
-    ranged = _checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     before = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

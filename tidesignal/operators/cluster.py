@@ -111,7 +111,7 @@ def _folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Lineage cut by a table in the shared folder; computed once, where ``checkpoint()`` computes its input twice."""
     path = f"{_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -125,17 +125,17 @@ def greedy_dedup(pairs: DataFrame, ranked: DataFrame, limit: float) -> DataFrame
     round decides at least the best undecided factor; the rounds are as many as the longest chain of such decisions, not as the factors.
     """
     far = pairs.where(F.abs("corr") > limit).select("a", "b")
-    ranked = _checkpoint(ranked.select("factor", "rank"))
+    ranked = written(ranked.select("factor", "rank"))
     ra, rb = (ranked.select(F.col("factor").alias(c), F.col("rank").alias(f"r{c}")) for c in "ab")
     both = far.join(ra, "a").join(rb, "b")
     first = F.col("ra") < F.col("rb")
-    edges = _checkpoint(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
+    edges = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
     open_, kept = ranked, ranked.limit(0)
     while True:
         live = edges.join(open_.select(F.col("factor").alias("better")), "better", "left_semi").join(open_.select(F.col("factor").alias("worse")), "worse", "left_semi")
         chosen = open_.join(live.select(F.col("worse").alias("factor")), "factor", "left_anti")
         beaten = edges.join(chosen.select(F.col("factor").alias("better")), "better", "left_semi").select(F.col("worse").alias("factor"))
-        step = _checkpoint(open_.join(chosen.select("factor", F.lit(True).alias("_in")), "factor", "left").join(beaten.distinct().withColumn("_out", F.lit(True)), "factor", "left"))
+        step = written(open_.join(chosen.select("factor", F.lit(True).alias("_in")), "factor", "left").join(beaten.distinct().withColumn("_out", F.lit(True)), "factor", "left"))
         kept = kept.unionByName(step.where("_in").select("factor", "rank"))
         open_ = step.where("_in is null and _out is null").select("factor", "rank")
         if open_.isEmpty():
@@ -149,13 +149,13 @@ def single_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFram
     its label, until none changes; the second step lets labels leap along chains.
     """
     near = pairs.where(1 - F.abs(F.coalesce("corr", F.lit(0.0))) <= limit).select("a", "b")
-    edges = _checkpoint(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = names.select("factor", F.col("factor").alias("group"))
     while True:
         least = edges.join(labels.select(F.col("factor").alias("b"), "group"), "b").groupBy(F.col("a").alias("factor")).agg(F.min("group").alias("_g"))
         taken = labels.join(least, "factor", "left").select("factor", "group", F.least("group", F.coalesce("_g", "group")).alias("_new"))
         above = taken.select(F.col("factor").alias("_new"), F.col("_new").alias("_top"))
-        step = _checkpoint(taken.join(above, "_new").select("factor", F.col("group").alias("_old"), F.least("_new", "_top").alias("group")))
+        step = written(taken.join(above, "_new").select("factor", F.col("group").alias("_old"), F.least("_new", "_top").alias("group")))
         labels = step.select("factor", "group")
         if step.where(F.col("_old") != F.col("group")).isEmpty():
             return labels
@@ -170,28 +170,28 @@ def average_linkage(pairs: DataFrame, names: DataFrame, limit: float) -> DataFra
     the longest chain of dependent merges.
     """
     labels = names.select("factor", F.col("factor").alias("label"))
-    links = _checkpoint(pairs.select("a", "b", (1 - F.abs(F.coalesce("corr", F.lit(0.0)))).alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+    links = written(pairs.select("a", "b", (1 - F.abs(F.coalesce("corr", F.lit(0.0)))).alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
     while not links.isEmpty():
         apart = links.withColumn("d", F.col("s") / (F.col("na") * F.col("nb")))
         ends = F.explode(F.array(*(F.struct(F.col(x).alias("c"), F.col(f"n{x}").alias("n"), F.struct("d", F.col(y).alias("to")).alias("near")) for x, y in ("ab", "ba")))).alias("e")
         near = apart.select(ends).groupBy("e.c").agg(F.min("e.near").alias("near"), F.first("e.n").alias("n")).select("c", "n", "near.d", "near.to").where(F.col("d") <= limit)
         back = near.select(F.col("c").alias("to"), F.col("to").alias("choice"), F.col("n").alias("other"))
         mutual = F.col("choice") == F.col("c")
-        state = _checkpoint(near.join(back, "to", "left").select("c", F.when(mutual, F.least("c", "to")).otherwise(F.col("c")).alias("new"), (F.col("n") + F.when(mutual, F.col("other")).otherwise(0)).alias("size")))
+        state = written(near.join(back, "to", "left").select("c", F.when(mutual, F.least("c", "to")).otherwise(F.col("c")).alias("new"), (F.col("n") + F.when(mutual, F.col("other")).otherwise(0)).alias("size")))
         labels = labels.join(state.select(F.col("c").alias("label"), "new"), "label", "left").select("factor", F.coalesce("new", "label").alias("label"))
         one, two = (state.select(F.col("c").alias(x), F.col("new").alias(f"to_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
         turned = F.col("to_a") > F.col("to_b")
         pick = lambda p, x, y: F.when(turned, F.col(f"{p}_{y}")).otherwise(F.col(f"{p}_{x}"))
         moved = links.join(one, "a").join(two, "b").where("to_a <> to_b").select(pick("to", "a", "b").alias("a"), pick("to", "b", "a").alias("b"), "s", pick("size", "a", "b").alias("na"), pick("size", "b", "a").alias("nb"))
-        links = _checkpoint(moved.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+        links = written(moved.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
     number = labels.select("label").distinct().select("label", F.row_number().over(Window.orderBy("label")).alias("group"))  # one row a group
     return labels.join(number, "label").select("factor", "group")
 
 
 def groups(df: DataFrame, names: DataFrame | None, limit: float, key: str = "factor", value: str = "v") -> DataFrame:
     """``factor, group`` by average linkage of 1 - |corr| of the daily values, cut at ``limit``; of all factors, unless ``names`` has them."""
-    df = _checkpoint(df.select(key, "day", value))  # read several times
-    names = df.select(key).distinct() if names is None else _checkpoint(names.select(key))
+    df = written(df.select(key, "day", value))  # read several times
+    names = df.select(key).distinct() if names is None else written(names.select(key))
     days = calendar(df)
     near = correlations(df, names, days, key, value=value, keep=lambda c: 1 - np.abs(c) <= limit)
     own = names.select(F.col(key).alias("factor"))

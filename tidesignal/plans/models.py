@@ -21,7 +21,7 @@ pc AS (SELECT a.factor AS a, b.factor AS b, corr(a.ret, b.ret) AS c FROM filled
 
 
 def _pairs(spark, sf):
-    r = panels.returns(spark, sf)
+    r = cluster.written(panels.returns(spark, sf))  # daily values, read several times
     return cluster.correlations(r, r.select("factor").distinct(), cluster.calendar(r), value="ret")
 
 
@@ -95,7 +95,7 @@ def _(spark, sf):
 def _(spark, sf):
     totals = panels.returns(spark, sf).groupBy("factor").agg(F.sum("ret").alias("s"))
     ranked = totals.select("factor", F.row_number().over(Window.orderBy(F.desc("s"), "factor")).alias("rank"))  # one row a factor
-    r = panels.returns(spark, sf)
+    r = cluster.written(panels.returns(spark, sf))
     far = cluster.correlations(r, r.select("factor").distinct(), cluster.calendar(r), value="ret", keep=lambda c: abs(c) > 0.02)
     kept = cluster.greedy_dedup(far, ranked, 0.02)
     return kept.select((F.row_number().over(Window.orderBy("rank")) - 1).alias("place"), "factor")
@@ -104,7 +104,7 @@ def _(spark, sf):
 @query("cl_linkage_single", """, near AS (SELECT a, b FROM pc WHERE 1 - abs(c) <= 0.97 UNION ALL SELECT b, a FROM pc WHERE 1 - abs(c) <= 0.97),
 reach AS (SELECT DISTINCT factor, factor AS other FROM rets UNION SELECT factor, b FROM reach JOIN near ON other = a) SELECT factor, min(other) AS "group" FROM reach GROUP BY 1""", _PAIRS, recursive=True)
 def _(spark, sf):
-    r = panels.returns(spark, sf)
+    r = cluster.written(panels.returns(spark, sf))
     names = r.select("factor").distinct()
     near = cluster.correlations(r, names, cluster.calendar(r), value="ret", keep=lambda c: 1 - abs(c) <= 0.97)
     return cluster.single_linkage(near, names, 0.97)
