@@ -87,20 +87,30 @@ def test_ev_adf(spark, small):
     b = panels.bars(spark, small).toPandas()
     got = registry.queries()["ev_adf"](spark, small).toPandas().set_index("symbol")
     for s, g in b.groupby("symbol"):
-        t, k = adf_by_hand(g.groupby(g.bar_ts.dt.date).price.mean().sort_index().tolist())
+        t, k = adf_by_hand(g.sort_values("bar_ts").price.dropna().tolist())
         assert got.loc[s, "statistic"] == pytest.approx(t, abs=1e-4) and got.loc[s, "lags"] == k and got.loc[s, "stationary"] == (t < -2.8615)
 
 
-def test_unit_roots_walks_and_odd_series():
+def test_unit_roots_walks_and_odd_series(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    noise, walk = rng.normal(size=400), np.cumsum(rng.normal(size=400))
-    p = [models.adf_p_value(models.adf_statistic(x)[0]) for x in (noise, walk)]
-    assert p[0] < 1e-6 and p[1] > 0.05
+    noise, walk, far = rng.normal(size=400), np.cumsum(rng.normal(size=400)), 1e6 + np.cumsum(rng.normal(size=333))
+    series = {"noise": noise, "walk": walk, "far": far, "one": [1.0], "three": [1.0, 2.0, 3.0], "flat": [4.0] * 50, "none": [None, float("nan")]}
+    monkeypatch.setattr(models, "ADF_BLOCK", 64)  # many blocks a series
+    monkeypatch.setattr(models, "ADF_CONTEXT", 32)
+    rows = [(s, k, None if v is None else float(v)) for s, x in series.items() for k, v in enumerate(x)] + [(None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, k long, v double")
+    got = {r["symbol"]: r for r in models.stationary(df, "v", "symbol", "k").collect()}
+    assert got.keys() == series.keys()
+    assert got["noise"]["p_value"] < 1e-6 and got["noise"]["stationary"] and got["walk"]["p_value"] > 0.05 and not got["walk"]["stationary"]
+    for s in ("noise", "walk", "far"):
+        t, lags = adf_by_hand([float(v) - 1e6 * (s == "far") for v in series[s]])
+        assert got[s]["statistic"] == pytest.approx(t, abs=1e-5) and got[s]["lags"] == lags
+    for s in ("one", "three", "flat", "none"):
+        assert got[s]["statistic"] is None and got[s]["p_value"] == 1.0 and not got[s]["stationary"]
+    assert models.stationary(df.limit(0), "v", "symbol", "k").count() == 0
     # the published critical values are where the p-value passes their level
     assert [models.adf_p_value(models.ADF_CRITICAL[x][0]) for x in (0.01, 0.05, 0.1)] == pytest.approx([0.01, 0.05, 0.1], abs=5e-4)
-    for odd in ([], [1.0], [1.0, 2.0, 3.0], [4.0] * 50):
-        t, *_ = models.adf_statistic(np.array(odd))
-        assert math.isnan(t) and models.adf_p_value(t) == 1.0
+
 
 
 def test_change_points_against_all_segmentations():

@@ -41,7 +41,7 @@ def test_no_task_has_a_whole_series(spark):
     plan = scaling.minmax_around(df, "v", "ret", 600, 60)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "row_number" in line]
     assert windows and all("_span" in line for line in windows)
-    got = scaling._numbered(df, ["symbol"], "bar_ts").orderBy("bar_ts").select("_at").collect()
+    got = scaling.numbered_rows(df, ["symbol"], "bar_ts").orderBy("bar_ts").select("_at").collect()
     assert [r[0] for r in got] == list(range(6000))
 
 

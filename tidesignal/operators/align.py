@@ -48,12 +48,26 @@ def trim(panel: DataFrame, by: DataFrame, value: str, order: str = "bar_ts") ->
     return panel.join(F.broadcast(ends), (F.col(order) >= F.col("_a")) & (F.col(order) <= F.col("_b"))).drop("_a", "_b")  # one row
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str, out: str | None = None) -> DataFrame:
-    """The last value of ``right`` at or before each row of ``left``: one union, one window per key."""
-    both = left.withColumn("_r", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True)).unionByName(
-        right.select(*keys, order, F.col(value).alias("_r")).withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(order), F.col("_left")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out or value, F.last("_r", ignorenulls=True).over(w)).where("_left").drop("_r", "_left")
+def asof(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str, out: str | None = None, span: str = "day", ahead: bool = False, strict: bool = False) -> DataFrame:
+    """The last value of ``right`` at or before each row of ``left``; ``ahead``: the first one at or after it; ``strict``: not at its own time.
+
+    A series is cut into spans of time, and every span starts with the value that the spans before it leave, which is a scan over one
+    row a span. So no task has a whole series. Missing values, and values without a time, take no part; of several values at one time
+    the greatest holds (ahead: the least); rows of ``left`` without a time get none.
+    """
+    held = right.where(F.col(value).isNotNull() & F.col(order).isNotNull()).select(*keys, order, F.col(value).alias("_r"), F.lit(False).alias("_left"))
+    asked = left.withColumns({"_r": F.lit(None).cast(right.schema[value].dataType), "_left": F.lit(True)})
+    cut = F.to_date(order) if span == "day" else F.trunc(order, span)
+    both = asked.unionByName(held, allowMissingColumns=True).withColumns({"_span": cut, "_entry": F.lit(False)})
+    way = lambda c: F.col(c).desc() if ahead else F.col(c).asc()
+    last = (F.min if ahead else F.max)(F.when(F.col("_r").isNotNull(), F.struct(order, "_r")))
+    before = Window.partitionBy(*keys).orderBy(way("_span")).rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    left_by = both.where("_span is not null").groupBy(*keys, "_span").agg(last.alias("_last")).withColumn("_held", F.last("_last", ignorenulls=True).over(before))
+    entry = left_by.where("_held is not null").select(*keys, "_span", F.col("_held._r").alias("_r"), F.lit(False).alias("_left"), F.lit(True).alias("_entry"))
+    tied = F.col("_left").desc() if strict else F.col("_left").asc()
+    w = Window.partitionBy(*keys, "_span").orderBy(F.col("_entry").desc(), way(order), tied, way("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.unionByName(entry, allowMissingColumns=True).withColumn(out or value, F.last("_r", ignorenulls=True).over(w))
+    return found.where("_left").drop("_r", "_left", "_span", "_entry")
 
 
 def upsert(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:

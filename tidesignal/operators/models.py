@@ -13,6 +13,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import written
+from .scaling import numbered_rows
+
 
 def design(panel: DataFrame, group: str, value: str, keys: list[str], names: list[str]) -> DataFrame:
     """One column a group (missing as 0), one row a key; ``features`` for pyspark.ml."""
@@ -184,37 +187,8 @@ ADF_CRITICAL = {0.01: (-3.43035, -6.5393, -16.786), 0.05: (-2.86154, -2.8903, -4
 # fixed values: the normal quantile of the test's p-value as a polynomial of the statistic, up to the bound and above it
 ADF_P_BOUND, ADF_P_LOW, ADF_P_HIGH = -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
 ADF_P_MIN, ADF_P_MAX = -18.83, 2.74
-
-
-def _adf_fit(y: np.ndarray, lags: int, skip: int) -> tuple[float, float, int]:
-    """t value of the level, squared error and rows of the regression of differences from the ``skip``-th on."""
-    d = np.diff(y)
-    rows = len(d) - skip
-    x = np.column_stack([y[skip:-1], *(d[skip - k : len(d) - k] for k in range(1, lags + 1)), np.ones(rows)])
-    target = d[skip:]
-    beta, *_ = np.linalg.lstsq(x, target, rcond=None)
-    left = float(np.square(target - x @ beta).sum())
-    var = np.linalg.pinv(x.T @ x)[0, 0] * left / max(rows - x.shape[1], 1)
-    return (float(beta[0] / math.sqrt(var)) if var > 0 else float("nan")), left, rows
-
-
-def adf_statistic(y: np.ndarray) -> tuple[float, int, int]:
-    """t value of the level in the regression of differences on level, lagged differences and a constant; lags; rows used.
-
-    Lags are those with the least information criterion over the same rows, the fewest of equals, up to 12 (n / 100)^(1/4). Constant
-    and very short series have no statistic.
-    """
-    y = np.asarray(y, float)
-    most = min(math.ceil(12 * (len(y) / 100) ** 0.25), len(y) // 2 - 2)
-    if most < 0 or np.ptp(y) == 0:
-        return float("nan"), 0, max(len(y) - 1, 0)
-    scores = []
-    for lags in range(most + 1):
-        _, left, rows = _adf_fit(y, lags, most)
-        scores.append(rows * math.log(left / rows) + 2 * (lags + 2) if left > 0 else -math.inf)
-    lags = int(np.argmin(scores))
-    t, _, rows = _adf_fit(y, lags, lags)
-    return t, lags, rows
+#: Rows of a series whose cross-moments one task adds up, and rows before them that it reads for their lags: enough for 10^12 rows.
+ADF_BLOCK, ADF_CONTEXT = 32_768, 4_096
 
 
 def adf_p_value(t: float) -> float:
@@ -227,19 +201,90 @@ def adf_p_value(t: float) -> float:
     return math.erfc(-x / math.sqrt(2)) / 2
 
 
-def stationary(df: DataFrame, value: str, key: str, order: str, level: float = 0.05) -> DataFrame:
-    """``key, statistic, p_value, lags, critical, stationary``: the unit root is rejected at ``level``; a series that fails the test is not stationary.
+def _moments(y: np.ndarray, first: int, most: int) -> np.ndarray:
+    """Cross-moments of level, lagged differences, constant and difference of the rows from ``first`` on."""
+    d, total = np.diff(y), np.zeros((most + 3, most + 3))
+    for a in range(first, len(y), 4096):
+        b = min(a + 4096, len(y))
+        x = np.column_stack([y[a - 1 : b - 1], *(d[a - 1 - k : b - 1 - k] for k in range(1, most + 1)), np.ones(b - a), d[a - 1 : b - 1]])
+        total += x.T @ x
+    return total
 
-    One series is one task, so long series should come as daily means.
+
+def _solve(m: np.ndarray, lags: int) -> tuple[float, float, float]:
+    """Coefficient of the level, its variance over that of the error, and the squared error, from cross-moments."""
+    at = [0, len(m) - 2, *range(1, lags + 1)]
+    size = np.sqrt(np.diag(m)[at])
+    size[size == 0] = 1.0
+    inverse = np.linalg.pinv(m[np.ix_(at, at)] / np.outer(size, size), hermitian=True)
+    beta = inverse @ (m[at, -1] / size)
+    left = float(m[-1, -1] - beta @ (m[at, -1] / size))
+    return float(beta[0] / size[0]), float(inverse[0, 0] / size[0] ** 2), left if left > 1e-13 * m[-1, -1] else 0.0
+
+
+def _statistic(m: np.ndarray, head: np.ndarray, n: int, most: int) -> tuple[float, int]:
+    """t value of the level and the number of lags with the least information criterion, the fewest of equals.
+
+    Lags are compared over the rows that have all ``most`` of them; the chosen regression also has the rows of ``head`` before these.
     """
+    rows = n - 1 - most
+    scores = []
+    for lags in range(most + 1):
+        left = _solve(m, lags)[2]
+        scores.append(rows * math.log(left / rows) + 2 * (lags + 2) if left > 0 else -math.inf)
+    lags = int(np.argmin(scores))
+    some = [*range(lags + 1), most + 1, most + 2]
+    beta, spread, left = _solve(m[np.ix_(some, some)] + _moments(head, lags + 1, lags), lags)
+    var = spread * left / max(n - 1 - lags - (lags + 2), 1)
+    return (beta / math.sqrt(var) if var > 0 else float("nan")), lags
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, lags, n = adf_statistic(pdf.sort_values(order)[value].dropna().to_numpy())
-        a, b, c = ADF_CRITICAL[level]
-        p = adf_p_value(t)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "statistic": [t], "p_value": [p], "lags": [lags], "critical": [a + b / max(n, 1) + c / max(n, 1) ** 2], "stationary": [bool(p < level)]})
 
-    return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} string, statistic double, p_value double, lags int, critical double, stationary boolean")
+def stationary(df: DataFrame, value: str, key: str, order: str, level: float = 0.05) -> DataFrame:
+    """``key, statistic, p_value, lags, critical, stationary``: the unit root is rejected at ``level``; a series that fails the test is not stationary.
+
+    The statistic is the t value of the level in the regression of differences on level, lagged differences and a constant, with up to
+    12 (n / 100)^(1/4) lags. Its cross-moments are added up over blocks of a series, so no task has a whole one; a small system a
+    series is left to solve. Missing values are left out; constant and very short series have no statistic; rows without a key take no part.
+    """
+    known = df.where(F.col(key).isNotNull())
+    y = known.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_y"))
+    rows = written(numbered_rows(y, ["_k"], "_o"))
+    n = F.count("*")
+    most = F.least(F.ceil(12 * F.pow(n / 100, 0.25)), F.floor(n / 2) - 2).cast("int")
+    sizes = rows.groupBy("_k").agg(n.alias("n"), F.avg("_y").alias("mean"), F.when(F.min("_y") < F.max("_y"), most).otherwise(-1).alias("most"))
+    parts = sizes.where("most >= 0").withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / ADF_BLOCK).cast("int"))))
+    own = F.floor(F.col("_at") / ADF_BLOCK).cast("int")
+    both = F.when(F.col("_at") % ADF_BLOCK >= ADF_BLOCK - ADF_CONTEXT, F.array(own, own + 1)).otherwise(F.array(own))
+    block, context = ADF_BLOCK, ADF_CONTEXT
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        y, lags, start, at = pdf["_y"].to_numpy() - pdf["mean"].iloc[0], int(pdf["most"].iloc[0]), int(pdf["_at"].iloc[0]), int(pdf["_part"].iloc[0])
+        if lags >= context:
+            raise ValueError(f"{lags} lags reach beyond the rows before a block")
+        m = _moments(y, max(at * block, lags + 1) - start, lags)
+        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "m": [m.ravel()], "head": [y[: lags + 1] if at == 0 else None]})
+
+    name = df.schema[key].dataType.simpleString()
+    cells = rows.withColumn("_part", F.explode(both)).join(parts, ["_k", "_part"]).groupBy("_k", "_part").applyInPandas(add, f"_k {name}, m array<double>, head array<double>")
+    cells = written(cells)
+    sums = cells.select("_k", F.posexplode("m").alias("at", "v")).groupBy("_k", "at").agg(F.sum("v").alias("v")).groupBy("_k").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("m"))
+    heads = cells.where("head is not null").select("_k", "head")
+    a, b, c = ADF_CRITICAL[level]
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for k, n, most, m, head in zip(pdf["_k"], pdf["n"].fillna(0).astype(int), pdf["most"], pdf["m"], pdf["head"]):
+                t, lags = (float("nan"), 0) if m is None else _statistic(np.reshape(m, (int(most) + 3, -1)), np.asarray(head), n, int(most))
+                used = max(n - 1 - lags, 0)
+                p = adf_p_value(t)
+                out.append((k, t, p, lags, a + b / max(used, 1) + c / max(used, 1) ** 2, p < level))
+            yield pd.DataFrame(out, columns=["_k", "statistic", "p_value", "lags", "critical", "stationary"])
+
+    every = known.select(F.col(key).alias("_k")).distinct().join(sizes, "_k", "left").join(sums, "_k", "left").join(heads, "_k", "left")
+    got = every.select("_k", "n", "most", "m", "head").mapInPandas(solve, f"_k {name}, statistic double, p_value double, lags int, critical double, stationary boolean")
+    return got.withColumnRenamed("_k", key)
 
 
 def change_points(y: np.ndarray, penalty: float, least: int = 2) -> list[int]:

@@ -58,7 +58,7 @@ def _clipped(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 1)
 
 
-def _numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def numbered_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``_at``: the number of each row in its series, from 0.
 
     Rows are counted in spans of time (of the order's unit, if it is a number) and numbered inside their span; the numbers of rows in
@@ -77,7 +77,7 @@ def _numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def _per_group(df: DataFrame, window: int, keys: list[str], order: str, outs: list[str], run: Callable[[pd.DataFrame], None]) -> DataFrame:
     """``outs`` that ``run`` adds to the ordered rows of a stretch; rows of the stretch before it are context only."""
-    cut = _numbered(df, keys, order).select(*df.columns, F.floor(F.col("_at") / window).cast("int").alias("_n"))
+    cut = numbered_rows(df, keys, order).select(*df.columns, F.floor(F.col("_at") / window).cast("int").alias("_n"))
     both = cut.withColumn("_part", F.explode(F.array(F.col("_n"), F.col("_n") + 1)))
     schema = T.StructType([*df.schema.fields, *(T.StructField(o, T.DoubleType()) for o in outs)])
 

@@ -261,13 +261,10 @@ nx AS (SELECT c.symbol, c.d, c.price AS close_price, min(o.d) AS open_day FROM c
 def _nights(spark, sf):
     b = _b(spark, sf).withColumn("d", F.to_date("bar_ts"))
     at = lambda h: b.where(F.date_format("bar_ts", "HH") == h)
-    opens = at("09").select("symbol", "d", F.col("price").alias("open_price"))
-    both = at("14").select("symbol", "d", F.col("price").alias("close_price")).unionByName(opens, allowMissingColumns=True)
-    # forward as-of: the first opening on a later day, by one window over the union
-    w = Window.partitionBy("symbol").orderBy("d").rangeBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("open_price").isNotNull(), F.struct("d", "open_price")), ignorenulls=True).over(w)
-    both = both.withColumn("d", F.unix_date("d")).withColumn("o", F.first(F.when(F.col("open_price").isNotNull(), F.struct("d", "open_price")), ignorenulls=True).over(w))
-    return both.where("close_price is not null").select("symbol", F.date_from_unix_date("d").alias("d"), "close_price", F.date_from_unix_date("o.d").alias("open_day"), F.col("o.open_price").alias("open_price"))
+    opens = at("09").where("price is not null").select("symbol", "d", F.struct("d", F.col("price").alias("open_price")).alias("o"))
+    closes = at("14").where("price is not null").select("symbol", "d", F.col("price").alias("close_price"))
+    nxt = align.asof(closes, opens, ["symbol"], "d", "o", span="month", ahead=True, strict=True)
+    return nxt.select("symbol", "d", "close_price", F.col("o.d").alias("open_day"), "o.open_price")
 
 
 @query("jn_next_open", f"SELECT symbol, {dt('d')} AS day, close_price, {dt('open_day')} AS open_day FROM nx", _NIGHT)
