@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidesignal.llm import jaccard
@@ -91,3 +92,13 @@ def test_sizes_of_signatures_meet(make_docs, monkeypatch):
         texts += [" ".join(base), " ".join([*base, "one", "more", "end"]), " ".join(base[: int(size * 0.88)]), " ".join(base[: int(size * 0.8)])]
     got = jaccard.similarity_classes(make_docs(texts), 4, 85, 100).collect()
     assert sorted(map(tuple, got)) == brute(list(enumerate(texts)), 4, 85, 100)
+
+
+def test_filter_has_every_id_and_is_one_bit_a_slot(spark):
+    ids = spark.range(0, 40_000, 8)
+    bits = jaccard._filter(ids.repartition(8))
+    assert len(bits) == (1 << (16 * 5_000).bit_length()) // 8
+    assert jaccard._marked(bits, np.arange(0, 40_000, 8)).all()
+    assert jaccard._marked(bits, np.arange(1, 40_000, 8)).mean() < 0.08
+    none = jaccard._filter(ids.limit(0))
+    assert len(none) == (1 << 16) // 8 and not jaccard._marked(none, np.arange(1000)).any()

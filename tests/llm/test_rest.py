@@ -7,6 +7,7 @@ from collections import Counter
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from tidesignal.llm import html, mixing, rules, urlfilter
 from tidesignal.llm.queries import ORACLES, QUERIES
@@ -171,6 +172,27 @@ def test_url_lists_equal_brute_force(spark):
     assert urlfilter.judge(captures.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20, 10_000])
+def test_url_lists_with_hot_patterns_long_urls_and_clashing_columns(spark, monkeypatch, hot):
+    """Top-level domains with and without an entry; patterns that are all cold, partly hot and all hot give the same."""
+    monkeypatch.setattr(urlfilter, "HOT", hot)
+    r = random.Random(8)
+    day = lambda: (datetime.date(2024, 1, 1) + datetime.timedelta(r.randrange(200))).isoformat()
+    hosts = [f"h{k}.site{k % 7}.{t}" for k in range(30) for t in ("com", "org")]
+    entries = [(r.choice("pq"), r.choice(hosts[:20] + ["org", "site1.com", "site2.org", hosts[0] + "/x"]), r.choice(["block", "allow", "clear"]), day()) for _ in range(60)]
+    caps = [(k, f"https://{r.choice(hosts)}/{r.choice('xyz')}" + ("/" + "w" * 200_000 if k % 300 == 0 else ""), day()) for k in range(900)]
+    names = "_salt", "_hot", "_named", "pattern", "month", "host", "segment", "verdict", "_allow"
+    captures = spark.createDataFrame(caps, "page_id long, url string, fetch_date string")
+    for n in names:
+        captures = captures.withColumn(n, F.lit("x"))
+    listed = spark.createDataFrame(entries, "list string, pattern string, action string, effective string")
+    for n in ("_salt", "host", "month", "valid_to", "rank"):
+        listed = listed.withColumn(n, F.lit("x"))
+    got = {x["page_id"]: x["verdict"] for x in urlfilter.judge(captures, listed).collect()}
+    assert got == {k: judge(u, d, entries) for k, u, d in caps}
+    assert set(got.values()) == {"clean", "blocked", "allowed"}
+
+
 def test_mixture_meets_weights_and_limits(make_docs):
     r = random.Random(7)
     sizes = {"big": 300, "mid": 60, "low": 8, None: 5}

@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a laptop) is a temporary folder made.
+    Only where a local session leaves it unset (tests, a laptop) is a temporary folder made; a cluster without it is an error.
     """
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tidesignal-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")

@@ -181,8 +181,7 @@ def _links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, num: int,
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = held.value
         for whole in batches:
-            keep = on[_slot(whole.column(0).to_numpy(zero_copy_only=False), len(on))] > 0
-            few = whole.filter(pa.array(keep))
+            few = whole.filter(pa.array(_marked(on, whole.column(0).to_numpy(zero_copy_only=False))))
             for a in range(0, few.num_rows, 1000):
                 b = few.slice(a, 1000)
                 yield pa.RecordBatch.from_arrays([*_pairs_array([_digest(s) for s in shingle_sets(b.column(1), n)]), b.column(1)], ["d1", "d2", "text"])
@@ -205,21 +204,29 @@ def _links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, num: int,
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def _slot(ids: np.ndarray, size: int) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+def _slot(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each id among so many bits."""
+    at = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
+def _marked(on: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    byte, bit = _slot(ids, 8 * len(on))
+    return on[byte] & bit > 0
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """Flags at the slots of all ``ids``: few other ids share one while there are room and bits for them."""
+    """Bits at the slots of all ``ids``, eight a byte from end to end: few other ids share one while there are room and bits for them."""
     count = ids.count()
     size = 1 << min(max((FILTER_LOAD * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(size, np.uint8)
+        on = np.zeros(size // 8, np.uint8)
         for b in batches:
-            on[_slot(b.column(0).to_numpy(zero_copy_only=False), size)] = 1
+            byte, bit = _slot(b.column(0).to_numpy(zero_copy_only=False), size)
+            np.bitwise_or.at(on, byte, bit)
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(on).tobytes()], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([on.tobytes()], pa.binary())], ["bits"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(size // 8, np.uint8)
@@ -230,7 +237,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
     parts = ids.mapInArrow(mark, "bits binary")
     got = parts.repartition(16).mapInArrow(union, "bits binary").coalesce(1).mapInArrow(union, "bits binary").collect()
-    return np.unpackbits(np.frombuffer(got[0]["bits"], np.uint8)) if got else np.zeros(size, np.uint8)
+    return np.frombuffer(got[0]["bits"], np.uint8) if got else np.zeros(size // 8, np.uint8)
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,10 +9,15 @@ The as-of join is an equality join. A verdict depends only on (host, segment, fe
 triples first, which takes care of hot hosts; a triple is expanded to its candidate patterns, intervals to the months they touch,
 and the two meet on (pattern, month), with the exact dates as a filter. Verdicts are joined back to all captures.
 
+Patterns are counted beforehand. Those that one in ``HOT`` candidates or more asks for, as top-level domains are, number at most ``HOT``
+for that reason, so they are broadcast: candidates for a hot pattern that no entry names are dropped before the shuffle, and those
+for a hot one that is named are spread over ``SALTS`` parts, to each of which its intervals are copied.
+
 Edge cases: a null or unreadable url is ``invalid`` and not kept; a null fetch date or one before all entries finds no entry and is
 ``clean``; of several entries of one list, pattern and date the greatest action (clear, block, allow) holds; entries with nulls are
 ignored; repeated captures are returned as often as they come; with an empty list all captures are clean; an empty table of captures
-gives an empty result. Very long urls are read whole; only the host and the first segment of the path take part.
+gives an empty result. Very long urls are read whole; only the host and the first segment of the path take part. Other columns of captures and
+entries are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ from pyspark.sql import functions as F
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
+#: A pattern is hot if one in so many candidates asks for it, and is spread over so many parts.
+HOT, SALTS = 1000, 64
+
 
 def host_of(url: Column) -> Column:
     return F.rtrim(F.regexp_extract(F.lower(F.trim(F.coalesce(url, F.lit("")))), _HOST, 1), F.lit("."))
@@ -53,14 +61,21 @@ def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: st
     paths = F.when(F.col("segment") != "", F.array(F.concat_ws("/", "host", "segment"))).otherwise(F.array().cast("array<string>"))
     asked = cases.select("*", F.explode(F.array_distinct(F.concat(domains, paths))).alias("pattern"), F.trunc("fetch_date", "month").alias("month"))
 
-    last = cases.agg(F.max("fetch_date")).first()[0]
+    last, candidates = asked.agg(F.max("fetch_date"), F.count("*")).first()
     valid = intervals(entries)
+    counts = asked.groupBy("pattern").count().where(F.col("count") * HOT >= candidates).select("pattern")
+    hot = counts.join(valid.select("pattern", F.lit(True).alias("_named")).distinct(), "pattern", "left").select("pattern", F.lit(True).alias("_hot"), "_named")
+    hot = F.broadcast(hot)  # at most HOT patterns: their shares add up to one
+    asked = asked.join(hot, "pattern", "left").where("_hot is null or _named")
+    asked = asked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("host", "segment", "fetch_date"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot", "_named")
     if last is not None:
         end = F.least(F.date_sub(F.coalesce("valid_to", F.lit(last) + 1), 1), F.lit(last))
         valid = valid.where(F.col("valid_from") <= F.lit(last)).withColumn("month", F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc(F.greatest(end, F.col("valid_from")), "month"), F.expr("interval 1 month"))))
     else:
         valid = valid.where("false").withColumn("month", F.col("valid_from"))
-    active = asked.join(valid, ["pattern", "month"]).where((F.col("fetch_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_date") < F.col("valid_to"))))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    valid = valid.join(hot.select("pattern", "_hot"), "pattern", "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    active = asked.join(valid, ["pattern", "month", "_salt"]).where((F.col("fetch_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_date") < F.col("valid_to"))))
     verdicts = active.groupBy("host", "segment", "fetch_date").agg(F.min(F.when(F.col("action") == "allow", F.col("pattern"))).alias("_allow"), F.min(F.when(F.col("action") == "block", F.col("pattern"))).alias("_block"))
     joined = seen.join(verdicts, ["host", "segment", "fetch_date"], "left")
     verdict = F.when(F.col("host") == "", "invalid").when(F.col("_allow").isNotNull(), "allowed").when(F.col("_block").isNotNull(), "blocked").otherwise("clean")
