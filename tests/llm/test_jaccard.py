@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tidesignal.llm import jaccard
+from tidesignal.llm.common import Scratch
 
 
 def shingles(text, n):
@@ -102,3 +103,16 @@ def test_filter_has_every_id_and_is_one_bit_a_slot(spark):
     assert jaccard._marked(bits, np.arange(1, 40_000, 8)).mean() < 0.08
     none = jaccard._filter(ids.limit(0))
     assert len(none) == (1 << 16) // 8 and not jaccard._marked(none, np.arange(1000)).any()
+
+
+def test_frequent_shingles_are_the_top_and_about_as_many_as_fit(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 64)
+    often = [f"a{k} b c d" for k in range(40) for _ in range(50)]
+    seldom = [f"x{k} b c d" for k in range(400) for _ in range(5)]
+    find = lambda docs: jaccard.frequent_shingles(docs, "text", 4, Scratch(spark, "test"))
+    keys, totals = find(make_docs(often + seldom + [None, ""]).coalesce(1))  # a shingle that a task meets once is not counted there
+    assert (totals == 50).sum() == 40 and set(totals) == {5, 50} and len(keys) < 100
+    assert (np.diff(keys.astype(object)) > 0).all()
+    keys, totals = find(make_docs(often[:500]).repartition(4))
+    assert len(keys) == 10 and set(totals) == {50}
+    assert len(find(make_docs([]))[0]) == 0

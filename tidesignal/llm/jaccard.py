@@ -51,10 +51,11 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``FREQUENT`` most frequent of the shingles met twice or more among some ``COUNTED``, sorted, with their counts.
+def frequent_shingles(docs: DataFrame, text: str, n: int, tables: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """About the ``FREQUENT`` most frequent of the shingles met twice or more among some ``COUNTED``, sorted, with their counts.
 
-    Every document is counted. Each task hands on a bounded list, and only the bounded list of all reaches the driver.
+    Every document is counted. Each task hands on a bounded list. Counts fall into at most 1,024 classes; from their sizes follows the
+    class at which the list is full, of which a share chosen by hash is taken, so the driver gets the list once, however many tasks there are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,17 @@ def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(totals)], ["h", "n"])
 
     found = docs.select(F.col(text).alias("_t")).mapInArrow(count, "h long, n long")
-    top = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    counts = tables.write("counts", found.groupBy("h").agg(F.sum("n").alias("n")))
+    rank = F.floor(16 * F.log2("n"))
+    room, full, share = FREQUENT, -1, 0
+    for r in sorted(counts.groupBy(rank.alias("rank")).agg(F.count("*").alias("size")).collect(), reverse=True):
+        if r["size"] > room:
+            full, share = r["rank"], 1024 * room // r["size"]
+            break
+        room -= r["size"]
+    some = (rank == full) & (F.pmod(F.xxhash64("h"), F.lit(1024)) < share)
+    top = counts.where((rank > full) | some).toPandas()
+    tables.drop("counts")
     keys, totals = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], totals[order]
@@ -251,7 +262,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     text_batches(docs.sparkSession)
     tables = Scratch(docs.sparkSession, "jaccard")
-    sets = tables.write("sets", describe(docs, frequent_shingles(docs, "text", n), n, num, den).withColumn("v", F.monotonically_increasing_id()))
+    sets = tables.write("sets", describe(docs, frequent_shingles(docs, "text", n, tables), n, num, den).withColumn("v", F.monotonically_increasing_id()))
     rows = tables.write("rows", sets.select("doc_id", "n_shingles", "d1", "d2", "v"))
     first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "v")).alias("r"))
     reps = tables.write("reps", first.select("d1", "d2", F.col("r.doc_id").alias("id"), F.col("r.v").alias("v")))
