@@ -358,10 +358,15 @@ def _(spark, sf):
 
 @query("st_online_rule", f"SELECT symbol, {ts()} AS ts, pos FROM pos", _POS)
 def _(spark, sf):
-    at = _folder(spark)
-    stream.write_weeks(signal(spark, sf).select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "s"), f"{at}/in")
-    got = stream.replay(spark, f"{at}/in", "symbol string, bar_ts timestamp, s double", 0.6, 0.2, f"{at}/state", f"{at}/out")
-    return got.select("symbol", stamp("bar_ts").alias("ts"), "pos")
+    """The rule in batch up to a day, then as a stream of the weeks after it that starts from the batch run's last sides."""
+    at, day = _folder(spark), F.lit("2024-01-16").cast("timestamp_ntz")
+    s = cluster.written(signal(spark, sf).select("symbol", "bar_ts", "s"))
+    known = rules.reopening(s.where(F.col("bar_ts") < day), open_at=0.6, close_at=0.2).select("symbol", "bar_ts", "pos")
+    later = s.where(F.col("bar_ts") >= day).withColumn("bar_ts", F.col("bar_ts").cast("timestamp"))
+    stream.write_weeks(later, f"{at}/in")
+    got = stream.replay(spark, f"{at}/in", "symbol string, bar_ts timestamp, s double", 0.6, 0.2, f"{at}/state", f"{at}/out", start=stream.closing_state(known))
+    rows = known.withColumn("bar_ts", F.col("bar_ts").cast("timestamp")).unionByName(got.where("not late").select("symbol", "bar_ts", "pos"))
+    return rows.select("symbol", stamp("bar_ts").alias("ts"), "pos")
 
 
 @query("udf_rules", "SELECT unnest(['binary', 'rev', 'rev1', 'rev2', 'rev3', 'rev4', 'rev5', 'v0', 'v0_1', 'v1', 'v2', 'v3', 'v3_1', 'v3_2', 'v3_3', 'v3_4', 'v3_4_t1', 'v3_5', 'v4', 'v5', 'v6']) AS rule")
