@@ -32,6 +32,17 @@ def batch(alphas: DataFrame, filters: DataFrame, names: list[str], functions: li
     return both.withColumn("_m", made).select("alpha", "filter", F.col("_m.fn").alias("fn"), *keys, "v", F.col("_m.s").alias("s"))
 
 
+def paired(alphas: DataFrame, pairs: DataFrame, suffixes: list[str], keys: list[str] = ["symbol", "bar_ts"]) -> DataFrame:
+    """``suffix, keys, up, down, s``: a signal above zero times the pair's ``up``, one below zero times ``down``, others as they are.
+
+    ``suffixes`` is a list of parameters: an alpha's row is copied once for each, and joined on (suffix, keys).
+    """
+    dealt = alphas.select(*keys, "s").withColumn("suffix", F.explode(F.array(*map(F.lit, suffixes))))
+    both = dealt.join(pairs, ["suffix", *keys], "left")
+    s = F.col("s")
+    return both.withColumn("s", F.when(s > 0, s * F.col("up")).when(s < 0, s * F.col("down")).otherwise(s))
+
+
 def summary(applied: DataFrame) -> DataFrame:
     """``alpha, filter, fn, bars, matched, ok, mean_signal``: a pair is not ``ok`` if its filter has no row for any bar."""
     got = applied.groupBy("alpha", "filter", "fn").agg(F.count("*").alias("bars"), F.count("v").alias("matched"), F.avg("s").alias("mean_signal"))

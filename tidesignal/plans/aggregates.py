@@ -215,12 +215,6 @@ def _(spark, sf):
     return b.join(live, ["symbol", "bar_ts"]).groupBy(day_text("bar_ts").alias("day")).agg(F.count("*").alias("n"), _r(F.max(F.abs(F.col("price") - F.col("live")))).alias("max_diff"))
 
 
-@query("agg_stat_file", "SELECT o_orderstatus, count(*) FILTER (o_totalprice < 100000) AS incomplete, min(o_totalprice) AS least, round(avg(o_totalprice), 4) AS mean, max(o_totalprice) AS most FROM orders GROUP BY 1")
-def _(spark, sf):
-    p = F.col("o_totalprice")
-    return panels.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count_if(p < 100000).alias("incomplete"), F.min(p).alias("least"), _r(F.avg(p), 4).alias("mean"), F.max(p).alias("most"))
-
-
 @query("agg_momrev_pivot", "SELECT split_part(factor, '-', 1) AS indicator, " + ", ".join(f"round(avg(net_sharpe_ratio) FILTER (split_part(factor, '-', 2) = 'w{k}d'), 11) AS w{k}d" for k in range(3)) + " FROM evals GROUP BY 1", EVALS)
 def _(spark, sf):
     e = _e(spark, sf).withColumn("indicator", F.split("factor", "-")[0]).withColumn("transform", F.split("factor", "-")[1])

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..operators import align, boosting, cluster, metrics, models, pnl, rules, select
+from ..operators import align, apply, boosting, cluster, metrics, models, pnl, rules, select
 from ..sources import files, panels
 from ..streaming import rule as stream
 from .core import _POS, FEE, positions, signal
@@ -285,31 +285,70 @@ def _(spark, sf):
     return files.read_table(spark, at, "test_name string, process_name string, factor string, direction long")
 
 
-@query("src_stat", f"""SELECT symbol, {dt()} AS day, complete_rate, missing FROM (
-  SELECT o_orderstatus AS symbol, CAST(o_orderdate AS DATE) AS day, CAST(round(100 - 100.0 * (count(*) % 7) / (count(*) + 7), 2) AS DOUBLE) AS complete_rate, CAST(count(*) % 7 AS DOUBLE) AS missing
-  FROM orders GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1""")
-def _(spark, sf):
-    """Stat lines of every day of the orders, written as text files and read back: the last line of each symbol."""
+#: Stat lines of every order day, by priority (the folder) and status (the symbol); the rate in parts of 1.
+_STAT = """lines AS (SELECT o_orderpriority AS source, o_orderstatus AS symbol, CAST(o_orderdate AS DATE) AS day,
+  CAST(round(1 - (count(*) % 3) / (count(*) + 7.0), 4) AS DOUBLE) AS complete_rate, CAST(count(*) % 3 AS DOUBLE) AS missing FROM orders GROUP BY 1, 2, 3),
+stat AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY source, symbol ORDER BY day DESC) = 1)"""
+
+
+def _stat(spark, sf):
+    """The stat lines written as text files, a folder for each priority, and read back: the last line of each symbol there."""
     at, n = _folder(spark), F.count("*")
-    rows = panels.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("symbol"))
-    rate, missing = F.round(100 - 100.0 * (n % 7) / (n + 7), 2), (n % 7).cast("string")
-    rows.agg(rate.cast("string").alias("rate"), missing.alias("missing")).select(F.format_string("%s,%s,rate %s,missing %s", F.col("day").cast("string"), "symbol", "rate", "missing").alias("value")).write.text(at)
-    return files.read_stat(spark, at).select("symbol", day_text("day").alias("day"), "complete_rate", "missing")
+    rows = panels.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("symbol"), F.to_date("o_orderdate").alias("day"))
+    made = rows.agg(F.round(1 - (n % 3) / (n + 7), 4).cast("string").alias("rate"), (n % 3).cast("string").alias("missing"))
+    made.select("source", F.format_string("%s, %s, Trade Complete Rate: %s, Inc Missing Num: %s", F.col("day").cast("string"), "symbol", "rate", "missing").alias("value")).write.partitionBy("source").text(at)
+    return files.read_stat(spark, at, "source")
+
+
+@query("src_stat", f"SELECT source, symbol, {dt()} AS day, complete_rate, missing FROM stat", _STAT)
+def _(spark, sf):
+    return _stat(spark, sf).select("source", "symbol", day_text("day").alias("day"), "complete_rate", "missing")
+
+
+@query("agg_stat_file", """SELECT source, count(*) FILTER (complete_rate < 1) AS trade_incomplete_count, min(complete_rate) FILTER (complete_rate < 1) AS trade_min,
+  round(avg(complete_rate) FILTER (complete_rate < 1), 9) AS trade_mean, count(*) FILTER (missing > 0) AS inc_missing_count, max(missing) FILTER (missing > 0) AS inc_max,
+  round(avg(missing) FILTER (missing > 0), 9) AS inc_mean FROM stat GROUP BY 1""", _STAT)
+def _(spark, sf):
+    """How complete each stat folder is, from its latest lines."""
+    got = files.stat_summary(_stat(spark, sf), ["source"])
+    return got.withColumns({c: F.round(c, 9) for c in ("trade_mean", "inc_mean")})
 
 
-@query("src_json", "SELECT * FROM (VALUES ('r', 'p', 'f1'), ('r', 'p', 'f2')) t(root_dir, process_name, factor)")
+@query("src_json", "SELECT test_name AS root_dir, process_name, factor FROM evals WHERE net_sharpe_ratio > 0.5", EVALS)
 def _(spark, sf):
-    return files.read_selection(spark, '[["r", "p", "f1"], ["r", "p", "f2"], ["r", "p", "f1"]]')
+    """Selections written as JSON lists of triples, a list for each process, and read back as rows."""
+    at = _folder(spark)
+    chosen = panels.evaluations(spark, sf).where("net_sharpe_ratio > 0.5")
+    lists = chosen.groupBy("test_name", "process_name").agg(F.collect_list(F.array("test_name", "process_name", "factor")).alias("x"))
+    lists.select(F.to_json("x")).write.text(at)
+    return files.read_selection(spark, at)
+
+
+_PAIRED = SIGNAL + """, up AS (SELECT 'level' AS suffix, symbol, bar_ts, round(price / 100, 6) AS up FROM bars WHERE factor > 40 UNION ALL SELECT 'share', symbol, bar_ts, round(factor / 100, 6) FROM bars WHERE factor IS NOT NULL),
+down AS (SELECT 'level' AS suffix, symbol, bar_ts, round(1 - price / 100, 6) AS down FROM bars UNION ALL SELECT 'share', symbol, bar_ts, round(1 - factor / 100, 6) FROM bars WHERE factor < 60)"""
 
 
-@query("src_filters", "SELECT * FROM (VALUES ('a_10', 'pos_a_10', 'neg_a_10'), ('b_10', 'pos_b_10', 'neg_b_10')) t(suffix, positive, negative)")
+@query("src_filters", f"""SELECT suffix, symbol, {ts()} AS ts, up, down, round(CASE WHEN s > 0 THEN s * up WHEN s < 0 THEN s * down ELSE s END, 9) + 0 AS s
+  FROM sig CROSS JOIN (VALUES ('level'), ('share')) n(suffix) LEFT JOIN up USING (suffix, symbol, bar_ts) LEFT JOIN down USING (suffix, symbol, bar_ts)""", _PAIRED)
 def _(spark, sf):
-    return spark.createDataFrame(files.paired_filters(["pos_a_10", "neg_a_10", "pos_b_10", "neg_b_10", "pos_c_10"]), "suffix string, positive string, negative string")
+    """Filter panels in folders by name, told to be pairs by their names, and applied to a signal; a filter without its other half isn't read."""
+    at = _folder(spark)
+    p, f = F.col("price") / 100, F.col("factor") / 100
+    made = {"pos_level": (p, "factor > 40"), "neg_level": (1 - p, "true"), "pos_share": (f, "true"), "neg_share": (1 - f, "factor < 60"), "pos_alone": (p, "true")}
+    panel = F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.when(F.expr(c), F.round(v, 6)).alias("v")) for n, (v, c) in made.items()))).alias("x")
+    files.write_panel(panels.bars(spark, sf).select("symbol", "bar_ts", panel).select("symbol", "bar_ts", "x.*").where("v is not null"), at, ["filter"])
+    got = apply.paired(signal(spark, sf), files.paired_filters(spark, at), ["level", "share"])
+    return got.select("suffix", "symbol", stamp("bar_ts").alias("ts"), "up", "down", (F.round("s", 9) + 0).alias("s"))
 
 
-@query("src_glob", "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
+@query("src_glob", "SELECT test_name AS name, count(*) AS n, round(max(net_sharpe_ratio), 6) AS best FROM evals WHERE test_name <> 't0' GROUP BY 1", EVALS)
 def _(spark, sf):
-    return spark.createDataFrame([(n,) for n in files.list_factors(spark, sf)], "name string")
+    """Evaluation files found by a pattern of folders; each row's test is told by the path of its file."""
+    at = _folder(spark)
+    files.write_panel(panels.evaluations(spark, sf), at, ["test_name"])
+    rows = spark.read.parquet(f"{at}/test_name=t[1-9]*")  # without a base path the folders give no column
+    name = F.regexp_extract(F.input_file_name(), "test_name=([^/]+)/", 1)
+    return rows.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.round(F.max("net_sharpe_ratio"), 6).alias("best"))
 
 
 @query("src_calendar", f"SELECT DISTINCT {dt('CAST(o_orderdate AS DATE)')} AS day FROM orders WHERE isodow(o_orderdate) < 6")
@@ -348,14 +387,6 @@ def _(spark, sf):
     return files.mark_alerted(m, m.where("id % 7 = 0")).select("id", "alerted")
 
 
-@query("st_period_modes", "SELECT * FROM (VALUES ('rolling', 3::BIGINT), ('update', 1::BIGINT)) t(mode, periods)")
-def _(spark, sf):
-    from ..operators import calendar
-
-    periods = calendar.rolling("2016-01-01", "2017-01-01", "2018-06-30", 6, 24)
-    return spark.createDataFrame([("rolling", len(periods)), ("update", len(periods[-1:]))], "mode string, periods long")
-
-
 @query("st_online_rule", f"SELECT symbol, {ts()} AS ts, pos FROM pos", _POS)
 def _(spark, sf):
     """The rule in batch up to a day, then as a stream of the weeks after it that starts from the batch run's last sides."""
@@ -369,20 +400,7 @@ def _(spark, sf):
     return rows.select("symbol", stamp("bar_ts").alias("ts"), "pos")
 
 
-@query("udf_rules", "SELECT unnest(['binary', 'rev', 'rev1', 'rev2', 'rev3', 'rev4', 'rev5', 'v0', 'v0_1', 'v1', 'v2', 'v3', 'v3_1', 'v3_2', 'v3_3', 'v3_4', 'v3_4_t1', 'v3_5', 'v4', 'v5', 'v6']) AS rule")
-def _(spark, sf):
-    from ..operators.machines import MACHINES
-    from ..operators.rules import RULES
-
-    return spark.createDataFrame([(r,) for r in sorted(RULES | MACHINES)], "rule string")
-
-
-@query("udf_filter_names", "SELECT unnest(['v' || range]) AS filter FROM range(19)")
-def _(spark, sf):
-    return spark.createDataFrame([(f,) for f in sorted(select.FILTERS)], "filter string")
-
-
-@query("udf_models_fit", _OLS.format(v="var_pop", a="0.0").replace("SELECT round(b1", "SELECT 'linear' AS model, round(b1") + " UNION ALL SELECT 'ridge', b1, b2, intercept FROM (WITH " + _MAT + _OLS.format(v="var_pop", a="10.0") + ")", _MAT)
+@query("udf_models", _OLS.format(v="var_pop", a="0.0").replace("SELECT round(b1", "SELECT 'linear' AS model, round(b1") + " UNION ALL SELECT 'ridge', b1, b2, intercept FROM (WITH " + _MAT + _OLS.format(v="var_pop", a="10.0") + ")", _MAT)
 def _(spark, sf):
     """Models called by their names with their parameters."""
     m = _fit(spark, sf)
@@ -392,17 +410,6 @@ def _(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
-@query("udf_models", "SELECT unnest(['gbm', 'lasso', 'linear', 'ridge']) AS model")
-def _(spark, sf):
-    return spark.createDataFrame([(m,) for m in sorted(models.MODELS)], "model string")
-
-
-@query("par_grid_cells", "SELECT a.range::INTEGER AS cluster_level, b.range::INTEGER AS model_level FROM range(3) a, range(4) b")
-def _(spark, sf):
-    a, b = (spark.range(n).select(F.col("id").cast("int").alias(c)) for n, c in ((3, "cluster_level"), (4, "model_level")))
-    return a.crossJoin(F.broadcast(b))  # a parameter grid
-
-
 @query("ev_dynamic_names", "SELECT process_name, t AS transform, process_name || '_' || t AS process FROM (SELECT DISTINCT process_name FROM evals), (VALUES ('ma5'), ('ma20')) x(t)", EVALS)
 def _(spark, sf):
     t = F.explode(F.array(F.lit("ma5"), F.lit("ma20")))

@@ -63,7 +63,7 @@ def _(spark, sf):
 _CALLED = ("binary", "rev", "v0", "v1", "v3", "v5")
 
 
-@query("udf_rules_run", " UNION ALL ".join(f"SELECT '{r}' AS rule, symbol, count(*) AS bars, count(pos) AS known, round(sum(pos), 3) + 0 AS total FROM ({oracle_sql()[f'tr_{r}']}) GROUP BY symbol" for r in _CALLED))
+@query("udf_rules", " UNION ALL ".join(f"SELECT '{r}' AS rule, symbol, count(*) AS bars, count(pos) AS known, round(sum(pos), 3) + 0 AS total FROM ({oracle_sql()[f'tr_{r}']}) GROUP BY symbol" for r in _CALLED))
 def _(spark, sf):
     """Rules called by their names with the parameter sets of their own queries."""
     out = None
@@ -283,21 +283,28 @@ def _(spark, sf):
     return spark.createDataFrame([(n,) for n in files.list_factors(spark, at, r"symbol=(.*i.*)")], "name string")
 
 
-_CONFIG = """[fit]
-window = 20
-open_at = [0.6, 0.8]
+_CONFIGS = {".toml": """symbols = ["click", "view"]
 
-[fit.filter]
-name = "v17"
-"""
+[rule]
+open_at = 0.6
+close_at = 0.2
+""", ".yaml": """symbols: [error, signup]
+rule:
+  open_at: 0.6
+  close_at: 0.2
+"""}
 
 
-@query("src_config", "SELECT * FROM (VALUES ('fit.window', '20'), ('fit.open_at', '[0.6, 0.8]'), ('fit.filter.name', '\"v17\"')) t(name, value)")
+@query("src_config", f"SELECT CASE WHEN symbol IN ('click', 'view') THEN '.toml' ELSE '.yaml' END AS config, symbol, {ts()} AS ts, pos FROM pos WHERE symbol IN ('click', 'view', 'error', 'signup')", _POS)
 def _(spark, sf):
-    """A TOML configuration out of any store that Spark reads, as rows of dotted names and JSON values."""
-    at = _folder(spark) + "/run.toml"
-    files.write_text(spark, at, _CONFIG)
-    return spark.createDataFrame(sorted(files.flatten(files.load_config(spark, at)).items()), "name string, value string")
+    """The rule under configurations read from any store: which symbols, and the rule's levels."""
+    at, out = _folder(spark), None
+    for kind, text in _CONFIGS.items():
+        files.write_text(spark, f"{at}/run{kind}", text)
+        c = files.load_config(spark, f"{at}/run{kind}")
+        one = rules.reopening(signal(spark, sf).where(F.col("symbol").isin(c["symbols"])), **c["rule"]).select(F.lit(kind).alias("config"), "symbol", stamp("bar_ts").alias("ts"), "pos")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _database(spark) -> str:

@@ -25,19 +25,34 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True)
 
 
-def read_stat(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless status lines ``Date, Symbol, text, text``: trailing numbers, latest row of each symbol."""
-    raw = spark.read.csv(path, schema="day string, symbol string, rate string, missing string")
-    number = lambda c: F.regexp_extract(F.trim(c), r"(-?\d+(?:\.\d+)?)\s*$", 1)
-    rows = raw.select(F.to_date("day").alias("day"), F.trim("symbol").alias("symbol"), F.expr("try_cast(regexp_extract(trim(rate), '(-?[0-9]+(?:[.][0-9]+)?) *$', 1) as double)").alias("complete_rate"), F.nullif(number("missing"), F.lit("")).cast("double").alias("missing"))
-    w = Window.partitionBy("symbol").orderBy(F.desc("day"), F.desc("missing"))
+def read_stat(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """Headerless status lines ``Date, Symbol, text, text``: trailing numbers, latest row of each symbol.
+
+    ``source`` names the column of folders ``source=..`` under ``path``: then the latest row of each symbol in each of them.
+    """
+    part = [source] if source else []
+    raw = spark.read.csv(path, schema="day string, symbol string, rate string, missing string" + "".join(f", {c} string" for c in part))
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '(-?[0-9]+(?:[.][0-9]+)?) *$', 1) as double)")
+    rows = raw.select(*part, F.expr("try_cast(trim(day) as date)").alias("day"), F.trim("symbol").alias("symbol"), number("rate").alias("complete_rate"), number("missing").alias("missing"))
+    w = Window.partitionBy(*part, "symbol").orderBy(F.desc("day"), F.desc("missing"), F.desc("complete_rate"))
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def read_selection(spark: SparkSession, text: str) -> DataFrame:
-    """A JSON list of [root_dir, process, factor] as distinct rows."""
-    rows = [tuple(map(str, x)) for x in json.loads(text)]
-    return spark.createDataFrame(rows, "root_dir string, process_name string, factor string").distinct()
+def stat_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Completeness of the latest status lines by ``keys``: how many rates are below 1, their least and mean; how many lines miss something, the most and mean."""
+    low, gap = F.col("complete_rate") < 1, F.col("missing") > 0
+    rate, missing = F.when(low, F.col("complete_rate")), F.when(gap, F.col("missing"))
+    return rows.groupBy(*keys).agg(
+        F.count_if(low).alias("trade_incomplete_count"), F.min(rate).alias("trade_min"), F.avg(rate).alias("trade_mean"),
+        F.count_if(gap).alias("inc_missing_count"), F.max(missing).alias("inc_max"), F.avg(missing).alias("inc_mean"),
+    )
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lists of [root_dir, process, factor], one list a line, as distinct rows; lines that are no such list give none."""
+    x = F.explode(F.from_json("value", "array<array<string>>")).alias("x")
+    rows = spark.read.text(path).select(x).where("size(x) = 3")
+    return rows.select(*(F.col("x")[k].alias(c) for k, c in enumerate(("root_dir", "process_name", "factor")))).distinct()
 
 
 def parse_config(text: str, kind: str) -> dict:
@@ -110,12 +125,25 @@ def leaf_folders(spark: SparkSession, roots: dict[str, dict]) -> list[tuple[str,
     return out
 
 
-def paired_filters(names: list[str], positive: str = "pos_", negative: str = "neg_") -> list[tuple[str, str, str]]:
+def filter_pairs(names: list[str], positive: str = "pos_", negative: str = "neg_") -> list[tuple[str, str, str]]:
     """(suffix, positive name, negative name) of filters that come in pairs."""
     up, down = ({n.removeprefix(p): n for n in names if n.startswith(p)} for p in (positive, negative))
     return [(s, up[s], down[s]) for s in sorted(up.keys() & down.keys())]
 
 
+def paired_filters(spark: SparkSession, path: str, positive: str = "pos_", negative: str = "neg_", keys: list[str] = ["symbol", "bar_ts"]) -> DataFrame:
+    """``suffix, keys, up, down``: filter panels ``filter=<name>/`` under ``path`` whose names come in pairs, side by side.
+
+    The names are told from the folders alone, and only folders of pairs are read (a filter of partitions in the plan). A bar that one
+    of the two lacks has a missing value there.
+    """
+    pairs = filter_pairs(list_factors(spark, path, r"filter=(.+)"), positive, negative)
+    rows = spark.read.parquet(path).where(F.col("filter").isin([n for _, up, down in pairs for n in (up, down)]))
+    is_up = F.col("filter").startswith(positive)
+    suffix = F.when(is_up, F.substr("filter", F.lit(len(positive) + 1))).otherwise(F.substr("filter", F.lit(len(negative) + 1)))
+    return rows.groupBy(suffix.alias("suffix"), *keys).agg(F.max(F.when(is_up, F.col("v"))).alias("up"), F.max(F.when(~is_up, F.col("v"))).alias("down"))
+
+
 def write_panel(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
