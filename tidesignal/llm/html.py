@@ -9,8 +9,10 @@ What stands between two pieces of marked content costs nothing, so a menu or an
 Container kinds come from tag names and from words in ``class``, ``id`` and ``role``. Words in no such container weigh above zero,
 so an article in plain body, paragraphs, cells or other classes is found. ``main`` outranks every kind it opens in; ``article`` those
 whose end tag is missing, and, if it holds more than the rest of the page, closed ones too (comments only if they open before any
-content). A page that has no text so far is read again with whole words of ``class``, ``id`` and ``role`` only. Every page is handled on
-its own, in one narrow pass; it is read up to six times, each time linear in its length.
+content). A form around more words than stand outside of forms, and ten or more for each of its fields, wraps the page and is no container.
+A heading below the first level that says "Comments" or the like, after content, opens reader comments up to the end of its container or
+a heading as high; a last block that states copyright is a footer. A page that has no text so far is read again with whole words of ``class``, ``id`` and ``role`` only. Every page is handled on
+its own, in one narrow pass; it is read up to eight times, each time linear in its length.
 
 Edge cases: null and empty pages, and pages without words, give an empty text; broken, unclosed or cut-off markup is read as far
 as it goes; a quote that is never closed ends with its tag, and "<" before what can't be a tag is text; ``head`` ends where a tag opens
@@ -53,6 +55,14 @@ _HINT = [(kind, re.compile(rf"(?:^|[\s_-])(?:{p})(?:$|[\s_-])", re.I)) for kind,
 _WHOLE = [(kind, re.compile(rf"(?:^|\s)(?:{p})(?:$|\s)", re.I)) for kind, p in HINTS]
 _TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"(?:[^\"<]|<(?![a-z/!]))*\"|'(?:[^'<]|<(?![a-z/!]))*'|[^'\"<>])*+|[^<>]*+)(?:>|\Z)|([^<]+|<)")
 _ATTR = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Parts of a compound that make it a phrase ("menu-of-the-day"), which names what a block holds and not its kind.
+_PHRASE = re.compile(r"[^\s_-]+(?:[_-][^\s_-]+)*[_-](?:of|the|and|in|for|to|a)[_-][^\s]+", re.I)
+#: Text blocks: only whole words of their attributes are hints ("ad", but not "share-price").
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt span b i em strong".split())
+#: A heading that opens reader comments; they go on to the end of its container or to a heading as high.
+_REPLIES = re.compile(r"(?i)\s*(?:\d+\s+)?(?:(?:reader|user|visitor)s?['’]?s?\s+)?(?:comments?|replies|responses|leave a (?:reply|comment)|join the discussion)\s*(?:\(\d+\)|:|\d+)?\s*")
+#: A last block that is a footer without a container.
+_RIGHTS = re.compile(r"(?i)(?:©|\(c\)|copyright\b).{0,160}\ball rights reserved\b.{0,40}|(?:©|copyright ©|copyright \(c\))\s*(?:19|20)\d\d\b.{0,80}")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 #: Tags before which ``head`` stays open.
 IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
@@ -68,7 +78,8 @@ def kind_of(tag: str, attrs: str, strict: bool = False) -> str | None:
         if tag not in ("body", "html"):
             said = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs))
             if said:
-                for kind, pattern in _WHOLE if strict else _HINT:
+                said = _PHRASE.sub(" ", said)
+                for kind, pattern in _WHOLE if strict or tag in TEXT_BLOCKS else _HINT:
                     if pattern.search(said):
                         return kind
     return TAG_KIND.get(tag)
@@ -80,14 +91,21 @@ class Reading:
 
     A run between two tags is one token of as many words. A header inside an article is part of it. ``missing`` has the places of
     containers that may have been left open, as an earlier reading found them; with ``loose``, closed containers are outranked too.
+    ``wraps`` has the places of forms around a page's text, which are no containers of their own kind.
     """
 
-    def __init__(self, page: str, missing: frozenset[int] = frozenset(), loose: bool = False, strict: bool = False):
+    def __init__(self, page: str, missing: frozenset[int] = frozenset(), loose: bool = False, strict: bool = False, wraps: frozenset[int] = frozenset()):
         self.found: list[tuple[str, str]] = []
         self.open: set[int] = set()  # places of containers without an end tag of their own
         self.nested = False  # an article opens in a container of another kind, which it doesn't outrank
         stack: list[tuple[str, str, int, frozenset[int]]] = []  # open containers and links: tag, kind, place, places that it outranks
         late: set[int] = set()  # places of comments after content
+        prose: Counter = Counter()  # words of each open form but those of labels and other containers; None: words outside forms
+        fields: Counter = Counter()
+        label = ""
+        heading: tuple[str, int, bool] | None = None  # an open heading, the number of tokens before it, and whether there was text
+        forms: list[int] = []
+        plain = True  # no container but forms stands around
         where, link, content, over = "page", False, False, frozenset()
         for m in _TOKEN.finditer(page):
             text = m.group(5)
@@ -96,11 +114,29 @@ class Reading:
             if text is not None:
                 self.found.append((("l:" if link else "w:") + where, text))
                 content = content or where == "content"
+                if plain and not link and not label:
+                    n = len(text.split())
+                    for at in forms or (None,):
+                        prose[at] += n
                 continue
             name = m.group(3)
             if name is None:
                 continue
             name = name.lower()
+            if name in ("label", "legend", "button", "option"):
+                label = "" if m.group(2) else name
+            elif name in ("input", "select") and not m.group(2) and "hidden" not in m.group(4):
+                for at in forms:
+                    fields[at] += 1
+            if len(name) == 2 and name[0] == "h" and name[1] in "123456":
+                if not m.group(2):
+                    heading = name, len(self.found), content or any(prose.values())
+                    stack = [s for s in stack if s[0] != "#replies" or s[1] < name[1]] if any(s[0] == "#replies" for s in stack) else stack
+                elif heading and heading[0] == name:
+                    if name != "h1" and heading[2] and _REPLIES.fullmatch("".join(t for k, t in self.found[heading[1] :] if k[0] != "t")):
+                        stack.append(("#replies", name[1], m.start(), frozenset()))
+                        self.found[heading[1] :] = [(k if k[0] == "t" else k[:2] + "comment", t) for k, t in self.found[heading[1] :]]
+                    heading = None
             if m.group(2):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -113,6 +149,8 @@ class Reading:
                 if name not in VOID:
                     kind = kind_of(name, m.group(4), strict)
                     at = m.start()
+                    if at in wraps and kind == "form":
+                        kind = ""
                     if name == "a":
                         stack = [s for s in stack if s[0] != "a"]
                         stack.append((name, kind or "", at, frozenset()))
@@ -123,14 +161,18 @@ class Reading:
                         stack.append((name, "skip" if name in SKIPPED and name not in ("head",) else "header" if name == "head" else kind or "", at, beaten))
             over = frozenset().union(*(s[3] for s in stack)) if any(s[3] for s in stack) else frozenset()
             link = any(s[0] == "a" for s in stack)
-            kinds = [s[1] for s in stack if s[1] and s[2] not in over]
+            kinds = ["comment" if s[0] == "#replies" else s[1] for s in stack if s[1] and s[2] not in over]
             bad = [k for k in kinds if k != "content"]
             inside = "content" in kinds
             if bad and bad[-1] == "header" and inside and kinds.index("content") < len(kinds) - 1 - kinds[::-1].index("header") and name != "head":
                 bad = [k for k in bad if k != "header"]  # an article's own header
             where = bad[-1] if bad else "content" if inside else "page"
+            forms = [s[2] for s in stack if s[0] == "form" and s[1] == "form"]
+            plain = not bad or all(k == "form" for k in bad)
             self.found.append(("t:" + name, m.group(2)))
         self.open.update(s[2] for s in stack)
+        # a form around more words than stand outside of forms, and many for each of its fields, wraps the page
+        self.wraps = frozenset(at for at, n in prose.items() if at is not None and n > prose[None] and n >= 10 * fields[at])
 
     def _outranked(self, name: str, stack: list, missing: frozenset[int], loose: bool, late: set[int]) -> frozenset[int]:
         """Places of the open containers of other kinds that an opening article or main outranks.
@@ -154,7 +196,10 @@ class Reading:
 def tokens(page: str) -> list[tuple[str, str]]:
     """(key of the weight, text) of every token, as an article reads that outranks what was left open before it."""
     got = Reading(page)
-    return Reading(page, frozenset(got.open)).found if got.nested and got.open else got.found
+    wraps = got.wraps
+    if wraps:
+        got = Reading(page, wraps=wraps)
+    return Reading(page, frozenset(got.open), wraps=wraps).found if got.nested and got.open else got.found
 
 
 # labelled pages: what stands between [[ and ]] is content
@@ -211,14 +256,17 @@ def main_text(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
 
 def _read(page: str, weights: dict[str, float], strict: bool) -> str:
     got = Reading(page, strict=strict)
+    wraps = got.wraps
+    if wraps:
+        got = Reading(page, strict=strict, wraps=wraps)
     if not got.nested:
         return best_region(got.found, weights)
     missing = frozenset(got.open)
     if missing:
-        got = Reading(page, missing, strict=strict)
+        got = Reading(page, missing, strict=strict, wraps=wraps)
     text = best_region(got.found, weights)
     if got.nested:
-        other = best_region(Reading(page, missing, True, strict).found, weights)
+        other = best_region(Reading(page, missing, True, strict, wraps).found, weights)
         if len(other.split()) > 2 * len(text.split()):  # the article holds more than the rest of the page
             return other
     return text
@@ -248,8 +296,10 @@ def best_region(found: list[tuple[str, str]], weights: dict[str, float]) -> str:
                 blocks[-1].append(" ")
         elif weights.get(key, 0.0) > 0 or key == "w:page" or key == "l:page":
             blocks[-1].append(text)
-    texts = (" ".join(_html.unescape("".join(b)).split()) for b in blocks)
-    return "\n\n".join(t for t in texts if t)
+    texts = [t for b in blocks if (t := " ".join(_html.unescape("".join(b)).split()))]
+    while len(texts) > 1 and _RIGHTS.fullmatch(texts[-1]):
+        texts.pop()
+    return "\n\n".join(texts)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
