@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import plain_linkage
 from tidesignal import plans, registry  # noqa: F401
@@ -102,3 +103,11 @@ def test_append_refuses_changed_rows(spark):
     assert sorted(align.append(old, same, ["k"], "v").collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
     with pytest.raises(ValueError, match="1 rows are inconsistent"):
         align.append(old, changed, ["k"], "v")
+
+
+def test_sel_copy_without_a_factor_that_passes(spark, small, tmp_path):
+    for name in ("lineitem", "part"):
+        rows = panels.table(spark, small, name)
+        (rows.withColumn("l_quantity", F.lit(20.0)) if name == "lineitem" else rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = registry.queries()["sel_copy"](spark, str(tmp_path))
+    assert got.count() == 0 and got.dtypes == registry.queries()["sel_copy"](spark, small).dtypes
